@@ -20,55 +20,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.common import by_batch, forget, written
+from scriptorium.llm.words import MULT as _MULT
+from scriptorium.llm.words import mix as _mix
+from scriptorium.llm.words import word_hashes
 
 SHINGLE = 5
 #: Bands of rows: a pair with a similarity of 0.85 shares no band with probability (1 - 0.85 ** 6) ** 25 = 7e-6.
 ROWS, BANDS = 6, 25
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply); wraps around on purpose."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int, known: list[np.ndarray] = [np.ones(1, np.uint64)] * 2) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
-    """_MULT to the powers 0 to n - 1, and their inverses modulo 2 ** 64; kept for later texts."""
-    if len(known[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((int(_MULT), pow(int(_MULT), -1, 1 << 64))):
-                steps = np.full(n + n // 2, base, np.uint64)
-                steps[0] = 1
-                known[i] = np.multiply.accumulate(steps)
-    return known[0][:n], known[1][:n]
-
-
-#: A random 64-bit number for each byte; A to Z as a to z.
-_BYTE = _mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(0x51ED2701))
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word: differences of one polynomial over all bytes, so that no word is cut out."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(data):
-        return np.empty(0, np.uint64)
-    edges = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=1, append=1))
-    starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(len(data))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up, out=total[1:])
-        return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text, A to Z in lower case."""
-    hashed = word_hashes(text or "")
+    hashed = word_hashes(text or "", lower=True)[0]
     if not len(hashed):
         return hashed
     n, width = max(1, len(hashed) - width + 1), min(width, len(hashed))
