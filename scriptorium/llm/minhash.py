@@ -13,6 +13,8 @@ Defined results: a null or empty text has an empty set and is alone; fewer than
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ from scriptorium.llm.words import mix as _mix
 from scriptorium.llm.words import word_hashes
 
 SHINGLE = 5
-#: Bands of rows: a pair with a similarity of 0.85 shares no band with probability (1 - 0.85 ** 6) ** 25 = 7e-6.
-ROWS, BANDS = 6, 25
+#: A pair at the threshold shares no band with at most this probability; a signature has at most so many slots.
+MISS, SLOTS = 1e-5, 160
 
 
 def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -42,7 +44,16 @@ def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
-def super_minhash(sets: list[np.ndarray], slots: int = ROWS * BANDS) -> np.ndarray:
+def shape(percent: int) -> tuple[int, int]:
+    """Rows and bands: as many rows, which keep pairs of low similarity apart, as SLOTS allows. 85: 6 rows, 25 bands."""
+    for rows in range(12, 0, -1):
+        n = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** rows)) if percent < 100 else 1
+        if rows * n <= SLOTS:
+            return rows, n
+    raise ValueError(f"no signature of {SLOTS} slots finds pairs of {percent} %")
+
+
+def super_minhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
     """A signature for each set: slot i has the least (level + fraction) that any element puts there.
 
     An element visits the slots in the order of its own permutation, one a level, so that each slot gets one rank of each
@@ -101,7 +112,7 @@ def _signed(sets: list[np.ndarray], group: list[int], best: np.ndarray, slots: i
                 orders = orders[keep]
 
 
-def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def bands(signature: np.ndarray, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
     bits = signature.view(np.uint64).reshape(*signature.shape[:-1], -1, rows)
     with np.errstate(over="ignore"):
@@ -111,11 +122,11 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _featured(columns: dict) -> dict:
+def _featured(columns: dict, rows: int, n_bands: int) -> dict:
     import xxhash
 
     sets = [shingles(text) for text in columns["text"]]
-    keys = bands(super_minhash(sets))
+    keys = bands(super_minhash(sets, rows * n_bands), rows)
     return columns | {
         "n_shingles": [len(x) for x in sets],
         "digest": [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets],
@@ -126,9 +137,9 @@ def _featured(columns: dict) -> dict:
 _FEATURES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.BinaryType())])
 
 
-def features(docs: DataFrame) -> DataFrame:
+def features(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and the packed band keys. No shuffle."""
-    return by_batch(docs.select("doc_id", "text"), _FEATURES, _featured)
+    return by_batch(docs.select("doc_id", "text"), _FEATURES, _featured, *shape(percent))
 
 
 def _unpacked(columns: dict) -> dict:
@@ -207,7 +218,7 @@ def components(links: DataFrame, steps: int | None = None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union."""
-    found = written(features(docs), "features")
+    found = written(features(docs, percent), "features")
     if _repeated(found):
         return _with_repeats(docs, percent, hub_rounds)
     classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
@@ -282,7 +293,7 @@ def _with_repeats(docs: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
     return out.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
+def representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group. Of the rows of one doc_id one stays, the least by its text;
     rows without doc_id all stay."""
     groups = written(near_duplicates(docs, percent).select("doc_id", "kept"), "groups")

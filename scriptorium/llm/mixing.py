@@ -108,7 +108,7 @@ def mixed(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes:
 def mix_report(docs: DataFrame) -> DataFrame:
     """mixed(), range-sorted by the first position; documents outside the mix last."""
     out = mixed(docs).withColumn("position", F.get("positions", F.lit(0)))
-    return out.orderBy(F.col("position").asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    return out.orderBy(F.col("position").asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("n_copies"))
 
 
 def mix(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes: int = PASSES, schedules: tuple = SCHEDULES) -> DataFrame:

@@ -140,7 +140,10 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     hidden = F.array_sort(F.transform(F.concat("assign", "access", "hex", "login", "key40"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     found = found.withColumn("_hidden", hidden)
     text = F.when(F.size("_hidden") == 0, F.col("text")).otherwise(_masked(F.col("text"), F.col("_hidden")))
-    return found.withColumn("text", text).select(docs.columns)
+    found = found.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("_hidden") == 0, F.col("n_chars")).otherwise(F.length("text")))
+    return found.select(docs.columns)
 
 
 def _masked(text: Column, spans: Column) -> Column:
