@@ -3,8 +3,9 @@
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes). Texts of one set are a class; only the
    smallest doc_id of a class goes on, so copies never meet in pairs.
 2. SuperMinHash gives the set a signature; its bands are bucket keys. Batches sign their sets together.
-3. In each bucket every member is compared with one member, the hub; verified links are joined by union-find.
-   After two such rounds with other hubs only members of different components are left to compare, and these
+3. Each bucket has a hub, its member of lowest rank, and every member is compared with the lowest hub among its buckets: one
+   pair a member, and in a group of copies mostly the same hub. Verified links are joined by union-find.
+   After some such rounds with other ranks only members of different components are left to compare, and these
    are compared in full, so that no link between members of a bucket is lost. Groups of copies are one component by then.
 
 Defined results: a null or empty text has an empty set and is alone; fewer than five words are one shingle; repeated rows
@@ -216,7 +217,7 @@ def components(links: DataFrame, steps: int | None = None) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union."""
     found = written(features(docs, percent), "features")
     if _repeated(found):
@@ -258,7 +259,9 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
         hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "component")).alias("hub")
         mixed = written(here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("bucket", "hub"), "hubs")
         if turn < hub_rounds:
-            pairs = here.join(mixed, "bucket").where((F.col("hub.component") != F.col("component")) & near(F.col("hub.n"), F.col("n"))).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            met = here.join(mixed, "bucket").where((F.col("hub.component") != F.col("component")) & near(F.col("hub.n"), F.col("n")))
+            met = met.groupBy("node").agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub"))
+            pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
             left = written(here.join(mixed.select("bucket"), "bucket"), "rest")
             right = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
