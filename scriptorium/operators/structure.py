@@ -62,7 +62,7 @@ def toc_end(text: Column) -> Column:
     """Where a table of contents ends: three or more lines with dotted leaders in the first 18 % of the text; else 0."""
     head = F.substring(text, 1, F.ceil(F.length(text) * 0.18).cast("int"))
     rows = F.regexp_extract_all(head, F.lit(r"(?m)^[^\n]*\.{3,}\s*\d{1,3}[ \t]*$"), F.lit(0))
-    return F.when(F.size(rows) >= 3, F.locate(F.element_at(rows, -1), head) + F.length(F.element_at(rows, -1)) - 1).otherwise(0)
+    return F.when(F.size(rows) >= 3, F.call_function("locate", F.element_at(rows, -1), head) + F.length(F.element_at(rows, -1)) - 1).otherwise(0)
 
 
 def segmented(submissions: DataFrame, expected: DataFrame, key: str = "submission_id") -> DataFrame:

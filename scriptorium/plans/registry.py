@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import marks
+from scriptorium.plans import marks, structure, texts
 
-GROUPS = (marks,)
+GROUPS = (marks, texts, structure)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
