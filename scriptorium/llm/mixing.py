@@ -108,7 +108,8 @@ def mixed(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes:
 def mix_report(docs: DataFrame) -> DataFrame:
     """mixed(), range-sorted by the first position; documents outside the mix last."""
     out = mixed(docs).withColumn("position", F.get("positions", F.lit(0)))
-    return out.orderBy(F.col("position").asc_nulls_last()).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("n_copies"))
+    # documents outside the mix all lack a position: the hash deals them out
+    return out.orderBy(F.col("position").asc_nulls_last(), F.xxhash64("doc_id")).select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("n_copies"))
 
 
 def mix(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes: int = PASSES, schedules: tuple = SCHEDULES) -> DataFrame:
@@ -117,4 +118,4 @@ def mix(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes: i
     sums = _sums(sizes(docs))
     rows = sizes(docs, F.struct(*docs.columns).alias("row"))
     copies = _placed(rows, sums, percent, weights, passes, schedules).select("row", F.explode("positions").alias("position"))
-    return copies.orderBy("position").select("row.*")
+    return copies.orderBy("position", F.xxhash64("row.doc_id")).select("row.*")
