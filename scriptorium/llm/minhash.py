@@ -3,9 +3,9 @@
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes). Texts of one set are a class; only the
    smallest doc_id of a class goes on, so copies never meet in pairs.
 2. SuperMinHash gives the set a signature; its bands are bucket keys. Batches sign their sets together.
-3. Each bucket has a hub, its member of lowest rank, and every member is compared with the lowest hub among its buckets: one
-   pair a member, and in a group of copies mostly the same hub. Verified links are joined by union-find.
-   After some such rounds with other ranks only members of different components are left to compare, and these
+3. Each bucket has a hub, its member of lowest rank. Every member is compared with the lowest hub among its buckets, then, in
+   rounds with other ranks, with the hub of each of its buckets that is in another component. Verified links are joined
+   by union-find after each round. In the end only members of different components are left to compare, and these
    are compared in full, so that no link between members of a bucket is lost. Groups of copies are one component by then.
 
 Defined results: a null or empty text has an empty set and is alone; fewer than five words are one shingle; repeated rows
@@ -192,27 +192,30 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in part], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def components(links: DataFrame, steps: int | None = None) -> DataFrame:
-    """node, component (the smallest node it reaches) for every node with a link (a, b). With steps, after so many
-    a component may still be in several parts.
+def components(links: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """node, component (the smallest node it reaches) for every node with a link (a, b).
 
-    Union-find inside each partition leaves a forest; then each node takes the least label among its neighbours and, by
-    pointer jumping, that label's label, until nothing changes. Only sums by key are shuffled whole; hot nodes meet joins only."""
-    edges = written(links.select("a", "b").mapInArrow(_forest, _PAIR), "edges")
+    Union-find in tasks of at most about per_task links leaves a forest: of one task it is the answer, of more than one
+    each node then takes the least label among its neighbours and, by pointer jumping, that label's label, until nothing
+    changes. Only sums by key are shuffled whole; hot nodes meet joins only."""
+    links = links.select("a", "b")
+    tasks = 1 + links.count() // per_task
+    edges = written(links.coalesce(tasks).mapInArrow(_forest, _PAIR), "edges")
+    if tasks == 1:
+        roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots)
     both = edges.union(edges.select("b", "a"))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    done = 0
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         old = labels.withColumnRenamed("component", "old")
         step = old.join(near, "node").select("node", "old", F.least("old", "near").alias("new"))
         over = labels.select(F.col("node").alias("new"), F.col("component").alias("over"))
         made = written(step.join(over, "new", "left").select("node", "old", F.least("new", F.coalesce("over", "new")).alias("component")), "labels")
-        changed = done + 1 != steps and not made.where("old <> component").isEmpty()
+        changed = not made.where("old <> component").isEmpty()
         forget(labels)
         labels = made.select("node", "component")
-        done += 1
-        if done == steps or not changed:
+        if not changed:
             forget(edges)
             return labels
 
@@ -260,7 +263,8 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
         mixed = written(here.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), hub).where("low < high").select("bucket", "hub"), "hubs")
         if turn < hub_rounds:
             met = here.join(mixed, "bucket").where((F.col("hub.component") != F.col("component")) & near(F.col("hub.n"), F.col("n")))
-            met = met.groupBy("node").agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub"))
+            if turn == 0:  # one hub a member joins most of a group of copies
+                met = met.groupBy("node").agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub"))
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
             left = written(here.join(mixed.select("bucket"), "bucket"), "rest")
@@ -270,7 +274,7 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
         links = checked if links is None else written(links.union(checked), "links")
         forget(labels)
         if turn < hub_rounds:
-            labels = components(links, steps=2)
+            labels = components(links)
     return links
 
 
