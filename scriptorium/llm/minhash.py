@@ -5,8 +5,9 @@
 2. SuperMinHash gives the set a signature; its bands are bucket keys. Batches sign their sets together.
 3. Each bucket has a hub, its member of lowest rank. Every member is compared with the lowest hub among its buckets, then, in
    rounds with other ranks, with the hub of each of its buckets that is in another component. Verified links are joined
-   by union-find after each round. In the end only members of different components are left to compare, and these
-   are compared in full, so that no link between members of a bucket is lost. Groups of copies are one component by then.
+   by union-find after each round. In the end only members of different components are left to compare. Of these, a pair is
+   verified if it meets in the prefixes of its sets (_prefix_pairs), which every linked pair does, so that no link between
+   members of a bucket is lost. Groups of copies are one component by then.
 
 Defined results: a null or empty text has an empty set and is alone; fewer than five words are one shingle; repeated rows
 (same doc_id) each give a row; rows without doc_id are alone, with a null component. Extra columns are ignored.
@@ -18,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,7 +253,7 @@ def _bucketed(classes: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
     """Verified links (a, b), enough to join all that hang together."""
-    near = lambda n, m: F.least(n, m) * 100 >= F.greatest(n, m) * percent  # noqa: E731  else the sizes alone rule a link out
+    near = lambda n, m: _near(n, m, percent)
     links = labels = None
     for turn in range(hub_rounds + 1):
         if labels is None:
@@ -267,9 +268,8 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
                 met = met.groupBy("node").agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub"))
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
-            left = written(here.join(mixed.select("bucket"), "bucket"), "rest")
-            right = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = left.join(right, "bucket").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("c")) & near(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b")
+            rest = here.join(mixed.select("bucket"), "bucket").select("node", "n", "component").distinct()
+            pairs = _prefix_pairs(written(rest, "rest"), texts, percent)
         checked = written(_checked(written(pairs.distinct(), "pairs"), texts, percent), "links")
         links = checked if links is None else written(links.union(checked), "links")
         forget(labels)
@@ -278,6 +278,41 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
     return links
 
 
+def _near(n: Column, m: Column, percent: int) -> Column:
+    """Else the sizes alone rule a link out."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _tokens(columns: dict) -> dict:
+    sets = [shingles(text).view(np.int64) for text in columns["text"]]
+    repeat = [len(x) for x in sets]
+    return {c: np.repeat(np.array(columns[c], np.int64), repeat).tolist() for c in ("node", "n", "component")} | {"token": np.concatenate(sets).tolist() if sets else []}
+
+
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among rest (node, n, component), with all pairs at the threshold among them.
+
+    All sets are put in one order, rare shingles first. Two sets of n and m shingles at the threshold have at least
+    least = percent * (n + m) / (100 + percent) in common, so the first common one is among the first n - least + 1 of one
+    and the first m - least + 1 of the other. Near copies that differ in shingles of their own start with these and so do
+    not meet, however many they are. A shingle of one set alone only takes up places; a set with too many of those is done."""
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "component", "token")])
+    each = written(by_batch(rest.join(texts, "node").select("node", "n", "component", "text"), schema, _tokens), "tokens")
+    counts = written(each.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("node")), "counts")
+    alone = counts.where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    still = rest.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"), "n")
+    still = written(still.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "alone"), "still")
+    common = each.join(still, "node").join(counts.where("held > 1").select("token", "held"), "token")
+    place = F.col("alone") + F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
+    prefix = common.select("node", "n", "component", "token", place.alias("place"))
+    prefix = written(prefix.where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent), "prefix")
+    other = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("at"))
+    least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
+    meet = (F.col("place") <= F.col("n") - least + 1) & (F.col("at") <= F.col("m") - least + 1)
+    met = prefix.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("c")) & _near(F.col("n"), F.col("m"), percent) & meet)
+    return met.select(F.col("node").alias("a"), "b")
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return by_batch(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b"), _PAIR, _verified, percent)

@@ -113,6 +113,20 @@ def test_groups_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == components(rows)
 
 
+def test_near_copies_around_the_threshold_without_hubs(spark):
+    """All that hubs leave open is found from the prefixes alone, here with no hub round at all."""
+    rng, rows = random.Random(8), []
+    for group in range(3):
+        base = [f"g{group}w{rng.randint(0, 400)}" for _ in range(150)]
+        for i in range(60):
+            words = list(base)
+            for _ in range(rng.randint(0, 8)):
+                words[rng.randrange(150)] = f"v{rng.randint(0, 30)}"
+            rows.append((group * 60 + i, " ".join(words)))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hub_rounds=0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows)
+
+
 def test_repeated_ids_are_one_document(spark):
     rows = [(1, "p q r"), (1, "x y z"), (2, "X y z"), (None, "x y z"), (3, "p Q r")]
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
