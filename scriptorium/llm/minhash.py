@@ -295,17 +295,19 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     All sets are put in one order, rare shingles first. Two sets of n and m shingles at the threshold have at least
     least = percent * (n + m) / (100 + percent) in common, so the first common one is among the first n - least + 1 of one
     and the first m - least + 1 of the other. Near copies that differ in shingles of their own start with these and so do
-    not meet, however many they are. A shingle of one set alone only takes up places; a set with too many of those is done."""
+    not meet, however many they are. A shingle of one set alone only takes up places; a set with too many of those is done.
+    Shingles held by the same sets stand together, and only the first of them is met, as the first common one is such a one."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "component", "token")])
     each = written(by_batch(rest.join(texts, "node").select("node", "n", "component", "text"), schema, _tokens), "tokens")
-    counts = written(each.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("node")), "counts")
+    counts = written(each.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("node"), F.bit_xor(F.xxhash64("node")).alias("holders")), "counts")
     alone = counts.where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
     still = rest.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"), "n")
     still = written(still.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "alone"), "still")
-    common = each.join(still, "node").join(counts.where("held > 1").select("token", "held"), "token")
-    place = F.col("alone") + F.row_number().over(Window.partitionBy("node").orderBy("held", "token"))
-    prefix = common.select("node", "n", "component", "token", place.alias("place"))
-    prefix = written(prefix.where((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent), "prefix")
+    common = each.join(still, "node").join(counts.where("held > 1").select("token", "held", "holders"), "token")
+    order = Window.partitionBy("node").orderBy("held", "holders", "token")
+    place, before = F.col("alone") + F.row_number().over(order), F.lag("holders").over(order)
+    prefix = common.select("node", "n", "component", "token", place.alias("place"), F.coalesce(before != F.col("holders"), F.lit(True)).alias("first"))
+    prefix = written(prefix.where(F.col("first") & ((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent)).drop("first"), "prefix")
     other = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("at"))
     least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
     meet = (F.col("place") <= F.col("n") - least + 1) & (F.col("at") <= F.col("m") - least + 1)
