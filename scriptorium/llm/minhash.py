@@ -296,7 +296,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     least = percent * (n + m) / (100 + percent) in common, so the first common one is among the first n - least + 1 of one
     and the first m - least + 1 of the other. Near copies that differ in shingles of their own start with these and so do
     not meet, however many they are. A shingle of one set alone only takes up places; a set with too many of those is done.
-    Shingles held by the same sets (by their number and a 64-bit hash of them) stand together, and only the first of them is met, as the first common one is such a one."""
+    Shingles held by the same sets (by a 64-bit hash of them) stand together, and only the first of them is met, as the first common one is such a one."""
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "component", "token")])
     each = written(by_batch(rest.join(texts, "node").select("node", "n", "component", "text"), schema, _tokens), "tokens")
     counts = written(each.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("node"), F.bit_xor(F.xxhash64("node")).alias("holders")), "counts")
