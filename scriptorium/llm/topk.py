@@ -1,8 +1,9 @@
 """Exact top-k by integer inner product with a three-phase uniform threshold.
 
 The score of a vector is the sum over PARTS groups of its components, and each group is one list of local scores.
-1. Every list gives its k highest entries for each query, and its least score. A vector's known parts, with least scores for
-   the unknown ones, bound its score from below; the k-th highest bound is a safe cutoff.
+1. Every list gives its k highest entries for each query, and its least score. A row's known parts, with least scores for
+   the unknown ones, bound its score from below; the k-th highest bound is a safe cutoff. Rows are told apart by block and
+   place, not by vec_id, so that rows with one id do not lend each other their parts.
 2. With scores counted from the least ones, a vector at or above the cutoff has at least an equal share of it in some list:
    these entries are collected.
 3. Their other parts are looked up, and the exact sums at or above the cutoff compete for the top k.
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ from scriptorium.llm.common import written
 
 PARTS, BLOCK, QUERY_BLOCK = 2, 4096, 512
 
-_PACKED = "ids binary, data binary, dim int, cuts binary"
+_PACKED = "block long, ids binary, data binary, dim int, cuts binary"
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -37,26 +39,27 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, *cuts: str) -> DataFrame:
-    """Rows (vec_id, v, and the columns in cuts) packed by partition."""
+    """Rows (vec_id, v, and the columns in cuts) packed by partition, in blocks numbered by partition and order in it."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        number = TaskContext.get().partitionId() << 24
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
             while len(held) >= size:
-                yield made(held[:size])
-                held = held[size:]
+                yield made(held[:size], number)
+                held, number = held[size:], number + 1
         if held:
-            yield made(held)
+            yield made(held, number)
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
+    def made(rows: list[tuple], number: int) -> pa.RecordBatch:
         dim = max(1, *(len(r[1]) for r in rows))
         data = np.zeros((len(rows), dim))
         for i, r in enumerate(rows):
             data[i, : len(r[1])] = r[1]
         ids = np.array([r[0] for r in rows], np.int64)
         extra = np.array([r[2:] for r in rows], float)
-        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([extra.tobytes()], pa.binary())], names=["ids", "data", "dim", "cuts"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([extra.tobytes()], pa.binary())], names=["block", "ids", "data", "dim", "cuts"])
 
     return rows.select("vec_id", "v", *cuts).mapInArrow(pack, _PACKED)
 
@@ -85,18 +88,18 @@ def _highest(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
 
 
 def _local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for q_ids, q, x_ids, x, _ in _pairs(batches):
+    for block, q_ids, q, x_ids, x, _ in _pairs(batches):
         out = []
         for g, scores in enumerate(_parts(q, x)):
             for i, query in enumerate(q_ids.tolist()):
                 own = scores[i]
                 low = float(own.min())
-                out += [(query, g, int(x_ids[j]), float(own[j]), low) for j in _highest(own, k + 1, x_ids).tolist() if x_ids[j] != query]
-        yield _table(out, [("query_id", pa.int64()), ("part", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
+                out += [(query, g, block * BLOCK + j, float(own[j]), low) for j in _highest(own, k + 1, x_ids).tolist() if x_ids[j] != query]
+        yield _table(out, [("query_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for q_ids, q, x_ids, x, cuts in _pairs(batches):
+    for _, q_ids, q, x_ids, x, cuts in _pairs(batches):
         parts = _parts(q, x)
         out = []
         for i, query in enumerate(q_ids.tolist()):
@@ -116,7 +119,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for row in batch.to_pylist():
             q_ids, q = _unpack(row["q_ids"], row["q_data"], row["q_dim"])
             x_ids, x = _unpack(row["ids"], row["data"], row["dim"])
-            yield q_ids, q, x_ids, x, np.frombuffer(row["q_cuts"]).reshape(len(q_ids), -1)
+            yield row["block"], q_ids, q, x_ids, x, np.frombuffer(row["q_cuts"]).reshape(len(q_ids), -1)
 
 
 def _table(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
@@ -136,11 +139,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     spread = max(2, vectors.sparkSession.sparkContext.defaultParallelism)
     blocks = written(_blocks(rows.repartition(spread), BLOCK), "blocks")
     queries = written(_usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    lists = _meet(_blocks(queries.coalesce(1 + spread // 4), QUERY_BLOCK), blocks).mapInArrow(lambda b: _local_lists(b, k), "query_id long, part int, vec_id long, score double, low double")
+    lists = _meet(_blocks(queries.coalesce(1 + spread // 4), QUERY_BLOCK), blocks).mapInArrow(lambda b: _local_lists(b, k), "query_id long, part int, row long, score double, low double")
     lists = written(lists, "lists")
     lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("least"))
-    over = lists.join(lows, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
-    nth = over.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "vec_id"))).where(F.col("n") == k).select("query_id", F.col("bound").alias("cut"))
+    over = lists.join(lows, ["query_id", "part"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
+    nth = over.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "row"))).where(F.col("n") == k).select("query_id", F.col("bound").alias("cut"))
     each = lows.groupBy("query_id").agg(*(F.min(F.when(F.col("part") == g, F.col("least"))).alias(f"low{g}") for g in range(PARTS)))
     cuts = each.join(nth, "query_id", "left").withColumn("cut", F.coalesce("cut", F.lit(float("-inf"))))
     armed = queries.join(cuts.withColumnRenamed("query_id", "vec_id"), "vec_id")

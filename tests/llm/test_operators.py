@@ -298,6 +298,21 @@ def test_top_k_equals_brute_force(spark):
     assert {tuple(r) for r in found.collect()} == expected
 
 
+def test_top_k_counts_each_repeated_row(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i % 300, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(i, rows[i][1]) for i in range(0, 300, 7)]
+    rows = [x for n, x in enumerate(rows) if x[0] % 50 or n < 300]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    whole = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows]
+    expected = []
+    for q, x in whole:
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for i, y in whole if i != q)[:5]
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_licences():
     classifier = licences.Classifier(licences.examples() + [(f"plain words about house number {i} and river", "unknown") for i in range(200)])
     assert classifier.held_out > 0.95
