@@ -3,7 +3,10 @@
 Base rules: at least 50 words, and at most half of the words in repeated three-word windows. The method then encodes the
 words with a public vocabulary that falls back to bytes, and measures characters per token, the share of byte-fallback tokens
 and the entropy of the tokens (of log2 of their number). Text in its language needs few tokens a word and no bytes; noise,
-encoded data and stuck generators fall outside the band of their script.
+encoded data and stuck generators fall outside the band of their script. Inside these wide bands, the quartiles over all
+documents of a language (where there is a column lang), script and length give fences for characters per token and entropy,
+FENCE times the spread beyond the quartiles: symbols glued to words or put between them fall outside. Copies count once
+there. Lengths between those with LEAST_DOCS documents have fences in between; shorter and longer ones have the bands alone.
 
 Null counts as an empty text: no words, rejected by the base rule. Repeated rows each give their row; extra columns are ignored.
 """
@@ -12,14 +15,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+import operator
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import by_batch
+from scriptorium.llm.common import by_batch, written
 from scriptorium.llm.words import MULT, mix, word_hashes
 
 SPACE, SYMBOLS = "\x20\t\n\x0b\x0c\r", "#*$%&|<>"
@@ -38,6 +42,10 @@ BANDS = {
     "Other": (0.2, 9.0, 0.98, 0.10, 1.0),
 }
 
+#: Fences lie so many spreads (distance of the quartiles, and at least this part of the higher one) beyond the quartiles.
+FENCE, LEAST_SPREAD, LEAST_DOCS = 2.0, 0.02, 30
+_FENCED = ("chars_per_token", "token_entropy")
+
 #: Ranges of code points by which a text's main script is told.
 _SCRIPTS = {
     "Greek": "Ͱ-Ͽ",
@@ -175,17 +183,59 @@ def _path(path: str | None) -> str:
     return path
 
 
-def measures(docs: DataFrame, path: str | None = None, bands: dict | None = None) -> DataFrame:
-    """The counts, the fertility measures and the verdict of every document. No shuffle."""
-    return by_batch(docs.select("doc_id", "text"), _MEASURES, _measured, _path(path), bands or BANDS)
+def _judged(docs: DataFrame, keep: list[str], path: str | None, bands: dict | None) -> DataFrame:
+    """The columns in keep, _group (the language) and _m (the measures, kept by the bands alone), as a table."""
+    group = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_group", T.StringType()), T.StructField("_m", T.StructType(_MEASURES.fields[1:]))])
+    used = docs.select(*dict.fromkeys((*keep, "text")), group.alias("_group"))
+    return written(by_batch(used, schema, _nested, _path(path), bands or BANDS), "measures")
+
+
+def _nested(columns: dict, path: str, bands: dict) -> dict:
+    found = _measured({"text": columns["text"]}, path, bands)
+    names = _MEASURES.names[1:]
+    return columns | {"_m": [dict(zip(names, row, strict=True)) for row in zip(*(found[n] for n in names), strict=True)]}
+
+
+def _size(tokens: str) -> Column:
+    return F.floor(2 * F.log2(F.greatest(F.col(tokens), F.lit(1)))).cast("int")
 
 
-def _flagged(columns: dict, path: str, bands: dict) -> dict:
-    return columns | {"kept": _measured({"doc_id": columns["doc_id"], "text": columns["text"]}, path, bands)["kept"]}
+def fences(judged: DataFrame) -> DataFrame:
+    """_group, script, size and the least and most of each of _FENCED. A few rows for each language and script."""
+    seen = judged.where("_m.kept").select("_group", "_m.script", _size("_m.n_tokens").alias("size"), "_m.n_tokens", *(F.col(f"_m.{n}") for n in _FENCED)).distinct()
+    each = seen.select("_group", "script", "size", F.explode(F.array(*(F.struct(F.lit(n).alias("measure"), F.round(n, 3).alias("value")) for n in _FENCED))).alias("x")).select("_group", "script", "size", "x.*")
+    quartiles = each.groupBy("_group", "script", "size", "measure").agg(F.count("*").alias("n"), F.percentile("value", [0.25, 0.75]).alias("q")).where(F.col("n") >= LEAST_DOCS).collect()
+    found: dict[tuple, dict] = {}
+    for x in sorted(quartiles, key=lambda x: x["size"]):
+        low, high = x.q
+        spread = FENCE * max(high - low, LEAST_SPREAD * high)
+        found.setdefault((x["_group"], x.script), {}).setdefault(x.measure, []).append((x["size"], low - spread, high + spread))
+    rows = []
+    for key, held in found.items():
+        sizes = sorted(x[0] for x in held[_FENCED[0]])
+        for size in range(sizes[0], sizes[-1] + 1):
+            rows.append((*key, size, *(float(np.interp(size, sizes, [x[k] for x in held[n]])) for n in _FENCED for k in (1, 2))))
+    return judged.sparkSession.createDataFrame(rows, "_group string, script string, size int, " + ", ".join(f"low{i} double, high{i} double" for i in range(len(_FENCED))))
+
+
+def _fenced(judged: DataFrame) -> DataFrame:
+    """judged with _kept, the verdict by bands and fences."""
+    known = fences(judged).select(F.struct("_group", "script", "size").alias("_key"), F.struct("*").alias("_fence"))
+    inside = [F.col(f"_m.{n}").between(F.col(f"_fence.low{i}"), F.col(f"_fence.high{i}")) for i, n in enumerate(_FENCED)]
+    key = F.struct("_group", F.col("_m.script").alias("script"), _size("_m.n_tokens").alias("size"))
+    verdict = F.col("_m.kept") & F.coalesce(functools.reduce(operator.and_, inside), F.lit(True))
+    return judged.withColumn("_key", key).join(F.broadcast(known), "_key", "left").withColumn("_kept", verdict)
+
+
+def measures(docs: DataFrame, path: str | None = None, bands: dict | None = None) -> DataFrame:
+    """The counts, the fertility measures and the verdict of every document. What is shuffled is the numbers alone."""
+    found = _fenced(_judged(docs, ["doc_id"], path, bands))
+    return found.select("doc_id", *(F.col("_kept").alias(n) if n == "kept" else F.col(f"_m.{n}") for n in _MEASURES.names[1:]))
 
 
 def accepted(docs: DataFrame, path: str | None = None, bands: dict | None = None) -> DataFrame:
-    """The rows of docs that the rules keep, judged in one pass over them, so that no join brings verdicts back."""
-    schema = T.StructType([*docs.drop("kept").schema.fields, T.StructField("kept", T.BooleanType())])
-    judged = by_batch(docs.drop("kept"), schema, _flagged, _path(path), bands or BANDS)
-    return judged.where("kept").drop("kept")
+    """The rows of docs that the rules keep. Texts are encoded once and stay with their measures, so that no join of documents
+    brings verdicts back."""
+    names = docs.drop("kept").columns
+    return _fenced(_judged(docs.drop("kept"), names, path, bands)).where("_kept").select(*names)

@@ -235,6 +235,19 @@ def test_fertility_rejects_encoded_data():
     assert quality.script("Привет, мир") == "Cyrillic" and quality.script("漢字 text 漢字漢字") == "Han"
 
 
+def test_planted_symbols_are_rejected_and_clean_texts_stay(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where((F.col("lang") == "en") & ~F.col("text").rlike(r"[#*$%&|<>]")).select("doc_id", "text", "lang")
+    signs = ["$$$", "&&&", "%%%", "###", "***"]
+    junk = [(-r.doc_id - 1, " ".join(w + signs[i % 5] for i, w in enumerate(r.text.split())), r.lang) for r in clean.where("doc_id % 20 = 3").collect()]
+    docs = clean.union(spark.createDataFrame(junk, clean.schema)).cache()
+    judged = [r for r in quality.measures(docs).collect() if not r.base_failed]
+    planted, plain = [r.kept for r in judged if r.doc_id < 0], [r.kept for r in judged if r.doc_id >= 0]
+    assert len(planted) > 20 and sum(planted) < 0.4 * len(planted)
+    assert sum(plain) > 0.97 * len(plain)
+    kept = {r.doc_id for r in quality.accepted(docs).collect()}
+    assert kept == {r.doc_id for r in judged if r.kept}
+
+
 def test_toxic_sentences_are_located():
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "house", "river", "stone", "green", "paper", "light"]
