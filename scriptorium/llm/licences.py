@@ -1,6 +1,9 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
-Texts are cut into paragraphs (lines; long ones at sentence ends). Sparse word n-grams of a paragraph go through a logistic
+Texts are cut into paragraphs at blank lines (also such as hold only a comment sign), and these into lines, long ones at
+sentence ends. A line that holds a whole template stands alone; the others are judged alone and joined in overlapping windows of at
+most WINDOW words, so that wrapped notices are found whole; of those that overlap, the one with the largest share of a template
+counts. Comment signs do not count as words. Sparse word n-grams of a paragraph go through a logistic
 regression with a class for each licence family and one for unknown text. It is trained on paragraphs made from TEMPLATES by a
 rule (names, years and versions filled in, openings and endings varied) against paragraphs of the input that hold no licence
 word, at most UNKNOWN of them, and against near misses. The temperature that calibrates its probabilities, and so the
@@ -22,7 +25,7 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.common import by_batch
 
-LEAST, CONTAINED, UNKNOWN, SLOTS = 0.6, 0.5, 2000, 1 << 16
+LEAST, CONTAINED, UNKNOWN, SLOTS, WINDOW = 0.6, 0.5, 2000, 1 << 16, 100
 
 #: Notices as they stand in public licence texts; {n} is a number, {y} a year, {w} a name.
 TEMPLATES = {
@@ -47,9 +50,25 @@ NEAR_MISSES = ("The driver must carry a valid license at all times.", "His drivi
 CLASSES = ("unknown", *TEMPLATES)
 _TERM = re.compile(r"licen[cs]|copyright|rights reserved|spdx|creative commons|public domain|\bcc[ -]?(?:by|0)|hereby granted|redistribut|free software|strictly prohibited|waived", re.I)
 _WORD = re.compile(r"[a-z]+|\d+")
+_LEADER = re.compile(r"^[^\S\n]*(?:dnl|rem)\b", re.M | re.I)
+
+
+def paragraphs(text: str | None) -> list[list[tuple[int, int]]]:
+    """The lines of each paragraph."""
+    out, last = [], None
+    for span in lines(text):
+        if not re.search(r"\w", _LEADER.sub("", text[slice(*span)])):
+            last = None
+        elif last is None or text.count("\n", last, span[0]) > 1:
+            out.append([span])
+            last = span[1]
+        else:
+            out[-1].append(span)
+            last = span[1]
+    return out
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int]]:
+def lines(text: str | None) -> list[tuple[int, int]]:
     """Spans of lines; of lines over 400 characters, their sentences."""
     spans = []
     for m in re.finditer(r"[^\n]+", text or ""):
@@ -128,6 +147,58 @@ class Classifier:
         return name, float(p[best]), share
 
 
+    def contained(self, text: str) -> bool:
+        own = grams(text)
+        return any(len(t & own) >= CONTAINED * len(t) for of in self.templates.values() for t in of if t)
+
+    def stated(self, text: str | None) -> list[tuple[int, int, str, float, float]]:
+        """Start, end, class, probability and share of all that states a licence: lines with a whole template, and the best of what is between."""
+        if not text:
+            return []
+        out = []
+        for spans in paragraphs(text):
+            if not _TERM.search(" ".join(" ".join(_words(text[a:b])) for a, b in spans)) and not any(_TERM.search(text, *x) for x in spans):
+                continue
+            run: list[tuple[int, int]] = []
+            for span in spans:
+                found = self.family(text[slice(*span)]) if _TERM.search(text, *span) else ("unknown",)
+                if found[0] == "unknown" or found[2] < 1:
+                    run.append(span)
+                else:
+                    out += [*self._joined(text, run), (*span, *found)]
+                    run = []
+            out += self._joined(text, run)
+        return out
+
+    def _joined(self, text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, str, float, float]]:
+        """The best windows of a run, none over another."""
+        said = [_LEADER.sub("", text[a:b]) for a, b in run]
+        sizes = [len(_WORD.findall(x.lower())) for x in said]
+        # a term may be wrapped too, so it is looked for across each line's end
+        near = [bool(_TERM.search(" ".join(" ".join(_words(x)) for x in said[i : i + 2]))) for i in range(len(said))]
+        found = []
+        for i in range(len(run)):
+            words, term = 0, False
+            for j in range(i, len(run)):
+                words += sizes[j]
+                if words > WINDOW and j > i:
+                    break
+                term = term or near[j]
+                joined = "\n".join(said[i : j + 1])
+                if term and self.contained(joined) and (told := self.family(joined))[0] != "unknown":
+                    found.append((i, j, told))
+        taken, out = set(), []
+        for i, j, told in sorted(found, key=lambda x: (-x[2][2], x[1] - x[0], -x[2][1], x[0])):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                out.append((run[i][0], run[j][1], *told))
+        return sorted(out)
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(r"[\w-]+", text)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -149,11 +220,8 @@ def licences(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(classifier or fit(docs))
 
     def work(columns: dict) -> dict:
-        out = []
-        for text in columns["text"]:
-            spans = [s for s in paragraphs(text) if _TERM.search(text, *s)] if text and _TERM.search(text) else []
-            found = [(s, shared.value.family(text[s[0] : s[1]])) for s in spans]
-            out.append([{"start": a, "end": b, "family": name, "p": p, "share": share} for (a, b), (name, p, share) in found if name != "unknown"])
+        names = ("start", "end", "family", "p", "share")
+        out = [[dict(zip(names, x, strict=True)) for x in shared.value.stated(text)] for text in columns["text"]]
         return columns | {"licences": out}
 
     return by_batch(docs.select("doc_id", "text"), _FOUND, work)

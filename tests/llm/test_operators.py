@@ -331,3 +331,20 @@ def test_licences():
     assert classifier.held_out > 0.95
     told = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "All rights reserved.": "Proprietary", "He lost his driving license in May.": "unknown", "the quick brown fox": "unknown"}
     assert {t: classifier.family(t)[0] for t in told} == told
+
+
+def test_wrapped_notices_are_found_whole():
+    classifier = licences.Classifier(licences.examples() + [(f"plain words about house number {i} and river", "unknown") for i in range(200)])
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+    apache = ["you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "http://www.apache.org/licenses/LICENSE-2.0"]
+    for family, said in (("GPL", gpl), ("BSD", bsd), ("Apache", apache)):
+        for leader in ("", "# ", " * ", "dnl "):
+            notice = "\n".join(leader + x for x in said)
+            text = f"{leader}Some tool of ours\n{leader.rstrip()}\n{notice}\n\nint main()"
+            found = classifier.stated(text)
+            assert [x[2] for x in found] == [family]
+            at = text.index(notice)
+            assert at <= found[0][0] < found[0][1] <= at + len(notice)
+    assert classifier.stated("one line\nReleased under the MIT License.\nanother")[0][:3] == (9, 40, "MIT")
+    assert classifier.stated("He lost his driving\nlicense in May.\nThe fox") == [] == classifier.stated(None)
