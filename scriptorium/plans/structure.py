@@ -120,7 +120,7 @@ def replay_pipeline(spark, sf):
 
 
 def json_brace_scan(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("noise "), F.to_json(F.struct(F.col("source").alias("a"), F.substring("text", 1, 40).alias("b"))), F.lit(" } tail")).alias("content"))
+    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("noise "), F.to_json(F.struct(F.col("source").alias("a"), F.col("text").alias("b"))), F.lit(" } tail")).alias("content"))
     return d.select("doc_id", responses.json_content(F.col("content")).alias("object"))
 
 
