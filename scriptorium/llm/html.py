@@ -6,8 +6,10 @@ tags (presentation). A branch whose content and presentation are the same on pag
 from each page. Copies of a page count once, so that a page is no template of its copies.
 
 Menus, adverts and the like also differ from page to page, which no entropy can see; so the roles that a page's markup states itself
-(tags such as nav and footer, class words such as ad and sidebar) have importance 0, and where a page marks its article or
-main part, only that part is read. In it, only nodes with a class or id are judged by entropy: the plain paragraphs of an
+(tags such as nav and footer, class words such as ad and sidebar) have importance 0. That does not hold for html, body,
+article and main, nor for classes of what an article or main lies in, nor for a form that holds paragraphs or headings; class names that
+speak of another part (has-sidebar, comments-open) state no role. Text outside an article or main is kept unless the tree
+finds it to be a template. In an article, only nodes with a class or id are judged by entropy: the plain paragraphs of an
 article are text, however often one is repeated.
 
 Blocks are the text between block tags, white space in them one space, joined by \\n in page order. Null and empty html give an
@@ -39,6 +41,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ASIDE = frozenset("head nav footer aside form button select dialog menu header input object embed canvas audio video map".split()) | RAW
 #: Words of a class or id that mark what is never main text.
 ROLES = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer header masthead topbar cookie cookies consent notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar pagination pager".split())
+#: Elements that no class gives a role; first and last words of class names that speak of another part.
+ALWAYS = frozenset("html body article main".split())
+OF_OTHERS = (frozenset("has no with without show hide".split()), frozenset("open closed enabled disabled on off".split()))
+#: What shows that a form wraps text.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: An end tag is implied when one of these starts inside one of those.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 
@@ -48,15 +55,34 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 
 
+def _role(name: str) -> bool:
+    words = [w for w in _SPLIT.split(name) if w]
+    return any(w in ROLES for w in words) and not (len(words) > 1 and (words[0] in OF_OTHERS[0] or words[-1] in OF_OTHERS[1]))
+
+
 class Node:
-    __slots__ = ("aside", "children", "classes", "main", "path", "tag")
+    __slots__ = ("children", "classes", "path", "stated", "tag", "up", "wraps")
 
     def __init__(self, tag: str, classes: str, up: Node | None):
-        self.tag, self.classes = tag, classes
+        self.tag, self.classes, self.up = tag, classes, up
         self.path = (up.path + "/" if up else "") + tag + ("." + classes if classes else "")
-        self.aside = bool(up and up.aside) or tag in ASIDE or any(w in ROLES for w in _SPLIT.split(classes))
-        self.main = bool(up and up.main) or tag in ("article", "main")
+        self.stated = tag not in ALWAYS and (tag in ASIDE or any(map(_role, classes.split())))
+        self.wraps = False
         self.children: list[str] = []
+        if tag in ("article", "main") or tag in _PROSE:
+            while up:
+                up.wraps = up.wraps or tag not in _PROSE or up.tag == "form" and not any(map(_role, up.classes.split()))
+                up = up.up
+
+    @property
+    def aside(self) -> bool:
+        """Known when the page is read: what a class calls aside is not, nor is a form, if it wraps an article."""
+        node: Node | None = self
+        while node:
+            if node.stated and not (node.wraps and (node.tag == "form" or node.tag not in ASIDE)):
+                return True
+            node = node.up
+        return False
 
 
 def parse(page: str | None) -> Iterator[tuple[Node, str | None]]:
@@ -107,7 +133,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, str]]:
     found: list[tuple[Node, str]] = []
     parts: list[str] = []
     owner: Node | None = None
-    for node, text in parse(page):
+    for node, text in list(parse(page)):
         if text is None:
             if owner and (said := " ".join("".join(parts).split())):
                 found.append((owner, said))
@@ -115,8 +141,6 @@ def blocks(page: str | None) -> tuple[list[tuple[str, str]], dict[str, str]]:
         elif not node.aside:
             owner = owner or node
             parts.append(text)
-    if any(n.main for n, _ in found):
-        found = [x for x in found if x[0].main]
     return [(n.path, said) for n, said in found], {n.path: " ".join(n.children) for n, _ in found}
 
 

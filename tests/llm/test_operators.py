@@ -285,6 +285,14 @@ def test_templates_of_a_host_are_removed(spark):
     assert found[11] == ""
 
 
+def test_roles_and_articles_drop_no_other_text():
+    told = lambda page: "\n".join(x for _, x in html.blocks(page)[0])
+    assert told("<body class='has-sidebar'><p>Text</p><div class=sidebar>Links</div></body>") == "Text"
+    assert told("<body><div class='page with-ads ad'><article class='post comments-open'><p>Text</p><div class=comments>No</div></article></div>") == "Text"
+    assert told("<body><form id=f><h1>Title</h1><p>Text</p><button>Go</button></form><form>Name <input></form></body>") == "Title\nText"
+    assert told("<body><p>Before</p><article>Card</article><p>After</p><nav>Menu</nav></body>") == "Before\nCard\nAfter"
+
+
 def test_url_rules(spark):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.B.Example.NET/en/x?y#z"), (4, "x://Net/en/"), (5, "http://example.net?en/"), (6, "http://u.org/fr/"), (7, "http://example.com/de/"), (8, "http://casino-win.example.com/en/7"), (9, "http://notnet/en")]
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
