@@ -305,6 +305,14 @@ def test_url_rules(spark):
     assert found[9][2] is None
 
 
+def test_paths_of_bare_hosts_are_scored(spark):
+    accepted = [f"{a}.{b}/{c}/0" for a in ("news", "shop", "docs", "forum") for b in ("garden", "river", "stone", "paper") for c in ("articles", "items", "pages")]
+    judge = urls.Judge(accepted, urls.seeded())
+    rows = [(1, "http://example.org/casino/viagra"), (2, "http://example.org/articles/7"), (3, "http://example.org/"), (4, None)]
+    found = {r.page_id: (r.verdict, r.ratio is None) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), judge=judge).collect()}
+    assert found == {1: ("block", False), 2: ("allow", False), 3: ("allow", True), 4: ("allow", True)}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=7).astype(np.float32).tolist()) for i in range(300)]
