@@ -11,8 +11,11 @@ Texts: null counts as empty; an empty text has no tokens. Repeated rows each giv
 from __future__ import annotations
 
 import base64
-import functools
+import bisect
+import os
+from array import array
 
+import ahocorasick
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -21,10 +24,10 @@ from pyspark.sql import types as T
 
 from scriptorium.llm.common import by_batch
 
-#: Entries of the caches of a worker; past it a cache starts anew.
-CACHE = 1_000_000
-#: Prefixes of up to so many bytes are shared by all pieces of a worker.
-SHARED = 24
+#: Bytes that each of the two caches of a worker may hold, about; past it that cache starts anew.
+CACHE = 40 << 20
+#: What an entry of a cache takes beside the bytes of its key and value.
+ENTRY = 160
 
 
 class Vocabulary:
@@ -35,15 +38,14 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
-        lengths: dict[bytes, set[int]] = {}
-        for piece in ranks:
-            lengths.setdefault(piece[-2:], set()).add(len(piece))
-        #: By the last two bytes: how long tokens with that end are, the longest first.
-        self.lengths = {end: sorted(found, reverse=True) for end, found in lengths.items()}
-        self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[int, int], bool] = {}
-        #: Last tokens of prefixes seen before.
-        self.known: dict[bytes, int] = {}
+        self.sizes = [len(piece) for piece in self.bytes_of]
+        self.longest = max(self.sizes)
+        #: Finds the tokens that end at each byte, the longest first; bytes stand as the characters of their numbers.
+        self.ends = ahocorasick.Automaton()
+        for piece, rank in ranks.items():
+            self.ends.add_word(piece.decode("latin-1"), rank)
+        self.ends.make_automaton()
+        self._pairs: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
 
@@ -74,9 +76,9 @@ class Vocabulary:
 
         Undoes the merges of both sides from the last to the first. If the tokens that then meet could merge
         at a lower rank than the merge undone last, they would have done so before it."""
-        key = (left, right)
+        key = left * len(self.bytes_of) + right
         if (found := self._pairs.get(key)) is None:
-            if len(self._pairs) >= CACHE:
+            if len(self._pairs) * ENTRY >= CACHE:
                 self._pairs.clear()
             found = self._pairs[key] = self._apart(left, right)
         return found
@@ -101,60 +103,63 @@ class Vocabulary:
 
 
 class PrefixTable:
-    """The last token of each prefix of one piece; bytes can be added, and changed anywhere."""
+    """The last token of each prefix of one piece, four bytes each; bytes can be added, and changed anywhere.
+
+    filled: how many entries the last change has worked out."""
 
     def __init__(self, vocabulary: Vocabulary, piece: bytes = b""):
-        self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
+        self.vocabulary, self.piece, self.last = vocabulary, b"", array("i", (-1,))
         self.append(piece)
 
     def append(self, more: bytes) -> PrefixTable:
         at, self.piece = len(self.piece), self.piece + more
-        data, last, v = self.piece, self.last, self.vocabulary
-        known = v.known
-        for end in range(at + 1, len(data) + 1):
-            if end > SHARED:
-                last.append(self._last(data, end))
-            elif (token := known.get(prefix := data[:end])) is not None:
-                last.append(token)
-            else:
-                last.append(self._last(data, end))
-                if len(known) >= CACHE:
-                    known.clear()
-                known[prefix] = last[end]
+        self._fill(at)
+        return self
+
+    def edit(self, start: int, end: int, new: bytes) -> PrefixTable:
+        """Bytes start to end become new. Entries before start stay as they are. An entry depends on as many bytes and entries
+        before it as the longest token has: once that many past the edit are as before, so are all that follow."""
+        old, shift = self.last, len(new) - (end - start)
+        self.piece = self.piece[:start] + new + self.piece[end:]
+        self.last = old[: start + 1]
+        if (reached := self._fill(start, start + len(new), old, shift)) < len(self.piece):
+            self.last.extend(old[reached - shift + 1 :])
         return self
 
-    def _last(self, data: bytes, end: int) -> int:
+    def _fill(self, at: int, past: int = 0, old: array | None = None, shift: int = 0) -> int:
+        """Entries of the prefixes longer than at, up to the end or to where old, moved by shift, goes on alike; how far."""
         v, last = self.vocabulary, self.last
-        ranks, pairs = v.ranks, v._pairs
-        for n in v.lengths.get(data[end - 2 : end], ()) if end > 1 else ():
-            if n > end:
-                continue
-            token = ranks.get(data[end - n : end])
-            if token is None:
-                continue
-            if n == end:
-                if v.stands(token):
-                    return token
+        sizes, pairs, many, longest = v.sizes, v._pairs, len(v.bytes_of), v.longest
+        start, done, same = max(0, at - longest), at, 0
+        for place, token in v.ends.iter(self.piece[start:].decode("latin-1")):
+            end = start + place + 1
+            if end <= done:
                 continue
-            fits = pairs.get((before := last[end - n], token))
-            if v.fits(before, token) if fits is None else fits:
-                return token
-        return ranks[data[end - 1 : end]]
-
-    def edit(self, start: int, end: int, new: bytes) -> PrefixTable:
-        """Bytes start to end become new; entries before start stay as they are."""
-        rest = self.piece[end:]
-        self.piece = self.piece[:start]
-        del self.last[start + 1 :]
-        return self.append(new + rest)
+            if (n := sizes[token]) == end:
+                if not v.stands(token):
+                    continue
+            elif n > 1:  # a byte alone ends what no longer token does
+                before = last[end - n]
+                if (fits := pairs.get(before * many + token)) is None:
+                    fits = v.fits(before, token)
+                if not fits:
+                    continue
+            last.append(token)
+            done = end
+            if old is not None:
+                same = same + 1 if end > past and min(end, end - shift) > longest and old[end - shift] == token else 0
+                if same > longest:
+                    break
+        self.filled = done - at
+        return done
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.piece)
+        last, sizes, out, end = self.last, self.vocabulary.sizes, [], len(self.piece)
         if end and (whole := self.vocabulary.ranks.get(self.piece)) is not None:
             return [whole]  # a piece that is itself in the vocabulary is one token
         while end:
-            out.append(self.last[end])
-            end -= len(self.vocabulary.bytes_of[out[-1]])
+            out.append(token := last[end])
+            end -= sizes[token]
         return out[::-1]
 
 
@@ -164,16 +169,19 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self._packed: dict[str, bytes] = {}
+        self._held = 0
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         cache, out = self._packed, []
-        if len(cache) > CACHE:
-            cache.clear()
-        for piece in self.pattern.findall(text):
+        for piece in self.pattern.findall(text) if len(text) < 1 << 20 else (m[0] for m in self.pattern.finditer(text)):
             if (ids := cache.get(piece)) is None:
                 ids = np.array(self.piece(piece.encode()), "<u4").tobytes()
                 if len(piece) <= 64:
+                    self._held += ENTRY + 2 * len(piece) + len(ids)
+                    if self._held > CACHE:
+                        cache.clear()
+                        self._held = 0
                     cache[piece] = ids
             out.append(ids)
         return b"".join(out)
@@ -196,7 +204,7 @@ class EncodedText:
     def __init__(self, encoder: Encoder, text: str = ""):
         self.encoder, self.text = encoder, ""
         self.starts: list[int] = []
-        self.ids: list[list[int]] = []
+        self.tables: list[PrefixTable] = []
         self.edit(0, 0, text)
 
     def append(self, more: str) -> EncodedText:
@@ -204,35 +212,49 @@ class EncodedText:
 
     def edit(self, start: int, end: int, new: str) -> EncodedText:
         """Characters start to end become new. Pieces are cut again from two before the edit (the pattern looks one
-        character ahead) until a cut falls, past the edit, where there was one before."""
-        import bisect
-
+        character ahead) until a cut falls, past the edit, where there was one before. A piece that starts where one did
+        takes over its table and changes it only between the bytes that both have at their ends."""
         first = max(0, bisect.bisect_right(self.starts, start) - 3)
         at = self.starts[first] if self.starts else 0
         shift = len(new) - (end - start)
         old = {s + shift: i for i, s in enumerate(self.starts) if s > end}
+        there = {s: i for i, s in enumerate(self.starts) if s <= start}
         self.text = self.text[:start] + new + self.text[end:]
-        starts, ids, tail = [], [], len(self.starts)
+        starts, tables, tail = [], [], len(self.starts)
         for m in self.encoder.pattern.finditer(self.text, at):
             if m.start() > start + len(new) and m.start() in old:
                 tail = old[m.start()]
                 break
             starts.append(m.start())
-            ids.append(self.encoder.piece(m[0].encode()))
+            tables.append(self._table(m[0].encode(), there.get(m.start())))
         else:
             tail = len(self.starts)
-        self.ids[first:] = ids + self.ids[tail:]
+        self.tables[first:] = tables + self.tables[tail:]
         self.starts[first:] = starts + [s + shift for s in self.starts[tail:]]
         return self
 
+    def _table(self, piece: bytes, like: int | None) -> PrefixTable:
+        if like is None:
+            return PrefixTable(self.encoder.vocabulary, piece)
+        table = self.tables[like]
+        before = table.piece
+        head = len(os.path.commonprefix([piece, before]))
+        rear = len(os.path.commonprefix([piece[head:][::-1], before[head:][::-1]]))
+        return table.edit(head, len(before) - rear, piece[head : len(piece) - rear])
+
     def tokens(self) -> list[int]:
-        return [x for piece in self.ids for x in piece]
+        return [x for table in self.tables for x in table.tokens()]
+
+
+#: One for each vocabulary that this worker process has met.
+_encoders: dict[tuple[str, str], Encoder] = {}
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process; the file is part of an installed package, found at the same place everywhere."""
-    return Encoder(Vocabulary.load(path), pattern)
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(Vocabulary.load(path), pattern)
+    return _encoders[path, pattern]
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -241,6 +263,11 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _release() -> None:
+    """At the end of a partition: the worker goes on to other work, and a vocabulary is loaded in a tenth of a second."""
+    _encoders.clear()
+
+
 def _encoded(columns: dict, path: str, pattern: str) -> dict:
     own = encoder(path, pattern)
     packed = [own.packed(t or "") for t in columns["text"]]
@@ -250,10 +277,10 @@ def _encoded(columns: dict, path: str, pattern: str) -> dict:
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers) and decoded (the bytes that the ids stand for) of whole texts.
 
-    No shuffle; a worker holds one batch of a few MB and caches of bounded size."""
+    No shuffle; a worker holds one batch of a few MB, and caches of CACHE bytes each until the end of a partition."""
     default = public_vocabulary()
     out = T.StructType([docs.select("doc_id").schema[0], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return by_batch(docs.select("doc_id", "text"), out, _encoded, path or default[0], pattern or default[1])
+    return by_batch(docs.select("doc_id", "text"), out, _encoded, path or default[0], pattern or default[1], done=_release)
 
 
 def encoding_digests(docs: DataFrame) -> DataFrame:

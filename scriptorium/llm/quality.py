@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import by_batch, written
+from scriptorium.llm.common import by_batch, handed_on, numbered, scratch, written
 from scriptorium.llm.words import MULT, mix, word_hashes
 
 SPACE, SYMBOLS = "\x20\t\n\x0b\x0c\r", "#*$%&|<>"
@@ -91,7 +91,7 @@ def repeated_words(hashed: np.ndarray) -> int:
 class Fertility:
     """Token ids of words by a sentencepiece model, kept for later texts: word i has the ids from starts[i] on."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 150_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -102,6 +102,7 @@ class Fertility:
         self._clear()
 
     def _clear(self) -> None:
+        """Forgets all words."""
         self.index: dict[int, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -147,9 +148,19 @@ class Fertility:
         return total, float(by_byte / total), max(0.0, entropy)
 
 
-@functools.lru_cache(maxsize=2)
+#: One for each model that this worker process has met.
+_models: dict[str, Fertility] = {}
+
+
 def fertility(path: str) -> Fertility:
-    return Fertility(path)
+    if path not in _models:
+        _models[path] = Fertility(path)
+    return _models[path]
+
+
+def _release() -> None:
+    """At the end of a partition: the worker goes on to other work."""
+    _models.clear()
 
 
 def _measured(columns: dict, path: str, bands: dict) -> dict:
@@ -183,16 +194,17 @@ def _path(path: str | None) -> str:
     return path
 
 
-def _judged(docs: DataFrame, keep: list[str], path: str | None, bands: dict | None) -> DataFrame:
-    """The columns in keep, _group (the language) and _m (the measures, kept by the bands alone), as a table."""
-    group = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_group", T.StringType()), T.StructField("_m", T.StructType(_MEASURES.fields[1:]))])
-    used = docs.select(*dict.fromkeys((*keep, "text")), group.alias("_group"))
-    return written(by_batch(used, schema, _nested, _path(path), bands or BANDS), "measures")
+def _judged(rows: DataFrame, text: str, lang: str | None, path: str | None, bands: dict | None) -> DataFrame:
+    """rows (columns whose names do not start with _) with _group (the language) and _m (the measures, kept by the bands alone),
+    as a table."""
+    group = F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang else F.lit("")
+    schema = T.StructType([*rows.schema.fields, T.StructField("_group", T.StringType()), T.StructField("_m", T.StructType(_MEASURES.fields[1:]))])
+    carry = tuple(c for c in (*rows.columns, "_group") if c != text)
+    return written(by_batch(rows.withColumn("_group", group), schema, _nested, text, _path(path), bands or BANDS, carry=carry, done=_release), "measures")
 
 
-def _nested(columns: dict, path: str, bands: dict) -> dict:
-    found = _measured({"text": columns["text"]}, path, bands)
+def _nested(columns: dict, text: str, path: str, bands: dict) -> dict:
+    found = _measured({"text": columns[text]}, path, bands)
     names = _MEASURES.names[1:]
     return columns | {"_m": [dict(zip(names, row, strict=True)) for row in zip(*(found[n] for n in names), strict=True)]}
 
@@ -230,12 +242,17 @@ def _fenced(judged: DataFrame) -> DataFrame:
 
 def measures(docs: DataFrame, path: str | None = None, bands: dict | None = None) -> DataFrame:
     """The counts, the fertility measures and the verdict of every document. What is shuffled is the numbers alone."""
-    found = _fenced(_judged(docs, ["doc_id"], path, bands))
-    return found.select("doc_id", *(F.col("_kept").alias(n) if n == "kept" else F.col(f"_m.{n}") for n in _MEASURES.names[1:]))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", lang.alias("lang"))
+    with scratch():
+        judged = _judged(rows, "text", "lang", path, bands)
+        found = _fenced(judged)
+        return handed_on(found.select("doc_id", *(F.col("_kept").alias(n) if n == "kept" else F.col(f"_m.{n}") for n in _MEASURES.names[1:])), "quality")
 
 
 def accepted(docs: DataFrame, path: str | None = None, bands: dict | None = None) -> DataFrame:
-    """The rows of docs that the rules keep. Texts are encoded once and stay with their measures, so that no join of documents
-    brings verdicts back."""
-    names = docs.drop("kept").columns
-    return _fenced(_judged(docs.drop("kept"), names, path, bands)).where("_kept").select(*names)
+    """The rows of docs that the rules keep, with all their columns. Texts are encoded once and stay with their measures, so that
+    no join of documents brings verdicts back."""
+    rows, named = numbered(docs)
+    kept = _fenced(_judged(rows, named["text"], named.get("lang"), path, bands)).where("_kept")
+    return kept.select(*rows.columns).toDF(*docs.columns)
