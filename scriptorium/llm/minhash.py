@@ -5,9 +5,10 @@
 2. SuperMinHash gives the set a signature; its bands are bucket keys. Batches sign their sets together.
 3. Each bucket has a hub, its member of lowest rank. Every member is compared with the lowest hub among its buckets, then, in
    rounds with other ranks, with the hub of each of its buckets that is in another component. Verified links are joined
-   by union-find after each round. In the end only members of different components are left to compare. Of these, a pair is
-   verified if it meets in the prefixes of its sets (_prefix_pairs), which every linked pair does, so that no link between
-   members of a bucket is lost. Groups of copies are one component by then.
+   by union-find after each round. In the end only members of different components are left to compare. Members that hang
+   together by buckets are a cluster, and each is reduced to how it differs from what most of its cluster holds. A pair is
+   verified if it meets in the prefixes of these differences (_prefix_pairs), which every linked pair does, so that no link
+   between members of a bucket is lost. Near copies of one text share nearly all of it but little of their differences.
 
 Defined results: a null or empty text has an empty set and is alone; fewer than five words are one shingle; repeated rows
 (same doc_id) each give a row; rows without doc_id are alone, with a null component. Extra columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import by_batch, forget, written
+from scriptorium.llm.common import by_batch, forget, handed_on, scratch, written
 from scriptorium.llm.words import MULT as _MULT
 from scriptorium.llm.words import mix as _mix
 from scriptorium.llm.words import word_hashes
@@ -147,7 +148,7 @@ def features(docs: DataFrame, percent: int = 85) -> DataFrame:
 def _unpacked(columns: dict) -> dict:
     keys = [np.frombuffer(b, np.int64) for b in columns["bands"]]
     repeat = [len(k) for k in keys]
-    return {"node": np.repeat(np.array(columns["node"], np.int64), repeat).tolist(), "n": np.repeat(np.array(columns["n"], np.int64), repeat).tolist(), "bucket": np.concatenate(keys).tolist() if keys else []}
+    return {c: np.repeat(np.array(columns[c], np.int64), repeat) for c in ("node", "n")} | {"bucket": np.concatenate(keys) if keys else []}
 
 
 def _verified(columns: dict, percent: int) -> dict:
@@ -223,20 +224,19 @@ def components(links: DataFrame, per_task: int = 500_000) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union."""
-    found = written(features(docs, percent), "features")
-    if _repeated(found):
-        return _with_repeats(docs, percent, hub_rounds)
-    classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = written(classes, "classes")
-    members = _bucketed(classes)
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-    texts = written(texts.join(written(members.select("node").distinct(), "nodes"), "node", "left_semi"), "texts")
-    labels = components(_links(members, texts, percent, hub_rounds))
-    forget(members)
-    forget(texts)
-    out = found.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    with scratch():
+        found = written(features(docs, percent), "features")
+        if _repeated(found):
+            return handed_on(_with_repeats(docs, percent, hub_rounds), "groups")
+        classes = found.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+        classes = written(classes, "classes")
+        members = _bucketed(classes)
+        texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
+        texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+        labels = components(_links(members, texts, percent, hub_rounds))
+        out = found.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
+        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
+        return handed_on(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
 
 
 def _repeated(rows: DataFrame) -> bool:
@@ -268,8 +268,9 @@ def _links(members: DataFrame, texts: DataFrame, percent: int, hub_rounds: int)
                 met = met.groupBy("node").agg(F.min(F.struct("hub.rank", "hub.node")).alias("hub"))
             pairs = met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
-            rest = here.join(mixed.select("bucket"), "bucket").select("node", "n", "component").distinct()
-            pairs = _prefix_pairs(written(rest, "rest"), texts, percent)
+            met = here.join(mixed.select("bucket", F.col("hub.node").alias("hub")), "bucket")
+            rest = written(met.select("node", "n", "component", "hub").distinct(), "rest")
+            pairs = _prefix_pairs(rest, texts, percent)
         checked = written(_checked(written(pairs.distinct(), "pairs"), texts, percent), "links")
         links = checked if links is None else written(links.union(checked), "links")
         forget(labels)
@@ -284,35 +285,67 @@ def _near(n: Column, m: Column, percent: int) -> Column:
 
 
 def _tokens(columns: dict) -> dict:
-    sets = [shingles(text).view(np.int64) for text in columns["text"]]
-    repeat = [len(x) for x in sets]
-    return {c: np.repeat(np.array(columns[c], np.int64), repeat).tolist() for c in ("node", "n", "component")} | {"token": np.concatenate(sets).tolist() if sets else []}
+    """A row for each shingle in which a set differs from what most of its cluster holds (major, sorted; null: nothing)."""
+    found = []
+    for text, major in zip(columns["text"], columns["major"], strict=True):
+        own = shingles(text).view(np.int64)
+        found.append(own if major is None else np.setxor1d(own, np.array(major, np.int64)))
+    repeat = [len(x) for x in found]
+    return {c: np.repeat(np.array(columns[c], np.int64), repeat) for c in ("cluster", "node")} | {"d": np.repeat(np.array(repeat, np.int64), repeat), "token": np.concatenate(found) if found else []}
+
+
+#: A cluster's common shingles are dealt out to its members by so many at a time.
+DEALT = 2048
 
 
 def _prefix_pairs(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among rest (node, n, component), with all pairs at the threshold among them.
-
-    All sets are put in one order, rare shingles first. Two sets of n and m shingles at the threshold have at least
-    least = percent * (n + m) / (100 + percent) in common, so the first common one is among the first n - least + 1 of one
-    and the first m - least + 1 of the other. Near copies that differ in shingles of their own start with these and so do
-    not meet, however many they are. A shingle of one set alone only takes up places; a set with too many of those is done.
-    Shingles held by the same sets (by a 64-bit hash of them) stand together, and only the first of them is met, as the first common one is such a one."""
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("node", "n", "component", "token")])
-    each = written(by_batch(rest.join(texts, "node").select("node", "n", "component", "text"), schema, _tokens), "tokens")
-    counts = written(each.groupBy("token").agg(F.count("*").alias("held"), F.min("node").alias("node"), F.bit_xor(F.xxhash64("node")).alias("holders")), "counts")
+    """Pairs (a, b) of different components among rest (node, n, component, hub: a member of a shared bucket), enough to join
+    all pairs at the threshold among them.
+
+    Two sets of n and m shingles are at the threshold if they differ in at most (100 - percent) / (100 + percent) * (n + m)
+    shingles. How they differ can be told from how each differs from one and the same third set, whatever that is: here the
+    shingles that more than half of their cluster hold. With d and e such differences of which s are common, they differ in
+    d + e - 2 s. So slack = (100 - percent) * n - (100 + percent) * d says two things. Pairs whose slacks sum to 0 or more are
+    linked for certain; one pair of each such member with the member of most slack joins them all. All other linked pairs share
+    at least least = -(sum of slacks) / 2 / (100 + percent) differences. These are put in one order, rare ones first, so the
+    first common one is among the first d - least + 1 of one and the first e - least + 1 of the other. Near copies that differ
+    in shingles of their own start with these and so do not meet, however many they are. A difference of one set alone only
+    takes up places. Differences held by the same sets (by a 64-bit hash of them) stand together, and only the first of them is
+    met, as the first common one is such a one."""
+    more, total = 100 - percent, 100 + percent
+    by_hub = written(components(rest.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).where("a < b")), "clusters")
+    by_hub = by_hub.select("node", F.col("component").alias("cluster"))
+    sizes = by_hub.groupBy("cluster").agg(F.count("*").alias("size"))
+    part = F.pmod(F.xxhash64("node"), F.floor(F.col("size") / DEALT) + 1).alias("part")
+    members = rest.select("node", "n", "component").distinct().join(by_hub.join(sizes, "cluster").select("node", "cluster", part), "node")
+    members = written(members.join(texts, "node"), "clustered")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("cluster", "node", "d", "token")])
+    each = by_batch(members.select("cluster", "node", "text", F.lit(None).cast("array<long>").alias("major")), schema, _tokens)
+    held = each.groupBy("cluster", "token").agg(F.count("*").alias("held")).join(sizes.where("size > 2"), "cluster").where("2 * held > size")
+    major = held.groupBy("cluster", "size").agg(F.collect_list("token").alias("major"))
+    major = written(major.select("cluster", "major", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("size") / DEALT))).alias("part")), "major")
+    each = written(by_batch(members.join(major, ["cluster", "part"], "left").select("cluster", "node", "text", "major"), schema, _tokens), "tokens")
+    few = each.select("node", "d").distinct()
+    slack = members.drop("text", "part").join(few, "node", "left").withColumn("slack", more * F.col("n") - total * F.coalesce("d", F.lit(0)))
+    top = slack.groupBy("cluster").agg(F.max(F.struct("slack", F.col("node").alias("center"))).alias("top")).select("cluster", F.col("top.slack").alias("most"), "top.center")
+    slack = written(slack.join(top, "cluster").withColumn("central", F.col("slack") + F.col("most") >= 0), "slacks")
+    star = slack.where("central AND node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+    counts = written(each.groupBy("cluster", "token").agg(F.count("*").alias("held"), F.min("node").alias("node"), F.bit_xor(F.xxhash64("node")).alias("holders")), "counts")
     alone = counts.where("held = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    still = rest.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"), "n")
-    still = written(still.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent).select("node", "alone"), "still")
-    common = each.join(still, "node").join(counts.where("held > 1").select("token", "held", "holders"), "token")
+    least = lambda s: F.greatest(F.ceil(-s / (2 * total) - 1e-9), F.lit(1))
+    still = slack.join(alone, "node", "left").select("node", "n", "component", "slack", "central", F.coalesce("alone", F.lit(0)).alias("alone"), (F.col("d") - least(F.col("slack") + F.col("most")) + 1).alias("places"))
+    still = written(still.where("alone < places"), "still")
+    common = each.join(still, "node").join(counts.where("held > 1").select("cluster", "token", "held", "holders"), ["cluster", "token"])
     order = Window.partitionBy("node").orderBy("held", "holders", "token")
     place, before = F.col("alone") + F.row_number().over(order), F.lag("holders").over(order)
-    prefix = common.select("node", "n", "component", "token", place.alias("place"), F.coalesce(before != F.col("holders"), F.lit(True)).alias("first"))
-    prefix = written(prefix.where(F.col("first") & ((F.col("n") - F.col("place") + 1) * 100 >= F.col("n") * percent)).drop("first"), "prefix")
-    other = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"), F.col("place").alias("at"))
-    least = F.ceil(percent * (F.col("n") + F.col("m")) / (100 + percent) - 1e-9)
-    meet = (F.col("place") <= F.col("n") - least + 1) & (F.col("at") <= F.col("m") - least + 1)
-    met = prefix.join(other, "token").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("c")) & _near(F.col("n"), F.col("m"), percent) & meet)
-    return met.select(F.col("node").alias("a"), "b")
+    prefix = common.select("cluster", "node", "n", "component", "slack", "central", "d", "token", "places", place.alias("place"), F.coalesce(before != F.col("holders"), F.lit(True)).alias("first"))
+    prefix = written(prefix.where("first AND place <= places").drop("first", "places"), "prefix")
+    other = prefix.select("cluster", "token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "component", "slack", "central", "d", "place")))
+    share = least(F.col("slack") + F.col("slack_b"))
+    meet = (F.col("place") <= F.col("d") - share + 1) & (F.col("place_b") <= F.col("d_b") - share + 1) & (F.col("slack") + F.col("slack_b") < 0)
+    apart = (F.col("node") < F.col("node_b")) & (F.col("component") != F.col("component_b")) & ~(F.col("central") & F.col("central_b"))
+    met = prefix.join(other, ["cluster", "token"]).where(apart & _near(F.col("n"), F.col("n_b"), percent) & meet)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).union(star)
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -340,7 +373,7 @@ def _with_repeats(docs: DataFrame, percent: int, hub_rounds: int) -> DataFrame:
 def representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: one document of each group. Of the rows of one doc_id one stays, the least by its text;
     rows without doc_id all stay."""
-    groups = written(near_duplicates(docs, percent).select("doc_id", "kept"), "groups")
+    groups = near_duplicates(docs, percent).select("doc_id", "kept")
     if _repeated(groups):
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
         one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*")
