@@ -5,10 +5,10 @@ The score of a vector is the sum over PARTS groups of its components, and each g
    the unknown ones, bound its score from below; the k-th highest bound is a safe cutoff. Rows are told apart by block and
    place, not by vec_id, so that rows with one id do not lend each other their parts.
 2. With scores counted from the least ones, a vector at or above the cutoff has at least an equal share of it in some list:
-   these entries are collected.
-3. Their other parts are looked up, and the exact sums at or above the cutoff compete for the top k.
-Rows are packed in blocks, and the stated queries meet all rows block by block: a matrix product each. A block keeps its k
-best, so what is shuffled is k rows for each query and block.
+   the cutoff is sent to all, and these entries are collected.
+3. The parts of the collected entries that are not known yet are looked up, and the exact sums compete for the top k.
+Rows are packed in blocks and stay where they are. The stated queries go to them in chunks of at most CHUNK bytes, one pass over
+the blocks each; a task keeps k rows a query, so what is shuffled is k rows for each query and task.
 
 Components become floor(256 * x). Null vectors, and such that hold null, NaN or infinite components, take no part, nor do
 rows without vec_id. Missing components of shorter vectors count as 0. A repeated query row counts once (the least vector);
@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import handed_on, scratch, written
 
 PARTS, BLOCK, QUERY_BLOCK = 2, 4096, 512
+#: Bytes of queries that are sent to the tasks at once.
+CHUNK = 16 << 20
 
 _PACKED = "block long, ids binary, data binary, dim int, cuts binary"
 
@@ -68,58 +70,91 @@ def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)
 
 
-def _parts(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-    """Scores of all queries against all rows, by group of components. Doubles hold them exactly up to 2 ** 53."""
-    dim = max(q.shape[1], x.shape[1])
-    q, x = (np.pad(m, ((0, 0), (0, dim - m.shape[1]))) for m in (q, x))
-    if dim * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= 2.0**53:
-        q, x = (np.array([[int(c) for c in row] for row in m], object) for m in (q, x))
-    edges = np.linspace(0, dim, PARTS + 1).astype(int)
-    return [q[:, a:b] @ x[:, a:b].T for a, b in zip(edges, edges[1:], strict=False)]
+def _group(m: np.ndarray, g: int, dim: int) -> np.ndarray:
+    """The components of group g of vectors with dim components; those that are missing count as 0."""
+    a, b = dim * g // PARTS, dim * (g + 1) // PARTS
+    own = m[:, a:b]
+    return np.pad(own, ((0, 0), (0, b - a - own.shape[1])))
+
+
+def _part(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Local scores of all queries against all rows. Doubles hold them exactly up to 2 ** 53, integers beyond."""
+    if q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= 2.0**52:
+        q, x = (np.array([[int(c) for c in row] for row in m], object).reshape(m.shape) for m in (q, x))
+    return q @ x.T
 
 
 def _highest(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
     """Places of the k highest, ties to the smaller id."""
-    if len(scores) > k:
+    if k and len(scores) > k:
         near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
     else:
         near = np.arange(len(scores))
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _local_lists(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for block, q_ids, q, x_ids, x, _ in _pairs(batches):
-        out = []
-        for g, scores in enumerate(_parts(q, x)):
+class _Best:
+    """The k best rows of each query over the blocks of a task, ties to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        if query in self.held:
+            scores, ids, rows = (np.concatenate(x) for x in zip(self.held[query], (scores, ids, rows), strict=True))
+        at = _highest(scores, self.k, ids)
+        self.held[query] = scores[at], ids[at], rows[at]
+
+
+def _local_lists(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Phase 1: the k highest entries of each list for each query, and its least score."""
+    best, lows = [_Best(k) for _ in range(PARTS)], [{} for _ in range(PARTS)]
+    for block, x_ids, x in _read(batches):
+        for q_ids, q, _ in queries:
+            for g in range(PARTS):
+                scores = _part(_group(q, g, dim), _group(x, g, dim))
+                for i, query in enumerate(q_ids.tolist()):
+                    lows[g][query] = min(lows[g].get(query, np.inf), float(scores[i].min()))
+                    near = _highest(scores[i], k + np.count_nonzero(x_ids == query), x_ids)
+                    near = near[x_ids[near] != query][:k]
+                    best[g].add(query, scores[i, near], x_ids[near], block * BLOCK + near)
+    for g in range(PARTS):
+        for query, (scores, _, rows) in best[g].held.items():
+            low = lows[g][query]
+            yield _table([(query, g, int(r), float(s), low) for s, r in zip(scores, rows, strict=True)] or [(query, g, None, None, low)], [("query_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
+
+
+def _resolved(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int) -> Iterator[pa.RecordBatch]:
+    """Phases 2 and 3: from each list the entries with their share of the cutoff; then their scores in the other lists."""
+    best = _Best(k)
+    for block, x_ids, x in _read(batches):
+        for q_ids, q, cuts in queries:
+            collected = []
+            for g in range(PARTS):
+                scores = _part(_group(q, g, dim), _group(x, g, dim))
+                collected.append((enough := scores.astype(float) - cuts[:, 1 + g, None] >= cuts[:, :1] / PARTS, scores[enough]))
+            ends = [np.cumsum(enough.sum(axis=1)) for enough, _ in collected]
             for i, query in enumerate(q_ids.tolist()):
-                own = scores[i]
-                low = float(own.min())
-                out += [(query, g, block * BLOCK + j, float(own[j]), low) for j in _highest(own, k + 1, x_ids).tolist() if x_ids[j] != query]
-        yield _table(out, [("query_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
-
-
-def _resolved(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for _, q_ids, q, x_ids, x, cuts in _pairs(batches):
-        parts = _parts(q, x)
-        out = []
-        for i, query in enumerate(q_ids.tolist()):
-            cut, lows = cuts[i, 0], cuts[i, 1:]
-            over = [p[i] - low for p, low in zip(parts, lows, strict=True)]
-            enough = np.logical_or.reduce([o >= cut / PARTS for o in over]) if cut > -np.inf else np.ones(len(x_ids), bool)
-            at = np.flatnonzero(enough & (x_ids != query))
-            total = sum(o[at] for o in over)
-            at, total = at[total >= cut], total[total >= cut]
-            best = _highest(total, k, x_ids[at])
-            out += [(query, int(x_ids[at[j]]), int(sum(p[i, at[j]] for p in parts))) for j in best.tolist()]
-        yield _table(out, [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+                at = np.flatnonzero(np.logical_or.reduce([enough[i] for enough, _ in collected]) & (x_ids != query))
+                if not len(at):
+                    continue
+                total = np.zeros(len(at), object)
+                for g, (enough, scores) in enumerate(collected):
+                    mine, has = scores[ends[g][i] - enough[i].sum() : ends[g][i]], enough[i, at]
+                    total[has] += np.array([int(s) for s in mine[np.isin(np.flatnonzero(enough[i]), at)]], object)
+                    if not has.all():
+                        looked = _part(_group(q[i : i + 1], g, dim), _group(x[at[~has]], g, dim))[0]
+                        total[~has] += np.array([int(s) for s in looked], object)
+                best.add(query, total, x_ids[at], block * BLOCK + at)
+    for query, (scores, ids, _) in best.held.items():
+        yield _table([(query, int(v), int(s)) for s, v in zip(scores, ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for row in batch.to_pylist():
-            q_ids, q = _unpack(row["q_ids"], row["q_data"], row["q_dim"])
-            x_ids, x = _unpack(row["ids"], row["data"], row["dim"])
-            yield row["block"], q_ids, q, x_ids, x, np.frombuffer(row["q_cuts"]).reshape(len(q_ids), -1)
+            yield row["block"], *_unpack(row["ids"], row["data"], row["dim"])
 
 
 def _table(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
@@ -127,27 +162,50 @@ def _table(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _meet(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every block of queries with every block of rows, dealt out evenly."""
-    q = queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
-    return q.crossJoin(blocks.drop("cuts")).repartition(blocks.sparkSession.sparkContext.defaultParallelism * 2)
+def _chunks(queries: DataFrame, *cuts: str) -> Iterator[list[tuple]]:
+    """The queries as (ids, vectors, cuts), in lists of at most CHUNK bytes and one block more; the driver holds one at a time."""
+    held, size = [], 0
+    for row in _blocks(queries, QUERY_BLOCK, *cuts).toLocalIterator():
+        ids, q = _unpack(bytes(row.ids), bytes(row.data), row.dim)
+        held.append((ids, q, np.frombuffer(bytes(row.cuts)).reshape(len(ids), -1)))
+        size += q.nbytes
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _pass(blocks: DataFrame, queries: DataFrame, work, schema: str, k: int, dim: int, *cuts: str) -> DataFrame | None:
+    """work over all blocks for each chunk of queries, as a table."""
+    out = None
+    for chunk in _chunks(queries, *cuts):
+        sent = blocks.sparkSession.sparkContext.broadcast(chunk)
+        made = written(blocks.mapInArrow(lambda b, sent=sent: work(b, sent.value, k, dim), schema), "found")
+        sent.unpersist()
+        out = made if out is None else out.union(made)
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest rows, ties to the smaller vec_id."""
     rows = _usable(vectors)
     spread = max(2, vectors.sparkSession.sparkContext.defaultParallelism)
-    blocks = written(_blocks(rows.repartition(spread), BLOCK), "blocks")
-    queries = written(_usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    lists = _meet(_blocks(queries.coalesce(1 + spread // 4), QUERY_BLOCK), blocks).mapInArrow(lambda b: _local_lists(b, k), "query_id long, part int, row long, score double, low double")
-    lists = written(lists, "lists")
-    lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("least"))
-    over = lists.join(lows, ["query_id", "part"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
-    nth = over.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "row"))).where(F.col("n") == k).select("query_id", F.col("bound").alias("cut"))
-    each = lows.groupBy("query_id").agg(*(F.min(F.when(F.col("part") == g, F.col("least"))).alias(f"low{g}") for g in range(PARTS)))
-    cuts = each.join(nth, "query_id", "left").withColumn("cut", F.coalesce("cut", F.lit(float("-inf"))))
-    armed = queries.join(cuts.withColumnRenamed("query_id", "vec_id"), "vec_id")
-    armed = _blocks(armed.coalesce(1 + spread // 4), QUERY_BLOCK, "cut", *(f"low{g}" for g in range(PARTS)))
-    best = _meet(armed, blocks).mapInArrow(lambda b: _resolved(b, k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = "query_id long, vec_id long, score long"
+    with scratch():
+        blocks = written(_blocks(rows.repartition(spread), BLOCK), "blocks")
+        dim = blocks.agg(F.max("dim")).first()[0] or 1
+        queries = written(_usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+        lists = _pass(blocks, queries, _local_lists, "query_id long, part int, row long, score double, low double", k, dim)
+        if lists is None:
+            return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        lows = lists.groupBy("query_id", "part").agg(F.min("low").alias("least"))
+        over = lists.where("row IS NOT NULL").join(lows, ["query_id", "part"]).groupBy("query_id", "row").agg(F.sum(F.col("score") - F.col("least")).alias("bound"))
+        nth = over.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("bound").desc(), "row"))).where(F.col("n") == k).select("query_id", F.col("bound").alias("cut"))
+        each = lows.groupBy("query_id").agg(*(F.min(F.when(F.col("part") == g, F.col("least"))).alias(f"low{g}") for g in range(PARTS)))
+        cuts = each.join(nth, "query_id", "left").withColumn("cut", F.coalesce(F.col("cut") - F.abs("cut") * 1e-9, F.lit(float("-inf"))))
+        armed = written(queries.join(cuts.withColumnRenamed("query_id", "vec_id"), "vec_id"), "armed")
+        best = _pass(blocks, armed, _resolved, found, k, dim, "cut", *(f"low{g}" for g in range(PARTS)))
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return handed_on(best.select("query_id", "rank", "vec_id", "score"), "top")
