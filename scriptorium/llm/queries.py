@@ -108,17 +108,16 @@ spans AS (
   FROM matches WINDOW w AS (PARTITION BY nr, i ORDER BY k)
 ),
 standing AS (
-  SELECT *, start // 512 AS half FROM spans
+  SELECT *, CASE WHEN kind IN ('access', 'login') THEN 'id' WHEN kind = 'endpoint' THEN 'end' ELSE 'secret' END AS role FROM spans
   WHERE CASE kind WHEN 'assign' THEN length(part) >= 8 WHEN 'access' THEN length(part) >= 16 WHEN 'key40' THEN length(part) = 40 ELSE true END
 ),
-windows AS (
-  SELECT DISTINCT nr, half - d AS w, CASE WHEN kind IN ('access', 'login') THEN 'id' WHEN kind = 'endpoint' THEN 'end' ELSE 'secret' END AS role
-  FROM standing CROSS JOIN (VALUES (0), (1)) AS x(d)
+near AS (
+  SELECT s.nr, s.kind, s.start, list(DISTINCT c.role) AS roles FROM standing s JOIN standing c ON c.nr = s.nr AND c.start BETWEEN s.start - 1024 AND s.start + 1024
+  WHERE s.i > 2 GROUP BY ALL
 ),
-scopes AS (SELECT nr, w, bool_or(role = 'id') AS id, bool_or(role = 'end') AS ended, bool_or(role = 'secret') AS secret FROM windows GROUP BY nr, w),
 kept AS (
-  SELECT * FROM standing s WHERE i < 3 OR EXISTS (SELECT 1 FROM scopes c WHERE c.nr = s.nr AND c.w IN (s.half, s.half - 1)
-    AND CASE s.kind WHEN 'login' THEN c.secret AND c.ended WHEN 'key40' THEN c.id ELSE c.secret AND c.id END)
+  SELECT s.* FROM standing s LEFT JOIN near n USING (nr, kind, start) WHERE s.i < 3
+    OR list_has_all(n.roles, CASE s.kind WHEN 'login' THEN ['secret', 'end'] WHEN 'key40' THEN ['id'] ELSE ['secret', 'id'] END)
 ),
 summed AS (
   SELECT nr, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, i) AS spans,

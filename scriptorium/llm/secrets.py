@@ -2,15 +2,17 @@
 
 Base spans: assignments, access keys and long hex runs, each leftmost and non-overlapping. Beside them weak candidates, which
 alone mean little: logins, keys of 40 characters and endpoints. A credential needs an identifier, a secret and mostly an
-endpoint, so a weak candidate is reported only where parts that complement it lie in one scope: a window of SCOPE code points,
-placed every half of that, so that parts within half a scope share a window.
+endpoint, so a weak candidate is reported only where parts that complement it lie in its scope: parts whose starts are at most
+SCOPE code points from its own, wherever in the text that is.
   login (identifier) needs a secret and an endpoint; key40 (secret) needs an identifier; endpoint needs an identifier and a secret.
-The join of intervals is one of windows: every part lies in two of them, and sets of windows are intersected by hash.
+The join of intervals goes by cells of SCOPE code points: a part is in scope if it lies in the candidate's own cell, or is the last of the
+cell before or the first of the cell after and near enough. So a cell's first and last start stand for all its parts.
 
 Positions come from the gaps: a text split at a pattern, and the pattern's matches, give all offsets as running sums, which
 are taken in blocks, so that thousands of matches cost no quadratic copying. No shuffle, no Python.
 
-Null counts as an empty text; repeated rows each give their row; extra columns are ignored.
+Null counts as an empty text; repeated rows each give their row; extra columns are ignored, whatever their names are, and
+without_secrets() keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import text_or_empty
+from scriptorium.llm.common import numbered, text_or_empty
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -76,21 +78,32 @@ def _placed(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, made).otherwise(F.array().cast("array<struct<start:int,end:int,wide:int>>"))
 
 
-def _windows(spans: Column) -> Column:
-    half = SCOPE // 2
-    at = lambda x: F.floor(x["start"] / half).cast("int")
-    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.array(at(x) - 1, at(x)))))
+def _cells(*spans: str) -> Column:
+    """Cell number to the first and last start of the spans in it. Starts are taken as a sorted array."""
+    starts = F.array_sort(F.transform(F.concat(*spans), lambda x: x["start"]))
+    cell = lambda x: F.floor(x / SCOPE).cast("int")
+    edge = lambda all_, by: F.filter(all_, lambda x, i: F.coalesce(cell(x) != cell(F.get(all_, i + by)), F.lit(True)))
+    ends = F.zip_with(edge(starts, -1), edge(starts, 1), lambda a, b: F.struct(cell(a).alias("key"), F.struct(a.alias("first"), b.alias("last")).alias("value")))
+    return F.map_from_entries(ends)
 
 
-def _in(spans: Column, windows: Column) -> Column:
-    half = SCOPE // 2
-    return F.when(F.size(windows) > 0, F.filter(spans, lambda x: F.array_contains(windows, F.floor(x["start"] / half).cast("int")) | F.array_contains(windows, F.floor(x["start"] / half).cast("int") - 1))).otherwise(F.filter(spans, lambda x: F.lit(False)))
+def _near(x: Column, cells: Column) -> Column:
+    """Whether any part of the cells starts within SCOPE of span x."""
+    cell = F.floor(x["start"] / SCOPE).cast("int")
+    before, after = F.try_element_at(cells, cell - 1)["last"], F.try_element_at(cells, cell + 1)["first"]
+    return F.map_contains_key(cells, cell) | F.coalesce(before >= x["start"] - SCOPE, F.lit(False)) | F.coalesce(after <= x["start"] + SCOPE, F.lit(False))
 
 
-def secrets(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id (and the columns in keep), with assign, access, hex, login, key40 and endpoint: arrays of (start, end, wide)."""
+def secrets(docs: DataFrame) -> DataFrame:
+    """doc_id, with assign, access, hex, login, key40 and endpoint: arrays of (start, end, wide)."""
+    return _found(docs.select("doc_id", F.col("text").alias("_text")), "_text")
+
+
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    """docs, whose columns have other names than ours, without the text alone, with the spans of each kind."""
     kinds = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "login": (LOGIN, 0), "key40": (KEY40, 0), "endpoint": (ENDPOINT, 0)}
-    df = docs.select("doc_id", *keep, text_or_empty().alias("_text")).withColumn("_low", F.lower("_text"))
+    keep = [c for c in docs.columns if c != "_text"]
+    df = docs.withColumn("_text", text_or_empty(text)).withColumn("_low", F.lower("_text"))
 
     def may(kind: str, pattern: str) -> Column:
         held = [F.contains("_low", F.lit(x)) for x in NEEDED.get(kind, ())]
@@ -98,19 +111,18 @@ def secrets(docs: DataFrame, *keep: str) -> DataFrame:
 
     # a text without a match, by far the most, is told by a search and not taken apart
     steps = {k: F.when(may(k, p), _spans(F.col("_text"), p, g)).otherwise(F.array().cast("array<struct<gap:int,long:int,wide:int>>")) for k, (p, g) in kinds.items()}
-    df = df.select("doc_id", *keep, *(v.cast("array<struct<gap:int,long:int,wide:int>>").alias(k) for k, v in steps.items()))
+    df = df.select(*keep, *(v.cast("array<struct<gap:int,long:int,wide:int>>").alias(k) for k, v in steps.items()))
     df = df.withColumns({k: _placed(F.col(k)) for k in kinds})
     df = df.withColumn("assign", F.filter("assign", lambda x: x["wide"] >= 8)).withColumn("access", F.filter("access", lambda x: x["wide"] >= 16))
     # long hex runs and words inside URLs are 40 characters too: only the exact length is a key
     df = df.withColumn("key40", F.filter("key40", lambda x: x["wide"] == 40))
-    w = {k: _windows(F.col(k)) for k in kinds}
-    df = df.withColumns({"_id": F.array_union(w["access"], w["login"]), "_secret": F.array_union(F.array_union(w["assign"], w["hex"]), w["key40"]), "_end": w["endpoint"]})
-    return df.select(
-        "doc_id", *keep, "assign", "access", "hex",
-        _in(F.col("login"), F.array_intersect("_secret", "_end")).alias("login"),
-        _in(F.col("key40"), F.col("_id")).alias("key40"),
-        _in(F.col("endpoint"), F.array_intersect("_secret", "_id")).alias("endpoint"),
-    )
+    df = df.withColumns({"_id": _cells("access", "login"), "_secret": _cells("assign", "hex", "key40"), "_end": _cells("endpoint")})
+
+    def linked(kind: str, *complements: str) -> Column:
+        there = functools.reduce(operator.and_, (F.size(c) > 0 for c in complements), F.size(kind) > 0)
+        return F.when(there, F.filter(kind, lambda x: functools.reduce(operator.and_, (_near(x, F.col(c)) for c in complements)))).otherwise(F.filter(kind, lambda x: F.lit(False))).alias(kind)
+
+    return df.select(*keep, "assign", "access", "hex", linked("login", "_secret", "_end"), linked("key40", "_id"), linked("endpoint", "_id", "_secret"))
 
 
 def _listed(*kinds: str) -> Column:
@@ -135,15 +147,15 @@ def secret_digests(docs: DataFrame) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the spans of secrets in their texts replaced by a mark; all rows and all other text stay."""
-    found = secrets(docs, *[c for c in docs.columns if c != "doc_id"])
+    """docs with the spans of secrets in their texts replaced by a mark; all rows, columns and all other text stay."""
+    rows, named = numbered(docs)
+    found, text = _found(rows, named["text"]), F.col(named["text"])
     hidden = F.array_sort(F.transform(F.concat("assign", "access", "hex", "login", "key40"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
     found = found.withColumn("_hidden", hidden)
-    text = F.when(F.size("_hidden") == 0, F.col("text")).otherwise(_masked(F.col("text"), F.col("_hidden")))
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_hidden") == 0, F.col("n_chars")).otherwise(F.length("text")))
-    return found.select(docs.columns)
+    masked = found.withColumn(named["text"], F.when(F.size("_hidden") == 0, text).otherwise(_masked(text, F.col("_hidden"))))
+    if "n_chars" in named:
+        masked = masked.withColumn(named["n_chars"], F.when(F.size("_hidden") == 0, F.col(named["n_chars"])).otherwise(F.length(named["text"])))
+    return masked.select(*rows.columns).toDF(*docs.columns)
 
 
 def _masked(text: Column, spans: Column) -> Column:
