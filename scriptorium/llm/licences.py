@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import by_batch
+from scriptorium.llm.common import by_batch, least_by_hash
 
 LEAST, CONTAINED, UNKNOWN, SLOTS, WINDOW = 0.6, 0.5, 2000, 1 << 16, 100
 
@@ -208,7 +208,7 @@ def fit(docs: DataFrame) -> Classifier:
     """Trained on the rule's examples and the first paragraphs, at most UNKNOWN, of documents without licence words (the least by
     a hash of doc_id)."""
     plain = docs.select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line")).where(F.col("line").isNotNull() & (F.length("line") <= 400) & ~F.col("line").rlike("(?i)" + _TERM.pattern))
-    rows = plain.orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(UNKNOWN).collect()
+    rows = least_by_hash(plain, UNKNOWN, "doc_id", "line").collect()
     return Classifier(examples() + [(r.line, "unknown") for r in rows])
 
 

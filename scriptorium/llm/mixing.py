@@ -10,8 +10,8 @@ Targets: sources in code-point order (null last) weigh 3, 1, 2, repeating, and s
 min(passes * size, x * weight); sources full at the lowest level come first, so the level is found in one sorted pass.
 
 The last document that a target reaches is taken in part: its `taken` is what is left of the target. Documents without words
-take no part: taken 0, no position. Null texts count as empty. Rows alike in doc_id, source and size are interchangeable.
-Extra columns are ignored. Words before a document: sums over 4,096 hash buckets of each source, then inside a bucket, so
+take no part: taken 0, no position. Null texts count as empty. Rows alike in doc_id, source and size stand in the order of a hash of their
+texts. Extra columns are ignored. Words before a document: sums over 4,096 hash buckets of each source, then inside a bucket, so
 that no source is in one task, however large it is.
 """
 
@@ -32,7 +32,7 @@ PASSES = 2
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source, size in words and the place in the source's order: the md5 of doc_id, by its first 3 digits in buckets."""
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"), *more)
+    sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"), F.xxhash64("text").alias("tie"), *more)
     return sized.withColumn("bucket", F.substring("mark", 1, 3))
 
 
@@ -83,7 +83,7 @@ def _placed(rows: DataFrame, sums: DataFrame, percent: int, weights: tuple, pass
     goal = targets(sums, percent, weights, passes)
     before = sums.select("source", "bucket", (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
     place = before.join(goal, before.source.eqNullSafe(goal.source)).select(before.source.alias("s"), F.col("bucket").alias("k"), "before", "rank", "source_size", "target")
-    inside = W.partitionBy("source", "bucket").orderBy("mark", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "bucket").orderBy("mark", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("prior", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(place, rows.source.eqNullSafe(F.col("s")) & (rows.bucket == F.col("k"))).withColumn("start", F.col("before") + F.col("prior"))
     whole = F.floor("target").cast("long")
@@ -117,5 +117,5 @@ def mix(docs: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes: i
     is in whole."""
     sums = _sums(sizes(docs))
     rows = sizes(docs, F.struct(*docs.columns).alias("row"))
-    copies = _placed(rows, sums, percent, weights, passes, schedules).select("row", F.explode("positions").alias("position"))
-    return copies.orderBy("position", F.xxhash64("row.doc_id")).select("row.*")
+    copies = _placed(rows, sums, percent, weights, passes, schedules).select("row", "tie", F.explode("positions").alias("position"))
+    return copies.orderBy("position", F.xxhash64("row.doc_id"), "tie").select("row.*")

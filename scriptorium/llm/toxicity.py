@@ -6,13 +6,14 @@ by the training, and scoring returns their spans.
 
 Training takes at most TRAIN labelled documents (the least by a hash of doc_id) of at most TRAIN_BYTES each, gathered as hashed
 features; scoring takes every whole text. Inputs are texts only. Null and empty texts have no sentence and score 0. Rows without
-doc_id are scored and count as not held out; repeated rows each give their row; conflicting labels count as 1. Without labels
+doc_id are scored and count as not held out; repeated rows each give their row, and train by the least of their texts; conflicting labels count as 1. Without labels
 of both kinds every score is 0. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import by_batch
+from scriptorium.llm.common import by_batch, least_by_hash
 
 TRAIN, TRAIN_BYTES, SLOTS = 6000, 20_000, 1 << 18
 #: Letters of a word that are a feature besides the word.
@@ -118,13 +119,39 @@ def fold(doc_id: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights of a model trained on all training folds, and set right by calibrated()."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != 0))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN)
+    known = least_by_hash(known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), TRAIN, "doc_id")
     # TRAIN rows of two numbers: a bounded table
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(known), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text of a repeated doc_id
     rows = sorted((r.doc_id, r.toxic, bytes(r.slots), bytes(r.sizes)) for r in by_batch(texts, _BAG, _bagged).collect())
     bags = [np.split(np.frombuffer(s, np.int32), np.cumsum(np.frombuffer(n, np.int32))[:-1]) if n else [] for _, _, s, n in rows]
-    return train(bags, np.array([r[1] for r in rows]))
+    y = np.array([r[1] for r in rows])
+    out = np.array([zlib.crc32(str(r[0]).encode()) % 5 == 1 for r in rows], bool)
+    weights = train(bags, y)
+    part = train([b for b, o in zip(bags, out, strict=True) if not o], y[~out])
+    scale, shift = calibrated([b for b, o in zip(bags, out, strict=True) if o], y[out], part)
+    weights = weights * scale
+    weights[-1] += shift
+    return weights
+
+
+def calibrated(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the log-odds of sentences under which noisy-or makes the labels of documents that training left out
+    likeliest. Documents of both labels weigh alike, so that 0.5 divides them, however rare toxic ones are. Without both: 1, 0."""
+    if not len(labels) or labels.min() == labels.max():
+        return 1.0, 0.0
+    of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    z = np.array([weights[s].sum() + weights[-1] for b in bags for s in b])
+    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
+
+    def loss(scale: float, shift: float) -> float:
+        none = np.bincount(of_doc, weights=-np.logaddexp(0, scale * z + shift), minlength=len(bags))
+        toxic = np.log(np.maximum(-np.expm1(none), 1e-9))
+        return -float((share * np.where(labels == 1, toxic, none)).sum())
+
+    return min(((a, b) for a in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0) for b in np.arange(-4, 4.01, 0.25)), key=lambda x: (loss(*x), abs(x[0] - 1), abs(x[1])))
 
 
 _SCORE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
