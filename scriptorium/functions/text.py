@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,16 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
+def any_of(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether any of the words is a part of the text."""
+    return functools.reduce(operator.or_, (F.contains(text, F.lit(w)) for w in words))
+
+
+def lines_of(text: Column) -> Column:
+    """Trimmed lines that are not blank."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(text, SPACE, " "))
@@ -46,26 +59,64 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.regexp_replace(F.substring(flat, 1, most - 3), r"[ ,;:]+$", ""), F.lit("..."))).otherwise(flat)
 
 
+#: T7. Fixed value: a weight, before or after its words. What follows a per cent sign keeps most of them out.
+WEIGHT = r"(?i)(\d+(?:\.\d+)?)\s*(marks?|points?|%)\b|\b(?:worth|allocated|allocation|available)\s+(\d+(?:\.\d+)?)\s*(marks?|points?|%)\b"
+
+
+def _weight(text: Column) -> tuple[Column, Column]:
+    group = lambda i: F.nullif(F.regexp_extract(text, WEIGHT, i), F.lit(""))
+    return F.coalesce(group(1), group(3)), F.coalesce(group(2), group(4))
+
+
 def mark_of(text: Column) -> Column:
-    """The number of an 'N marks' or 'N points', or what is worth or allocated; a per cent is no mark."""
-    first = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*(?:marks?|points?)\b", 1)
-    second = F.regexp_extract(text, r"(?i)\b(?:worth|allocated|allocation|available)\s+(\d+(?:\.\d+)?)\s*(?:marks?|points?)\b", 1)
-    return F.coalesce(F.nullif(second, F.lit("")), F.nullif(first, F.lit(""))).cast("double")
+    """The number of the first weight; a per cent is no mark."""
+    value, unit = _weight(text)
+    return F.when(unit != "%", value.cast("double"))
 
 
 def weight_of(text: Column) -> Column:
-    """The weight as it is written, per cents included."""
-    return F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?\s*(?:marks?|points?|%))", 1)
+    """Number and unit of the first weight, else empty."""
+    return F.coalesce(F.concat_ws(" ", *_weight(text)), F.lit(""))
+
+
+def goal_fragment(text: Column, most: int) -> Column:
+    """A leading 'N. [x marks]' and the closing stop are left out, then cut like truncated()."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?i)^\d+\.\s*(?:\[\d+(?:\.\d+)?\s*marks?\])?\s*", ""), r"\.+$", "")
+    return F.when(F.length(bare) > most, F.concat(F.regexp_replace(F.substring(bare, 1, most - 3), r"[ ,;:]+$", ""), F.lit("..."))).otherwise(bare)
+
+
+#: T4. The shapes in which a document states its maximum mark.
+MAX_MARK = (
+    r"(?i)maximum\s+mark\s*(?:is|=|:)?\s*(\d+(?:\.\d+)?)",
+    r"(?i)max(?:imum)?\s+mark\s*(?:is|=|:)?\s*(\d+(?:\.\d+)?)",
+    r"(?i)single\s+overall\s+mark\s+out\s+of\s*(\d+(?:\.\d+)?)",
+    r"(?i)mark\s+out\s+of\s*(\d+(?:\.\d+)?)",
+    r"(?i)out\s+of\s*(\d+(?:\.\d+)?)",
+    r"(?i)total\s+(?:mark|marks)\s*(?:is|=|:)?\s*(\d+(?:\.\d+)?)",
+)
+
 
+def max_marks(*texts: Column) -> Column:
+    """T4: all maximum marks that texts state, distinct and sorted. None: nothing is stated; several: they are in conflict."""
+    found = F.flatten(F.array(*(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(p), F.lit(1)) for x in texts for p in MAX_MARK)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x.cast("double"))))
 
-#: T4: the shapes in which a document states its maximum mark.
-MAX_MARK = (r"(?i)out of\s+(\d+(?:\.\d+)?)", r"(?i)total(?: mark)?\s*[:=]\s*(\d+(?:\.\d+)?)", r"(?i)maximum(?: mark)?\s*[:=]?\s*(\d+(?:\.\d+)?)", r"(?i)marked over\s+(\d+(?:\.\d+)?)")
 
+def context_check(rubric: Column, brief: Column, scheme: Column, manual: Column) -> Column:
+    """T5: struct (max_mark, error_code). A rubric or a scheme must be there; a maximum given by hand needs no other."""
+    found = max_marks(rubric, scheme, brief)
+    bare = F.trim(F.concat_ws("", rubric, scheme)) == ""
+    error = F.when(bare, "no_rubric_or_scheme").when(manual.isNotNull(), None).when(F.size(found) == 0, "no_max_mark").when(F.size(found) > 1, "conflicting_max_marks")
+    most = F.when(~bare & manual.isNotNull(), manual.cast("double")).when(~bare & (F.size(found) == 1), F.get(found, F.lit(0)))
+    return F.struct(most.alias("max_mark"), error.alias("error_code"))
 
-def max_marks(text: Column) -> Column:
-    """T4: all maximum marks that a text states, distinct and sorted, without 0."""
-    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in MAX_MARK)))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("double")), lambda x: x > 0)))
+
+def scale_label(*texts: Column) -> Column:
+    """What the documents suggest as a scale. Labels are fixed values."""
+    found = max_marks(*texts)
+    mark = F.get(found, F.lit(0))
+    named = F.when(F.abs(mark - 100) < 1e-9, "Deterministic / numeric (0-100)").when(F.abs(mark - 85) < 1e-9, "Analytical / evaluative (0-85, typical 20-80)")
+    return F.when(F.size(found) > 1, "Conflicting document scales").when(F.size(found) == 0, "No document suggestion").otherwise(F.coalesce(named, F.concat(F.lit("Inferred "), clean_number(mark), F.lit("-point scale"))))
 
 
 def signature(text: Column, words: int = 12) -> Column:
@@ -89,15 +140,25 @@ def clean_number(x: Column) -> Column:
 
 
 def canonical_label(label: Column) -> Column:
-    """T34."""
-    return F.initcap(label_key(label))
+    """T34: 'question iv' becomes 'Question IV'; a label of one word stays."""
+    words = F.split(collapse(label), " ")
+    return F.when(F.size(words) < 2, F.trim(label)).otherwise(F.concat(F.initcap(words[0]), F.lit(" "), F.upper(F.get(words, F.lit(1)))))
+
+
+#: T34. Labels that point at another section and name none.
+PLACEHOLDERS = ("section above", "section below", "answer above", "answer below", "above", "below")
+
+
+def placeholder(label: Column) -> Column:
+    return label_key(label).isin(*PLACEHOLDERS)
 
 
 def clean_question(text: Column) -> Column:
-    """Hyphenation undone, suggested word counts and a leading label with its marks removed."""
-    joined = F.regexp_replace(text, r"(\w)-\s+(\w)", "$1$2")
-    without = F.regexp_replace(joined, r"(?i)\[suggested word count:[^\]]*\]", "")
-    return F.regexp_replace(collapse(without), r"(?i)^(?:(?:part|question|section)\s+\d+\s*(?:[\[(]\d+\s*marks?[\])])?\s*[:.]?\s*)+", "")
+    """Hyphenation undone, suggested word counts, a leading label with its marks and the closing stop removed."""
+    joined = collapse(F.regexp_replace(F.trim(text), r"(\w)-\s+(\w)", "$1$2"))
+    without = F.trim(F.regexp_replace(joined, r"(?i)\[\s*suggested\s+word\s+count\s*:[^\]]*\]", ""))
+    label = r"(?i)^(?:part|question|section)\s+[a-z0-9ivx]+(?:\s+q[a-z0-9ivx]+)?\s*(?:\(\d+(?:\.\d+)?\s*marks?\))?\s*"
+    return F.regexp_replace(F.trim(F.regexp_replace(without, label, "")), r"\.+$", "")
 
 
 def keywords(text: Column) -> Column:
@@ -112,60 +173,167 @@ def markdown_cleaned(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^\d+$")), "\n"), r"\n{3,}", "\n\n"), F.lit("\n"))
 
 
-#: Ordered rules; the first whose words are all in the text (a set: any of it) names the task.
+#: T12. Ordered rules; the first of which every group has a word in the text names the task.
 TASKS = (
-    ("calculation", ({"calculate", "compute", "derive"},)),
-    ("comparison", ({"compare", "contrast"},)),
-    ("critique_and_revision", ({"critique"}, {"revise", "rewrite"})),
-    ("evaluation", ({"evaluate", "assess", "critically"},)),
-    ("interpretation", ({"interpret", "explain the result"},)),
-    ("explanation", ({"explain", "why"},)),
-    ("definition", ({"define", "state"},)),
-    ("diagram", ({"draw", "sketch", "diagram"},)),
-    ("data_analysis", ({"data", "regression"}, {"estimate", "test"})),
+    ("critique_and_revision", (("generate", "draft", "produce"), ("summary", "answer", "response"), ("comment on whether", "review", "critique", "evaluate accuracy", "rewrite", "revise", "edit", "correct"))),
+    ("model_specification", (("write out", "write down", "state", "specify", "formulate"), ("payoff function", "utility function", "objective function", "formal model", "formal specification"))),
+    ("comparative_statics", (("parameter", "parameters"), ("more likely", "less likely", "increases", "decreases", "higher", "lower"), ("scenario", "outcome", "equilibrium"))),
+    ("regression_specification", (("regression equation", "empirical specification", "estimating equation", "econometric specification"), ("write down", "state", "specify", "formulate"))),
+    ("deterministic_derivation", (("derive", "show that", "solve for", "prove that"), ("condition", "equilibrium", "solution"))),
+    ("welfare_reasoning", (("welfare", "well-being", "wellbeing", "efficiency"), ("condition", "implication", "effect", "impact"))),
+    ("prediction_generation", (("list", "state", "give", "identify"), ("prediction", "predictions", "implication", "implications", "testable hypothesis"))),
+    ("measurement_and_data_design", (("measure", "measured", "measurement", "operationalise", "operationalize", "indicator", "observable", "observed"), ("data source", "data sources", "dataset", "datasets", "real world", "practice", "in practice"))),
+    ("causal_identification", (("endogeneity", "omitted variable", "reverse causality", "selection bias", "simultaneity", "confounding"),)),
+    ("synthesis_across_sources", (("source", "sources", "material", "materials", "article", "articles", "video", "videos", "case", "cases"), ("claim", "claims", "argument", "arguments", "compare", "contrast", "synthes", "shed light on"))),
+    ("synthesis_across_sources", (("model", "framework", "theory"), ("missing from", "omission", "omissions", "limitations", "extend", "extension"))),
+    ("evaluative_discussion", (("discuss", "evaluate", "comment on whether", "whether you think", "critically assess", "good idea"),)),
+    ("explanation_interpretation", (("explain how changing", "explain carefully why", "discuss the intuition", "explain how each term", "explain how each variable", "interpret the coefficient", "interpret the result", "explain the mechanism"),)),
+    ("evaluative_discussion", (("summary", "overview", "comment", "assess"),)),
 )
+#: T13, T14. Tasks that are judged as a whole; words of guidance that tell how to grade where no task does.
+ABSTRACT = ("critique_and_revision", "evaluative_discussion", "synthesis_across_sources", "whole_submission_holistic")
+STEPWISE = ("comparative_statics", "model_specification", "deterministic_derivation", "explanation_interpretation", "welfare_reasoning", "prediction_generation", "measurement_and_data_design", "regression_specification", "causal_identification")
+STEPWISE_WORDS = ("derive", "equation", "regression", "condition", "hypothesis", "measure", "data source", "calculate", "show carefully", "parameter", "endogeneity")
+WHOLE_WORDS = ("summary", "discuss", "evaluate", "commentary", "in your own words", "good idea", "critically assess", "justify your conclusion", "comment on whether", "compare and contrast")
 
 
-def task_type(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit("general")
+def task_type(label: Column, question: Column) -> Column:
+    """A derivation where no rule holds. Words are looked for as parts: "state" is in "estate" too."""
+    low = F.lower(collapse(F.concat_ws("\n", label, question)))
+    out = F.lit("deterministic_derivation")
     for name, groups in reversed(TASKS):
-        hit = F.lit(True)
-        for words in groups:
-            any_ = F.lit(False)
-            for w in sorted(words):
-                any_ = any_ | F.contains(low, F.lit(w))
-            hit = hit & any_
-        out = F.when(hit, F.lit(name)).otherwise(out)
+        out = F.when(functools.reduce(operator.and_, (any_of(low, words) for words in groups)), name).otherwise(out)
     return out
 
 
-def task_type_sql(text: str) -> str:
-    rules = " ".join(f"WHEN {' AND '.join('(' + ' OR '.join(f'contains(lower({text}), {w!r})' for w in sorted(g)) + ')' for g in groups)} THEN '{name}'" for name, groups in TASKS)
-    return f"CASE {rules} ELSE 'general' END"
-
-
 def criterion_mode(task: Column) -> Column:
     """T13."""
-    return F.when(task.isin("evaluation", "comparison", "critique_and_revision", "interpretation"), "abstract").otherwise("deterministic")
+    return F.when(task.isin(*ABSTRACT), "abstract").otherwise("deterministic")
+
+
+def grading_mode(task: Column, label: Column, guidance: Column) -> Column:
+    """By the task, else deterministic words before analytical ones."""
+    low = F.lower(F.concat_ws("\n", label, guidance))
+    by_word = F.when(any_of(low, STEPWISE_WORDS), "deterministic").when(any_of(low, WHOLE_WORDS), "analytical").otherwise("deterministic")
+    return F.when(task.isin(*ABSTRACT), "analytical").when(task.isin(*STEPWISE), "deterministic").otherwise(by_word)
+
+
+#: T15. How guidance refers back to earlier work.
+BACK = (
+    r"\busing\s+(?:your|the|previous|earlier)\s+(?:answer|result|results|work|analysis|model|derivation|prediction|predictions|evidence)\b",
+    r"\busing\s+the\s+\w+\s+(?:model|results|answer|analysis)\s+from\s+(?:question|part|section)\s+\w+\b",
+    r"\bfrom\s+(?:your|the|previous|earlier)\s+(?:answer|result|results|work|analysis|model|derivation|prediction|predictions|evidence)\b",
+    r"\bbased on\s+(?:your|the|previous|earlier)\s+(?:answer|result|results|work|analysis|model|derivation|prediction|predictions|evidence)\b",
+    r"\bgiven\s+(?:your|the)\s+(?:answer|result|results|work|analysis|model|derivation)\b",
+    r"\bas\s+(?:shown|derived|established)\s+in\s+(?:your|the)\s+(?:answer|work|analysis)\b",
+    r"\b(question|part|section)\s+\w+\s+(?:above|earlier|previously)\b",
+    r"\byour\s+(?:answer|result|results|work|analysis)\s+to\s+(?:question|part|section)\s+\w+\b",
+    r"\bprediction[s]?\s+from\s+your\s+answer\b",
+    r"\bfrom\s+the\s+model\s+above\b",
+)
 
 
-def grading_mode(task: Column, guidance: Column) -> Column:
-    """By task, then deterministic words before analytical ones."""
-    low = F.lower(guidance)
-    by_word = F.when(low.rlike("correct answer|exact|formula|numerical"), "deterministic").when(low.rlike("argument|depth|critical|judgement"), "analytical").otherwise("deterministic")
-    return F.when(task.isin("evaluation", "comparison", "critique_and_revision"), "analytical").when(task.isin("calculation", "definition"), "deterministic").otherwise(by_word)
+def dependency_group(text: Column, label: Column, parent: Column) -> Column:
+    """The key of the parent, else of the unit itself, where its text refers back; else empty."""
+    return F.when(F.lower(collapse(text)).rlike("|".join(BACK)), label_key(F.coalesce(F.nullif(parent, F.lit("")), label))).otherwise("")
 
 
-#: Phrases that refer back to an earlier part.
-BACK = r"(?i)\b(?:your (?:previous )?answer|the previous (?:part|question)|as (?:above|in part)|from part \d+|using your results?|based on your|continue from)\b"
+#: T16. Fixed value: a part by its number, roman numbers too, and maybe its child.
+NAMED = r"(?i)\b((?:part|question|section)\s+(?:\d+|[ivx]+)(?:\s*q\d+)?)\b"
 
 
-def dependency_group(text: Column, label: Column, parent: Column) -> Column:
-    return F.when(text.rlike(BACK), label_key(F.coalesce(F.nullif(parent, F.lit("")), label))).otherwise("")
+def dependency_labels(text: Column, own: Column) -> Column:
+    """Keys of the labels that a text names, in order, each once, without its own."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(NAMED), F.lit(1)), lambda x: label_key(F.regexp_replace(x, r"(?i)(\s+(?:\d+|[ivx]+))\s*q(\d+)$", "$1 q$2")))
+    return F.filter(F.array_distinct(found), lambda x: x != label_key(own))
 
 
-def dependency_labels(text: Column, own: Column) -> Column:
-    """Labels that a text names, in order, each once, without its own."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b((?:part|question|section)\s+\d+)\b"), F.lit(1))
-    return F.array_remove(F.array_distinct(F.transform(found, lambda x: label_key(x))), label_key(own))
+#: T17. What shows that a line directs the answer, or asks for evidence.
+ANCHOR_CUES = ("use ", "using ", "comment on whether", "discuss", "explain", "identify", "support", "qualify", "contradict", "rewrite", "in your own", "use the results")
+EVIDENCE_CUES = ("quote", "quotes", "page", "slide", "reference", "references", "data source", "link", "evidence", "report", "course material", "lecture")
+
+
+def cued_lines(text: Column, cues: tuple[str, ...], most: int = 4) -> Column:
+    """The first lines with a cue."""
+    return F.slice(F.filter(lines_of(text), lambda x: any_of(F.lower(x), cues)), 1, most)
+
+
+#: T18. Fixed values.
+GUIDANCE = (r"\b(question|part|section|subsection|subpart|task|item)\s+[a-z0-9ivx]+\b", r"\b\d+(?:\.\d+)?\s*(marks?|points?|%)\b", r"\b(weight|weights|weighting|worth|allocated|allocation|available)\b", r"\bout of\s+\d+\b")
+
+
+def structure_guidance(*texts: Column) -> Column:
+    """The first 12 lines of the marking documents that say something of structure or marks."""
+    return F.array_join(F.slice(F.filter(lines_of(F.concat_ws("\n\n", *texts)), lambda x: x.rlike("(?i)" + "|".join(GUIDANCE))), 1, 12), "\n")
+
+
+#: T39, D3. A section's header, a subpart's first line, and what may follow a weight.
+TOP_HEADER = r"(?i)^((?:question|part|section|task|item)\s+(?:\d+|[ivx]+|[a-z]))\b(.*)$"
+SUBPART = r"(?i)^((?:\d+|[a-z])(?:[.)]|\])|\((?:\d+|[a-z])\))\s*(.*)$"
+
+
+def is_header(line: Column) -> Column:
+    """A label, and a weight, nothing else or at most 32 characters in all."""
+    tail = F.regexp_replace(collapse(F.regexp_extract(line, TOP_HEADER, 2)), r"^[ :.\-]+|[ :.\-]+$", "")
+    return line.rlike(TOP_HEADER) & ((F.coalesce(weight_of(line), F.lit("")) != "") | (tail == "") | (F.length(line) <= 32))
+
+
+#: T39. How lines of marking instructions begin, and what is in them.
+MARKING_STARTS = ("students should", "student should", "marks should", "mark should", "for full mark", "for a high grade", "points that should", "key elements", "references should", "references to", "note:", "high grade")
+MARKING_PHRASES = ("marks should be allocated", "should be allocated", "are expected to", "should mention", "should provide", "for full mark", "high grade would", "key elements for a high grade")
+
+
+def is_marking_line(line: Column) -> Column:
+    low = F.lower(F.trim(line))
+    return functools.reduce(operator.or_, (F.startswith(low, F.lit(w)) for w in MARKING_STARTS)) | any_of(low, MARKING_PHRASES)
+
+
+def header_only(text: Column) -> Column:
+    """No line, or one that is short or a header."""
+    lines = lines_of(text)
+    return (F.size(lines) == 0) | ((F.size(lines) == 1) & ((F.length(lines[0]) <= 40) | lines[0].rlike(TOP_HEADER)))
+
+
+def numbered_items(text: Column) -> Column:
+    """Items after '1. ', '2. ', if there are two or more."""
+    cut = F.split(F.concat(F.lit(" "), text), r"\s\d+\.\s+")
+    items = F.filter(F.transform(F.slice(cut, 2, F.greatest(F.size(cut) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"^[ ;.]+|[ ;.]+$", "")), lambda x: x != "")
+    return F.when(F.size(cut) > 2, items).otherwise(F.array().cast("array<string>"))
+
+
+def bracketed_items(text: Column) -> Column:
+    """Items after (1), (2)."""
+    found = F.regexp_extract_all(text, F.lit(r"\(\d+\)\s*([^()]+?)(?=\s*\(\d+\)|$)"), F.lit(1))
+    return F.filter(F.transform(found, lambda x: F.regexp_replace(collapse(x), r"^[ ;,.]+|[ ;,.]+$", "")), lambda x: x != "")
+
+
+#: T10. Fixed values.
+RICH_PHRASES = ("for each", "give an example", "explain why", "define each", "state the hypothesis", "more likely than")
+
+
+def needs_context(question: Column) -> Column:
+    """Two numbered items or more, or a phrase that asks for more than one thing."""
+    cleaned = clean_question(question)
+    return F.coalesce((cleaned != "") & ((F.size(numbered_items(cleaned)) >= 2) | any_of(F.lower(cleaned), RICH_PHRASES)), F.lit(False))
+
+
+def incomplete(section: Column, question: Column) -> Column:
+    """T11."""
+    flat = collapse(section)
+    return (flat == "") | damaged(flat) | (F.length(flat) < 120) | (needs_context(question) & (F.length(flat) < 260))
+
+
+def part_breakdown(comments: Column) -> Column:
+    """T35: 'Part 1 Q2: 7/10' in a marker's comments to a map of labels and scores; of one label the last counts."""
+    p = r"(?i)(Part\s+\d+(?:\s+Q\d+)?):\s*([0-9]+(?:\.[0-9]+)?)/[0-9]+(?:\.[0-9]+)?"
+    labels = F.transform(F.regexp_extract_all(comments, F.lit(p), F.lit(1)), lambda x: F.initcap(collapse(x)))
+    scores = F.regexp_extract_all(comments, F.lit(p), F.lit(2))
+    every = F.arrays_zip(labels.alias("label"), F.transform(scores, lambda x: x.cast("double")).alias("score"))
+    last = F.filter(every, lambda x, i: ~F.exists(F.slice(labels, i + 2, F.size(labels)), lambda y: y == x["label"]))
+    return F.map_from_entries(last)
+
+
+def marking_text(scheme: Column, brief: Column, sample: Column, other: Column) -> Column:
+    """The documents that marking rests on, under headings, blank ones left out."""
+    named = (("Marking scheme", scheme), ("Assignment brief", brief), ("Graded sample", sample), ("Other context", other))
+    return F.concat_ws("\n\n", *(F.when(F.trim(x) != "", F.concat(F.lit(f"{n}:\n"), F.trim(x))) for n, x in named))

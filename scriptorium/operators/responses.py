@@ -40,13 +40,22 @@ def part_analysis(rows: DataFrame) -> DataFrame:
     return out.drop("_a", "_raw")
 
 
-#: Fixed values, what a status may be called.
-STATUSES = {"met": ("met", "strong", "fully met", "correct"), "partial": ("partial", "partially met", "adequate"), "missed": ("missed", "weak", "missing", "not met", "missing_or_wrong")}
-
-
-def status(raw: Column) -> Column:
-    low = F.lower(F.trim(raw))
-    return F.coalesce(*(F.when(low.isin(*names), native) for native, names in STATUSES.items()))
+#: N5. By scale, what a status may be called and its own name there; and what each own name amounts to.
+STATUSES = {
+    "likert_judgement": {"weak": "weak", "developing": "developing", "clear": "clear", "strong": "strong", "missed": "weak", "met": "clear", "meets": "clear", "partial": "developing", "partly": "developing", "mixed": "developing", "secure": "strong", "strong_anchor": "strong", "weak_anchor": "weak", "absent": "weak"},
+    "": {"missing_or_wrong": "missing_or_wrong", "partial": "partial", "partly": "partial", "mixed": "partial", "secure": "secure", "missed": "missing_or_wrong", "met": "secure", "meets": "secure", "clear": "secure", "strong": "secure", "strong_anchor": "secure", "weak": "missing_or_wrong", "weak_anchor": "missing_or_wrong", "absent": "missing_or_wrong"},
+}
+AMOUNTS_TO = {"likert_judgement": {"weak": "missed", "developing": "partial", "clear": "met", "strong": "met"}, "": {"missing_or_wrong": "missed", "partial": "partial", "secure": "met"}}
+
+
+def status(raw: Column, scale: Column) -> Column:
+    """Struct (native, normalized) of a status on a scale: likert_judgement, or any other. Unknown ones stay as they are."""
+    low = F.lower(F.trim(F.coalesce(raw, F.lit("None"))))
+    look = lambda table, key: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in table.items() for x in p)), key), key)
+    likert = F.coalesce(scale == "likert_judgement", F.lit(False))
+    native = F.when(likert, look(STATUSES["likert_judgement"], low)).otherwise(look(STATUSES[""], low))
+    normal = F.when(likert, look(AMOUNTS_TO["likert_judgement"], native)).otherwise(look(AMOUNTS_TO[""], native))
+    return F.struct(native.alias("native"), normal.alias("normalized"))
 
 
 def note(text: Column) -> Column:

@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 
 
 def total_marks(parts: DataFrame, key: str = "submission_id", most: float = 100.0) -> DataFrame:
-    """A1: rounded sum of parts, held between 0 and the maximum; null as soon as one part has no score."""
-    return parts.groupBy(key).agg(F.when(F.max(F.col("score").isNull()), None).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.round(F.sum("score"), 2)))).alias("total_mark"), F.count("*").alias("n_parts"))
+    """A1: rounded sum of parts, held between 0 and the maximum; null as soon as one part has no mark.
+
+    parts: key, score, and maybe percent and max_mark. A part without a score has its percentage of its own maximum, which a
+    single part takes from the whole. Maxima that do not sum to the whole are not rescaled."""
+    own = F.col("max_mark") if "max_mark" in parts.columns else F.lit(None).cast("double")
+    percent = F.col("percent") if "percent" in parts.columns else F.lit(None).cast("double")
+    by = parts.groupBy(key).agg(
+        F.count("*").alias("n_parts"), F.sum("score").alias("scored"), F.sum(F.when(F.col("score").isNull(), percent * own / 100)).alias("from_percent"),
+        F.count_if(F.col("score").isNull() & (percent * own).isNull()).alias("open"), F.max(F.when(F.col("score").isNull() & own.isNull(), percent)).alias("alone"),
+    )
+    single = (F.col("n_parts") == 1) & F.col("alone").isNotNull()
+    total = F.when(single, F.col("alone") * most / 100).when(F.col("open") == 0, F.coalesce("scored", F.lit(0.0)) + F.coalesce("from_percent", F.lit(0.0)))
+    return by.select(key, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.round(total, 2))).alias("held"), total.isNotNull().alias("known"), "n_parts").select(key, F.when(F.col("known"), F.col("held")).alias("total_mark"), "n_parts")
 
 
 def with_missing(submissions: DataFrame, parts: DataFrame, key: str = "submission_id") -> DataFrame:

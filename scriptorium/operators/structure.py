@@ -8,28 +8,110 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
 
-HEADER = r"(?i)^(part|question|section)\s+(\d+)\b"
+_CHILD = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
+
+
+def _groups(lines: Column, opens) -> Column:
+    """Lines grouped by the ones that open a group; those before the first are dropped. No line is copied twice."""
+    starts = F.filter(F.transform(lines, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
+    return F.when(F.size(starts) > 0, F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def _rest(rows: Column) -> Column:
+    return F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
+
+
+def split_marking(lines: Column) -> Column:
+    """Struct (question, marking), arrays of lines. All before the first 'answer:' line is the question; of what follows,
+    marking instructions stay, and bullets right after one."""
+    said = lambda x: F.lower(x).startswith("answer:")
+    first = F.array_position(F.transform(lines, said), F.lit(True)).cast("int")
+    after = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
+    what = F.transform(after, lambda x: F.when(said(x), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))).otherwise(x))
+    # bullets go on with what stands before them; an answer line without an instruction changes nothing
+    told = F.transform(what, lambda x, i: F.struct(x.alias("line"), F.when(t.is_marking_line(x), "yes").when(said(F.get(after, i)), "as before").when(x.rlike("^[-\u2022]"), "as before").otherwise("no").alias("is"), said(F.get(after, i)).alias("head")))
+    last = F.transform(told, lambda x, i: F.element_at(F.concat(F.array(F.lit("no")), F.filter(F.transform(F.slice(told, 1, i + 1), lambda y: y["is"]), lambda y: y != "as before")), -1))
+    kept = F.filter(F.zip_with(told, last, lambda x, y: F.when((x["is"] == "yes") | ((x["is"] == "as before") & ~x["head"] & (y == "yes")), x["line"])), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(first > 0, F.slice(lines, 1, first - 1)).otherwise(lines).alias("question"), F.when(first > 0, kept).otherwise(none).alias("marking"))
+
+
+def subparts(label: Column, question: Column) -> Column:
+    """D3: lines that begin with '1.', 'a)', '(2)' or '3]' open a subpart; fewer than two are none. Numbers become 'Q1'."""
+
+    def child(rows: Column) -> Column:
+        token = F.upper(F.regexp_replace(F.regexp_extract(rows[0], t.SUBPART, 1), r"[()\[\].]", ""))
+        name = F.concat(label, F.when(token.rlike(r"^\d+$"), F.lit(" Q")).otherwise(F.lit(" ")), token)
+        return F.struct(name.alias("label"), t.label_key(name).alias("label_key"), t.mark_of(rows[0]).alias("max_mark"), F.array_join(rows, "\n").alias("text"))
+
+    groups = _groups(question, lambda x: x.rlike(t.SUBPART))
+    return F.when(F.size(groups) >= 2, F.transform(groups, child)).otherwise(F.array()).cast(_CHILD)
+
+
+def with_shared_marks(children: Column, most: Column) -> Column:
+    """What the parent's mark leaves is shared among the unmarked children, if there are two children or more."""
+    open_ = F.size(F.filter(children, lambda x: x["max_mark"].isNull()))
+    left = most - F.aggregate(children, F.lit(0.0), lambda a, x: a + F.coalesce(x["max_mark"], F.lit(0.0)))
+    share = F.round(left / open_, 2)
+    return F.when((F.size(children) >= 2) & (open_ > 0) & (left > 0), F.transform(children, lambda x: x.withField("max_mark", F.coalesce(x["max_mark"], share)))).otherwise(children)
 
 
 def sections(docs: DataFrame, key: str = "assessment") -> DataFrame:
-    """A header line opens a section that owns the lines up to the next header; what precedes the first is dropped.
+    """A header line opens a section that owns the lines up to the next header; what precedes the first is dropped.
 
-    docs: key, text. Returns key, ord, label, label_key, max_mark, weight_text, body (lines joined)."""
-    lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    is_header = F.col("line").rlike(HEADER) & (t.weight_of(F.col("line")).isNotNull() & (t.weight_of(F.col("line")) != "") | (F.length("line") <= 32))
-    lines = lines.withColumn("ord", F.sum(is_header.cast("int")).over(W.partitionBy(key).orderBy("pos"))).where("ord > 0")
-    grouped = lines.groupBy(key, "ord").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
-    head = F.col("rows")[0]["line"]
-    label = F.initcap(F.regexp_extract(head, r"(?i)^((?:part|question|section)\s+\d+)", 1))
-    return grouped.select(key, "ord", label.alias("label"), t.label_key(label).alias("label_key"), t.mark_of(head).alias("max_mark"), t.weight_of(head).alias("weight_text"), F.array_join(F.transform(F.slice("rows", 2, F.size("rows")), lambda x: x["line"]), "\n").alias("body"))
+    docs: key, text. Returns a row for each section: key, ord, label, label_key, max_mark, weight_text, body (lines after the
+    header), question, marking, children, anchors, evidence, dependencies. A document is folded inside its row: no shuffle."""
+    split = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, _groups(F.col("lines"), t.is_header).alias("groups"))
+    rows = split.select(key, F.posexplode("groups").alias("pos", "rows"))
+    rows = rows.select(key, (F.col("pos") + 1).cast("long").alias("ord"), F.col("rows")[0].alias("head"), _rest(F.col("rows")).alias("rest"))
+    rows = rows.withColumn("label", t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1))).withColumn("split", split_marking(F.col("rest")))
+    question = F.array_join(F.concat(F.array("head"), "split.question"), "\n")
+    rows = rows.withColumn("question", question).withColumn("marking", F.array_join("split.marking", "\n"))
+    both = F.concat_ws("\n", "question", F.nullif("marking", F.lit("")))
+    return rows.select(
+        key, "ord", "label", t.label_key(F.col("label")).alias("label_key"), t.mark_of(F.col("head")).alias("max_mark"), t.weight_of(F.col("head")).alias("weight_text"), F.array_join("rest", "\n").alias("body"), "question", "marking",
+        subparts(F.col("label"), F.col("split.question")).alias("children"), t.cued_lines(both, t.ANCHOR_CUES).alias("anchors"), t.cued_lines(both, t.EVIDENCE_CUES).alias("evidence"), t.dependency_labels(both, F.col("label")).alias("dependencies"),
+    )
 
 
 def children(parsed: DataFrame, key: str = "assessment") -> DataFrame:
-    """D3: numbered lines of a section are its subparts, if there are two or more."""
-    rows = parsed.select(key, "label_key", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("n", F.nullif(F.regexp_extract("line", r"^\(?(\d+)[.)]", 1), F.lit("")).cast("int")).where("n IS NOT NULL")
-    rows = rows.withColumn("among", F.count("*").over(W.partitionBy(key, "label_key"))).where("among >= 2")
-    return rows.select(key, F.col("label_key").alias("parent_key"), F.concat(F.col("label_key"), F.lit(" q"), F.col("n").cast("string")).alias("label_key"), t.mark_of(F.col("line")).alias("max_mark"))
+    """A row for each subpart, with its share of the parent's mark."""
+    each = parsed.select(key, F.col("label_key").alias("parent_key"), F.explode(with_shared_marks(F.col("children"), F.col("max_mark"))).alias("child"))
+    return each.select(key, "parent_key", "child.label_key", "child.max_mark")
+
+
+def assessment_map(docs: DataFrame, key: str = "assessment") -> DataFrame:
+    """Key, label, label_key, max_mark and scale_confidence (95 where any unit has a mark, else 60) of each unit. A section
+    with two marked subparts or more gives these, another itself; a document without sections is one unit. No shuffle."""
+    kind = "struct<label:string,label_key:string,max_mark:double>"
+
+    def units(rows: Column) -> Column:
+        label, most = t.canonical_label(F.regexp_extract(rows[0], t.TOP_HEADER, 1)), t.mark_of(rows[0])
+        marked = F.filter(with_shared_marks(subparts(label, split_marking(_rest(rows))["question"]), most), lambda x: x["max_mark"].isNotNull())
+        each = F.transform(marked, lambda x: F.struct(x["label"].alias("label"), x["label_key"].alias("label_key"), x["max_mark"].alias("max_mark")).cast(kind))
+        return F.when(F.size(marked) >= 2, each).otherwise(F.array(F.struct(label.alias("label"), t.label_key(label).alias("label_key"), most.alias("max_mark")).cast(kind)))
+
+    found = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, F.flatten(F.transform(_groups(F.col("lines"), t.is_header), units)).alias("units"))
+    whole = F.array(F.struct(F.lit("Whole Submission"), F.lit("whole submission"), F.lit(None)).cast(kind))
+    found = found.select(key, F.when(F.size("units") > 0, F.col("units")).otherwise(whole).alias("units"))
+    sure = F.when(F.exists("units", lambda x: x["max_mark"].isNotNull()), 95).otherwise(60)
+    return found.select(key, sure.alias("scale_confidence"), F.explode("units").alias("u")).select(key, "u.*", "scale_confidence")
+
+
+def expected_subparts(parsed: DataFrame, key: str = "assessment", require_marks: bool = True) -> DataFrame:
+    """The subparts that a submission should have, if a section has two or more: label, anchor_text (its last word,
+    where it has a Q), focus_hint, max_mark and task_type, which is the parent's where the subpart's is generic."""
+    shared = with_shared_marks(F.col("children"), F.col("max_mark"))
+    kids = F.filter(shared, lambda x: x["max_mark"].isNotNull()) if require_marks else shared
+    rows = parsed.select(key, F.col("label").alias("parent"), F.col("question").alias("parent_text"), kids.alias("kids")).where(F.size("kids") >= 2)
+    rows = rows.select(key, "parent", "parent_text", F.posexplode("kids").alias("idx", "kid")).select(key, "parent", "parent_text", "idx", "kid.*")
+    generic = ("evaluative_discussion", "deterministic_derivation", "whole_submission_holistic")
+    own, above = t.task_type(F.col("label"), F.coalesce(F.nullif("text", F.lit("")), "parent_text")), t.task_type(F.col("parent"), F.col("parent_text"))
+    anchor = F.when(F.contains("label", F.lit(" Q")), F.element_at(F.split("label", " "), -1)).otherwise(F.col("label"))
+    rows = rows.withColumn("own", own).withColumn("above", above)
+    task = F.when(F.col("own").isin(*generic) & ~F.col("above").isin(*generic), F.col("above")).otherwise(F.col("own"))
+    return rows.select(key, "parent", "idx", "label", anchor.alias("anchor_text"), F.trim(F.substring_index("text", "\n", 1)).alias("focus_hint"), "max_mark", task.alias("task_type"))
 
 
 def distributed(units: DataFrame, parents: DataFrame, key: str = "assessment") -> DataFrame:
@@ -58,32 +140,110 @@ def reconciled(prompt: DataFrame, scheme: DataFrame, key: str = "assessment") ->
     return out.select(key, "label_key", F.coalesce("s_mark", "p_mark").alias("max_mark"), body.alias("body"), side.alias("side"))
 
 
-def toc_end(text: Column) -> Column:
-    """Where a table of contents ends: three or more lines with dotted leaders in the first 18 % of the text; else 0."""
-    head = F.substring(text, 1, F.ceil(F.length(text) * 0.18).cast("int"))
-    rows = F.regexp_extract_all(head, F.lit(r"(?m)^[^\n]*\.{3,}\s*\d{1,3}[ \t]*$"), F.lit(0))
-    return F.when(F.size(rows) >= 3, F.call_function("locate", F.element_at(rows, -1), head) + F.length(F.element_at(rows, -1)) - 1).otherwise(0)
+#: D14. A line of a table of contents; how many make one, and in which part of the text.
+TOC_LINE = r"(?m)^[^\S\n]*\S[^\n]*?[.\u2026\u2014\u2013-]{2,}[^\S\n]*\d{1,3}[^\S\n]*$"
+TOC_LINES, TOC_PART = 3, 0.18
+
+
+def _quoted(label: Column) -> Column:
+    """A label as a pattern that stands for itself."""
+    return F.regexp_replace(label, r"([^A-Za-z0-9_\s])", r"\\\\$1")
+
+
+def _places(text: Column, pattern: Column) -> Column:
+    """Starts of all matches, counted from 0."""
+    gaps, found = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.transform(found, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, g: a + F.length(g)))
+
+
+def toc_range(text: Column, labels: Column) -> Column:
+    """Struct (start, end) of a table of contents: lines that name a label and end in dots and a page, if there are enough
+    of them at the beginning of the text; else null. Ends count from 0, the end exclusive."""
+    head = F.substring(text, F.lit(1), F.floor(F.length(text) * TOC_PART).cast("int"))
+    rows = F.arrays_zip(_places(head, F.lit(TOC_LINE)).alias("at"), F.regexp_extract_all(head, F.lit(TOC_LINE), F.lit(0)).alias("line"))
+    named = F.filter(rows, lambda r: F.exists(labels, lambda x: F.regexp_like(r["line"], F.concat(F.lit(r"(?i)\b"), _quoted(x), F.lit(r"\b")))))
+    ends = F.struct(F.get(named, F.lit(0))["at"].alias("start"), (F.element_at(named, -1)["at"] + F.length(F.element_at(named, -1)["line"])).alias("end"))
+    return F.when((F.size(labels) >= TOC_LINES) & (F.size(named) >= TOC_LINES), ends)
+
+
+def _anchor(text: Column, toc: Column, *names: Column) -> Column:
+    """Where a part begins, from 0: as a header outside the table of contents, as a word outside it, as a header or a word
+    inside; at each level the first of its names that is found. Null: nowhere."""
+    outside, inside = [], []
+    for tail in (r"(?im)^\s*{}(?:\b|\s*[:.)\]-])", r"(?i)\b{}\b"):
+        before, after = tail.split("{}")
+        found = [_places(text, F.concat(F.lit(before), _quoted(x), F.lit(after))) for x in names]
+        within = lambda p: F.coalesce((p >= toc["start"]) & (p < toc["end"]), F.lit(False))
+        outside += [F.get(F.filter(f, lambda p: ~within(p)), F.lit(0)) for f in found]
+        inside += [F.get(F.filter(f, within), F.lit(0)) for f in found]
+    return F.coalesce(*outside, *inside)
+
+
+def _sliced(rows: DataFrame, key: list[str], few: Column) -> DataFrame:
+    """Anchored rows (array `parts` of part_idx, label, pos) cut from `text`: the first part of a position keeps it, each goes
+    to the next anchor; where there are too few, all have the whole text."""
+    once = F.filter("parts", lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: (y["pos"] == x["pos"]) & (y["part_idx"] < x["part_idx"])))
+    rows = rows.withColumn("found", F.array_sort(F.transform(once, lambda x: F.struct(x["pos"].alias("pos"), x["part_idx"].alias("part_idx"), x["label"].alias("label")))))
+    cut = F.transform("found", lambda x, i: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), F.substring(F.col("text"), x["pos"] + 1, F.coalesce(F.get("found", i + 1)["pos"], F.length("text")) - x["pos"]).alias("section_text")))
+    whole = F.transform("parts", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), F.col("text").alias("section_text")))
+    return rows.select(*key, F.explode(F.when(few, whole).otherwise(cut)).alias("x")).select(*key, "x.*")
 
 
 def segmented(submissions: DataFrame, expected: DataFrame, key: str = "submission_id") -> DataFrame:
-    """Each expected label's header is found outside the table of contents, and the text is cut at the anchors.
-
-    expected: key, part_idx, label. Fewer than max(1, n // 2) anchors: every part gets the whole text. A position counts for the
-    first part that has it."""
-    both = submissions.select(key, "text", toc_end(F.col("text")).alias("toc")).join(expected, key)
-    # the label is data: searched as a line of its own, by position, after the table of contents
-    body = F.concat(F.lit("\n"), F.lower(F.col("text")), F.lit("\n"))
-    pos = F.call_function("locate", F.concat(F.lit("\n"), F.lower("label"), F.lit("\n")), body, F.col("toc") + 1)
-    both = both.withColumn("pos", F.when(pos > 0, pos))
-    once = F.row_number().over(W.partitionBy(key, "pos").orderBy("part_idx"))
-    both = both.withColumn("pos", F.when(once == 1, F.col("pos")))
-    whole = W.partitionBy(key)
-    few = F.count("pos").over(whole) < F.greatest(F.lit(1), F.floor(F.count("*").over(whole) / 2))
-    both = both.withColumn("few", few).where("few OR pos IS NOT NULL")
-    end = F.lead("pos").over(W.partitionBy(key).orderBy("pos", "part_idx"))
-    both = both.withColumn("end", F.coalesce(end, F.length("text") + 1))
-    cut = F.expr("substring(text, pos, end - pos)")
-    return both.select(key, "part_idx", "label", F.when(F.col("few"), F.col("text")).otherwise(cut).alias("section_text"))
+    """The text is cut at the anchors of the expected parts (key, part_idx, label and maybe anchor_text). Fewer
+    anchors than max(1, n // 2): every part gets the whole text. The parts of a submission come to its row as an array, so that
+    its text is not copied for each."""
+    names = ("anchor_text", "label") if "anchor_text" in expected.columns else ("label",)
+    parts = expected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part_idx", "label", *(n for n in names if n != "label")))).alias("wanted"))
+    both = submissions.select(key, F.replace("text", F.lit("\r\n"), F.lit("\n")).alias("text")).join(parts, key)
+    both = both.withColumn("toc", toc_range(F.col("text"), F.transform("wanted", lambda x: F.trim(x["label"]))))
+    placed = F.transform("wanted", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), _anchor(F.col("text"), F.col("toc"), *(F.trim(x[n]) for n in names)).alias("pos")))
+    both = both.withColumn("parts", placed)
+    distinct = F.size(F.array_distinct(F.filter(F.transform("parts", lambda x: x["pos"]), lambda p: p.isNotNull())))
+    return _sliced(both, [key], distinct < F.greatest(F.lit(1), F.floor(F.size("parts") / 2)))
+
+
+#: D16. How a subpart with a number N begins, in this order.
+SUBPART_STARTS = (r"(?im)^\s*Q{}\b", r"(?im)^\s*Question\s+{}\b", r"(?im)^\s*{}\.\s", r"(?im)^\s*{}\)\s", r"(?im)^\s*\({}\)\s")
+
+
+def subpart_anchor(text: Column, label: Column) -> Column:
+    """Where a subpart begins, from 0, by the first of the forms that the text has; null for labels without a Q number."""
+    number = F.nullif(F.regexp_extract(label, r"(?i)\bQ(\d+)\b", 1), F.lit(""))
+    return F.coalesce(*(F.get(_places(text, F.concat(F.lit(p.split("{}")[0]), number, F.lit(p.split("{}")[1]))), F.lit(0)) for p in SUBPART_STARTS))
+
+
+def subpart_segments(parts: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """Parts (key, section_text) cut at their subparts (key, part_idx, label). Fewer anchors than max(2, n // 2 + 1):
+    none is cut. A wanted subpart without a slice inherits the whole text of its parent (resolved = inherited)."""
+    each = wanted.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part_idx", "label"))).alias("wanted"))
+    both = parts.select(*key, F.trim("section_text").alias("text")).join(each, list(key))
+    both = both.withColumn("parts", F.transform("wanted", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), subpart_anchor(F.col("text"), x["label"]).alias("pos"))))
+    both = both.withColumn("n_anchors", F.size(F.array_distinct(F.filter(F.transform("parts", lambda x: x["pos"]), lambda p: p.isNotNull()))))
+    enough = (F.col("text") != "") & (F.col("n_anchors") >= F.greatest(F.lit(2), F.floor(F.size("parts") / 2) + 1))
+    first = lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: (y["pos"] == x["pos"]) & (y["part_idx"] < x["part_idx"]))
+    both = both.withColumn("cuts", F.when(enough, F.array_sort(F.transform(F.filter("parts", first), lambda x: x["pos"]))).otherwise(F.array().cast("array<int>")))
+
+    def resolved(x: Column) -> Column:
+        mine = F.when(enough & first(x), x["pos"])
+        after = F.get(F.filter("cuts", lambda p: p > mine), F.lit(0))
+        said = F.when(mine.isNotNull(), F.substring(F.col("text"), mine + 1, F.coalesce(after, F.length("text")) - mine)).otherwise(F.col("text"))
+        return F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), said.alias("section_text"), F.when(mine.isNotNull(), "anchored").otherwise("inherited").alias("resolved"))
+
+    return both.select(*key, F.explode(F.transform("parts", resolved)).alias("x")).select(*key, "x.*")
+
+
+def repaired(text: Column, start: Column, end: Column, question: Column) -> Column:
+    """A slice (from 0, the end exclusive) that is damaged or too short for its question is widened by 260 characters each
+    way, 420 where the question asks for more than one thing, and begins and ends with lines where these do so within that."""
+    own = F.trim(F.substring(text, start + 1, end - start))
+    wide = F.when(t.needs_context(question), 420).otherwise(260)
+    low, high = F.greatest(F.lit(0), start - wide), F.least(F.length(text), end + wide)
+    ahead, behind = F.substring(text, low + 1, start - low), F.substring(text, end + 1, high - end)
+    last, next_ = F.instr(F.reverse(ahead), "\n"), F.instr(behind, "\n")
+    left = F.when((low > 0) & (last > 0), start - last + 1).otherwise(low)
+    right = F.when((high < F.length(text)) & (next_ > 0), end + next_ - 1).otherwise(high)
+    return F.when(t.incomplete(own, question), F.coalesce(F.nullif(F.trim(F.substring(text, left + 1, right - left)), F.lit("")), own)).otherwise(own)
 
 
 def merged_spans(spans: DataFrame, *key: str, most: int | None = None) -> DataFrame:

@@ -24,12 +24,16 @@ def _orders(spark, sf) -> DataFrame:
 def total_mark_per_submission(spark, sf):
     out = scoring.total_marks(_parts(spark, sf))
     p = F.col("total_mark")
-    return out.select("submission_id", "total_mark", "n_parts", bands.analytical(p).alias("analytical_band"), bands.deterministic(p).alias("band"), bands.position(p).alias("position"))
+    out = out.withColumns({"analytical_band": bands.analytical(p), "band": bands.deterministic(p)})
+    return out.withColumn("position", bands.position(p, F.col("band"), F.lit("")))
 
 
 def percent_part_total(spark, sf):
-    parts = _parts(spark, sf).withColumn("score", F.col("percent") * 50 / 100)
-    return scoring.total_marks(parts).withColumnRenamed("total_mark", "from_percent")
+    """A1: parts without a score have a percentage of their maximum; some have neither maximum nor score."""
+    open_ = F.col("part_idx") % 3 == 0
+    parts = _parts(spark, sf).withColumn("max_mark", F.when((F.col("part_idx") != 5) | ~open_, (F.col("l_suppkey") % 4 + 1) * 5.0))
+    parts = parts.withColumn("max_mark", F.when((F.col("part_idx") == 6) & (F.col("submission_id") % 2 == 0), None).otherwise(F.col("max_mark"))).withColumn("score", F.when(~open_, F.col("score")))
+    return scoring.total_marks(parts)
 
 
 def missing_part_zero_credit(spark, sf):
@@ -38,11 +42,17 @@ def missing_part_zero_credit(spark, sf):
     return out.groupBy("submission_id").agg(F.sum("score").alias("total"), F.count_if(F.col("state") == "Missing").alias("n_missing"), F.max("confidence").alias("confidence"))
 
 
+_NAMED = ("", "Upper Second", "pass", "Secure", "1st", "nonsense")
+_GUIDANCE = ("Marks by steps.", "First class work argues well.", "Award 2:1 for sound work.")
+
+
 def grade_bands(spark, sf):
+    """Bands as named or by percentage, on the scale that the guidance is on."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
     p = F.col("percent")
-    out = _parts(spark, sf).select("percent", bands.analytical(p).alias("analytical"), bands.deterministic(p).alias("deterministic"), bands.position(p).alias("position"))
-    out = out.withColumn("ordinal", bands.ordinal(F.col("deterministic")))
-    return out.groupBy("percent", "analytical", "deterministic", "position", "ordinal").agg(F.count("*").alias("n"))
+    out = _parts(spark, sf).select("percent", pick(_NAMED, F.col("part_idx") % 6).alias("said"), pick(_GUIDANCE, F.col("l_suppkey") % 3).alias("guidance")).groupBy("percent", "said", "guidance").agg(F.count("*").alias("n"))
+    out = out.withColumn("band", bands.band(F.col("said"), p, F.col("guidance")))
+    return out.withColumns({"position": bands.position(p, F.col("band"), F.col("guidance")), "confidence": bands.default_confidence(F.col("band"), F.col("guidance")), "ordinal": bands.ordinal(F.col("band"))})
 
 
 def moderation_gate(spark, sf):
@@ -137,16 +147,18 @@ def natural_label_sort_rank(spark, sf):
     return p.withColumn("rank", F.row_number().over(W.orderBy(F.regexp_extract("label", r"(\d+)", 1).cast("int"))))
 
 
-_DET = "CASE WHEN p >= 85 THEN 'Excellent' WHEN p >= 70 THEN 'Strong' WHEN p >= 55 THEN 'Good' WHEN p >= 40 THEN 'Adequate' WHEN p >= 25 THEN 'Developing' WHEN p > 0 THEN 'Weak' ELSE 'Missing' END"
-_ANA = "CASE WHEN p >= 70 THEN 'First' WHEN p >= 60 THEN '2:1' WHEN p >= 50 THEN '2:2' WHEN p >= 40 THEN 'Third' WHEN p <= 20 THEN 'Missing' ELSE 'Fail' END"
-_POS = "CASE " + " ".join(f"WHEN p >= {lo} AND p <= {hi} THEN CASE WHEN p < {lo} + ({hi} - {lo}) / 3.0::DOUBLE THEN 'low' WHEN p < {lo} + 2 * (({hi} - {lo}) / 3.0::DOUBLE) THEN 'mid' ELSE 'high' END" for hi, lo in reversed(((25, 0), (40, 25), (55, 40), (70, 55), (85, 70), (100, 85)))) + " END"
-_ORD = "CASE d WHEN 'Missing' THEN 0 WHEN 'Weak' THEN 1 WHEN 'Developing' THEN 2 WHEN 'Adequate' THEN 3 WHEN 'Good' THEN 4 WHEN 'Strong' THEN 5 ELSE 6 END"
+_DET = "CASE WHEN p >= 85 THEN 'Excellent' WHEN p >= 70 THEN 'Strong' WHEN p >= 55 THEN 'Secure' WHEN p >= 40 THEN 'Adequate' WHEN p >= 25 THEN 'Developing' WHEN p > 0 THEN 'Weak' ELSE 'Missing' END"
+_ANA = "CASE WHEN p >= 70 THEN 'First' WHEN p >= 60 THEN '2:1' WHEN p >= 50 THEN '2:2' WHEN p >= 40 THEN 'Third/Pass' WHEN p <= 20 THEN 'Missing/unfinished' ELSE 'Fail' END"
+_THIRDS = "CASE WHEN p < {lo} + ({hi} - {lo}) / 3 THEN 'low' WHEN p > {hi} - ({hi} - {lo}) / 3 THEN 'high' ELSE 'mid' END"
+_POS = "CASE d " + " ".join(f"WHEN '{n}' THEN {_THIRDS.format(lo=f'{lo}::DOUBLE', hi=f'{hi}::DOUBLE')}" for n, lo, hi in (("Excellent", 85, 100), ("Strong", 70, 84.99), ("Secure", 55, 69.99), ("Adequate", 40, 54.99), ("Developing", 25, 39.99), ("Weak", 0.01, 24.99))) + " ELSE 'low' END"
+_APOS = "CASE d " + " ".join(f"WHEN '{n}' THEN {_THIRDS.format(lo=f'{lo}::DOUBLE', hi=f'{hi}::DOUBLE')}" for n, lo, hi in (("First", 70, 100), ("2:1", 60, 69.99), ("2:2", 50, 59.99), ("Third/Pass", 40, 49.99), ("Fail", 20.01, 39.99), ("Missing/unfinished", 0, 20))) + " END"
+_ORD = "CASE d WHEN 'Missing' THEN 0 WHEN 'Weak' THEN 1 WHEN 'Developing' THEN 2 WHEN 'Adequate' THEN 3 WHEN 'Secure' THEN 4 WHEN 'Strong' THEN 5 ELSE 6 END"
 
 SQL = {
-    "total_mark_per_submission": f"SELECT submission_id, p AS total_mark, n_parts, {_ANA} AS analytical_band, {_DET} AS band, {_POS} AS position FROM (SELECT l_orderkey AS submission_id, least(100.0, sum(l_quantity)) AS p, count(*) AS n_parts FROM lineitem GROUP BY 1)",
-    "percent_part_total": "SELECT l_orderkey AS submission_id, least(100.0, sum(l_quantity)) AS from_percent, count(*) AS n_parts FROM lineitem GROUP BY 1",
+    "total_mark_per_submission": f"SELECT submission_id, p AS total_mark, n_parts, {_ANA} AS analytical_band, d AS band, {_POS} AS position FROM (SELECT *, {_DET} AS d FROM (SELECT l_orderkey AS submission_id, least(100.0, sum(l_quantity)) AS p, count(*) AS n_parts FROM lineitem GROUP BY 1))",
+    "percent_part_total": "SELECT l_orderkey AS submission_id, CASE WHEN count(*) = 1 AND max(CASE WHEN s IS NULL AND m IS NULL THEN pct END) IS NOT NULL THEN least(100.0, round(max(pct), 2)) WHEN count(*) FILTER (s IS NULL AND m IS NULL) = 0 THEN greatest(0.0, least(100.0, round(coalesce(sum(s), 0) + coalesce(sum(CASE WHEN s IS NULL THEN pct * m / 100 END), 0), 2))) END AS total_mark, count(*) AS n_parts FROM (SELECT l_orderkey, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS s, l_quantity * 2 AS pct, CASE WHEN l_linenumber = 6 AND l_orderkey % 2 = 0 THEN NULL ELSE (l_suppkey % 4 + 1) * 5.0::DOUBLE END AS m FROM lineitem) GROUP BY 1",
     "missing_part_zero_credit": "SELECT o_orderkey AS submission_id, coalesce(sum(l_quantity), 0) AS total, count(*) FILTER (l_orderkey IS NULL) AS n_missing, max(CASE WHEN l_orderkey IS NULL THEN 95 ELSE 75 END)::INT AS confidence FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
-    "grade_bands": f"SELECT percent, analytical, d AS deterministic, position, {_ORD} AS ordinal, count(*) AS n FROM (SELECT p AS percent, {_ANA} AS analytical, {_DET} AS d, {_POS} AS position FROM (SELECT l_quantity * 2 AS p FROM lineitem)) GROUP BY ALL",
+    "grade_bands": f"SELECT p AS percent, said, guidance, n, d AS band, CASE WHEN g = 0 THEN {_POS} ELSE {_APOS} END AS position, CASE WHEN g = 0 THEN 75.0 WHEN d IN ('Fail', 'Missing/unfinished') THEN 78.0 ELSE 72.0 END::DOUBLE AS confidence, CASE d WHEN 'Missing/unfinished' THEN 0 WHEN 'Missing' THEN 0 WHEN 'Fail' THEN 1 WHEN 'Weak' THEN 1 WHEN 'Third/Pass' THEN 2 WHEN 'Developing' THEN 2 WHEN '2:2' THEN 3 WHEN 'Adequate' THEN 3 WHEN '2:1' THEN 4 WHEN 'Secure' THEN 4 WHEN 'First' THEN 5 WHEN 'Strong' THEN 5 ELSE 6 END AS ordinal FROM (SELECT *, CASE WHEN g = 0 THEN CASE said WHEN 'Secure' THEN 'Secure' ELSE {_DET} END ELSE CASE said WHEN 'Upper Second' THEN '2:1' WHEN 'pass' THEN 'Third/Pass' WHEN '1st' THEN 'First' ELSE {_ANA} END END AS d FROM (SELECT l_quantity * 2 AS p, ({list(_NAMED)})[l_linenumber % 6 + 1] AS said, l_suppkey % 3 AS g, ({list(_GUIDANCE)})[l_suppkey % 3 + 1] AS guidance, count(*) AS n FROM lineitem GROUP BY ALL))",
     "moderation_gate": f"SELECT *, reason = 'eligible' AS should_moderate FROM (SELECT submission_id, l_returnflag, size, spread, gap, CASE WHEN size < 2 THEN 'single_part' WHEN spread > 15 THEN 'spread' WHEN gap > 1 THEN 'band_gap' ELSE 'eligible' END AS reason FROM (SELECT submission_id, l_returnflag, count(*) AS size, max(p) - min(p) AS spread, max({_ORD}) - min({_ORD}) AS gap FROM (SELECT l_orderkey AS submission_id, l_returnflag, l_quantity * 2 AS p, {_DET.replace(' p ', ' l_quantity * 2 ')} AS d FROM lineitem) GROUP BY ALL))",
     "verifier_cap": "SELECT submission_id, sum(c) AS capped_total, count(*) FILTER (c < q) AS n_capped FROM (SELECT l_orderkey AS submission_id, l_quantity AS q, CASE WHEN l_returnflag = 'R' AND l_linenumber % 2 = 0 AND l_quantity > 20 THEN 20.0::DOUBLE ELSE l_quantity END AS c FROM lineitem) GROUP BY 1",
     "moderated_scores_merge": "SELECT status, count(*) AS n, sum(new_score - score) AS delta, sum(new_score) AS new_score FROM (SELECT score, CASE WHEN n % 2 <> 0 THEN 'no_change' WHEN score + 3 > 50 THEN 'out_of_range' ELSE 'ok' END AS status, CASE WHEN n % 2 = 0 AND score + 3 <= 50 THEN score + 3 ELSE score END AS new_score FROM (SELECT l_orderkey, l_linenumber AS n, max(l_quantity) AS score FROM lineitem GROUP BY 1, 2)) GROUP BY 1",

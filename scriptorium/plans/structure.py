@@ -30,19 +30,18 @@ def section_parse(spark, sf):
 
 
 def child_parse_and_marks(spark, sf):
-    parsed = structure.sections(_documents(spark, sf))
-    units = structure.distributed(structure.children(parsed), parsed)
+    units = structure.children(structure.sections(_documents(spark, sf)))
     return units.groupBy("assessment").agg(F.count("*").alias("n_units"), F.sum("max_mark").alias("marks"), F.count("max_mark").alias("n_marked"))
 
 
 def assessment_units(spark, sf):
     """A section with two marked children or more gives its children, another itself."""
-    parsed = structure.sections(_documents(spark, sf))
-    units = structure.distributed(structure.children(parsed), parsed)
-    split = units.groupBy("assessment", F.col("parent_key").alias("label_key")).agg(F.count("max_mark").alias("marked")).where("marked >= 2").select("assessment", "label_key")
-    whole = parsed.join(split, ["assessment", "label_key"], "left_anti").select("assessment", "label_key", "max_mark")
-    kids = units.join(split.withColumnRenamed("label_key", "parent_key"), ["assessment", "parent_key"], "left_semi").select("assessment", "label_key", "max_mark")
-    return kids.unionByName(whole)
+    return structure.assessment_map(_documents(spark, sf)).select("assessment", "label_key", "max_mark", "scale_confidence")
+
+
+def expected_units(spark, sf):
+    """What a submission should hold, by the marking document."""
+    return structure.expected_subparts(structure.sections(_documents(spark, sf)))
 
 
 def _half(spark, sf, keep, shift):
@@ -51,7 +50,7 @@ def _half(spark, sf, keep, shift):
 
 
 def structure_merge(spark, sf):
-    return structure.merged(_half(spark, sf, "p_partkey % 2 = 0", ""))
+    return structure.merged(_half(spark, sf, F.lit(True), ""))
 
 
 def structure_reconcile(spark, sf):
@@ -90,11 +89,25 @@ def unexpected_anti(spark, sf):
 
 
 def chunk_interval_merge(spark, sf):
-    e = _t(spark, sf, "events").select("user_id", (F.col("event_id") % 5000).alias("start"))
-    spans = e.select("user_id", (F.col("start") - 100).alias("start"), (F.col("start") + 420).alias("end")).distinct()
+    """Spans around each event of a user, by its place among all events, joined where they overlap."""
+    e = _t(spark, sf, "events").select("user_id", F.col("event_id").alias("start"))
+    spans = e.select("user_id", (F.col("start") - 100).alias("start"), (F.col("start") + 420).alias("end"))
     return structure.merged_spans(spans, "user_id", most=8).select("user_id", F.col("island").cast("int").alias("island"), "start", "end", "n")
 
 
+def subpart_segment(spark, sf):
+    """Answers to the turns of a conversation are numbered in three ways and found again; a turn that is not numbered
+    inherits the whole text."""
+    c = _t(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("part_idx"), "text")
+    n = F.col("part_idx").cast("string")
+    head = F.when(F.col("part_idx") % 4 == 0, F.lit("")).when(F.col("part_idx") % 3 == 0, F.concat(n, F.lit(") "))).when(F.col("part_idx") % 3 == 1, F.concat(F.lit("Q"), n, F.lit(" "))).otherwise(F.concat(F.lit("Question "), n, F.lit(": ")))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part_idx", F.concat(head, F.lit("said "), F.octet_length("text").cast("string")).alias("line")))).alias("rows"))
+    parts = rows.select("conv_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("section_text"))
+    wanted = c.select("conv_id", "part_idx", F.concat(F.lit("Part 1 Q"), n).alias("label"))
+    out = structure.subpart_segments(parts, wanted, "conv_id")
+    return out.select("conv_id", "part_idx", "resolved", F.substring_index(F.trim("section_text"), "\n", 1).alias("first_line"))
+
+
 def fast_path_detection(spark, sf):
     """Whether a submission's anchors suffice, or a model must be asked."""
     rows = _numbered(spark, sf).groupBy("l_orderkey").agg(F.count("*").alias("expected"), F.count_if(F.col("q") > 25).alias("anchored"))
@@ -125,7 +138,7 @@ def json_brace_scan(spark, sf):
 
 
 def question_cleanup(spark, sf):
-    p = _t(spark, sf, "part").select("p_partkey", F.concat(F.lit("Part "), F.col("p_size").cast("string"), F.lit(" (5 marks): Ex- plain  "), F.col("p_name"), F.lit(" [Suggested word count: 200]")).alias("q"))
+    p = _t(spark, sf, "part").select("p_partkey", F.concat(F.lit("Part "), F.col("p_size").cast("string"), F.lit(" (5 marks) Ex- plain  "), F.col("p_name"), F.lit(" [Suggested word count: 200] at length.")).alias("q"))
     return p.select("p_partkey", t.clean_question(F.col("q")).alias("question"))
 
 
@@ -135,17 +148,19 @@ _MERGED = "SELECT p_brand AS assessment, 'part ' || (p_size % 10) AS label_key,
 SQL = {
     "section_parse": f"SELECT l_orderkey AS assessment, n::BIGINT AS ord, 'part ' || n AS label_key, q::DOUBLE AS max_mark, q || ' marks' AS weight_text, (length('1. state item ' || l_partkey || ' [2 marks]') + 1 + length('2. explain item ' || l_suppkey))::INT AS body_chars FROM ({_N})",
     "child_parse_and_marks": f"SELECT l_orderkey AS assessment, (2 * count(*))::BIGINT AS n_units, sum(2.0::DOUBLE + coalesce({_SECOND}, 0)) AS marks, (count(*) + count({_SECOND}))::BIGINT AS n_marked FROM ({_N}) GROUP BY 1",
-    "assessment_units": f"SELECT l_orderkey AS assessment, unnest(CASE WHEN q > 2 THEN ['part ' || n || ' q1', 'part ' || n || ' q2'] ELSE ['part ' || n] END) AS label_key, unnest(CASE WHEN q > 2 THEN [2.0::DOUBLE, (q - 2)::DOUBLE] ELSE [q::DOUBLE] END) AS max_mark FROM ({_N})",
-    "structure_merge": _MERGED.format(s="", w="p_partkey % 2 = 0"),
+    "assessment_units": f"SELECT l_orderkey AS assessment, unnest(CASE WHEN q > 2 THEN ['part ' || n || ' q1', 'part ' || n || ' q2'] ELSE ['part ' || n] END) AS label_key, unnest(CASE WHEN q > 2 THEN [2.0::DOUBLE, (q - 2)::DOUBLE] ELSE [q::DOUBLE] END) AS max_mark, 95 AS scale_confidence FROM ({_N})",
+    "structure_merge": _MERGED.format(s="", w="true"),
     "structure_reconcile": f"SELECT assessment, label_key, coalesce(s.max_mark, p.max_mark) AS max_mark, coalesce(p.body, s.body) AS body, CASE WHEN s.body IS NULL THEN 'prompt' WHEN p.body IS NULL THEN 'scheme' ELSE 'both' END AS side FROM ({_MERGED.format(s='', w='p_size < 30')}) p FULL JOIN ({_MERGED.format(s='...', w='p_size >= 25')}) s USING (assessment, label_key)",
     "segment_by_anchor": "SELECT conv_id AS submission_id, (turn + 1)::INT AS part_idx, 'Part ' || (turn + 1) AS label, text AS said FROM conversations",
     "expected_left_detected": f"SELECT o_orderkey AS l_orderkey, count(n) AS n_detected, 3 - count(n) AS n_added FROM orders LEFT JOIN (SELECT * FROM ({_N}) WHERE n IN (1, 3)) ON o_orderkey = l_orderkey GROUP BY 1",
     "unexpected_anti": f"SELECT n, count(*) AS unexpected FROM ({_N}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1",
-    "chunk_interval_merge": "SELECT user_id, island::INT AS island, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a) AS island FROM (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY user_id ORDER BY a) OR lag(b) OVER (PARTITION BY user_id ORDER BY a) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT DISTINCT user_id, event_id % 5000 - 100 AS a, event_id % 5000 + 420 AS b FROM events))) WHERE island <= 8 GROUP BY 1, 2",
+    "expected_units": f"SELECT l_orderkey AS assessment, 'Part ' || n AS parent, k - 1 AS idx, 'Part ' || n || ' Q' || k AS label, 'Q' || k AS anchor_text, CASE k WHEN 1 THEN '1. state item ' || l_partkey || ' [2 marks]' ELSE '2. explain item ' || l_suppkey END AS focus_hint, CASE k WHEN 1 THEN 2.0::DOUBLE ELSE (q - 2)::DOUBLE END AS max_mark, 'deterministic_derivation' AS task_type FROM ({_N}) CROSS JOIN (VALUES (1), (2)) AS x(k) WHERE q > 2",
+    "chunk_interval_merge": "SELECT user_id, island::INT AS island, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a) AS island FROM (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY user_id ORDER BY a) OR lag(b) OVER (PARTITION BY user_id ORDER BY a) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT user_id, event_id - 100 AS a, event_id + 420 AS b FROM events))) WHERE island <= 8 GROUP BY 1, 2",
+    "subpart_segment": "SELECT conv_id, turn + 1 AS part_idx, CASE WHEN found >= greatest(2, n // 2 + 1) AND (turn + 1) % 4 <> 0 THEN 'anchored' ELSE 'inherited' END AS resolved, CASE WHEN found >= greatest(2, n // 2 + 1) AND (turn + 1) % 4 <> 0 THEN line ELSE first END AS first_line FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER ((turn + 1) % 4 <> 0) OVER w AS found, first_value(line) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM (SELECT conv_id, turn, CASE WHEN (turn + 1) % 4 = 0 THEN '' WHEN (turn + 1) % 3 = 0 THEN (turn + 1) || ') ' WHEN (turn + 1) % 3 = 1 THEN 'Q' || (turn + 1) || ' ' ELSE 'Question ' || (turn + 1) || ': ' END || 'said ' || strlen(text) AS line FROM conversations) WINDOW w AS (PARTITION BY conv_id))",
     "fast_path_detection": f"SELECT *, CASE WHEN expected = 1 OR anchored >= greatest(2, expected // 2) THEN 'accept' ELSE 'ask' END AS path FROM (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (q > 25) AS anchored FROM ({_N}) GROUP BY 1)",
     "rubric_matrix_rows": "SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES ('First', 70), ('2:1', 60), ('2:2', 50), ('Third', 40), ('Fail', 0)) AS x(band, least)",
     "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum((turn % 5 + conv_id % 3)::DOUBLE)) AS total_mark, 0::BIGINT AS n_errors FROM conversations WHERE trim(text) <> '' GROUP BY 1",
-    "question_cleanup": "SELECT p_partkey, 'Explain ' || trim(regexp_replace(p_name, '[ ]+', ' ', 'g')) AS question FROM part",
+    "question_cleanup": "SELECT p_partkey, 'Explain ' || trim(regexp_replace(p_name, '[ ]+', ' ', 'g')) || '  at length' AS question FROM part",
 }
 ROWS_ONLY = ("json_brace_scan",)
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}

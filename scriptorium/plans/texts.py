@@ -48,42 +48,21 @@ def heading_and_line_metrics(spark, sf):
 def weight_extraction(spark, sf):
     li = _t(spark, sf, "lineitem")
     q = F.col("l_quantity").cast("int").cast("string")
-    said = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("worth "), q, F.lit(" marks"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("Part ("), q, F.lit(" points)"))).otherwise(F.concat(q, F.lit("% of the total")))
+    said = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("worth "), q, F.lit(" marks"))).when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("Part ("), q, F.lit(" points)"))).otherwise(F.concat(q, F.lit("%of the total")))
     return li.select(said.alias("said")).groupBy("said").agg(F.count("*").alias("n")).select("said", "n", t.mark_of(F.col("said")).alias("max_mark"), t.weight_of(F.col("said")).alias("weight"))
 
 
 def max_mark_inference(spark, sf):
     p = _t(spark, sf, "part")
-    said = F.concat(F.lit("This paper is marked out of "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 4 == 0, F.lit(". Maximum: 20")).otherwise("."))
+    said = F.concat(F.lit("This paper is marked out of "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 4 == 0, F.lit(". Maximum mark: 20")).otherwise(". Total: 7"))
     said = F.when(F.col("p_partkey") % 7 == 0, F.lit("No mark is stated")).otherwise(said)
     found = p.select("p_partkey", t.max_marks(said).alias("found"))
     state = F.when(F.size("found") == 0, "none").when(F.size("found") == 1, "ok").otherwise("conflict")
     return found.select("p_partkey", state.alias("state"), F.when(F.size("found") == 1, F.col("found")[0]).alias("max_mark"))
 
 
-_PHRASE = ("calculate the mean", "compare two models", "critique and rewrite it", "Evaluate the claim", "explain why", "define a term", "draw a diagram", "use the data to estimate", "tell a story")
-
-
-def _phrased(spark, sf):
-    p = _t(spark, sf, "part")
-    phrase = F.element_at(F.array(*map(F.lit, _PHRASE)), (F.col("p_partkey") % len(_PHRASE) + 1).cast("int"))
-    back = F.when(F.col("p_size") % 5 == 0, " based on your previous answer in Part 2 and part 3, Part 2").otherwise("")
-    return p.select("p_partkey", "p_brand", "p_type", F.concat(phrase, F.lit(" of "), F.col("p_name"), back).alias("question"))
-
-
-def task_type_ladder(spark, sf):
-    q = _phrased(spark, sf)
-    task = t.task_type(F.col("question"))
-    return q.select("p_partkey", task.alias("task"), t.criterion_mode(task).alias("criterion_mode"), t.grading_mode(task, F.col("p_type")).alias("grading_mode"))
-
-
-def dependency_group(spark, sf):
-    q = _phrased(spark, sf)
-    return q.select("p_partkey", t.dependency_group(F.col("question"), F.lit("Part 9"), F.col("p_brand")).alias("dependency"), F.array_join(t.dependency_labels(F.col("question"), F.lit("Part 3")), "|").alias("labels"))
-
-
 def role_classification(spark, sf):
-    p = _t(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("stem"), F.element_at(F.array(F.lit("rubric_a"), F.lit("Assignment 1"), F.lit("mark_scheme"), F.lit("samples"), F.lit("notes"), F.lit("work")), (F.col("page_id") % 6 + 1).cast("int")).alias("parent"))
+    p = _t(spark, sf, "pages").select("page_id", F.element_at(F.split("url", "/"), -1).alias("stem"), F.element_at(F.array(F.lit("rubric_a"), F.lit("Assignment 1"), F.lit("mark_scheme"), F.lit("samples"), F.lit("instructions"), F.lit("work")), (F.col("page_id") % 6 + 1).cast("int")).alias("parent"))
     return p.select("page_id", documents.role(F.col("stem"), F.col("parent")).alias("role"))
 
 
@@ -114,9 +93,14 @@ def json_part_analysis_validate(spark, sf):
     return checked.groupBy("error_code").agg(F.count("*").alias("n"), F.sum("provisional_score").alias("score"), F.sum(F.size("strengths")).alias("n_strengths"))
 
 
+_STATUS = ("Met", "partially met", "missed", "strong", "weak", "secure", "mixed")
+
+
 def criterion_status_map(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ("Met", "partially met", "missed", "strong", "weak", "???"))), (F.col("l_partkey") % 6 + 1).cast("int"))
-    return _t(spark, sf, "lineitem").select(raw.alias("raw")).groupBy("raw").agg(F.count("*").alias("n")).select("raw", "n", responses.status(F.col("raw")).alias("status"))
+    raw = F.element_at(F.array(*map(F.lit, _STATUS)), (F.col("l_partkey") % len(_STATUS) + 1).cast("int"))
+    scale = F.when(F.col("l_linenumber") % 2 == 0, "likert_judgement").otherwise("step_status")
+    found = _t(spark, sf, "lineitem").select(raw.alias("raw"), scale.alias("scale")).groupBy("raw", "scale").agg(F.count("*").alias("n"))
+    return found.select("raw", "scale", "n", responses.status(F.col("raw"), F.col("scale")).alias("s")).select("raw", "scale", "n", "s.*")
 
 
 def note_trim(spark, sf):
@@ -125,14 +109,12 @@ def note_trim(spark, sf):
 
 def feedback_points(spark, sf):
     """A5: the first six distinct lines of a conversation's turns."""
-    rows = _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.substring("text", 1, 40).alias("point"))
+    rows = _t(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), F.col("text").alias("point"))
     return distinct_capped(rows, "conv_id", "point", "ord", 6)
 
 
 _W = r"[\s]+"
-_QUESTION = "(['" + "','".join(_PHRASE) + f"'])[p_partkey % {len(_PHRASE)} + 1] || ' of ' || p_name || CASE WHEN p_size % 5 = 0 THEN ' based on your previous answer in Part 2 and part 3, Part 2' ELSE '' END"
-_TASK = f"SELECT p_partkey, p_type, {t.task_type_sql('q')} AS task FROM (SELECT p_partkey, p_type, {_QUESTION} AS q FROM part)"
-_ROLE = "SELECT page_id, CASE WHEN contains(s, 'rubric') OR contains(s, 'criteria') THEN 'rubric' WHEN contains(s, 'brief') OR contains(s, 'assignment') THEN 'brief' WHEN contains(s, 'scheme') OR contains(s, 'answers') THEN 'scheme' WHEN contains(s, 'sample') OR contains(s, 'graded') THEN 'graded_sample' WHEN contains(s, 'context') OR contains(s, 'notes') THEN 'other' ELSE 'submission' END AS role FROM (SELECT page_id, lower(replace(string_split(url, '/')[-1] || ' ' || (['rubric_a','Assignment 1','mark_scheme','samples','notes','work'])[page_id % 6 + 1], '_', ' ')) AS s FROM pages)"
+_ROLE = "SELECT page_id, CASE WHEN contains(s, 'rubric') THEN 'rubric' WHEN contains(s, 'brief') OR contains(s, 'assignment') THEN 'brief' WHEN contains(s, 'scheme') THEN 'scheme' WHEN contains(s, 'sample') OR contains(s, 'example') THEN 'graded_sample' WHEN contains(s, 'support') OR contains(s, 'context') OR contains(s, 'guidance') OR contains(s, 'instruction') THEN 'other' ELSE 'submission' END AS role FROM (SELECT page_id, lower(replace(string_split(url, '/')[-1] || ' ' || (['rubric_a','Assignment 1','mark_scheme','samples','instructions','work'])[page_id % 6 + 1], '_', ' ')) AS s FROM pages)"
 SQL = {
     "submission_diagnostics": rf"SELECT doc_id, n AS word_count, n < 120 AS low_text, n < 80 AS short, length(c)::INT AS collapsed_chars FROM (SELECT doc_id, trim(regexp_replace(text, '{_W}', ' ', 'g')) AS c, len(list_filter(regexp_split_to_array(text, '{_W}'), lambda x: x <> ''))::INT AS n FROM documents)",
     "damaged_text": "SELECT doc_id, contains(text, '...') OR len(regexp_extract_all(text, '[a-z]{6,}[A-Z][a-z]+')) >= 2 OR regexp_matches(text, '[a-z]{16,}') AS damaged FROM documents",
@@ -140,19 +122,17 @@ SQL = {
     "repeated_feedback_starts": rf"SELECT array_to_string((list_filter(regexp_split_to_array(text, '{_W}'), lambda x: x <> ''))[1:12], ' ') AS start, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
     "error_signature": rf"SELECT page_id, substring(trim(regexp_replace(replace('failed at  ' || url, regexp_extract(url, '://([^/]*)', 1), 'Part <section>'), '{_W}', ' ', 'g')), 1, 240) AS signature, trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages",
     "heading_and_line_metrics": "SELECT doc_id, len(string_split(text, chr(10)))::INT AS n_lines, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[A-Z][^.!?]{0,60}$')))::INT AS n_headings, (length(text) - length(replace(text, 'Ã', '')))::INT AS suspicious FROM documents",
-    "weight_extraction": "SELECT said, n, CASE WHEN k = 2 THEN NULL ELSE q::DOUBLE END AS max_mark, q || CASE k WHEN 0 THEN ' marks' WHEN 1 THEN ' points' ELSE '%' END AS weight FROM (SELECT l_linenumber % 3 AS k, l_quantity::INT AS q, CASE l_linenumber % 3 WHEN 0 THEN 'worth ' || l_quantity::INT || ' marks' WHEN 1 THEN 'Part (' || l_quantity::INT || ' points)' ELSE l_quantity::INT || '% of the total' END AS said, count(*) AS n FROM lineitem GROUP BY ALL)",
+    "weight_extraction": "SELECT said, n, CASE WHEN k = 2 THEN NULL ELSE q::DOUBLE END AS max_mark, CASE k WHEN 0 THEN q || ' marks' WHEN 1 THEN q || ' points' ELSE q || ' %' END AS weight FROM (SELECT l_linenumber % 3 AS k, l_quantity::INT AS q, CASE l_linenumber % 3 WHEN 0 THEN 'worth ' || l_quantity::INT || ' marks' WHEN 1 THEN 'Part (' || l_quantity::INT || ' points)' ELSE l_quantity::INT || '%of the total' END AS said, count(*) AS n FROM lineitem GROUP BY ALL)",
     "max_mark_inference": "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'none' WHEN p_partkey % 4 = 0 AND p_size <> 20 THEN 'conflict' ELSE 'ok' END AS state, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 4 = 0 AND p_size <> 20 THEN NULL ELSE p_size::DOUBLE END AS max_mark FROM part",
-    "task_type_ladder": f"SELECT p_partkey, task, CASE WHEN task IN ('evaluation', 'comparison', 'critique_and_revision', 'interpretation') THEN 'abstract' ELSE 'deterministic' END AS criterion_mode, CASE WHEN task IN ('evaluation', 'comparison', 'critique_and_revision') THEN 'analytical' ELSE 'deterministic' END AS grading_mode FROM ({_TASK})",
-    "dependency_group": "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN lower(p_brand) ELSE '' END AS dependency, CASE WHEN p_size % 5 = 0 THEN 'part 2' ELSE '' END AS labels FROM part",
     "role_classification": _ROLE,
     "bundle_summary": f"SELECT page_id % 10 AS assessment, {', '.join(f'''count(*) FILTER (role = '{r}') AS {r}''' for r in ('rubric', 'brief', 'scheme', 'graded_sample', 'other', 'submission'))} FROM ({_ROLE}) GROUP BY 1",
     "csv_row_text": "SELECT c_custkey, 'c_name:' || chr(10) || trim(c_name) || chr(10) || chr(10) || 'c_mktsegment:' || chr(10) || trim(c_mktsegment) AS script_text FROM customer",
     "keyword_lists": "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' , ' || p_brand || ' ,  , ' || p_type, ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS keywords FROM part",
     "criteria_cap5_dedup": "SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord, criterion)::INT AS nth, criterion FROM (SELECT l_suppkey, 'checks step ' || (l_linenumber * 10 + l_quantity::INT % 3) AS criterion, min(l_orderkey * 100 + l_partkey % 100) AS ord FROM lineitem GROUP BY 1, 2) QUALIFY nth <= 5",
     "json_part_analysis_validate": "SELECT error_code, count(*) AS n, sum(CASE WHEN error_code IS NULL THEN q END) AS score, sum(CASE WHEN error_code IS NULL THEN 2 END)::BIGINT AS n_strengths FROM (SELECT l_quantity AS q, CASE l_partkey % 6 WHEN 0 THEN 'score_not_numeric' WHEN 1 THEN 'score_negative' WHEN 2 THEN 'comment_missing' WHEN 3 THEN 'not_json' END AS error_code FROM lineitem) GROUP BY 1",
-    "criterion_status_map": "SELECT raw, count(*) AS n, CASE raw WHEN 'Met' THEN 'met' WHEN 'strong' THEN 'met' WHEN 'partially met' THEN 'partial' WHEN 'missed' THEN 'missed' WHEN 'weak' THEN 'missed' END AS status FROM (SELECT (['Met','partially met','missed','strong','weak','???'])[l_partkey % 6 + 1] AS raw FROM lineitem) GROUP BY 1",
+    "criterion_status_map": "SELECT raw, scale, n, native, CASE native WHEN 'clear' THEN 'met' WHEN 'strong' THEN 'met' WHEN 'secure' THEN 'met' WHEN 'developing' THEN 'partial' WHEN 'partial' THEN 'partial' WHEN 'weak' THEN 'missed' WHEN 'missing_or_wrong' THEN 'missed' ELSE native END AS normalized FROM (SELECT *, CASE WHEN scale = 'likert_judgement' THEN CASE raw WHEN 'Met' THEN 'clear' WHEN 'missed' THEN 'weak' WHEN 'secure' THEN 'strong' WHEN 'mixed' THEN 'developing' ELSE lower(raw) END ELSE CASE raw WHEN 'Met' THEN 'secure' WHEN 'missed' THEN 'missing_or_wrong' WHEN 'strong' THEN 'secure' WHEN 'weak' THEN 'missing_or_wrong' WHEN 'mixed' THEN 'partial' ELSE lower(raw) END END AS native FROM (SELECT (['Met','partially met','missed','strong','weak','secure','mixed'])[l_partkey % 7 + 1] AS raw, CASE WHEN l_linenumber % 2 = 0 THEN 'likert_judgement' ELSE 'step_status' END AS scale, count(*) AS n FROM lineitem GROUP BY ALL))",
     "note_trim": rf"SELECT doc_id, substring(array_to_string((string_split(regexp_replace(trim(regexp_replace(text, '{_W}', ' ', 'g')), '[.;:,]+$', ''), ' '))[1:5], ' '), 1, 48) AS note FROM documents",
-    "feedback_points": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, point)::INT AS nth, point FROM (SELECT conv_id, min(turn) AS ord, arg_min(p, turn) AS point FROM (SELECT conv_id, turn, substring(text, 1, 40) AS p FROM conversations) GROUP BY conv_id, regexp_replace(lower(p), '[.]+$', '')) QUALIFY nth <= 6",
+    "feedback_points": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, point)::INT AS nth, point FROM (SELECT conv_id, min(turn) AS ord, arg_min(p, turn) AS point FROM (SELECT conv_id, turn, text AS p FROM conversations) GROUP BY conv_id, regexp_replace(lower(p), '[.]+$', '')) QUALIFY nth <= 6",
 }
 ROWS_ONLY = ("markdown_cleanup",)
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}

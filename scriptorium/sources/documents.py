@@ -63,8 +63,14 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     return texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
 
 
-#: The first role of whose words one is in the stem or the parent folder.
-ROLES = (("rubric", ("rubric", "criteria")), ("brief", ("brief", "assignment")), ("scheme", ("scheme", "mark scheme", "answers")), ("graded_sample", ("sample", "graded")), ("other", ("context", "notes")))
+#: S13. The first role of whose words one is in the stem or the parent folder; _ is a space there.
+ROLES = (
+    ("rubric", ("rubric",)),
+    ("brief", ("brief", "assignment")),
+    ("scheme", ("marking_scheme", "marking scheme", "scheme")),
+    ("graded_sample", ("graded_sample", "graded sample", "sample", "example")),
+    ("other", ("support", "context", "guidance", "instruction")),
+)
 
 
 def role(stem: Column, parent: Column) -> Column:

@@ -26,13 +26,25 @@ def test_repeated_character_is_an_issue(spark):
 
 
 def test_maximum_marks(spark):
-    assert one(spark, t.max_marks(F.col("s")), s="out of 20. Maximum: 85") == [20.0, 85.0]
+    assert one(spark, t.max_marks(F.col("s")), s="out of 20. Maximum mark: 85. Total: 7") == [20.0, 85.0]
     assert one(spark, t.max_marks(F.col("s")), s="nothing") == []
 
 
 def test_per_cent_is_no_mark(spark):
-    assert one(spark, t.mark_of(F.col("s")), s="worth 30%") is None
-    assert one(spark, t.weight_of(F.col("s")), s="worth 30%") == "30%"
+    assert one(spark, t.mark_of(F.col("s")), s="worth 30%x") is None
+    assert one(spark, t.weight_of(F.col("s")), s="worth 30%x") == "30 %"
+    assert one(spark, t.weight_of(F.col("s")), s="(30%)") == ""
+    assert one(spark, t.mark_of(F.col("s")), s="worth 7.5 points") == 7.5
+
+
+def test_context(spark):
+    check = t.context_check(F.col("r"), F.col("b"), F.col("s"), F.col("m"))
+    say = lambda r, b, s, m: tuple(one(spark, check, r=r, b=b, s=s, m=m))
+    assert say(" ", "out of 5", "", "") == (None, "no_rubric_or_scheme")
+    assert say("out of 5", "", "max mark 5", "5") == (5.0, None)
+    check = t.context_check(F.col("r"), F.col("b"), F.col("s"), F.lit(None))
+    assert say("out of 5", "out of 6", "", "") == (None, "conflicting_max_marks")
+    assert say("a rubric", "", "", "") == (None, "no_max_mark")
 
 
 def test_totals(spark):
@@ -71,3 +83,39 @@ def test_few_anchors_give_the_whole_text(spark):
     subs = spark.createDataFrame([(1, "no headers here")], "submission_id int, text string")
     wanted = spark.createDataFrame([(1, 1, "Part 1"), (1, 2, "Part 2")], "submission_id int, part_idx int, label string")
     assert [r.section_text for r in structure.segmented(subs, wanted).collect()] == ["no headers here"] * 2
+
+
+def test_marking_lines(spark):
+    lines = ["What is it?", "Answer: Students should say so", "- and this", "other", "- not this", "They are expected to show it", "\u2022 and that"]
+    found = spark.createDataFrame([(lines,)], "x array<string>").select(structure.split_marking(F.col("x")).alias("x")).head().x
+    assert (found.question, found.marking) == (["What is it?"], ["Students should say so", "- and this", "They are expected to show it", "\u2022 and that"])
+
+
+def test_sections_with_all_forms(spark):
+    text = "intro\nQuestion iv (20 marks)\nDiscuss:\na) one thing [5 marks]\n(b) another\nAnswer: marks should be given for part 2 q3\nsection B\nUse slide 3 and Question IV"
+    rows = structure.sections(spark.createDataFrame([("a", text)], "assessment string, text string")).orderBy("ord").collect()
+    assert [(r.label, r.max_mark, r.weight_text) for r in rows] == [("Question IV", 20.0, "20 marks"), ("Section B", None, "")]
+    assert [(c.label, c.max_mark) for c in rows[0].children] == [("Question IV A", 5.0), ("Question IV B", None)]
+    assert rows[0].marking == "marks should be given for part 2 q3" and rows[0].dependencies == ["part 2 q3"]
+    assert rows[1].dependencies == ["question iv"] and rows[1].evidence == ["Use slide 3 and Question IV"]
+    units = structure.assessment_map(spark.createDataFrame([("a", text), ("b", "no headers")], "assessment string, text string")).collect()
+    assert sorted((u.assessment, u.label_key, u.max_mark, u.scale_confidence) for u in units) == sorted([("a", "question iv a", 5.0, 95), ("a", "question iv b", 15.0, 95), ("a", "section b", None, 95), ("b", "whole submission", None, 60)], key=str)
+
+
+def test_anchors_keep_out_of_contents(spark):
+    body = "Part 1\nfirst answer. " + "words " * 120 + "\nthe reply to Part 2 is here " + "words " * 120 + "\nPart 3: third\n" + "words " * 40
+    toc = "Part 1 .... 1\nPart 2 .... 2\nPart 3 .... 3\n"
+    subs = spark.createDataFrame([(1, toc + body)], "submission_id int, text string")
+    wanted = spark.createDataFrame([(1, i, f"Part {i}") for i in (1, 2, 3)], "submission_id int, part_idx int, label string")
+    found = {r.label: r.section_text for r in structure.segmented(subs, wanted).collect()}
+    assert found["Part 1"].startswith("Part 1\nfirst") and found["Part 2"].startswith("Part 2 is here") and found["Part 3"].strip().startswith("Part 3: third")
+
+
+def test_short_slices_are_widened(spark):
+    text = "x" * 300 + "\n" + "start of a line " + "TARGET" + " end of it\n" + "y" * 300
+    at = text.index("TARGET")
+    assert one(spark, structure.repaired(F.col("s"), F.lit(at), F.lit(at + 6), F.lit("why")), s=text) == "start of a line TARGET end of it"
+
+
+def test_part_breakdown(spark):
+    assert one(spark, t.part_breakdown(F.col("s")), s="part 1: 3/5 Part 2  q1: 7.5/10, PART 1: 4/5") == {"Part 1": 4.0, "Part 2 Q1": 7.5}
