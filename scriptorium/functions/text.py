@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
     """Whether any of the words is a part of the text."""
-    return functools.reduce(operator.or_, (F.contains(text, F.lit(w)) for w in words))
+    return text.rlike("|".join(map(re.escape, words)))
 
 
 def lines_of(text: Column) -> Column:
@@ -136,7 +137,7 @@ def slug(text: Column) -> Column:
 
 def clean_number(x: Column) -> Column:
     """Whole numbers without a point, others to two places without closing zeros."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(F.regexp_replace(F.format_string("%.2f", x), r"0$", ""))
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).when(x.isNotNull(), F.regexp_replace(F.format_string("%.2f", x), r"0$", ""))
 
 
 def canonical_label(label: Column) -> Column:
@@ -285,13 +286,13 @@ MARKING_PHRASES = ("marks should be allocated", "should be allocated", "are expe
 
 def is_marking_line(line: Column) -> Column:
     low = F.lower(F.trim(line))
-    return functools.reduce(operator.or_, (F.startswith(low, F.lit(w)) for w in MARKING_STARTS)) | any_of(low, MARKING_PHRASES)
+    return low.rlike("^(?:" + "|".join(map(re.escape, MARKING_STARTS)) + ")") | any_of(low, MARKING_PHRASES)
 
 
 def header_only(text: Column) -> Column:
     """No line, or one that is short or a header."""
     lines = lines_of(text)
-    return (F.size(lines) == 0) | ((F.size(lines) == 1) & ((F.length(lines[0]) <= 40) | lines[0].rlike(TOP_HEADER)))
+    return (F.size(lines) == 0) | ((F.size(lines) == 1) & ((F.length(F.get(lines, F.lit(0))) <= 40) | F.get(lines, F.lit(0)).rlike(TOP_HEADER)))
 
 
 def numbered_items(text: Column) -> Column:

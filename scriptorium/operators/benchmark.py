@@ -36,9 +36,46 @@ def top_values(rows: DataFrame, value: str, most: int, *by: str) -> DataFrame:
     return counts.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
-def consistency(results: DataFrame, by: str) -> DataFrame:
-    """One row a model: counts, medians, spread of marks, share of the top mark."""
+def consistency(results: DataFrame, by: str, most: float) -> DataFrame:
+    """One row a model of results (status, mark, n_parts, n_words, extraction_issue, calibration_delta, latency, ai_math_delta).
+
+    Medians are exact; what a task holds for them is the counts of a group's distinct values."""
+    delta = F.abs("ai_math_delta")
     return results.groupBy(by).agg(
-        F.count("*").alias("n"), F.median("mark").alias("median_mark"), F.min("mark").alias("min_mark"), F.max("mark").alias("max_mark"),
-        F.count_if(F.abs("delta") > 3).alias("n_large_delta"), F.median(F.abs("delta")).alias("median_delta"), F.countDistinct("mark").alias("distinct_marks"),
+        F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.median("n_parts").alias("median_parts"), F.median("n_words").alias("median_words"),
+        F.count_if("extraction_issue").alias("n_extraction_issues"), F.count_if(F.coalesce("calibration_delta", F.lit(0.0)) != 0).alias("n_calibrated"), F.median("latency").alias("median_latency"), F.max("latency").alias("max_latency"),
+        F.median(delta).alias("median_delta"), F.max(delta).alias("max_delta"), F.count_if(delta > 3).alias("n_large_delta"),
+        F.count("mark").alias("n_marks"), F.round(F.avg("mark"), 2).alias("mean_mark"), F.median("mark").alias("median_mark"), F.min("mark").alias("min_mark"), F.max("mark").alias("max_mark"),
+        F.array_join(F.transform(F.array_sort(F.collect_set("mark")), _reported), ", ").alias("distinct_marks"), F.count_if(F.col("mark") == most).alias("n_top_marks"),
     )
+
+
+def _reported(x: Column) -> Column:
+    """Whole numbers without a point, others to two places."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).when(x.isNotNull(), F.format_string("%.2f", x))
+
+
+def repeated(rows: DataFrame, value: str, order: str, most: int, *by: str, separator: str | None = None) -> DataFrame:
+    """The values that come most often (split at a separator, if there is one), ties by where they are first seen."""
+    from pyspark.sql import Window as W
+
+    each = rows.select(*by, order, F.explode(F.split(value, separator)).alias("value")) if separator else rows.select(*by, order, F.col(value).alias("value"))
+    counts = each.withColumn("value", F.trim("value")).where("value <> ''").groupBy(*by, "value").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    nth = F.row_number().over(W.partitionBy(*by).orderBy(F.col("n").desc(), "first", "value"))
+    return counts.withColumn("nth", nth).where(F.col("nth") <= most).select(*by, "value", "n", "nth")
+
+
+def disagreements(results: DataFrame, order: str, most: int = 10, least: float = 0.0) -> DataFrame:
+    """The first rows whose AI total is not the sum of the parts."""
+    return results.where(F.abs("ai_math_delta") > least).orderBy(order).limit(most)
+
+
+def moderation_groups(parts: DataFrame, *group: str) -> DataFrame:
+    """Sums of a group before and after moderation, their difference, and the labels that changed, in order."""
+    by = parts.groupBy(*group).agg(F.sum("score").alias("before"), F.sum("new_score").alias("after"), F.array_sort(F.collect_list(F.when(F.col("score") != F.col("new_score"), F.struct("part_idx", "label")))).alias("changed"))
+    return by.select(*group, "before", "after", F.round(F.col("after") - F.col("before"), 2).alias("delta"), F.array_join(F.transform("changed", lambda x: x["label"]), "|").alias("changed_labels"))
+
+
+def detection(found: Column, wanted: Column) -> tuple[Column, Column]:
+    """How many wanted labels were found, and whether all were, in order."""
+    return F.size(F.array_intersect(found, wanted)), found == wanted

@@ -119,3 +119,108 @@ def over_http(url: str, timeout: float = 300.0) -> Scorer:
             yield frame[["profile", "request_key", "attempt"]].assign(content=said)
 
     return lambda requests: requests.select("profile", "request_key", "attempt", "payload").mapInPandas(ask, "profile string, request_key string, attempt int, content string")
+
+
+_NOTE = "struct<criterion_name:string,status:string,note:string>"
+
+
+def criterion_notes(content: Column, names: Column, scale: Column, labels: Column) -> Column:
+    """Struct (notes, error_code) of a response's criterion notes: JSON text, an object by name or a list of objects.
+
+    names: the expected criteria in order; labels: statuses that the scale allows (empty: any). Unknown or repeated names, other
+    statuses and blank notes are errors; what was left out is 'omitted by model' at the lowest status."""
+    listed = F.from_json(content, f"array<{_NOTE}>")
+    keyed = F.from_json(content, "map<string,struct<status:string,note:string>>")
+    from_map = F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("criterion_name"), e["value"]["status"].alias("status"), e["value"]["note"].alias("note")))
+    is_list = F.ltrim(content).startswith("[")
+    given = F.transform(F.when(is_list, listed).otherwise(from_map), lambda x: F.struct(F.trim(x["criterion_name"]).alias("name"), status(x["status"], scale).alias("s"), note(F.coalesce(x["note"], F.lit(""))).alias("note")))
+    found = F.transform(given, lambda x: x["name"])
+    wrong = F.exists(found, lambda x: F.coalesce(~F.array_contains(names, x), F.lit(True))) | (F.size(F.array_distinct(found)) < F.size(found))
+    error = (
+        F.when(F.try_parse_json(content).isNull(), "not_json").when(given.isNull(), "not_a_list").when(wrong, "wrong_name")
+        .when((F.size(labels) > 0) & F.exists(given, lambda x: ~F.array_contains(labels, x["s"]["native"])), "wrong_status").when(F.exists(given, lambda x: x["note"] == ""), "blank_note")
+    )
+    least = status(F.when(scale == "likert_judgement", "weak").otherwise("missing_or_wrong"), scale)
+
+    def one(name: Column) -> Column:
+        mine = F.get(F.filter(given, lambda x: x["name"] == name), F.lit(0))
+        return F.struct(name.alias("criterion_name"), F.coalesce(mine["s"]["native"], least["native"]).alias("status"), F.coalesce(mine["s"]["normalized"], least["normalized"]).alias("normalized_status"), F.coalesce(mine["note"], F.lit("omitted by model")).alias("note"))
+
+    return F.struct(F.when(error.isNull(), F.transform(names, one)).alias("notes"), error.alias("error_code"))
+
+
+def _number(variant: Column, path: str) -> Column:
+    """A JSON number; null for texts, truth values and what is missing."""
+    return F.when(F.schema_of_variant(F.variant_get(variant, path, "variant")).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(variant, path, "double"))
+
+
+#: N18. Fixed values.
+AGREEMENTS = ("agree", "minor_concern", "major_concern")
+
+
+def verification(content: Column) -> Column:
+    """Struct (agreement, confidence, issues, recommendation, error_code) of a verifier's response (JSON text)."""
+    v = F.try_parse_json(content)
+    agreement, advice = (F.trim(F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))) for n in ("agreement", "recommendation"))
+    confidence, issues = _number(v, "$.confidence_0_to_100"), F.try_variant_get(v, "$.issues", "array<string>")
+    error = (
+        F.when(v.isNull(), "not_json").when(~agreement.isin(*AGREEMENTS), "invalid_agreement").when(confidence.isNull(), "invalid_confidence")
+        .when(~confidence.between(0, 100), "confidence_out_of_range").when(issues.isNull(), "invalid_issues").when(advice == "", "empty_recommendation")
+    )
+    said = F.filter(F.transform(issues, lambda x: F.trim(x)), lambda x: x != "")
+    ok = lambda x: F.when(error.isNull(), x)
+    return F.struct(ok(agreement).alias("agreement"), ok(F.round(confidence, 2)).alias("confidence"), ok(said).alias("issues"), ok(advice).alias("recommendation"), error.alias("error_code"))
+
+
+#: N19, N20. How a soft failure is marked, what it costs, and what a map must reach.
+VERIFIER_FAILED, FAILURE_COSTS, ACCEPTABLE = "rubric_verifier_failed:", 25.0, 75.0
+
+
+def verified_rubric(content: Column, text: Column, issues: Column) -> Column:
+    """Struct (rubric_text, confidence, issues) after a rubric's verification. A response that is no valid one leaves the text,
+    takes the confidence to 0 and adds an issue."""
+    v = F.try_parse_json(content)
+    new, confidence = F.trim(F.try_variant_get(v, "$.rubric_text", "string")), F.round(_number(v, "$.confidence_0_to_100"), 2)
+    bare = F.variant_get(v, "$.issues", "variant")
+    said = F.when(bare.isNull() | F.is_variant_null(bare), F.array().cast("array<string>")).otherwise(F.try_variant_get(v, "$.issues", "array<string>"))
+    why = (
+        F.when(v.isNull(), "not_json").when(F.coalesce(new, F.lit("")) == "", "no_rubric_text").when(said.isNull() | F.exists(said, lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""), "invalid_issues")
+        .when(confidence.isNull(), "invalid_confidence").when(~confidence.between(0, 100), "confidence_out_of_range")
+    )
+    failed = F.concat(issues, F.array(F.concat(F.lit(VERIFIER_FAILED + " "), why)))
+    return F.struct(F.when(why.isNull(), new).otherwise(text).alias("rubric_text"), F.when(why.isNull(), confidence).otherwise(0.0).alias("confidence"), F.when(why.isNull(), F.transform(said, lambda x: F.trim(x))).otherwise(failed).alias("issues"))
+
+
+def refinement_score(confidence: Column, issues: Column) -> Column:
+    """Confidence less one for each issue, and less for a failed verifier."""
+    failed = F.exists(issues, lambda x: F.ltrim(x).startswith(VERIFIER_FAILED))
+    return F.round(F.coalesce(confidence, F.lit(0.0)) - F.size(issues) - F.when(failed, FAILURE_COSTS).otherwise(0.0), 2)
+
+
+def refined(old: Column, new: Column, attempt: Column) -> Column:
+    """Struct (accepted, audit) of two units (rubric_text, confidence, issues): the new one only if its score is higher."""
+    better = refinement_score(new["confidence"], new["issues"]) > refinement_score(old["confidence"], old["issues"])
+    two = lambda x: F.format_string("%.2f", F.coalesce(x, F.lit(0.0)))
+    changed = F.when(F.trim(old["rubric_text"]) != F.trim(new["rubric_text"]), "text_changed").otherwise("text_unchanged")
+    audit = F.concat(F.lit("attempt_"), attempt.cast("string"), F.lit(": confidence "), two(old["confidence"]), F.lit("->"), two(new["confidence"]), F.lit(", issues "), F.size(old["issues"]).cast("string"), F.lit("->"), F.size(new["issues"]).cast("string"), F.lit(", "), changed)
+    return F.struct(better.alias("accepted"), audit.alias("audit"))
+
+
+def preparation(units: DataFrame, *key: str) -> DataFrame:
+    """A4: mean confidence of the units that have one (null without), and whether the map is acceptable: no failed verifier, and
+    no unit below ACCEPTABLE."""
+    failed = F.exists("issues", lambda x: F.ltrim(x).startswith(VERIFIER_FAILED))
+    by = units.groupBy(*key).agg(F.round(F.avg("confidence"), 2).alias("confidence"), F.min("confidence").alias("least"), F.bool_or(failed).alias("failed"))
+    return by.select(*key, "confidence", (F.col("least").isNull() | (~F.col("failed") & (F.col("least") >= ACCEPTABLE))).alias("acceptable"))
+
+
+def feedback_text(content: Column) -> Column:
+    """A feedback as text; an object whose content lists sections becomes 'label - analysis feedback' of each, in one line."""
+    listed = F.from_json(content, "content array<struct<section_label:string,analysis:string,feedback:string>>")["content"]
+
+    def said(x: Column) -> Column:
+        parts = F.filter(F.transform(F.array(x["section_label"], x["analysis"], x["feedback"]), lambda y: F.trim(F.coalesce(y, F.lit("")))), lambda y: y != "")
+        return F.concat_ws(" - ", F.get(parts, F.lit(0)), F.nullif(F.array_join(F.slice(parts, 2, 3), " "), F.lit("")))
+
+    lines = F.filter(F.transform(listed, said), lambda x: x != "")
+    return F.when(F.ltrim(content).startswith("{"), F.coalesce(F.array_join(lines, " "), F.lit(""))).otherwise(F.trim(content))

@@ -50,10 +50,10 @@ def moderated(parts: DataFrame, adjusted: DataFrame, *key: str) -> DataFrame:
     return out.select(*key, "score", new.alias("new_score"), F.round(new - F.col("score"), 2).alias("delta"), F.when(bad, "out_of_range").when(F.col("adjusted").isNull(), "no_change").otherwise("ok").alias("status"))
 
 
-def calibrated(results: DataFrame, marks: DataFrame, key: str, group: str) -> DataFrame:
+def calibrated(results: DataFrame, marks: DataFrame, key: str, group: str, most: float = 100.0) -> DataFrame:
     """A group takes its calibration only if every member has a valid one; unknown keys are ignored."""
     out = results.join(marks, key, "left")
-    valid = F.col("calibrated").isNotNull() & F.col("calibrated").between(0, 100)
+    valid = F.col("calibrated").isNotNull() & F.col("calibrated").between(0, most)
     whole = F.min(valid.cast("int")).over(W.partitionBy(group)) == 1
     new = F.when(whole, F.col("calibrated")).otherwise(F.col("mark"))
     return out.select(key, group, "mark", new.alias("final_mark"), F.round(new - F.col("mark"), 2).alias("calibration_delta"), F.when(whole, "ok").otherwise("calibration_failed").alias("status"))

@@ -25,15 +25,18 @@ def _rest(rows: Column) -> Column:
 def split_marking(lines: Column) -> Column:
     """Struct (question, marking), arrays of lines. All before the first 'answer:' line is the question; of what follows,
     marking instructions stay, and bullets right after one."""
+    none = F.array().cast("array<string>")
     said = lambda x: F.lower(x).startswith("answer:")
     first = F.array_position(F.transform(lines, said), F.lit(True)).cast("int")
-    after = F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines))
-    what = F.transform(after, lambda x: F.when(said(x), F.trim(F.regexp_replace(x, r"^[^:]*:", ""))).otherwise(x))
-    # bullets go on with what stands before them; an answer line without an instruction changes nothing
-    told = F.transform(what, lambda x, i: F.struct(x.alias("line"), F.when(t.is_marking_line(x), "yes").when(said(F.get(after, i)), "as before").when(x.rlike("^[-\u2022]"), "as before").otherwise("no").alias("is"), said(F.get(after, i)).alias("head")))
-    last = F.transform(told, lambda x, i: F.element_at(F.concat(F.array(F.lit("no")), F.filter(F.transform(F.slice(told, 1, i + 1), lambda y: y["is"]), lambda y: y != "as before")), -1))
-    kept = F.filter(F.zip_with(told, last, lambda x, y: F.when((x["is"] == "yes") | ((x["is"] == "as before") & ~x["head"] & (y == "yes")), x["line"])), lambda x: x.isNotNull())
-    none = F.array().cast("array<string>")
+    state = "struct<on:boolean,kept:array<string>>"
+
+    def step(a: Column, x: Column) -> Column:
+        line = F.when(said(x), F.trim(F.regexp_replace(x, "^[^:]*:", ""))).otherwise(x)
+        keep = t.is_marking_line(line) | (~said(x) & a["on"] & x.rlike("^[-\u2022]"))
+        # an answer line without an instruction changes nothing
+        return F.struct((keep | (said(x) & a["on"])).alias("on"), F.when(keep, F.concat(a["kept"], F.array(line))).otherwise(a["kept"]).alias("kept")).cast(state)
+
+    kept = F.aggregate(F.slice(lines, F.greatest(first, F.lit(1)), F.size(lines)), F.struct(F.lit(False), none).cast(state), step, lambda a: a["kept"])
     return F.struct(F.when(first > 0, F.slice(lines, 1, first - 1)).otherwise(lines).alias("question"), F.when(first > 0, kept).otherwise(none).alias("marking"))
 
 
@@ -82,21 +85,23 @@ def children(parsed: DataFrame, key: str = "assessment") -> DataFrame:
 
 
 def assessment_map(docs: DataFrame, key: str = "assessment") -> DataFrame:
-    """Key, label, label_key, max_mark and scale_confidence (95 where any unit has a mark, else 60) of each unit. A section
-    with two marked subparts or more gives these, another itself; a document without sections is one unit. No shuffle."""
-    kind = "struct<label:string,label_key:string,max_mark:double>"
+    """Key, label, label_key and max_mark of each unit. A section with two marked subparts or more gives these, another
+    itself; a document without sections is one unit. No shuffle."""
+    kind = "array<struct<label:string,label_key:string,max_mark:double>>"
+    split = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, _groups(F.col("lines"), t.is_header).alias("groups"))
+    rows = split.select(key, F.explode_outer("groups").alias("rows")).select(key, F.get("rows", F.lit(0)).alias("head"), _rest(F.col("rows")).alias("rest"))
+    rows = rows.select(key, t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1)).alias("label"), t.mark_of(F.col("head")).alias("max_mark"), split_marking(F.col("rest")).alias("split"))
+    rows = rows.select(key, "label", "max_mark", subparts(F.col("label"), F.col("split.question")).alias("kids"))
+    rows = rows.select(key, "label", "max_mark", with_shared_marks(F.col("kids"), F.col("max_mark")).alias("kids"))
+    rows = rows.select(key, "label", "max_mark", F.filter("kids", lambda x: x["max_mark"].isNotNull()).alias("kids"))
+    own = F.array(F.struct(F.coalesce("label", F.lit("Whole Submission")), t.label_key(F.coalesce("label", F.lit("Whole Submission"))), "max_mark")).cast(kind)
+    each = F.transform("kids", lambda x: F.struct(x["label"], x["label_key"], x["max_mark"])).cast(kind)
+    return rows.select(key, F.explode(F.when(F.size("kids") >= 2, each).otherwise(own)).alias("u")).select(key, "u.*")
 
-    def units(rows: Column) -> Column:
-        label, most = t.canonical_label(F.regexp_extract(rows[0], t.TOP_HEADER, 1)), t.mark_of(rows[0])
-        marked = F.filter(with_shared_marks(subparts(label, split_marking(_rest(rows))["question"]), most), lambda x: x["max_mark"].isNotNull())
-        each = F.transform(marked, lambda x: F.struct(x["label"].alias("label"), x["label_key"].alias("label_key"), x["max_mark"].alias("max_mark")).cast(kind))
-        return F.when(F.size(marked) >= 2, each).otherwise(F.array(F.struct(label.alias("label"), t.label_key(label).alias("label_key"), most.alias("max_mark")).cast(kind)))
 
-    found = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, F.flatten(F.transform(_groups(F.col("lines"), t.is_header), units)).alias("units"))
-    whole = F.array(F.struct(F.lit("Whole Submission"), F.lit("whole submission"), F.lit(None)).cast(kind))
-    found = found.select(key, F.when(F.size("units") > 0, F.col("units")).otherwise(whole).alias("units"))
-    sure = F.when(F.exists("units", lambda x: x["max_mark"].isNotNull()), 95).otherwise(60)
-    return found.select(key, sure.alias("scale_confidence"), F.explode("units").alias("u")).select(key, "u.*", "scale_confidence")
+def scale_confidence(units: DataFrame, key: str = "assessment") -> DataFrame:
+    """95 where any unit of a map has a mark, else 60."""
+    return units.groupBy(key).agg(F.when(F.max("max_mark").isNotNull(), 95).otherwise(60).alias("scale_confidence"))
 
 
 def expected_subparts(parsed: DataFrame, key: str = "assessment", require_marks: bool = True) -> DataFrame:
@@ -182,7 +187,7 @@ def _anchor(text: Column, toc: Column, *names: Column) -> Column:
 def _sliced(rows: DataFrame, key: list[str], few: Column) -> DataFrame:
     """Anchored rows (array `parts` of part_idx, label, pos) cut from `text`: the first part of a position keeps it, each goes
     to the next anchor; where there are too few, all have the whole text."""
-    once = F.filter("parts", lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: (y["pos"] == x["pos"]) & (y["part_idx"] < x["part_idx"])))
+    once = F.filter("parts", lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: y["pos"].eqNullSafe(x["pos"]) & (y["part_idx"] < x["part_idx"])))
     rows = rows.withColumn("found", F.array_sort(F.transform(once, lambda x: F.struct(x["pos"].alias("pos"), x["part_idx"].alias("part_idx"), x["label"].alias("label")))))
     cut = F.transform("found", lambda x, i: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), F.substring(F.col("text"), x["pos"] + 1, F.coalesce(F.get("found", i + 1)["pos"], F.length("text")) - x["pos"]).alias("section_text")))
     whole = F.transform("parts", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), F.col("text").alias("section_text")))
@@ -221,7 +226,7 @@ def subpart_segments(parts: DataFrame, wanted: DataFrame, *key: str) -> DataFram
     both = both.withColumn("parts", F.transform("wanted", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), subpart_anchor(F.col("text"), x["label"]).alias("pos"))))
     both = both.withColumn("n_anchors", F.size(F.array_distinct(F.filter(F.transform("parts", lambda x: x["pos"]), lambda p: p.isNotNull()))))
     enough = (F.col("text") != "") & (F.col("n_anchors") >= F.greatest(F.lit(2), F.floor(F.size("parts") / 2) + 1))
-    first = lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: (y["pos"] == x["pos"]) & (y["part_idx"] < x["part_idx"]))
+    first = lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: y["pos"].eqNullSafe(x["pos"]) & (y["part_idx"] < x["part_idx"]))
     both = both.withColumn("cuts", F.when(enough, F.array_sort(F.transform(F.filter("parts", first), lambda x: x["pos"]))).otherwise(F.array().cast("array<int>")))
 
     def resolved(x: Column) -> Column:

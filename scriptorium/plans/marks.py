@@ -120,16 +120,6 @@ def mark_distribution(spark, sf):
     return _parts(spark, sf).groupBy("l_returnflag", "score").agg(F.count("*").alias("n"))
 
 
-def consistency_report(spark, sf):
-    r = _parts(spark, sf).select(F.col("l_returnflag").alias("model"), F.col("score").alias("mark"), (F.col("score") - F.col("part_idx")).alias("delta"))
-    return benchmark.consistency(r, "model")
-
-
-def verifier_report(spark, sf):
-    found = _t(spark, sf, "labels")
-    return found.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("major_concern"), F.median("toxic").alias("median_toxic"))
-
-
 def cross_model_average(spark, sf):
     p = _parts(spark, sf).groupBy("submission_id").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("score"))
     held = F.filter(F.array("A", "N", "R"), lambda x: x.isNotNull())
@@ -171,8 +161,6 @@ SQL = {
     "stage_latency_breakdown": "SELECT event_type, count(*) AS n, median(value) AS median_s, max(value) AS max_s, count(DISTINCT user_id) AS scripts FROM events GROUP BY 1",
     "error_rollup": "SELECT event_type, count(DISTINCT (user_id, ts::DATE)) AS scripts_with_errors, count(*) AS n_errors FROM events WHERE value > 50 GROUP BY 1",
     "mark_distribution": "SELECT l_returnflag, l_quantity AS score, count(*) AS n FROM lineitem GROUP BY 1, 2",
-    "consistency_report": "SELECT l_returnflag AS model, count(*) AS n, median(l_quantity) AS median_mark, min(l_quantity) AS min_mark, max(l_quantity) AS max_mark, count(*) FILTER (abs(l_quantity - l_linenumber) > 3) AS n_large_delta, median(abs(l_quantity - l_linenumber)) AS median_delta, count(DISTINCT l_quantity) AS distinct_marks FROM lineitem GROUP BY 1",
-    "verifier_report": "SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS major_concern, median(toxic)::DOUBLE AS median_toxic FROM labels GROUP BY 1",
     "cross_model_average": "SELECT submission_id, (coalesce(a, 0) + coalesce(n, 0) + coalesce(r, 0)) / ((a IS NOT NULL)::INT + (n IS NOT NULL)::INT + (r IS NOT NULL)::INT) AS average_mark, abs(a - r) AS difference FROM (SELECT l_orderkey AS submission_id, max(l_quantity) FILTER (l_returnflag = 'A') AS a, max(l_quantity) FILTER (l_returnflag = 'N') AS n, max(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)",
     "top_suppliers_of_errors": "SELECT l_returnflag, l_suppkey, n, row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey)::INT AS nth FROM (SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity < 5 GROUP BY 1, 2) QUALIFY nth <= 5",
     "natural_label_sort_rank": "SELECT 'Part ' || l_linenumber AS label, sum(l_quantity) AS total, row_number() OVER (ORDER BY l_linenumber)::INT AS rank FROM lineitem GROUP BY l_linenumber",

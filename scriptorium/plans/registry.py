@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import marks, structure, texts
+from scriptorium.plans import cases, marks, reports, structure, texts
 
-GROUPS = (marks, texts, structure)
+GROUPS = (marks, reports, texts, structure, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

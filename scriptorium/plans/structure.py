@@ -36,7 +36,14 @@ def child_parse_and_marks(spark, sf):
 
 def assessment_units(spark, sf):
     """A section with two marked children or more gives its children, another itself."""
-    return structure.assessment_map(_documents(spark, sf)).select("assessment", "label_key", "max_mark", "scale_confidence")
+    return structure.assessment_map(_documents(spark, sf)).select("assessment", "label_key", "max_mark")
+
+
+def scale_confidence(spark, sf):
+    """Of documents half of which state no marks, or have no sections at all."""
+    d = _documents(spark, sf)
+    plain = F.when(F.col("assessment") % 4 == 0, "no headers").when(F.col("assessment") % 4 == 1, F.regexp_replace("text", r"\d+ marks", "all")).otherwise(F.col("text"))
+    return structure.scale_confidence(structure.assessment_map(d.withColumn("text", plain)))
 
 
 def expected_units(spark, sf):
@@ -64,7 +71,8 @@ def _transcripts(spark, sf):
     c = c.withColumn("label", F.concat(F.lit("Part "), F.col("part_idx").cast("string")))
     toc = F.concat(F.lit("Part "), F.lit("1 ....... 1\nPart 2 ....... 2\nPart 3 ....... 3\n"))
     joined = c.groupBy("submission_id").agg(F.array_sort(F.collect_list(F.struct("part_idx", "label", "text"))).alias("rows"))
-    text = F.concat(toc, F.array_join(F.transform("rows", lambda x: F.concat(x["label"], F.lit("\n"), x["text"])), "\n"))
+    toc = F.when(F.size("rows") >= 3, toc).otherwise("")  # fewer labels make no table of contents
+    text = F.concat(toc, F.array_join(F.transform("rows", lambda x: F.concat(x["label"], F.lit("\n"), x["text"])), "\n"), F.repeat(F.lit(" end"), 200))
     return joined.select("submission_id", text.alias("text")), c.select("submission_id", "part_idx", "label")
 
 
@@ -72,7 +80,7 @@ def segment_by_anchor(spark, sf):
     subs, expected = _transcripts(spark, sf)
     out = structure.segmented(subs, expected)
     body = F.expr("substring(section_text, length(label) + 2, length(section_text))")
-    return out.select("submission_id", "part_idx", "label", F.regexp_replace(body, r"\n$", "").alias("said"))
+    return out.select("submission_id", "part_idx", "label", F.regexp_replace(F.regexp_replace(body, r"( end){200}$", ""), r"\n$", "").alias("said"))
 
 
 def expected_left_detected(spark, sf):
@@ -148,7 +156,8 @@ _MERGED = "SELECT p_brand AS assessment, 'part ' || (p_size % 10) AS label_key,
 SQL = {
     "section_parse": f"SELECT l_orderkey AS assessment, n::BIGINT AS ord, 'part ' || n AS label_key, q::DOUBLE AS max_mark, q || ' marks' AS weight_text, (length('1. state item ' || l_partkey || ' [2 marks]') + 1 + length('2. explain item ' || l_suppkey))::INT AS body_chars FROM ({_N})",
     "child_parse_and_marks": f"SELECT l_orderkey AS assessment, (2 * count(*))::BIGINT AS n_units, sum(2.0::DOUBLE + coalesce({_SECOND}, 0)) AS marks, (count(*) + count({_SECOND}))::BIGINT AS n_marked FROM ({_N}) GROUP BY 1",
-    "assessment_units": f"SELECT l_orderkey AS assessment, unnest(CASE WHEN q > 2 THEN ['part ' || n || ' q1', 'part ' || n || ' q2'] ELSE ['part ' || n] END) AS label_key, unnest(CASE WHEN q > 2 THEN [2.0::DOUBLE, (q - 2)::DOUBLE] ELSE [q::DOUBLE] END) AS max_mark, 95 AS scale_confidence FROM ({_N})",
+    "assessment_units": f"SELECT l_orderkey AS assessment, unnest(CASE WHEN q > 2 THEN ['part ' || n || ' q1', 'part ' || n || ' q2'] ELSE ['part ' || n] END) AS label_key, unnest(CASE WHEN q > 2 THEN [2.0::DOUBLE, (q - 2)::DOUBLE] ELSE [q::DOUBLE] END) AS max_mark FROM ({_N})",
+    "scale_confidence": f"SELECT DISTINCT l_orderkey AS assessment, CASE WHEN l_orderkey % 4 < 2 THEN 60 ELSE 95 END AS scale_confidence FROM ({_N})",
     "structure_merge": _MERGED.format(s="", w="true"),
     "structure_reconcile": f"SELECT assessment, label_key, coalesce(s.max_mark, p.max_mark) AS max_mark, coalesce(p.body, s.body) AS body, CASE WHEN s.body IS NULL THEN 'prompt' WHEN p.body IS NULL THEN 'scheme' ELSE 'both' END AS side FROM ({_MERGED.format(s='', w='p_size < 30')}) p FULL JOIN ({_MERGED.format(s='...', w='p_size >= 25')}) s USING (assessment, label_key)",
     "segment_by_anchor": "SELECT conv_id AS submission_id, (turn + 1)::INT AS part_idx, 'Part ' || (turn + 1) AS label, text AS said FROM conversations",

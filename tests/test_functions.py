@@ -99,7 +99,7 @@ def test_sections_with_all_forms(spark):
     assert rows[0].marking == "marks should be given for part 2 q3" and rows[0].dependencies == ["part 2 q3"]
     assert rows[1].dependencies == ["question iv"] and rows[1].evidence == ["Use slide 3 and Question IV"]
     units = structure.assessment_map(spark.createDataFrame([("a", text), ("b", "no headers")], "assessment string, text string")).collect()
-    assert sorted((u.assessment, u.label_key, u.max_mark, u.scale_confidence) for u in units) == sorted([("a", "question iv a", 5.0, 95), ("a", "question iv b", 15.0, 95), ("a", "section b", None, 95), ("b", "whole submission", None, 60)], key=str)
+    assert sorted((u.assessment, u.label_key, u.max_mark) for u in units) == sorted([("a", "question iv a", 5.0), ("a", "question iv b", 15.0), ("a", "section b", None), ("b", "whole submission", None)], key=str)
 
 
 def test_anchors_keep_out_of_contents(spark):
@@ -119,3 +119,39 @@ def test_short_slices_are_widened(spark):
 
 def test_part_breakdown(spark):
     assert one(spark, t.part_breakdown(F.col("s")), s="part 1: 3/5 Part 2  q1: 7.5/10, PART 1: 4/5") == {"Part 1": 4.0, "Part 2 Q1": 7.5}
+
+
+def test_parts_without_an_anchor_spoil_no_others(spark):
+    text = "Part 1\nlong answer\nPart 3\nanother\nPart 4\nlast"
+    subs = spark.createDataFrame([(1, text)], "submission_id int, text string")
+    wanted = spark.createDataFrame([(1, i, f"Part {i}") for i in (1, 2, 3, 4)], "submission_id int, part_idx int, label string")
+    found = {r.label: r.section_text.strip() for r in structure.segmented(subs, wanted).collect()}
+    assert found == {"Part 1": "Part 1\nlong answer", "Part 3": "Part 3\nanother", "Part 4": "Part 4\nlast"}
+
+
+def test_docx_structure(spark):
+    held = io.BytesIO()
+    ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = '<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>a styled line.</w:t></w:r></w:p><w:p><w:r><w:rPr><w:b/></w:rPr><w:t>bold words.</w:t></w:r></w:p><w:p><w:r><w:rPr><w:sz w:val="28"/></w:rPr><w:t>large words.</w:t></w:r></w:p><w:p><w:r><w:t>plain words.</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body>{body}</w:body></w:document>')
+    files = spark.createDataFrame([("a.docx", held.getvalue()), ("b.docx", b"")], "path string, content binary")
+    found = {r.path: (r.text, r.error_code) for r in documents.structure_texts(files).collect()}
+    assert found == {"a.docx": ("[HEADING] a styled line.\n[HEADING] bold words.\n[HEADING] large words.\nplain words.\nx | y", None), "b.docx": (None, "BadZipFile")}
+
+
+def test_pdf_without_a_library_is_an_error_row(spark):
+    files = spark.createDataFrame([("a.pdf", b"%PDF-1.4 broken")], "path string, content binary")
+    assert documents.texts(files).head().error_code is not None
+
+
+def test_csv_encodings(spark, tmp_path):
+    (tmp_path / "u.csv").write_bytes("id,said\n1,né\n".encode())
+    (tmp_path / "w.csv").write_bytes("id,said\n1,né€\n".encode("cp1252"))
+    assert [documents.read_csv(spark, str(tmp_path / f)).head().said for f in ("u.csv", "w.csv")] == ["né", "né€"]
+
+
+def test_samples_repeat(spark):
+    files = spark.range(50).select(F.format_string("f%d.txt", "id").alias("path"))
+    one_, two = (sorted(r.path for r in documents.sampled(files.repartition(n), "path", 5, 7).collect()) for n in (1, 6))
+    assert one_ == two and len(one_) == 5
