@@ -139,19 +139,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
 
 def calibrated(bags: list[list[np.ndarray]], labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Scale and shift of the log-odds of sentences under which noisy-or makes the labels of documents that training left out
-    likeliest. Documents of both labels weigh alike, so that 0.5 divides them, however rare toxic ones are. Without both: 1, 0."""
+    likeliest: a score is then the probability of the label, and 0.5 makes the fewest errors. Without both labels: 1, 0."""
     if not len(labels) or labels.min() == labels.max():
         return 1.0, 0.0
     of_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     z = np.array([weights[s].sum() + weights[-1] for b in bags for s in b])
-    share = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
 
     def loss(scale: float, shift: float) -> float:
         none = np.bincount(of_doc, weights=-np.logaddexp(0, scale * z + shift), minlength=len(bags))
         toxic = np.log(np.maximum(-np.expm1(none), 1e-9))
-        return -float((share * np.where(labels == 1, toxic, none)).sum())
+        return -float(np.where(labels == 1, toxic, none).mean())
 
-    return min(((a, b) for a in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0) for b in np.arange(-4, 4.01, 0.25)), key=lambda x: (loss(*x), abs(x[0] - 1), abs(x[1])))
+    return min(((a, b) for a in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0) for b in np.arange(-12, 12.01, 0.25)), key=lambda x: (loss(*x), abs(x[0] - 1), abs(x[1])))
 
 
 _SCORE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("offending", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())])))])
