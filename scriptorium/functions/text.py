@@ -20,7 +20,7 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines that are not blank."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n|\r"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\u00a0"))), lambda x: x != "")
 
 
 def collapse(text: Column) -> Column:
@@ -276,7 +276,7 @@ SUBPART = r"(?i)^((?:\d+|[a-z])(?:[.)]|\])|\((?:\d+|[a-z])\))\s*(.*)$"
 def is_header(line: Column) -> Column:
     """A label, and a weight, nothing else or at most 32 characters in all."""
     tail = F.regexp_replace(collapse(F.regexp_extract(line, TOP_HEADER, 2)), r"^[ :.\-]+|[ :.\-]+$", "")
-    return line.rlike(TOP_HEADER) & ((F.coalesce(weight_of(line), F.lit("")) != "") | (tail == "") | (F.length(line) <= 32))
+    return line.rlike(TOP_HEADER) & ((F.length(line) <= 32) | line.rlike(WEIGHT) | (tail == ""))
 
 
 #: T39. How lines of marking instructions begin, and what is in them.

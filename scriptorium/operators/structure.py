@@ -11,11 +11,13 @@ from scriptorium.functions import text as t
 _CHILD = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
 
 
-def _groups(lines: Column, opens) -> Column:
-    """Lines grouped by the ones that open a group; those before the first are dropped. No line is copied twice."""
-    starts = F.filter(F.transform(lines, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(lines)))
-    return F.when(F.size(starts) > 0, F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a))).otherwise(F.array().cast("array<array<string>>"))
+def _with_groups(rows: DataFrame, lines: str, opens, name: str) -> DataFrame:
+    """rows with a column of lines grouped by the ones that open a group; those before the first are dropped. In steps, so that
+    each line is judged once; no line is copied twice."""
+    rows = rows.withColumn("_starts", F.filter(F.transform(lines, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()))
+    rows = rows.withColumn("_ends", F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), F.array(F.size(lines))))
+    groups = F.zip_with("_starts", "_ends", lambda a, b: F.slice(F.col(lines), a + 1, b - a))
+    return rows.withColumn(name, F.when(F.size("_starts") > 0, groups).otherwise(F.array().cast("array<array<string>>"))).drop("_starts", "_ends")
 
 
 def _rest(rows: Column) -> Column:
@@ -40,16 +42,16 @@ def split_marking(lines: Column) -> Column:
     return F.struct(F.when(first > 0, F.slice(lines, 1, first - 1)).otherwise(lines).alias("question"), F.when(first > 0, kept).otherwise(none).alias("marking"))
 
 
-def subparts(label: Column, question: Column) -> Column:
+def _with_subparts(rows: DataFrame, label: str, question: str, name: str) -> DataFrame:
     """D3: lines that begin with '1.', 'a)', '(2)' or '3]' open a subpart; fewer than two are none. Numbers become 'Q1'."""
 
-    def child(rows: Column) -> Column:
-        token = F.upper(F.regexp_replace(F.regexp_extract(rows[0], t.SUBPART, 1), r"[()\[\].]", ""))
-        name = F.concat(label, F.when(token.rlike(r"^\d+$"), F.lit(" Q")).otherwise(F.lit(" ")), token)
-        return F.struct(name.alias("label"), t.label_key(name).alias("label_key"), t.mark_of(rows[0]).alias("max_mark"), F.array_join(rows, "\n").alias("text"))
+    def child(lines: Column) -> Column:
+        token = F.upper(F.regexp_replace(F.regexp_extract(lines[0], t.SUBPART, 1), r"[()\[\].]", ""))
+        own = F.concat(F.col(label), F.when(token.rlike(r"^\d+$"), F.lit(" Q")).otherwise(F.lit(" ")), token)
+        return F.struct(own.alias("label"), t.label_key(own).alias("label_key"), t.mark_of(lines[0]).alias("max_mark"), F.array_join(lines, "\n").alias("text"))
 
-    groups = _groups(question, lambda x: x.rlike(t.SUBPART))
-    return F.when(F.size(groups) >= 2, F.transform(groups, child)).otherwise(F.array()).cast(_CHILD)
+    rows = _with_groups(rows, question, lambda x: x.rlike(t.SUBPART), "_groups")
+    return rows.withColumn(name, F.when(F.size("_groups") >= 2, F.transform("_groups", child)).otherwise(F.array()).cast(_CHILD)).drop("_groups")
 
 
 def with_shared_marks(children: Column, most: Column) -> Column:
@@ -65,16 +67,15 @@ def sections(docs: DataFrame, key: str = "assessment") -> DataFrame:
 
     docs: key, text. Returns a row for each section: key, ord, label, label_key, max_mark, weight_text, body (lines after the
     header), question, marking, children, anchors, evidence, dependencies. A document is folded inside its row: no shuffle."""
-    split = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, _groups(F.col("lines"), t.is_header).alias("groups"))
+    split = _with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
     rows = split.select(key, F.posexplode("groups").alias("pos", "rows"))
     rows = rows.select(key, (F.col("pos") + 1).cast("long").alias("ord"), F.col("rows")[0].alias("head"), _rest(F.col("rows")).alias("rest"))
     rows = rows.withColumn("label", t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1))).withColumn("split", split_marking(F.col("rest")))
-    question = F.array_join(F.concat(F.array("head"), "split.question"), "\n")
-    rows = rows.withColumn("question", question).withColumn("marking", F.array_join("split.marking", "\n"))
-    both = F.concat_ws("\n", "question", F.nullif("marking", F.lit("")))
+    rows = rows.withColumn("asked", F.col("split.question")).withColumn("question", F.array_join(F.concat(F.array("head"), "asked"), "\n")).withColumn("marking", F.array_join("split.marking", "\n"))
+    rows = _with_subparts(rows.withColumn("both", F.concat_ws("\n", "question", F.nullif("marking", F.lit("")))), "label", "asked", "children")
     return rows.select(
-        key, "ord", "label", t.label_key(F.col("label")).alias("label_key"), t.mark_of(F.col("head")).alias("max_mark"), t.weight_of(F.col("head")).alias("weight_text"), F.array_join("rest", "\n").alias("body"), "question", "marking",
-        subparts(F.col("label"), F.col("split.question")).alias("children"), t.cued_lines(both, t.ANCHOR_CUES).alias("anchors"), t.cued_lines(both, t.EVIDENCE_CUES).alias("evidence"), t.dependency_labels(both, F.col("label")).alias("dependencies"),
+        key, "ord", "label", t.label_key(F.col("label")).alias("label_key"), t.mark_of(F.col("head")).alias("max_mark"), t.weight_of(F.col("head")).alias("weight_text"), F.array_join("rest", "\n").alias("body"), "question", "marking", "children",
+        t.cued_lines(F.col("both"), t.ANCHOR_CUES).alias("anchors"), t.cued_lines(F.col("both"), t.EVIDENCE_CUES).alias("evidence"), t.dependency_labels(F.col("both"), F.col("label")).alias("dependencies"),
     )
 
 
@@ -88,10 +89,10 @@ def assessment_map(docs: DataFrame, key: str = "assessment") -> DataFrame:
     """Key, label, label_key and max_mark of each unit. A section with two marked subparts or more gives these, another
     itself; a document without sections is one unit. No shuffle."""
     kind = "array<struct<label:string,label_key:string,max_mark:double>>"
-    split = docs.select(key, t.lines_of(F.col("text")).alias("lines")).select(key, _groups(F.col("lines"), t.is_header).alias("groups"))
+    split = _with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
     rows = split.select(key, F.explode_outer("groups").alias("rows")).select(key, F.get("rows", F.lit(0)).alias("head"), _rest(F.col("rows")).alias("rest"))
-    rows = rows.select(key, t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1)).alias("label"), t.mark_of(F.col("head")).alias("max_mark"), split_marking(F.col("rest")).alias("split"))
-    rows = rows.select(key, "label", "max_mark", subparts(F.col("label"), F.col("split.question")).alias("kids"))
+    rows = rows.select(key, t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1)).alias("label"), t.mark_of(F.col("head")).alias("max_mark"), split_marking(F.col("rest"))["question"].alias("asked"))
+    rows = _with_subparts(rows, "label", "asked", "kids")
     rows = rows.select(key, "label", "max_mark", with_shared_marks(F.col("kids"), F.col("max_mark")).alias("kids"))
     rows = rows.select(key, "label", "max_mark", F.filter("kids", lambda x: x["max_mark"].isNotNull()).alias("kids"))
     own = F.array(F.struct(F.coalesce("label", F.lit("Whole Submission")), t.label_key(F.coalesce("label", F.lit("Whole Submission"))), "max_mark")).cast(kind)
