@@ -30,10 +30,12 @@ PASSES = 2
 
 
 def sizes(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, source, size in words and the place in the source's order: the md5 of doc_id, by its first 3 digits in buckets."""
+    """doc_id, source, size in words and the place in the source's order: the md5 of doc_id, by its first 3 digits in buckets.
+
+    A bucket is named by these digits and its source, never null: the window and the join over buckets share one shuffle."""
     mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), mark.alias("mark"), F.xxhash64("text").alias("tie"), *more)
-    return sized.withColumn("bucket", F.substring("mark", 1, 3))
+    return sized.withColumn("bucket", F.concat(F.substring("mark", 1, 3), F.coalesce(F.concat(F.lit("+"), F.col("source").cast("string")), F.lit(""))))
 
 
 def targets(sums: DataFrame, percent: int = 150, weights: tuple = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -82,10 +84,10 @@ def _placed(rows: DataFrame, sums: DataFrame, percent: int, weights: tuple, pass
     """rows (of sizes()) with source_size, target, taken and positions; sums: the words of each source and bucket."""
     goal = targets(sums, percent, weights, passes)
     before = sums.select("source", "bucket", (F.sum("words").over(W.partitionBy("source").orderBy("bucket")) - F.col("words")).alias("before"))
-    place = before.join(goal, before.source.eqNullSafe(goal.source)).select(before.source.alias("s"), F.col("bucket").alias("k"), "before", "rank", "source_size", "target")
-    inside = W.partitionBy("source", "bucket").orderBy("mark", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
+    place = before.join(goal, before.source.eqNullSafe(goal.source)).select(F.col("bucket").alias("k"), "before", "rank", "source_size", "target")
+    inside = W.partitionBy("bucket").orderBy("mark", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("prior", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(place, rows.source.eqNullSafe(F.col("s")) & (rows.bucket == F.col("k"))).withColumn("start", F.col("before") + F.col("prior"))
+    rows = rows.join(place, rows.bucket == F.col("k")).withColumn("start", F.col("before") + F.col("prior"))
     whole = F.floor("target").cast("long")
     copies = [F.col("start") + p * F.col("source_size") for p in range(passes)]
     taken = sum((F.least(F.greatest(whole - at, F.lit(0)), F.col("size")) for at in copies), F.lit(0)).cast("long")
