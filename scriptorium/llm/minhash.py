@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, hub_rounds: int = 3) ->
         classes = written(classes, "classes")
         members = _bucketed(classes)
         texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text")
-        texts = written(texts.join(members.select("node").distinct(), "node", "left_semi"), "texts")
+        nodes = written(members.select("node").distinct(), "nodes")  # as a table of its own its size is known: small, it is broadcast
+        texts = written(texts.join(nodes, "node", "left_semi"), "texts")
         labels = components(_links(members, texts, percent, hub_rounds))
         out = found.join(classes.select("digest", "node"), "digest", "left").join(labels, "node", "left")
         out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
