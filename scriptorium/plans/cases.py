@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import guidance
 from scriptorium.functions import text as t
 from scriptorium.operators import responses
 from scriptorium.plans.marks import _t
@@ -118,6 +119,20 @@ CASES = {
         ("Part two of it@@@", "true"), ("plain words of a text.@@@", "false"), ("plain words of a text.@b@@", "true"), ("plain words of a text.@@14@", "true"), ("Title Words@@13@", "true"), ("Title Words@@12@", "false"), ("LOUD WORDS!@@@", "true"), ("words@@@Heading 2", "true"), ("Q1a then@@@", "true"), ("@b@@", "false"),
     )),
     "snapshot_names": (lambda x: documents.safe_name(F.lit(7), x), (("a b (1).txt", "007_a_b_1_.txt"), ("ok-1_2.docx", "007_ok-1_2.docx"), ("é", "007__"))),
+    "criterion_anchors": (lambda x: F.concat_ws("|", guidance.anchors(x)["weak"], guidance.anchors(x)["strong"]), (
+        ("Uses a page as Evidence", "Support is missing, vague, or not tied to the point.|Support is specific and linked to the point being made."),
+        ("The method and why it is used", "Method is incomplete or materially wrong.|Method is complete, consistent, and materially correct."),
+        ("All steps are told", "Required parts are missing or only partly attempted.|Required parts are covered without material gaps."),
+        ("", "Performance on this criterion is weak or incomplete.|Performance on this criterion is secure and well supported."),
+    )),
+    "scoring_rules": (lambda x: F.array_join(guidance.scoring_rules(x), "|"), (
+        ("", "If a response contains no relevant attempt, no attempt at the required method, or only unrelated content, award zero or minimal credit."),
+        ("A First cites a page number", "Choose the quality band first, then place the score within it.|Reward specific references when the task asks for them.|If a response contains no relevant attempt, no attempt at the required method, or only unrelated content, award zero or minimal credit."),
+        ("Derive it in your own words", "Give partial credit for correct setup, method, or interpretation.|Reward justified correction and rewriting when asked.|If a response contains no relevant attempt, no attempt at the required method, or only unrelated content, award zero or minimal credit."),
+    )),
+    "guidance_summary": (guidance.guidance_summary, (
+        ("  ", "Assess the unit against the stated task."), ("One is  told.\nTwo is not.", "One is told."), ("v1.5 counts! More", "v1.5 counts!"), ("ab " * 100, ("ab " * 74)[:220].rstrip()),
+    )),
 }
 
 
