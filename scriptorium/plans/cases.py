@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import guidance
 from scriptorium.functions import text as t
-from scriptorium.operators import responses
+from scriptorium.operators import responses, rubrics
 from scriptorium.plans.marks import _t
 from scriptorium.sources import documents
 
@@ -39,6 +39,12 @@ def _notes(x):
     return F.coalesce(n["error_code"], F.array_join(said, "|"))
 
 
+def _matrix(x):
+    said = F.transform(rubrics.matrix_rows(x), lambda r: F.concat_ws("/", *(F.replace(r[c], F.lit("\n"), F.lit("+")) for c in _MATRIX)))
+    return F.array_join(said, ";")
+
+
+_MATRIX = ("section", "unit", "max_mark", "mode", "classification_question", "ranking_rule", "criteria_sentences", "band", "descriptor", "within_band_placement")
 _LONG = "word " * 60
 
 #: name: (column of the text, ((text, what it gives), ...))
@@ -133,6 +139,12 @@ CASES = {
     "guidance_summary": (guidance.guidance_summary, (
         ("  ", "Assess the unit against the stated task."), ("One is  told.\nTwo is not.", "One is told."), ("v1.5 counts! More", "v1.5 counts!"), ("ab " * 100, ("ab " * 74)[:220].rstrip()),
     )),
+    "rubric_matrix_parse": (_matrix, (
+        ("# T\n## Part 1\n### Q1\n- Max mark: 20\n- Mode: analytical\n- Core criterion: none\n- Ranking rule: best: first\n#### Criteria Sentences\n- Says it.\n- Shows it.\n| Band | Descriptor | Within-band placement |\n| --- | --- | --- |\n| First | all of it | high |\n| Fail | little\n|| Pass | some | low |",
+         "Part 1/Q1/20/analytical//best: first/Says it.+Shows it./First/all of it/high;Part 1/Q1/20/analytical//best: first/Says it.+Shows it./Pass/some/low"),
+        ("### Q1\n- Max mark: 5\n- One.\n### Q2\n| Band | Descriptor | Within-band placement |\n| Third | a | b |\n## Part 2\n| Lost | a | b |\n- no unit", "/Q2//////Third/a/b"),
+        ("| First | a | b |", ""), ("", ""),
+    )),
 }
 
 

@@ -1,11 +1,11 @@
-"""Queries on final results, latencies, the regrade loop and inference profiles. Their SQL is written by hand."""
+"""Queries on final results, latencies, the regrade loop, inference profiles, retries and structure measures. Their SQL is written by hand."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from scriptorium.functions import guidance
-from scriptorium.operators import finals
+from scriptorium.operators import attempts, finals, rubrics
 from scriptorium.plans.marks import _t
 
 
@@ -47,7 +47,34 @@ def inference_profiles(spark, sf):
     return rows.select("p_partkey", "profile", *(guidance.profile(F.col("profile"), x).alias(x) for x in guidance.PROFILE))
 
 
-QUERIES = {f.__name__: f for f in (final_result_checks, latency_attach, regrade_loop, inference_profiles)}
+def retry_policy(spark, sf):
+    orders, k = _t(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey")
+    error = F.when(k % 3 == 0, "Too long: too few items for evidence").when(k % 3 == 1, F.when(k % 2 == 0, "not JSON"))
+    first = orders.filter(k % 11 != 0).select(k, F.lit(1).alias("attempt"), (k % 100).alias("value"), F.when(k % 6 != 3, error).otherwise("bad criterion_notes").alias("error"))
+    second = orders.filter(k % 5 != 0).select(k, F.lit(2).alias("attempt"), (k % 50).alias("value"), F.when(k % 7 == 0, "criterion_notes again").alias("error"))
+    return attempts.retried(first.unionByName(second), "o_orderkey", attempts.RETRY_PART)
+
+
+def detector_fallback(spark, sf):
+    orders, k = _t(spark, sf, "orders").select("o_orderkey"), F.col("o_orderkey")
+    asked = lambda rank, name, every: orders.select(k, F.lit(rank).alias("rank"), F.lit(name).alias("scorer"), (k % (10 * rank)).alias("value"), F.when(k % every == 0, f"{name} timed out").alias("error"))
+    return attempts.fallen_back(asked(1, "small", 2).unionByName(asked(2, "primary", 3)), "o_orderkey")
+
+
+def structure_metrics(spark, sf):
+    k = F.col("o_orderkey")
+    node = lambda label, mark, weight: (label.alias("label"), mark.cast("double").alias("max_mark"), weight.cast("string").alias("weight_text"))
+    nothing = F.lit(None)
+    parts = F.array(F.struct(*node(F.lit(" Q1 "), F.when(k % 2 == 0, 5), nothing)), F.struct(*node(F.when(k % 3 == 0, "Q2").otherwise(" "), nothing, F.when(k % 5 == 0, "10%").otherwise(""))))
+    sections = F.array(
+        F.struct(*node(F.lit("Part 1"), nothing, F.when(k % 7 == 0, "20%")), parts.alias("subparts")),
+        F.struct(*node(F.when(k % 4 != 0, "Part 2"), F.lit(20), nothing), F.slice(parts, 1, 0).alias("subparts")),
+    )
+    rows = _t(spark, sf, "orders").select(k, rubrics.structure_metrics(F.when(k % 13 != 0, sections)).alias("r")).select("o_orderkey", "r.*")
+    return rows.withColumn("labels", F.array_join("labels", " | "))
+
+
+QUERIES = {f.__name__: f for f in (final_result_checks, latency_attach, regrade_loop, inference_profiles, retry_policy, detector_fallback, structure_metrics)}
 
 SQL = {
     "final_result_checks": """
@@ -95,4 +122,21 @@ SELECT p_partkey, profile, temperature, top_p, num_ctx, 7.0::DOUBLE AS seed, num
 FROM part JOIN (VALUES (0, 'verification', 0.0::DOUBLE, 0.8::DOUBLE, 8192.0::DOUBLE, 700.0::DOUBLE), (1, 'detector_small', 0.0, 0.75, 4096.0, 320.0),
   (2, 'moderation', 0.05, 0.85, 8192.0, 1100.0), (3, 'other', 0.0, 0.85, 8192.0, 900.0)) v(n, profile, temperature, top_p, num_ctx, num_predict)
 ON p_partkey % 4 = n""",
+    "retry_policy": """
+WITH a AS (SELECT o_orderkey AS k, k % 11 <> 0 AS asked, k % 5 <> 0 AS again,
+  CASE WHEN k % 6 = 3 THEN 'bad criterion_notes' WHEN k % 3 = 0 THEN 'Too long: too few items for evidence' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'not JSON' END AS e FROM orders),
+b AS (SELECT *, asked AND again AND k % 3 = 0 AS second FROM a WHERE asked OR again)
+SELECT k AS o_orderkey, CASE WHEN second THEN CASE WHEN k % 7 <> 0 THEN k % 50 END WHEN asked AND e IS NULL THEN k % 100 END AS value,
+  CASE WHEN NOT asked THEN 'no_answer' WHEN second THEN CASE WHEN k % 7 = 0 THEN 'criterion_notes again' END ELSE e END AS error,
+  CASE WHEN NOT asked THEN 0 WHEN second THEN 2 ELSE 1 END AS attempts FROM b""",
+    "detector_fallback": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN 'small' ELSE 'primary' END AS scorer,
+  CASE WHEN o_orderkey % 2 <> 0 THEN o_orderkey % 10 WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 20 END AS value,
+  CASE WHEN o_orderkey % 6 = 0 THEN 'primary timed out' END AS error FROM orders""",
+    "structure_metrics": """
+WITH a AS (SELECT o_orderkey AS k, CASE WHEN k % 13 = 0 THEN 0 ELSE 1 END AS there FROM orders)
+SELECT k AS o_orderkey, 2 * there AS top_level_count,
+  there * (2 + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 <> 0 THEN 1 ELSE 0 END) AS total_unit_count,
+  there * (1 + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) AS marks_found_count,
+  CASE WHEN there = 0 THEN '' ELSE concat_ws(' | ', 'Part 1', 'Q1', CASE WHEN k % 3 = 0 THEN 'Q2' END, CASE WHEN k % 4 <> 0 THEN 'Part 2' END) END AS labels FROM a""",
 }
