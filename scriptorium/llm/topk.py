@@ -21,53 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import handed_on, scratch, written
+from scriptorium.llm.vectors import BLOCK, Best, chunks, highest, packed, products, read, table_of, usable
 
-PARTS, BLOCK, QUERY_BLOCK = 2, 4096, 512
-#: Bytes of queries that are sent to the tasks at once.
-CHUNK = 16 << 20
-
-_PACKED = "block long, ids binary, data binary, dim int, cuts binary"
-
-
-def _usable(vectors: DataFrame) -> DataFrame:
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double")).alias("v"))
-
-
-def _blocks(rows: DataFrame, size: int, *cuts: str) -> DataFrame:
-    """Rows (vec_id, v, and the columns in cuts) packed by partition, in blocks numbered by partition and order in it."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        number = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            while len(held) >= size:
-                yield made(held[:size], number)
-                held, number = held[size:], number + 1
-        if held:
-            yield made(held, number)
-
-    def made(rows: list[tuple], number: int) -> pa.RecordBatch:
-        dim = max(1, *(len(r[1]) for r in rows))
-        data = np.zeros((len(rows), dim))
-        for i, r in enumerate(rows):
-            data[i, : len(r[1])] = r[1]
-        ids = np.array([r[0] for r in rows], np.int64)
-        extra = np.array([r[2:] for r in rows], float)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([extra.tobytes()], pa.binary())], names=["block", "ids", "data", "dim", "cuts"])
-
-    return rows.select("vec_id", "v", *cuts).mapInArrow(pack, _PACKED)
-
-
-def _unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)
+PARTS = 2
 
 
 def _group(m: np.ndarray, g: int, dim: int) -> np.ndarray:
@@ -77,62 +38,32 @@ def _group(m: np.ndarray, g: int, dim: int) -> np.ndarray:
     return np.pad(own, ((0, 0), (0, b - a - own.shape[1])))
 
 
-def _part(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Local scores of all queries against all rows. Doubles hold them exactly up to 2 ** 53, integers beyond."""
-    if q.shape[1] * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= 2.0**52:
-        q, x = (np.array([[int(c) for c in row] for row in m], object).reshape(m.shape) for m in (q, x))
-    return q @ x.T
-
-
-def _highest(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
-    """Places of the k highest, ties to the smaller id."""
-    if k and len(scores) > k:
-        near = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))][:k]
-
-
-class _Best:
-    """The k best rows of each query over the blocks of a task, ties to the smaller id."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-    def add(self, query: int, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        if query in self.held:
-            scores, ids, rows = (np.concatenate(x) for x in zip(self.held[query], (scores, ids, rows), strict=True))
-        at = _highest(scores, self.k, ids)
-        self.held[query] = scores[at], ids[at], rows[at]
-
-
 def _local_lists(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int) -> Iterator[pa.RecordBatch]:
     """Phase 1: the k highest entries of each list for each query, and its least score."""
-    best, lows = [_Best(k) for _ in range(PARTS)], [{} for _ in range(PARTS)]
-    for block, x_ids, x in _read(batches):
+    best, lows = [Best(k) for _ in range(PARTS)], [{} for _ in range(PARTS)]
+    for block, x_ids, x in read(batches):
         for q_ids, q, _ in queries:
             for g in range(PARTS):
-                scores = _part(_group(q, g, dim), _group(x, g, dim))
+                scores = products(_group(q, g, dim), _group(x, g, dim))
                 for i, query in enumerate(q_ids.tolist()):
                     lows[g][query] = min(lows[g].get(query, np.inf), float(scores[i].min()))
-                    near = _highest(scores[i], k + np.count_nonzero(x_ids == query), x_ids)
+                    near = highest(scores[i], k + np.count_nonzero(x_ids == query), x_ids)
                     near = near[x_ids[near] != query][:k]
                     best[g].add(query, scores[i, near], x_ids[near], block * BLOCK + near)
     for g in range(PARTS):
         for query, (scores, _, rows) in best[g].held.items():
             low = lows[g][query]
-            yield _table([(query, g, int(r), float(s), low) for s, r in zip(scores, rows, strict=True)] or [(query, g, None, None, low)], [("query_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
+            yield table_of([(query, g, int(r), float(s), low) for s, r in zip(scores, rows, strict=True)] or [(query, g, None, None, low)], [("query_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("score", pa.float64()), ("low", pa.float64())])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int) -> Iterator[pa.RecordBatch]:
     """Phases 2 and 3: from each list the entries with their share of the cutoff; then their scores in the other lists."""
-    best = _Best(k)
-    for block, x_ids, x in _read(batches):
+    best = Best(k)
+    for block, x_ids, x in read(batches):
         for q_ids, q, cuts in queries:
             collected = []
             for g in range(PARTS):
-                scores = _part(_group(q, g, dim), _group(x, g, dim))
+                scores = products(_group(q, g, dim), _group(x, g, dim))
                 collected.append((enough := scores.astype(float) - cuts[:, 1 + g, None] >= cuts[:, :1] / PARTS, scores[enough]))
             ends = [np.cumsum(enough.sum(axis=1)) for enough, _ in collected]
             for i, query in enumerate(q_ids.tolist()):
@@ -144,42 +75,17 @@ def _resolved(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int
                     mine, has = scores[ends[g][i] - enough[i].sum() : ends[g][i]], enough[i, at]
                     total[has] += np.array([int(s) for s in mine[np.isin(np.flatnonzero(enough[i]), at)]], object)
                     if not has.all():
-                        looked = _part(_group(q[i : i + 1], g, dim), _group(x[at[~has]], g, dim))[0]
+                        looked = products(_group(q[i : i + 1], g, dim), _group(x[at[~has]], g, dim))[0]
                         total[~has] += np.array([int(s) for s in looked], object)
                 best.add(query, total, x_ids[at], block * BLOCK + at)
     for query, (scores, ids, _) in best.held.items():
-        yield _table([(query, int(v), int(s)) for s, v in zip(scores, ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield row["block"], *_unpack(row["ids"], row["data"], row["dim"])
-
-
-def _table(rows: list[tuple], fields: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
-
-
-def _chunks(queries: DataFrame, *cuts: str) -> Iterator[list[tuple]]:
-    """The queries as (ids, vectors, cuts), in lists of at most CHUNK bytes and one block more; the driver holds one at a time."""
-    held, size = [], 0
-    for row in _blocks(queries, QUERY_BLOCK, *cuts).toLocalIterator():
-        ids, q = _unpack(bytes(row.ids), bytes(row.data), row.dim)
-        held.append((ids, q, np.frombuffer(bytes(row.cuts)).reshape(len(ids), -1)))
-        size += q.nbytes
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        yield table_of([(query, int(v), int(s)) for s, v in zip(scores, ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _pass(blocks: DataFrame, queries: DataFrame, work, schema: str, k: int, dim: int, *cuts: str) -> DataFrame | None:
     """work over all blocks for each chunk of queries, as a table."""
     out = None
-    for chunk in _chunks(queries, *cuts):
+    for chunk in chunks(queries, *cuts):
         sent = blocks.sparkSession.sparkContext.broadcast(chunk)
         made = written(blocks.mapInArrow(lambda b, sent=sent: work(b, sent.value, k, dim), schema), "found")
         sent.unpersist()
@@ -189,14 +95,14 @@ def _pass(blocks: DataFrame, queries: DataFrame, work, schema: str, k: int, dim:
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest rows, ties to the smaller vec_id."""
-    rows = _usable(vectors)
+    rows = usable(vectors)
     spread = max(2, vectors.sparkSession.sparkContext.defaultParallelism)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     found = "query_id long, vec_id long, score long"
     with scratch():
-        blocks = written(_blocks(rows.repartition(spread), BLOCK), "blocks")
+        blocks = written(packed(rows.repartition(spread), BLOCK), "blocks")
         dim = blocks.agg(F.max("dim")).first()[0] or 1
-        queries = written(_usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+        queries = written(usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
         lists = _pass(blocks, queries, _local_lists, "query_id long, part int, row long, score double, low double", k, dim)
         if lists is None:
             return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

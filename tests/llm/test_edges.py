@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import bpe, common, minhash, quality, secrets, topk, toxicity
+from scriptorium.llm import bpe, common, minhash, quality, secrets, topk, toxicity, vectors
 from tests.llm.test_operators import components
 
 NAMES = "kept n_words assign access hex login key40 endpoint _text _low _hidden _m _group row bucket size tie position c0 node cluster".split()
@@ -62,8 +62,8 @@ def test_top_k_with_repeated_rows(spark, case, monkeypatch):
         "chunks": [(i, vector()) for i in range(400)],
     }[case]
     if case == "chunks":
-        monkeypatch.setattr(topk, "CHUNK", 1)
-        monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+        monkeypatch.setattr(vectors, "CHUNK", 1)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
 
