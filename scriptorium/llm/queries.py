@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import audit, bpe, html, licences, minhash, mixing, negatives, quality, secrets, topk, toxicity, urls
+from scriptorium.llm import audit, bpe, html, licences, minhash, mixing, negatives, quality, secrets, simhash, topk, toxicity, urls
 from scriptorium.llm.common import table
 
 
@@ -63,8 +63,12 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors.withColumn("label", noisy), F.col("vec_id") % 100 == 0)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_mixing, op3_secrets, op4_bpe, op5_minhash, op6_licences, op7_html, op8_topk, op9_quality, op10_urls, op11_audit, op12_negatives)
+    found = (op1_toxicity, op2_mixing, op3_secrets, op4_bpe, op5_minhash, op6_licences, op7_html, op8_topk, op9_quality, op10_urls, op11_audit, op12_negatives, op13_simhash)
     return {f.__name__: f for f in found}
 
 
@@ -214,6 +218,49 @@ SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a
 FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score QUALIFY rank <= 10
 """
 
+OP13 = r"""
+WITH placed AS (
+  SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS nr, doc_id, coalesce(text, '') AS t FROM documents
+), followed AS (
+  SELECT nr, doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY nr), first_value(t) OVER (ORDER BY nr)) AS next FROM placed
+), changes AS (
+  SELECT nr, doc_id, n, t, substr(t, 1, n - n // 2) || substr(next, 1, n // 2) AS changed FROM followed
+), texts AS (
+  SELECT nr, 0 AS kind, t FROM changes UNION ALL SELECT nr, 1, changed FROM changes
+), words AS (
+  SELECT DISTINCT nr, kind, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS word FROM texts
+), votes AS (
+  SELECT nr, kind, length(bin(length(word))) AS weight, ('0x' || md5(word)[1:16])::UBIGINT AS hi, ('0x' || md5(word)[17:32])::UBIGINT AS lo FROM words
+), summed AS (
+  SELECT nr, kind, {sums}, sum(weight) AS total FROM votes GROUP BY nr, kind
+), signs AS (
+  SELECT nr, kind, {signs} FROM summed
+), prints AS (
+  SELECT b.nr, b.doc_id, b.n, sha256(b.changed) AS edited_sha256, coalesce(x.f, repeat('0', 128)) AS f, coalesce(y.f, repeat('0', 128)) AS e
+  FROM changes b LEFT JOIN signs x ON x.nr = b.nr AND x.kind = 0 LEFT JOIN signs y ON y.nr = b.nr AND y.kind = 1
+), nexts AS (
+  SELECT *, coalesce(lead(f) OVER (ORDER BY nr), first_value(f) OVER (ORDER BY nr)) AS g FROM prints
+), own AS (
+  SELECT f, count(*) AS n, min(doc_id) AS least FROM prints GROUP BY f
+), near AS (
+  SELECT a.f, sum(b.n) - 1 AS n_near, min(b.least) AS near_id FROM own a JOIN own b ON bit_count(xor(a.f::BIT, b.f::BIT)) <= 6 GROUP BY a.f
+)
+SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, {fp} AS fingerprint, {ep} AS edited_fingerprint,
+  1 - bit_count(xor(f::BIT, e::BIT)) / 128.0::DOUBLE AS near_edited, 1 - bit_count(xor(f::BIT, g::BIT)) / 128.0::DOUBLE AS near_next, n_near::BIGINT AS n_near, near_id
+FROM nexts JOIN near USING (f)
+"""
+
+
+def _op13() -> str:
+    halves = [(half, 63 - j) for half in ("hi", "lo") for j in range(64)]
+    hexed = lambda c: " || ".join(f"printf('%016x', {c}[{64 * i + 1}:{64 * i + 64}]::BIT::BIGINT)" for i in range(2))
+    return OP13.format(
+        sums=", ".join(f"sum(weight) FILTER ((({half} >> {j}) & 1) = 1) AS {half}{j}" for half, j in halves),
+        signs=" || ".join(f"CASE WHEN 2 * {half}{j} > total THEN '1' ELSE '0' END" for half, j in halves) + " AS f",
+        fp=hexed("f"),
+        ep=hexed("e"),
+    )
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op3_secrets": _op3(), "op5_minhash": OP5, "op8_topk": OP8, "op11_audit": OP11, "op12_negatives": OP12}
+    return {"op2_mixing": OP2, "op3_secrets": _op3(), "op5_minhash": OP5, "op8_topk": OP8, "op11_audit": OP11, "op12_negatives": OP12, "op13_simhash": _op13()}
