@@ -26,6 +26,8 @@ FILTERS = "ABCDE"
 REPEAT = 1 << FILTERS.index("E")
 #: Bytes of texts that a task holds in chains of its own before it sends them on.
 HELD = 32 << 20
+#: Documents that a task sorts by fingerprint, at most on average.
+ROUTED = 20_000
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _MARKS = b"#$%&*|"
@@ -113,7 +115,7 @@ def _chained(rows: Iterable) -> Iterator[tuple]:
 def failures(docs: DataFrame, part: str = "lang") -> DataFrame:
     """doc_id, part, mask (bit i: fails filter i of FILTERS), n: the rows of docs that have these."""
     rows = docs.select(F.xxhash64(text_or_empty()), F.col("doc_id").cast("long"), text_or_empty(), F.coalesce(F.col(part).cast("string"), F.lit(""))).rdd
-    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(rows.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count() // ROUTED)
     routed = rows.mapPartitions(_local).repartitionAndSortWithinPartitions(n, lambda mark: mark % n)
     return docs.sparkSession.createDataFrame(routed.mapPartitions(_chained), "doc_id long, part string, mask int, n long", verifySchema=False)
 
