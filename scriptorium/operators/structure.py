@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -120,16 +122,6 @@ def expected_subparts(parsed: DataFrame, key: str = "assessment", require_marks:
     return rows.select(key, "parent", "idx", "label", anchor.alias("anchor_text"), F.trim(F.substring_index("text", "\n", 1)).alias("focus_hint"), "max_mark", task.alias("task_type"))
 
 
-def distributed(units: DataFrame, parents: DataFrame, key: str = "assessment") -> DataFrame:
-    """What a parent's mark leaves is shared among its unmarked children, if there are two children or more."""
-    w = W.partitionBy(key, "parent_key")
-    out = units.join(parents.select(key, F.col("label_key").alias("parent_key"), F.col("max_mark").alias("parent_mark")), [key, "parent_key"], "left")
-    left = F.col("parent_mark") - F.coalesce(F.sum("max_mark").over(w), F.lit(0.0))
-    open_ = F.sum(F.col("max_mark").isNull().cast("int")).over(w)
-    share = F.when((F.count("*").over(w) >= 2) & (left > 0) & (open_ > 0), F.round(left / open_, 2))
-    return out.withColumn("max_mark", F.coalesce("max_mark", share)).drop("parent_mark")
-
-
 def merged(parsed: DataFrame, key: str = "assessment") -> DataFrame:
     """Sections of one label: the richest body (lines, then length, then the first), the first mark."""
     rich = F.struct((F.size(F.split("body", "\n"))).alias("lines"), F.length("body").alias("long"), (-F.col("ord")).alias("first"))
@@ -147,7 +139,7 @@ def reconciled(prompt: DataFrame, scheme: DataFrame, key: str = "assessment") ->
 
 
 #: D14. A line of a table of contents; how many make one, and in which part of the text.
-TOC_LINE = r"(?m)^[^\S\n]*\S[^\n]*?[.\u2026\u2014\u2013-]{2,}[^\S\n]*\d{1,3}[^\S\n]*$"
+TOC_LINE = r"^[^\S\n]*\S[^\n]*?[.\u2026\u2014\u2013-]{2,}[^\S\n]*\d{1,3}[^\S\n]*$"
 TOC_LINES, TOC_PART = 3, 0.18
 
 
@@ -156,32 +148,51 @@ def _quoted(label: Column) -> Column:
     return F.regexp_replace(label, r"([^A-Za-z0-9_\s])", r"\\\\$1")
 
 
-def _places(text: Column, pattern: Column) -> Column:
-    """Starts of all matches, counted from 0."""
-    gaps, found = F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.transform(found, lambda x, i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, g: a + F.length(g)))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first_place(text: Column, pattern: Column) -> Column:
+    """Start of the first match, counted from 0; null without one. What follows the match is not searched."""
+    return bound(F.split(text, pattern, F.lit(2)), lambda cut: F.when(F.size(cut) > 1, F.length(cut[0])))
 
 
 def toc_range(text: Column, labels: Column) -> Column:
     """Struct (start, end) of a table of contents: lines that name a label and end in dots and a page, if there are enough
     of them at the beginning of the text; else null. Ends count from 0, the end exclusive."""
-    head = F.substring(text, F.lit(1), F.floor(F.length(text) * TOC_PART).cast("int"))
-    rows = F.arrays_zip(_places(head, F.lit(TOC_LINE)).alias("at"), F.regexp_extract_all(head, F.lit(TOC_LINE), F.lit(0)).alias("line"))
-    named = F.filter(rows, lambda r: F.exists(labels, lambda x: F.regexp_like(r["line"], F.concat(F.lit(r"(?i)\b"), _quoted(x), F.lit(r"\b")))))
-    ends = F.struct(F.get(named, F.lit(0))["at"].alias("start"), (F.element_at(named, -1)["at"] + F.length(F.element_at(named, -1)["line"])).alias("end"))
-    return F.when((F.size(labels) >= TOC_LINES) & (F.size(named) >= TOC_LINES), ends)
+    head = F.split(F.substring(text, F.lit(1), F.floor(F.length(text) * TOC_PART).cast("int")), "\n")
+    named = lambda line: F.exists(labels, lambda x: F.regexp_like(line, F.concat(F.lit(r"(?i)\b"), _quoted(x), F.lit(r"\b"))))
+    at = lambda lines: F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(TOC_LINE) & named(line), i)), lambda i: i.isNotNull())
+    before = lambda lines, n: F.length(F.array_join(F.slice(lines, F.lit(1), n), "\n"))
+
+    def ends(lines: Column, hits: Column) -> Column:
+        first, last = F.get(hits, F.lit(0)), F.element_at(hits, -1)
+        start = F.when(first > 0, before(lines, first) + 1).otherwise(0)
+        return F.when(F.size(hits) >= TOC_LINES, F.struct(start.alias("start"), before(lines, last + 1).alias("end")))
+
+    return F.when(F.size(labels) >= TOC_LINES, bound(head, lambda lines: bound(at(lines), lambda hits: ends(lines, hits))))
+
+
+def _unless(wrong: Callable[[Column], Column], instead: Column) -> Callable[[Column], Column]:
+    return lambda p: F.when(wrong(p), instead).otherwise(p)
 
 
 def _anchor(text: Column, toc: Column, *names: Column) -> Column:
     """Where a part begins, from 0: as a header outside the table of contents, as a word outside it, as a header or a word
-    inside; at each level the first of its names that is found. Null: nowhere."""
+    inside; at each level the first of its names that is found. Null: nowhere. A text is searched up to its first match, and from
+    an end of the contents where that match lies on their other side."""
+    within = lambda p: F.coalesce((p >= toc["start"]) & (p < toc["end"]), F.lit(False))
+    after = lambda p, pattern: p + first_place(F.substring(text, p + 1, F.length(text)), pattern)
     outside, inside = [], []
     for tail in (r"(?im)^\s*{}(?:\b|\s*[:.)\]-])", r"(?i)\b{}\b"):
-        before, after = tail.split("{}")
-        found = [_places(text, F.concat(F.lit(before), _quoted(x), F.lit(after))) for x in names]
-        within = lambda p: F.coalesce((p >= toc["start"]) & (p < toc["end"]), F.lit(False))
-        outside += [F.get(F.filter(f, lambda p: ~within(p)), F.lit(0)) for f in found]
-        inside += [F.get(F.filter(f, within), F.lit(0)) for f in found]
+        start, end = tail.split("{}")
+        for name in names:
+            pattern = F.concat(F.lit(start), _quoted(name), F.lit(end))
+            # the contents end with a line, so what follows them begins one
+            beyond = after(toc["end"] + 1, pattern)
+            outside.append(bound(first_place(text, pattern), _unless(within, beyond)))
+            inside.append(bound(after(toc["start"], pattern), lambda p: F.when(within(p), p)))
     return F.coalesce(*outside, *inside)
 
 
@@ -216,40 +227,83 @@ SUBPART_STARTS = (r"(?im)^\s*Q{}\b", r"(?im)^\s*Question\s+{}\b", r"(?im)^\s*{}\
 def subpart_anchor(text: Column, label: Column) -> Column:
     """Where a subpart begins, from 0, by the first of the forms that the text has; null for labels without a Q number."""
     number = F.nullif(F.regexp_extract(label, r"(?i)\bQ(\d+)\b", 1), F.lit(""))
-    return F.coalesce(*(F.get(_places(text, F.concat(F.lit(p.split("{}")[0]), number, F.lit(p.split("{}")[1]))), F.lit(0)) for p in SUBPART_STARTS))
-
-
-def subpart_segments(parts: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
-    """Parts (key, section_text) cut at their subparts (key, part_idx, label). Fewer anchors than max(2, n // 2 + 1):
-    none is cut. A wanted subpart without a slice inherits the whole text of its parent (resolved = inherited)."""
-    each = wanted.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part_idx", "label"))).alias("wanted"))
-    both = parts.select(*key, F.trim("section_text").alias("text")).join(each, list(key))
-    both = both.withColumn("parts", F.transform("wanted", lambda x: F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), subpart_anchor(F.col("text"), x["label"]).alias("pos"))))
-    both = both.withColumn("n_anchors", F.size(F.array_distinct(F.filter(F.transform("parts", lambda x: x["pos"]), lambda p: p.isNotNull()))))
-    enough = (F.col("text") != "") & (F.col("n_anchors") >= F.greatest(F.lit(2), F.floor(F.size("parts") / 2) + 1))
-    first = lambda x: x["pos"].isNotNull() & ~F.exists("parts", lambda y: y["pos"].eqNullSafe(x["pos"]) & (y["part_idx"] < x["part_idx"]))
-    both = both.withColumn("cuts", F.when(enough, F.array_sort(F.transform(F.filter("parts", first), lambda x: x["pos"]))).otherwise(F.array().cast("array<int>")))
-
-    def resolved(x: Column) -> Column:
-        mine = F.when(enough & first(x), x["pos"])
-        after = F.get(F.filter("cuts", lambda p: p > mine), F.lit(0))
-        said = F.when(mine.isNotNull(), F.substring(F.col("text"), mine + 1, F.coalesce(after, F.length("text")) - mine)).otherwise(F.col("text"))
-        return F.struct(x["part_idx"].alias("part_idx"), x["label"].alias("label"), said.alias("section_text"), F.when(mine.isNotNull(), "anchored").otherwise("inherited").alias("resolved"))
-
-    return both.select(*key, F.explode(F.transform("parts", resolved)).alias("x")).select(*key, "x.*")
+    return F.coalesce(*(first_place(text, F.concat(F.lit(p.split("{}")[0]), number, F.lit(p.split("{}")[1]))) for p in SUBPART_STARTS))
 
 
 def repaired(text: Column, start: Column, end: Column, question: Column) -> Column:
     """A slice (from 0, the end exclusive) that is damaged or too short for its question is widened by 260 characters each
     way, 420 where the question asks for more than one thing, and begins and ends with lines where these do so within that."""
-    own = F.trim(F.substring(text, start + 1, end - start))
-    wide = F.when(t.needs_context(question), 420).otherwise(260)
-    low, high = F.greatest(F.lit(0), start - wide), F.least(F.length(text), end + wide)
-    ahead, behind = F.substring(text, low + 1, start - low), F.substring(text, end + 1, high - end)
-    last, next_ = F.instr(F.reverse(ahead), "\n"), F.instr(behind, "\n")
-    left = F.when((low > 0) & (last > 0), start - last + 1).otherwise(low)
-    right = F.when((high < F.length(text)) & (next_ > 0), end + next_ - 1).otherwise(high)
-    return F.when(t.incomplete(own, question), F.coalesce(F.nullif(F.trim(F.substring(text, left + 1, right - left)), F.lit("")), own)).otherwise(own)
+
+    def widened(own: Column) -> Column:
+        wide = F.when(t.needs_context(question), 420).otherwise(260)
+        low, high = F.greatest(F.lit(0), start - wide), F.least(F.length(text), end + wide)
+        ahead, behind = F.substring(text, low + 1, start - low), F.substring(text, end + 1, high - end)
+        last, next_ = F.instr(F.reverse(ahead), "\n"), F.instr(behind, "\n")
+        left = F.when((low > 0) & (last > 0), start - last + 1).otherwise(low)
+        right = F.when((high < F.length(text)) & (next_ > 0), end + next_ - 1).otherwise(high)
+        return F.coalesce(F.nullif(stripped(F.substring(text, left + 1, right - left)), F.lit("")), own)
+
+    return bound(stripped(F.substring(text, start + 1, end - start)), lambda own: F.when(t.incomplete(own, question), widened(own)).otherwise(own))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
+#: D18. Fixed value: the task whose subparts are read with all that precedes them.
+CUMULATIVE_TASK = "critique_and_revision"
+#: D19. Fixed value: words for each subpart below which no detector is asked.
+WORDS_FOR_DETECTION = 10
+
+
+def subpart_segments(parts: DataFrame, wanted: DataFrame, *key: str, detected: DataFrame | None = None) -> DataFrame:
+    """Parts (key, label, section_text and others) refined to their subparts.
+
+    wanted: key, part_idx, label, and question and task_type, which tell what is a repair and what is cumulative. A part with fewer
+    than two wanted subparts passes through (resolved = whole). Slices go from anchor to anchor of its text, if max(2, n // 2 + 1)
+    subparts have one of their own; else, where the text has ten words for each, a detector's labels (detected: key, label) that are
+    wanted decide which of them are sought. A slice that is damaged or too short for its question is cut again up to the next
+    anchor of another subpart, and widened (anchored). A subpart without a slice inherits the whole text (inherited). Subparts of
+    the cumulative task with an anchor get all up to the next one (cumulative). The subparts come to the row of their part as an
+    array: its text is not copied before the cut, and one pass over the array sees all anchors."""
+    has = lambda c: F.col(c) if c in wanted.columns else F.lit("")
+    each = wanted.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("part_idx", "label", has("question").alias("question"), has("task_type").alias("task_type")))).alias("_wanted"))
+    rows = parts.withColumn("_text", F.replace("section_text", F.lit("\r\n"), F.lit("\n"))).join(each, list(key), "left")
+    seen = F.array().cast("array<string>")
+    if detected is not None:
+        labels = detected.groupBy(*key).agg(F.collect_set(t.label_key(F.col("label"))).alias("_detected"))
+        rows, seen = rows.join(labels, list(key), "left"), F.coalesce("_detected", seen)
+    rows = rows.withColumn("_at", F.transform("_wanted", lambda x: subpart_anchor(F.col("_text"), x["label"])))
+    rows = rows.withColumn("_asked", F.transform("_wanted", lambda x: F.array_contains(seen, t.label_key(x["label"]))))
+    # the first subpart at a position has it
+    own = lambda among: F.transform(among, lambda p, i: F.when(p.isNotNull() & (F.array_position(among, p) == i + 1), p))
+    found = lambda of: F.size(F.filter(of, lambda p: p.isNotNull()))
+    rows = rows.withColumn("_first", own(F.col("_at")))
+    rows = rows.withColumn("_some", F.transform(F.arrays_zip("_at", "_asked"), lambda x: F.when(x["_asked"], x["_at"])))
+    rows = rows.withColumn("_some", own(F.col("_some")))
+    n, asked = F.size("_wanted"), F.size(F.filter("_asked", lambda x: x))
+    by_anchor = found(F.col("_first")) >= F.greatest(F.lit(2), F.floor(n / 2) + 1)
+    by_detector = (asked >= 2) & (t.word_count(F.col("_text")) >= n * WORDS_FOR_DETECTION) & (found(F.col("_some")) >= F.greatest(F.lit(2), F.floor(asked / 2) + 1))
+    rows = rows.withColumn("_cuts", F.when(stripped(F.col("_text")) == "", F.transform("_first", lambda p: F.lit(None).cast("int"))).when(by_anchor, F.col("_first")).when(by_detector, F.col("_some")).otherwise(F.transform("_first", lambda p: F.lit(None).cast("int"))))
+    rows = rows.withColumn("_places", F.array_sort(F.filter("_at", lambda p: p.isNotNull()))).withColumn("_sorted", F.array_sort(F.filter("_cuts", lambda p: p.isNotNull())))
+    end, text = F.length("_text"), F.col("_text")
+    next_of = lambda places, p: F.coalesce(F.get(F.filter(places, lambda q: q > p), F.lit(0)), end)
+
+    def resolved(x: Column) -> Column:
+        spec, at, cut = x["_wanted"], x["_at"], x["_cuts"]
+        again = lambda said: F.when(t.incomplete(said, spec["question"]) & at.isNotNull(), repaired(text, at, next_of(F.col("_places"), at), spec["question"])).otherwise(said)
+        sliced = bound(repaired(text, cut, next_of(F.col("_sorted"), cut), spec["question"]), again)
+        before = F.nullif(repaired(text, F.lit(0), next_of(F.col("_places"), at), spec["question"]), F.lit(""))
+        cumulative = F.when((spec["task_type"] == CUMULATIVE_TASK) & at.isNotNull() & (stripped(text) != ""), before)
+        said = F.coalesce(cumulative, F.when(cut.isNotNull(), sliced), F.col("section_text"))
+        how = F.when(cumulative.isNotNull(), "cumulative").when(cut.isNotNull(), "anchored").otherwise("inherited")
+        return F.struct(spec["part_idx"].cast("int").alias("part_idx"), spec["label"].alias("label"), said.alias("section_text"), how.alias("resolved"))
+
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("part_idx"), (F.col("label") if "label" in parts.columns else F.lit(None).cast("string")).alias("label"), F.col("section_text").alias("section_text"), F.lit("whole").alias("resolved")))
+    children = F.transform(F.arrays_zip("_wanted", "_at", "_cuts"), resolved)
+    keep = [c for c in parts.columns if c not in ("label", "section_text", *key)]
+    return rows.select(*key, *keep, F.explode(F.when(F.coalesce(n, F.lit(0)) < 2, whole).otherwise(children)).alias("_x")).select(*key, *keep, "_x.*")
 
 
 def merged_spans(spans: DataFrame, *key: str, most: int | None = None) -> DataFrame:

@@ -104,16 +104,20 @@ def chunk_interval_merge(spark, sf):
 
 
 def subpart_segment(spark, sf):
-    """Answers to the turns of a conversation are numbered in three ways and found again; a turn that is not numbered
-    inherits the whole text."""
-    c = _t(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("part_idx"), "text")
+    """What one role says in a conversation is a part, its turns are the subparts. Turns are numbered in three ways, but not
+    those under 200 bytes; a detector names the numbered turns of assistants. Some questions ask for more than one thing, and every
+    fourth turn revises what precedes it."""
+    w = W.partitionBy("conv_id", "role").orderBy("turn")
+    c = _t(spark, sf, "conversations").select("conv_id", "role", "text", F.row_number().over(w).alias("part_idx"), F.octet_length("text").alias("size"))
     n = F.col("part_idx").cast("string")
-    head = F.when(F.col("part_idx") % 4 == 0, F.lit("")).when(F.col("part_idx") % 3 == 0, F.concat(n, F.lit(") "))).when(F.col("part_idx") % 3 == 1, F.concat(F.lit("Q"), n, F.lit(" "))).otherwise(F.concat(F.lit("Question "), n, F.lit(": ")))
-    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part_idx", F.concat(head, F.lit("said "), F.octet_length("text").cast("string")).alias("line")))).alias("rows"))
-    parts = rows.select("conv_id", F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("section_text"))
-    wanted = c.select("conv_id", "part_idx", F.concat(F.lit("Part 1 Q"), n).alias("label"))
-    out = structure.subpart_segments(parts, wanted, "conv_id")
-    return out.select("conv_id", "part_idx", "resolved", F.substring_index(F.trim("section_text"), "\n", 1).alias("first_line"))
+    head = F.when(F.col("size") < 200, F.lit("")).when(F.col("part_idx") % 3 == 0, F.concat(n, F.lit(") "))).when(F.col("part_idx") % 3 == 1, F.concat(F.lit("Q"), n, F.lit(" "))).otherwise(F.concat(F.lit("Question "), n, F.lit(": ")))
+    rows = c.groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("part_idx", F.concat(head, "text").alias("line")))).alias("rows"))
+    parts = rows.select("conv_id", "role", F.lit("Part 1").alias("label"), F.array_join(F.transform("rows", lambda x: x["line"]), "\n").alias("section_text"))
+    question = F.when(F.col("part_idx") % 2 == 0, "1. State the claim. 2. Define each term.").otherwise("State the claim.")
+    task = F.when(F.col("part_idx") % 4 == 0, structure.CUMULATIVE_TASK).otherwise("comparison")
+    wanted = c.select("conv_id", "role", "part_idx", F.concat(F.lit("Part 1 Q"), n).alias("label"), question.alias("question"), task.alias("task_type"))
+    detected = c.where("role = 'assistant' AND size >= 200").select("conv_id", "role", F.concat(F.lit("PART 1  q"), n).alias("label"))
+    return structure.subpart_segments(parts, wanted, "conv_id", "role", detected=detected)
 
 
 def fast_path_detection(spark, sf):
@@ -153,6 +157,36 @@ def question_cleanup(spark, sf):
 _N = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice)::INT AS n, l_quantity::INT AS q, l_partkey, l_suppkey FROM lineitem"
 _SECOND = "CASE WHEN q - 2 > 0 THEN (q - 2)::DOUBLE END"
 _MERGED = "SELECT p_brand AS assessment, 'part ' || (p_size % 10) AS label_key, min(p_partkey) AS ord, arg_max(p_name || '{s}', length(p_name) * 1000000 - p_partkey) AS body, arg_min(p_size::DOUBLE, p_partkey) AS max_mark FROM part WHERE {w} GROUP BY 1, 2"
+_REPAIRED = """{n}_own AS (
+  SELECT *, trim(substr(text, {a} + 1, {b} - {a}), ' ' || chr(10)) AS own, greatest(0, {a} - wide) AS low, least(length(text), {b} + wide) AS high FROM {f}
+), {n}_flat AS (
+  SELECT *, trim(regexp_replace(own, '\\s+', ' ', 'g')) AS flat, strpos(reverse(substr(text, low + 1, {a} - low)), chr(10)) AS last, strpos(substr(text, {b} + 1, high - {b}), chr(10)) AS after FROM {n}_own
+), {n} AS (
+  SELECT * EXCLUDE (own, low, high, flat, last, after, left_, right_), CASE WHEN NOT (flat = '' OR contains(flat, '...') OR len(regexp_extract_all(flat, '[a-z]{{6,}}[A-Z][a-z]+')) >= 2 OR regexp_matches(flat, '[a-z]{{16,}}')
+    OR length(flat) < 120 OR (many AND length(flat) < 260)) THEN own ELSE coalesce(nullif(trim(substr(text, left_ + 1, right_ - left_), ' ' || chr(10)), ''), own) END AS {n}_text
+  FROM (SELECT *, CASE WHEN low > 0 AND last > 0 THEN {a} - last + 1 ELSE low END AS left_, CASE WHEN high < length(text) AND after > 0 THEN {b} + after - 1 ELSE high END AS right_ FROM {n}_flat)
+)"""
+_CHILDREN = f"""
+WITH turns AS (
+  SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i, strlen(text) AS size, text FROM conversations
+), lines AS (
+  SELECT *, CASE WHEN size < 200 THEN '' WHEN i % 3 = 0 THEN i || ') ' WHEN i % 3 = 1 THEN 'Q' || i || ' ' ELSE 'Question ' || i || ': ' END || text AS line FROM turns
+), placed AS (
+  SELECT conv_id, role, i, size >= 200 AS marked, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id, role ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos,
+    count(*) OVER p AS n, count(*) FILTER (size >= 200) OVER p AS found FROM lines WINDOW p AS (PARTITION BY conv_id, role)
+), joined AS (
+  SELECT conv_id, role, string_agg(line, chr(10) ORDER BY i) AS text FROM lines GROUP BY ALL
+), decided AS (
+  SELECT p.*, j.text, CASE WHEN i % 2 = 0 THEN 420 ELSE 260 END AS wide, i % 2 = 0 AS many,
+    found >= greatest(2, n // 2 + 1) OR (role = 'assistant' AND found >= 2 AND len(regexp_extract_all(j.text, '[^ \n]+')) >= 10 * n) AS cut,
+    coalesce(min(pos) FILTER (marked) OVER (PARTITION BY conv_id, role ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), length(j.text))::BIGINT AS stop, 0::BIGINT AS zero
+  FROM placed p JOIN joined j USING (conv_id, role)
+), {_REPAIRED.format(n="slice", a="pos", b="stop", f="decided")}, {_REPAIRED.format(n="before", a="zero", b="stop", f="slice")}
+SELECT conv_id, role, CASE WHEN n > 1 THEN i::INT END AS part_idx, CASE WHEN n > 1 THEN 'Part 1 Q' || i ELSE 'Part 1' END AS label,
+  CASE WHEN n > 1 AND marked AND i % 4 = 0 THEN before_text WHEN n > 1 AND marked AND cut THEN slice_text ELSE text END AS section_text,
+  CASE WHEN n < 2 THEN 'whole' WHEN marked AND i % 4 = 0 THEN 'cumulative' WHEN marked AND cut THEN 'anchored' ELSE 'inherited' END AS resolved
+FROM before
+"""
 SQL = {
     "section_parse": f"SELECT l_orderkey AS assessment, n::BIGINT AS ord, 'part ' || n AS label_key, q::DOUBLE AS max_mark, q || ' marks' AS weight_text, (length('1. state item ' || l_partkey || ' [2 marks]') + 1 + length('2. explain item ' || l_suppkey))::INT AS body_chars FROM ({_N})",
     "child_parse_and_marks": f"SELECT l_orderkey AS assessment, (2 * count(*))::BIGINT AS n_units, sum(2.0::DOUBLE + coalesce({_SECOND}, 0)) AS marks, (count(*) + count({_SECOND}))::BIGINT AS n_marked FROM ({_N}) GROUP BY 1",
@@ -165,7 +199,7 @@ SQL = {
     "unexpected_anti": f"SELECT n, count(*) AS unexpected FROM ({_N}) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1",
     "expected_units": f"SELECT l_orderkey AS assessment, 'Part ' || n AS parent, k - 1 AS idx, 'Part ' || n || ' Q' || k AS label, 'Q' || k AS anchor_text, CASE k WHEN 1 THEN '1. state item ' || l_partkey || ' [2 marks]' ELSE '2. explain item ' || l_suppkey END AS focus_hint, CASE k WHEN 1 THEN 2.0::DOUBLE ELSE (q - 2)::DOUBLE END AS max_mark, 'deterministic_derivation' AS task_type FROM ({_N}) CROSS JOIN (VALUES (1), (2)) AS x(k) WHERE q > 2",
     "chunk_interval_merge": "SELECT user_id, island::INT AS island, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a) AS island FROM (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY user_id ORDER BY a) OR lag(b) OVER (PARTITION BY user_id ORDER BY a) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT user_id, event_id - 100 AS a, event_id + 420 AS b FROM events))) WHERE island <= 8 GROUP BY 1, 2",
-    "subpart_segment": "SELECT conv_id, turn + 1 AS part_idx, CASE WHEN found >= greatest(2, n // 2 + 1) AND (turn + 1) % 4 <> 0 THEN 'anchored' ELSE 'inherited' END AS resolved, CASE WHEN found >= greatest(2, n // 2 + 1) AND (turn + 1) % 4 <> 0 THEN line ELSE first END AS first_line FROM (SELECT *, count(*) OVER w AS n, count(*) FILTER ((turn + 1) % 4 <> 0) OVER w AS found, first_value(line) OVER (PARTITION BY conv_id ORDER BY turn) AS first FROM (SELECT conv_id, turn, CASE WHEN (turn + 1) % 4 = 0 THEN '' WHEN (turn + 1) % 3 = 0 THEN (turn + 1) || ') ' WHEN (turn + 1) % 3 = 1 THEN 'Q' || (turn + 1) || ' ' ELSE 'Question ' || (turn + 1) || ': ' END || 'said ' || strlen(text) AS line FROM conversations) WINDOW w AS (PARTITION BY conv_id))",
+    "subpart_segment": _CHILDREN,
     "fast_path_detection": f"SELECT *, CASE WHEN expected = 1 OR anchored >= greatest(2, expected // 2) THEN 'accept' ELSE 'ask' END AS path FROM (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (q > 25) AS anchored FROM ({_N}) GROUP BY 1)",
     "rubric_matrix_rows": "SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES ('First', 70), ('2:1', 60), ('2:2', 50), ('Third', 40), ('Fail', 0)) AS x(band, least)",
     "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum((turn % 5 + conv_id % 3)::DOUBLE)) AS total_mark, 0::BIGINT AS n_errors FROM conversations WHERE trim(text) <> '' GROUP BY 1",

@@ -64,9 +64,74 @@ def test_first_object():
 
 
 def test_distributed_marks(spark):
-    units = spark.createDataFrame([("a", "part 1", "part 1 q1", 4.0), ("a", "part 1", "part 1 q2", None), ("a", "part 1", "part 1 q3", None)], "assessment string, parent_key string, label_key string, max_mark double")
-    parents = spark.createDataFrame([("a", "part 1", 10.0)], "assessment string, label_key string, max_mark double")
-    assert sorted(r.max_mark for r in structure.distributed(units, parents).collect()) == [3.0, 3.0, 4.0]
+    kids = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
+    shared = lambda *marks: [x.max_mark for x in spark.createDataFrame([([("l", "l", m, "t") for m in marks],)], f"x {kids}").select(structure.with_shared_marks(F.col("x"), F.lit(10.0)).alias("x")).head().x]
+    assert shared(4.0, None, None) == [4.0, 3.0, 3.0]
+    assert shared(None) == [None] and shared(9.0, 2.0, None) == [9.0, 2.0, None]
+
+
+def children_of(spark, text, specs, detected=None):
+    parts = spark.createDataFrame([("s", "Part 1", text, 7)], "sub string, label string, section_text string, kept int")
+    wanted = spark.createDataFrame([("s", i, *x) for i, x in enumerate(specs)], "sub string, part_idx int, label string, question string, task_type string")
+    seen = spark.createDataFrame([("s", x) for x in detected], "sub string, label string") if detected else None
+    rows = structure.subpart_segments(parts, wanted, "sub", detected=seen).orderBy("part_idx").collect()
+    assert all(r.kept == 7 for r in rows)
+    return {r.label: (r.resolved, r.section_text) for r in rows}
+
+
+LONG = "a claim with its reason and some detail of it " * 4
+
+
+def test_subparts_inherit_repair_and_accumulate(spark):
+    spec = lambda n, task="comparison", q="why": (f"Part 1 Q{n}", q, task)
+    text = f"intro\n\nQ1 {LONG}\nQuestion 2 {LONG}\n3) {LONG}"
+    q1, q2, q3 = (x.strip() for x in (f"Q1 {LONG}", f"Question 2 {LONG}", f"3) {LONG}"))
+    found = children_of(spark, text, [spec(1), spec(2), spec(3, structure.CUMULATIVE_TASK), spec(4)])
+    assert found == {"Part 1 Q1": ("anchored", q1), "Part 1 Q2": ("anchored", q2), "Part 1 Q3": ("cumulative", text.strip()), "Part 1 Q4": ("inherited", text)}
+    # a cumulative subpart in the middle stops at the next one
+    assert children_of(spark, text, [spec(1), spec(2, structure.CUMULATIVE_TASK), spec(3)])["Part 1 Q2"] == ("cumulative", f"intro\n\n{q1} \n{q2}")
+    # one anchor of two: both inherit, unless it is the cumulative task's
+    one = f"intro\nQ1 {LONG}"
+    assert children_of(spark, one, [spec(1), spec(2)]) == {"Part 1 Q1": ("inherited", one), "Part 1 Q2": ("inherited", one)}
+    assert children_of(spark, one, [spec(1, structure.CUMULATIVE_TASK), spec(2)])["Part 1 Q1"] == ("cumulative", one.strip())
+    # a short slice is widened to the lines around it
+    short = f"{'x ' * 200}\nQ1 yes\n{'y ' * 200}\nQ2 {LONG}"
+    got = children_of(spark, short, [spec(1), spec(2)])["Part 1 Q1"]
+    assert got == ("anchored", f"Q1 yes\n{'y ' * 200}".strip())
+    # damaged: the repair reaches beyond the slice
+    bad = f"{LONG}\nQ1 so...\nQ2 {LONG}"
+    assert children_of(spark, bad, [spec(1), spec(2)])["Part 1 Q1"] == ("anchored", bad.strip())
+
+
+def test_subparts_by_a_detector_and_without_any(spark):
+    spec = lambda n: (f"Part 1 Q{n}", "why", "comparison")
+    text = f"Q1 {LONG}\nQ2 {LONG}\nnothing else has a number"
+    specs = [spec(i) for i in range(1, 6)]
+    assert {r for r, _ in children_of(spark, text, specs).values()} == {"inherited"}
+    found = children_of(spark, text, specs, ["part 1  Q1", "PART 1 q2", "other"])
+    assert [found[f"Part 1 Q{i}"][0] for i in range(1, 6)] == ["anchored", "anchored", "inherited", "inherited", "inherited"]
+    assert {r for r, _ in children_of(spark, text, specs, ["Part 1 Q1"]).values()} == {"inherited"}
+    few = "Q1 few\nQ2 words"
+    assert {r for r, _ in children_of(spark, few, specs, ["Part 1 Q1", "Part 1 Q2"]).values()} == {"inherited"}
+    assert children_of(spark, " \n", [spec(1), spec(2)]) == {"Part 1 Q1": ("inherited", " \n"), "Part 1 Q2": ("inherited", " \n")}
+    assert children_of(spark, text, [spec(1)]) == {"Part 1": ("whole", text)}
+    # two subparts at one place: the first has it
+    twice = children_of(spark, f"Q1 {LONG}\n2. {LONG}", [spec(1), ("Part 2 Q1", "why", ""), spec(2)])
+    assert [twice[x][0] for x in ("Part 1 Q1", "Part 2 Q1", "Part 1 Q2")] == ["anchored", "inherited", "anchored"]
+
+
+def test_anchors_on_both_sides_of_the_contents(spark):
+    toc = "".join(f"Part {i} ..... {i}\n" for i in range(1, 4))
+    place = lambda text, labels: {r.label: r.section_text for r in structure.segmented(spark.createDataFrame([("s", text)], "submission_id string, text string"), spark.createDataFrame([("s", i, x) for i, x in enumerate(labels)], "submission_id string, part_idx int, label string")).collect()}
+    labels = ["Part 1", "Part 2", "Part 3"]
+    body = " end" * 100
+    assert place(f"{toc}Part 1\none\nPart 2\ntwo\nPart 3\nthree{body}", labels)["Part 2"] == "Part 2\ntwo\n"
+    # named in the contents only: that is where it begins
+    assert place(f"{toc}Part 1\none\nPart 3\nthree{body}", labels)["Part 2"].startswith("Part 2 ..... 2")
+    # before the contents
+    assert place(f"Part 2\nfirst\n{toc}Part 1\none\nPart 3\nthree{body}", labels)["Part 2"].startswith("Part 2\nfirst")
+    many = "\n".join(f"line {i} of Part 1" for i in range(20_000))
+    assert place("Part 1\n" + many, ["Part 1"])["Part 1"].startswith("Part 1\nline 0")
 
 
 def test_files(spark):
