@@ -1,43 +1,67 @@
-"""Scorer responses: JSON text to typed rows with error codes instead of exceptions (N1 to N6), and the pluggable scorer."""
+"""Scorer responses: JSON text to typed rows with error codes instead of exceptions."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from typing import Protocol
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from scriptorium.functions import bands
 from scriptorium.functions.text import collapse
+from scriptorium.operators.jsons import is_string, missing, number
 
-ANALYSIS = "section_label string, provisional_score double, provisional_score_0_to_100 double, coverage_comment string, strengths array<string>, weaknesses array<string>, evidence array<string>, grade_band string"
-#: What fills lists that a response leaves short.
-PADDING = {"strengths": ("Some relevant content is present.", 2), "weaknesses": ("More detail is needed.", 2), "evidence": ("No passage was quoted.", 1)}
+#: N3. What fills lists that a response leaves short, and how many items they have at least.
+FILLERS = {
+    "strengths": ("Additional concrete strength was not provided in the model response.", 2),
+    "weaknesses": ("Additional concrete weakness was not provided in the model response.", 2),
+    "evidence": ("Concrete supporting evidence was not provided in the model response.", 1),
+}
 
 
 def part_analysis(rows: DataFrame) -> DataFrame:
-    """Content (JSON text) to the columns of ANALYSIS and error_code; columns are null where there is an error."""
-    parsed = rows.withColumn("_a", F.from_json("content", ANALYSIS)).withColumn("_raw", F.get_json_object("content", "$.provisional_score"))
-    score = F.coalesce("_a.provisional_score", "_a.provisional_score_0_to_100")
+    """Rows with provisional_score, provisional_score_0_to_100, coverage_comment, strengths, weaknesses, evidence, grade_band,
+    within_band_position, band_confidence_0_to_100 and error_code from content, JSON text that is parsed once. All but error_code are
+    null where there is an error.
+
+    A score out of the part's own maximum comes before one of 100. The columns max_mark and marking_guidance of rows, if they are there,
+    give the scale; bands, positions and confidences that a response leaves out, or that the scale has not, follow from the score."""
+    has = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    most, guidance = has("max_mark", "double"), has("marking_guidance", "string")
+    said = lambda name: F.try_variant_get("_v", f"$.{name}", "string")
+    parsed = rows.withColumn("_v", F.try_parse_json("content"))
+    parsed = parsed.withColumns({
+        "_own": ~missing(F.col("_v"), "$.provisional_score"),
+        "_score": F.when(missing(F.col("_v"), "$.provisional_score"), number(F.col("_v"), "$.provisional_score_0_to_100")).otherwise(number(F.col("_v"), "$.provisional_score")),
+        "_given": F.col("_v").isNotNull() & ~(missing(F.col("_v"), "$.provisional_score") & missing(F.col("_v"), "$.provisional_score_0_to_100")),
+        "_comment": F.when(is_string(F.col("_v"), "$.coverage_comment"), trimmed(said("coverage_comment"))),
+        "_confidence": F.round(number(F.col("_v"), "$.band_confidence_0_to_100"), 2),
+        "_band": said("grade_band"), "_position": said("within_band_position"),
+        **{f"_{n}": F.filter(F.transform(F.try_variant_get("_v", f"$.{n}", "array<string>"), lambda x: trimmed(F.coalesce(x, F.lit("None")))), lambda x: x != "") for n in FILLERS},
+    })
     error = (
-        F.when(F.try_parse_json("content").isNull(), "not_json")
-        .when(score.isNull() & F.col("_raw").isNotNull(), "score_not_numeric")
-        .when(score.isNull(), "score_missing")
-        .when(score < 0, "score_negative")
-        .when(F.col("_a.provisional_score_0_to_100") > 100, "percent_too_high")
-        .when(F.trim(F.coalesce("_a.coverage_comment", F.lit(""))) == "", "comment_missing")
-    )
-    parsed = parsed.withColumn("error_code", error)
-    fields = ("section_label", "provisional_score", "provisional_score_0_to_100", "coverage_comment", "grade_band")
-    out = parsed.withColumns({f: F.when(F.col("error_code").isNull(), F.col(f"_a.{f}")) for f in fields})
-    for name, (filler, least) in PADDING.items():
-        given = F.coalesce(F.col(f"_a.{name}"), F.array().cast("array<string>"))
-        filled = F.concat(given, F.array_repeat(F.lit(filler), F.greatest(F.lit(0), F.lit(least) - F.size(given))))
-        out = out.withColumn(name, F.when(F.col("error_code").isNull(), filled))
-    return out.drop("_a", "_raw")
+        F.when(F.col("_v").isNull(), "not_json").when(F.col("_score").isNull(), F.when(F.col("_given"), "score_not_numeric").otherwise("score_missing"))
+        .when(F.col("_score") < 0, "score_negative").when(~F.col("_own") & (F.col("_score") > 100), "percent_too_high")
+    )
+    for name in FILLERS:
+        error = error.when(F.col(f"_{name}").isNull(), f"{name}_not_a_list")
+    parsed = parsed.withColumn("error_code", error.when(F.coalesce("_comment", F.lit("")) == "", "comment_missing"))
+    percent = F.when(F.col("_own") & (most > 0), F.col("_score") / most * 100).otherwise(F.col("_score"))
+    parsed = parsed.withColumn("_percent", percent).withColumn("_as", bands.band(F.col("_band"), F.col("_percent"), guidance))
+    ok = lambda x: F.when(F.col("error_code").isNull(), x)
+    filled = {n: F.concat(F.col(f"_{n}"), F.array_repeat(F.lit(text), F.greatest(F.lit(0), F.lit(least) - F.size(f"_{n}")))) for n, (text, least) in FILLERS.items()}
+    out = {
+        "provisional_score": F.when(F.col("_own"), F.round("_score", 2)),
+        "provisional_score_0_to_100": F.when(~F.col("_own"), F.round("_score", 2)),
+        "coverage_comment": F.col("_comment"),
+        **filled,
+        "grade_band": F.col("_as"),
+        "within_band_position": bands.position(F.col("_percent"), F.col("_as"), guidance, F.col("_position")),
+        "band_confidence_0_to_100": F.when(F.col("_confidence").between(0, 100), F.col("_confidence")).otherwise(bands.default_confidence(F.col("_as"), guidance)),
+    }
+    return parsed.select(*rows.columns, *(ok(x).alias(name) for name, x in out.items()), "error_code")
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(" \t\r\n\x0b\x0c"))
 
 
 #: N5. By scale, what a status may be called and its own name there; and what each own name amounts to.
@@ -64,63 +88,6 @@ def note(text: Column) -> Column:
     return F.substring(F.array_join(F.slice(F.split(flat, " "), 1, 5), " "), 1, 48)
 
 
-def first_object(text: str) -> str | None:
-    """The first balanced {...} of a text, strings and escapes respected."""
-    start = text.find("{")
-    depth, quoted, skip = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        c = text[i]
-        if skip:
-            skip = False
-        elif quoted:
-            skip, quoted = c == "\\", c != '"'
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if not depth:
-                return text[start : i + 1]
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def scanned(content: pd.Series) -> pd.Series:
-    return content.map(lambda s: None if s is None else first_object(s))
-
-
-def json_content(content: Column) -> Column:
-    """The text itself where it parses, else its first balanced object."""
-    return F.when(F.try_parse_json(content).isNotNull(), content).otherwise(scanned(content))
-
-
-class Scorer(Protocol):
-    """Requests (profile, request_key, attempt, payload) to responses (the same keys, content)."""
-
-    def __call__(self, requests: DataFrame) -> DataFrame: ...
-
-
-def replayed(responses: DataFrame) -> Scorer:
-    """A scorer that looks responses up: a join, so it runs at any size and gives the same each time."""
-    keys = ["profile", "request_key", "attempt"]
-    return lambda requests: requests.join(responses.select(*keys, "content"), keys, "left")
-
-
-def over_http(url: str, timeout: float = 300.0) -> Scorer:
-    """A scorer that posts each payload. Requests carry their key, so that a task run again asks for the same."""
-
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from urllib.request import Request, urlopen
-
-        for frame in frames:
-            said = []
-            for key, payload in zip(frame["request_key"], frame["payload"], strict=True):
-                with urlopen(Request(url, payload.encode(), {"Content-Type": "application/json", "Idempotency-Key": key}), timeout=max(10.0, min(900.0, timeout))) as answer:
-                    said.append(json.loads(answer.read()).get("message", {}).get("content"))
-            yield frame[["profile", "request_key", "attempt"]].assign(content=said)
-
-    return lambda requests: requests.select("profile", "request_key", "attempt", "payload").mapInPandas(ask, "profile string, request_key string, attempt int, content string")
-
-
 _NOTE = "struct<criterion_name:string,status:string,note:string>"
 
 
@@ -149,11 +116,6 @@ def criterion_notes(content: Column, names: Column, scale: Column, labels: Colum
     return F.struct(F.when(error.isNull(), F.transform(names, one)).alias("notes"), error.alias("error_code"))
 
 
-def _number(variant: Column, path: str) -> Column:
-    """A JSON number; null for texts, truth values and what is missing."""
-    return F.when(F.schema_of_variant(F.variant_get(variant, path, "variant")).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get(variant, path, "double"))
-
-
 #: N18. Fixed values.
 AGREEMENTS = ("agree", "minor_concern", "major_concern")
 
@@ -162,7 +124,7 @@ def verification(content: Column) -> Column:
     """Struct (agreement, confidence, issues, recommendation, error_code) of a verifier's response (JSON text)."""
     v = F.try_parse_json(content)
     agreement, advice = (F.trim(F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))) for n in ("agreement", "recommendation"))
-    confidence, issues = _number(v, "$.confidence_0_to_100"), F.try_variant_get(v, "$.issues", "array<string>")
+    confidence, issues = number(v, "$.confidence_0_to_100"), F.try_variant_get(v, "$.issues", "array<string>")
     error = (
         F.when(v.isNull(), "not_json").when(~agreement.isin(*AGREEMENTS), "invalid_agreement").when(confidence.isNull(), "invalid_confidence")
         .when(~confidence.between(0, 100), "confidence_out_of_range").when(issues.isNull(), "invalid_issues").when(advice == "", "empty_recommendation")
@@ -180,7 +142,7 @@ def verified_rubric(content: Column, text: Column, issues: Column) -> Column:
     """Struct (rubric_text, confidence, issues) after a rubric's verification. A response that is no valid one leaves the text,
     takes the confidence to 0 and adds an issue."""
     v = F.try_parse_json(content)
-    new, confidence = F.trim(F.try_variant_get(v, "$.rubric_text", "string")), F.round(_number(v, "$.confidence_0_to_100"), 2)
+    new, confidence = F.trim(F.try_variant_get(v, "$.rubric_text", "string")), F.round(number(v, "$.confidence_0_to_100"), 2)
     bare = F.variant_get(v, "$.issues", "variant")
     said = F.when(bare.isNull() | F.is_variant_null(bare), F.array().cast("array<string>")).otherwise(F.try_variant_get(v, "$.issues", "array<string>"))
     why = (

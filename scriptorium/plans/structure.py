@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import responses, structure
+from scriptorium.operators import jsons, responses, scorers, structure
 from scriptorium.plans.marks import _t
 
 
@@ -134,19 +134,44 @@ def rubric_matrix_rows(spark, sf):
     return p.withColumn("b", F.explode(bands)).select("section", "unit", "b.band", (F.col("max_mark") * F.col("b.least") / 100).alias("least_mark"))
 
 
+def _answers(spark, sf):
+    """What each turn of a conversation asks of a scorer, with the turn as a whole text."""
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("section_text"))
+    parts = c.withColumns({
+        "label": F.concat(F.lit("Part "), F.col("turn").cast("string")), "max_mark": F.when(F.col("turn") % 3 > 0, F.col("turn") + 9.5), "question": F.lit("Say why, with evidence."),
+        "task_type": F.when(F.col("turn") % 2 == 0, "evaluative_discussion").otherwise("comparison"), "marking_guidance": F.lit("Quote the page numbers."),
+    })
+    return scorers.part_requests(parts, "scorer-1")
+
+
+def request_keys(spark, sf):
+    """The digests of all requests, and the size of their payloads."""
+    return scorers.keyed(_answers(spark, sf)).select("conv_id", "turn", "request_key", F.length("payload").alias("payload_chars"))
+
+
 def replay_pipeline(spark, sf):
-    """U1 and what follows: requests for non-empty parts, replayed responses, validated scores, totals; a blank part costs no call."""
-    parts = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
-    requests = parts.where(F.trim("text") != "").select(F.lit("part_scoring").alias("profile"), F.sha2(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")), 256).alias("request_key"), F.lit(1).alias("attempt"), "conv_id", "turn")
-    content = F.concat(F.lit('{"provisional_score":'), (F.col("turn") % 5 + F.col("conv_id") % 3).cast("string"), F.lit(',"coverage_comment":"ok"}'))
-    table = requests.select("profile", "request_key", "attempt", content.alias("content"))
-    scored = responses.part_analysis(responses.replayed(table)(requests))
-    return scored.groupBy("conv_id").agg(F.least(F.lit(100.0), F.sum("provisional_score")).alias("total_mark"), F.count_if(F.col("error_code").isNotNull()).alias("n_errors"))
+    """Requests for parts that are not blank, answers looked up by the requests' digests, those without a comment
+    asked for again with a note, validated scores, totals. Some answers come in no envelope, some in prose."""
+    requests = _answers(spark, sf)
+    n = F.col("conv_id") + F.col("turn")
+    content = lambda comment: F.concat(F.lit('Here: {"provisional_score":'), (F.col("turn") % 5 + F.col("conv_id") % 3).cast("string"), F.lit(f',"coverage_comment":"{comment}","strengths":[],"weaknesses":[],"evidence":[]}} {{'))
+    message = lambda said: F.to_json(F.struct(F.struct(F.lit("assistant").alias("role"), said.alias("content")).alias("message")))
+    again = requests.where(n % 4 == 0).withColumn("body", scorers.with_note(F.col("body"), scorers.retry_note(F.lit("comment_missing"))))
+    first = scorers.keyed(requests).select("request_key", F.when(n % 11 == 1, F.lit('{"done": true}')).otherwise(message(F.when(n % 4 == 0, content(" ")).otherwise(content("ok")))).alias("response"))
+    second = scorers.keyed(again).select("request_key", message(content("ok")).alias("response"))
+    scored = scorers.answers(requests, scorers.replayed(first.union(second)), responses.part_analysis)
+    score = F.coalesce("provisional_score", F.col("provisional_score_0_to_100"))
+    return scored.groupBy("conv_id").agg(F.least(F.lit(100.0), F.sum(score)).alias("total_mark"), F.count_if(F.col("error_code") == "no_message").alias("n_errors"), F.sum("attempts").alias("n_calls"))
 
 
 def json_brace_scan(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", F.concat(F.lit("noise "), F.to_json(F.struct(F.col("source").alias("a"), F.col("text").alias("b"))), F.lit(" } tail")).alias("content"))
-    return d.select("doc_id", responses.json_content(F.col("content")).alias("object"))
+    """An object with a whole document inside, as a response may hold it: alone, in prose, behind braces that nothing closes, behind
+    a string with a brace (which a quote in the text makes an object of its own, and no JSON), after what only looks like one, or cut off."""
+    held = F.to_json(F.struct(F.coalesce("source", F.lit("")).alias("a"), F.coalesce("text", F.lit("")).alias("b")))
+    d = _t(spark, sf, "documents").select("doc_id", (F.length("text") % 6).alias("kind"), held.alias("held"))
+    around = F.element_at(F.array(F.concat(F.lit("noise "), "held", F.lit(" } tail")), F.col("held"), F.concat(F.lit("a set { of { "), "held"), F.concat(F.lit('so { "{" and '), "held"), F.concat(F.lit("{a: {}} "), "held"), F.expr("substring(held, 1, length(held) - 1)")), (F.coalesce("kind", F.lit(0)) + 1).cast("int"))
+    found = d.select("doc_id", "held", "kind", jsons.json_object(around).alias("found"))
+    return found.select("doc_id", F.col("found.object").alias("object"), F.col("found.error_code").alias("error_code"))
 
 
 def question_cleanup(spark, sf):
@@ -166,6 +191,23 @@ _REPAIRED = """{n}_own AS (
     OR length(flat) < 120 OR (many AND length(flat) < 260)) THEN own ELSE coalesce(nullif(trim(substr(text, left_ + 1, right_ - left_), ' ' || chr(10)), ''), own) END AS {n}_text
   FROM (SELECT *, CASE WHEN low > 0 AND last > 0 THEN {a} - last + 1 ELSE low END AS left_, CASE WHEN high < length(text) AND after > 0 THEN {b} + after - 1 ELSE high END AS right_ FROM {n}_flat)
 )"""
+_KEYS = """
+WITH payloads AS (
+  SELECT conv_id, turn, '{"section_id":"Part ' || turn || '","max_mark":' || CASE WHEN turn % 3 > 0 THEN (turn + 9.5)::DOUBLE ELSE 100.0::DOUBLE END
+    || ',"question":{"text":"Say why, with evidence.","task_type":"' || CASE WHEN turn % 2 = 0 THEN 'evaluative_discussion' ELSE 'comparison' END
+    || '"},"scoring":{"method":"' || CASE WHEN turn % 2 = 0 THEN 'classification_then_score","scale":{"type":"likert_judgement","labels":["weak","developing","clear","strong"]}' ELSE 'criterion_evaluation","scale":{"type":"verification_check","labels":["missing_or_wrong","partial","secure"]}' END
+    || ',"rules":["' || CASE WHEN turn % 3 > 0 THEN 'provisional_score lies between 0 and ' || (turn + 9.5)::DOUBLE ELSE 'provisional_score_0_to_100 lies between 0 and 100' END
+    || '.","Nothing outside this section counts.","Reward specific references when the task asks for them.","If a response contains no relevant attempt, no attempt at the required method, or only unrelated content, award zero or minimal credit."]},"student_response":{"text":' || to_json(text)
+    || '},"output_contract":["Keys: section_label, ' || CASE WHEN turn % 3 > 0 THEN 'provisional_score' ELSE 'provisional_score_0_to_100' END || ', criterion_notes, strengths, weaknesses, evidence, coverage_comment.","criterion_notes lists {criterion_name, status, note}; a status is one of: '
+    || CASE WHEN turn % 2 = 0 THEN 'weak, developing, clear, strong' ELSE 'missing_or_wrong, partial, secure' END || '; a note has two to five words.","Two strengths, two weaknesses and one piece of evidence at least; coverage_comment is not empty."]}' AS payload
+  FROM conversations WHERE trim(text) <> ''
+), bodies AS (
+  SELECT conv_id, turn, '{"model":"scorer-1","format":"json","messages":[{"role":"system","content":"You mark one section of a submission. The payload holds all that counts. Answer with one JSON object."},{"role":"user","content":'
+    || to_json('scoring_payload:' || chr(10) || payload) || '}],"stream":false,"options":{"temperature":0.05,"top_p":0.85,"num_ctx":8192,"seed":7,"num_predict":1100}}' AS body
+  FROM payloads
+)
+SELECT conv_id, turn, sha256('part_scoring' || chr(10) || body) AS request_key, length(body)::INT AS payload_chars FROM bodies
+"""
 _CHILDREN = f"""
 WITH turns AS (
   SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i, strlen(text) AS size, text FROM conversations
@@ -202,8 +244,9 @@ SQL = {
     "subpart_segment": _CHILDREN,
     "fast_path_detection": f"SELECT *, CASE WHEN expected = 1 OR anchored >= greatest(2, expected // 2) THEN 'accept' ELSE 'ask' END AS path FROM (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (q > 25) AS anchored FROM ({_N}) GROUP BY 1)",
     "rubric_matrix_rows": "SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES ('First', 70), ('2:1', 60), ('2:2', 50), ('Third', 40), ('Fail', 0)) AS x(band, least)",
-    "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum((turn % 5 + conv_id % 3)::DOUBLE)) AS total_mark, 0::BIGINT AS n_errors FROM conversations WHERE trim(text) <> '' GROUP BY 1",
+    "request_keys": _KEYS,
+    "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum(CASE WHEN n % 11 <> 1 OR n % 11 IS NULL THEN turn % 5 + conv_id % 3 END)::DOUBLE) AS total_mark, count(*) FILTER (n % 11 = 1) AS n_errors, sum(CASE WHEN n % 4 = 0 AND n % 11 <> 1 THEN 2 ELSE 1 END)::BIGINT AS n_calls FROM (SELECT *, conv_id + turn AS n FROM conversations WHERE trim(text) <> '') GROUP BY 1",
+    "json_brace_scan": "SELECT doc_id, CASE WHEN kind < 4 AND NOT bare THEN held END AS object, CASE WHEN kind = 4 OR bare THEN 'invalid_object' WHEN kind = 5 THEN 'no_object' END AS error_code FROM (SELECT doc_id, coalesce(length(text) % 6, 0) AS kind, coalesce(length(text) % 6 = 3 AND contains(text, '\"'), false) AS bare, '{\"a\":' || to_json(coalesce(source, '')) || ',\"b\":' || to_json(coalesce(text, '')) || '}' AS held FROM documents)",
     "question_cleanup": "SELECT p_partkey, 'Explain ' || trim(regexp_replace(p_name, '[ ]+', ' ', 'g')) || '  at length' AS question FROM part",
 }
-ROWS_ONLY = ("json_brace_scan",)
-QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -84,13 +84,15 @@ def criteria_cap5_dedup(spark, sf):
 
 
 def json_part_analysis_validate(spark, sf):
+    """Responses with a score of 50, three in six of them wrong; a band that the scale has not, a confidence out of range."""
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
     kind = F.col("l_partkey") % 6
     score = F.col("l_quantity").cast("int").cast("string")
-    body = lambda s, c: F.concat(F.lit('{"section_label":"Part 1","provisional_score":'), s, F.lit(f',"coverage_comment":"{c}","strengths":["a"]}}'))
+    body = lambda s, c: F.concat(F.lit('{"section_label":"Part 1","provisional_score":'), s, F.lit(f',"coverage_comment":"{c}","strengths":["a"," "],"weaknesses":[1,2,3],"evidence":[],"grade_band":"2:1","band_confidence_0_to_100":'), (F.col("l_linenumber") * 20).cast("string"), F.lit("}"))
     content = F.when(kind == 0, body(F.lit("true"), "x")).when(kind == 1, body(F.concat(F.lit("-"), score), "x")).when(kind == 2, body(score, " ")).when(kind == 3, F.lit("{not json")).otherwise(body(score, "fine"))
-    checked = responses.part_analysis(li.withColumn("content", content))
-    return checked.groupBy("error_code").agg(F.count("*").alias("n"), F.sum("provisional_score").alias("score"), F.sum(F.size("strengths")).alias("n_strengths"))
+    checked = responses.part_analysis(li.withColumn("content", content).withColumn("max_mark", F.lit(50.0)))
+    listed = [F.sum(F.size(n)).alias(f"n_{n}") for n in responses.FILLERS]
+    return checked.groupBy("error_code", "grade_band", "within_band_position").agg(F.count("*").alias("n"), F.sum("provisional_score").alias("score"), *listed, F.sum("band_confidence_0_to_100").alias("confidence"))
 
 
 _STATUS = ("Met", "partially met", "missed", "strong", "weak", "secure", "mixed")
@@ -115,6 +117,20 @@ def feedback_points(spark, sf):
 
 _W = r"[\s]+"
 _ROLE = "SELECT page_id, CASE WHEN contains(s, 'rubric') THEN 'rubric' WHEN contains(s, 'brief') OR contains(s, 'assignment') THEN 'brief' WHEN contains(s, 'scheme') THEN 'scheme' WHEN contains(s, 'sample') OR contains(s, 'example') THEN 'graded_sample' WHEN contains(s, 'support') OR contains(s, 'context') OR contains(s, 'guidance') OR contains(s, 'instruction') THEN 'other' ELSE 'submission' END AS role FROM (SELECT page_id, lower(replace(string_split(url, '/')[-1] || ' ' || (['rubric_a','Assignment 1','mark_scheme','samples','instructions','work'])[page_id % 6 + 1], '_', ' ')) AS s FROM pages)"
+_ANALYSES = """
+WITH judged AS (
+  SELECT l_quantity::INT AS q, 2.0 * l_quantity::INT AS p, l_linenumber * 20 AS confidence,
+    CASE l_partkey % 6 WHEN 0 THEN 'score_not_numeric' WHEN 1 THEN 'score_negative' WHEN 2 THEN 'comment_missing' WHEN 3 THEN 'not_json' END AS error_code FROM lineitem
+), bands(name, least, most) AS (
+  VALUES ('Excellent', 85.0, 100.0), ('Strong', 70.0, 84.99), ('Secure', 55.0, 69.99), ('Adequate', 40.0, 54.99), ('Developing', 25.0, 39.99), ('Weak', 0.01, 24.99)
+), placed AS (
+  SELECT j.*, b.name, CASE WHEN p < least + (most - least) / 3 THEN 'low' WHEN p > most - (most - least) / 3 THEN 'high' ELSE 'mid' END AS position FROM judged j JOIN bands b ON p >= least AND p <= most
+)
+SELECT error_code, CASE WHEN error_code IS NULL THEN name END AS grade_band, CASE WHEN error_code IS NULL THEN position END AS within_band_position, count(*) AS n,
+  sum(CASE WHEN error_code IS NULL THEN q END)::DOUBLE AS score, sum(CASE WHEN error_code IS NULL THEN 2 END)::BIGINT AS n_strengths, sum(CASE WHEN error_code IS NULL THEN 3 END)::BIGINT AS n_weaknesses,
+  sum(CASE WHEN error_code IS NULL THEN 1 END)::BIGINT AS n_evidence, sum(CASE WHEN error_code IS NULL THEN CASE WHEN confidence <= 100 THEN confidence ELSE 75 END END)::DOUBLE AS confidence
+FROM placed GROUP BY 1, 2, 3
+"""
 SQL = {
     "submission_diagnostics": rf"SELECT doc_id, n AS word_count, n < 120 AS low_text, n < 80 AS short, length(c)::INT AS collapsed_chars FROM (SELECT doc_id, trim(regexp_replace(text, '{_W}', ' ', 'g')) AS c, len(list_filter(regexp_split_to_array(text, '{_W}'), lambda x: x <> ''))::INT AS n FROM documents)",
     "damaged_text": "SELECT doc_id, contains(text, '...') OR len(regexp_extract_all(text, '[a-z]{6,}[A-Z][a-z]+')) >= 2 OR regexp_matches(text, '[a-z]{16,}') AS damaged FROM documents",
@@ -129,7 +145,7 @@ SQL = {
     "csv_row_text": "SELECT c_custkey, 'c_name:' || chr(10) || trim(c_name) || chr(10) || chr(10) || 'c_mktsegment:' || chr(10) || trim(c_mktsegment) AS script_text FROM customer",
     "keyword_lists": "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' , ' || p_brand || ' ,  , ' || p_type, ','), lambda x: lower(trim(x))), lambda x: x <> ''), '|') AS keywords FROM part",
     "criteria_cap5_dedup": "SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY ord, criterion)::INT AS nth, criterion FROM (SELECT l_suppkey, 'checks step ' || (l_linenumber * 10 + l_quantity::INT % 3) AS criterion, min(l_orderkey * 100 + l_partkey % 100) AS ord FROM lineitem GROUP BY 1, 2) QUALIFY nth <= 5",
-    "json_part_analysis_validate": "SELECT error_code, count(*) AS n, sum(CASE WHEN error_code IS NULL THEN q END) AS score, sum(CASE WHEN error_code IS NULL THEN 2 END)::BIGINT AS n_strengths FROM (SELECT l_quantity AS q, CASE l_partkey % 6 WHEN 0 THEN 'score_not_numeric' WHEN 1 THEN 'score_negative' WHEN 2 THEN 'comment_missing' WHEN 3 THEN 'not_json' END AS error_code FROM lineitem) GROUP BY 1",
+    "json_part_analysis_validate": _ANALYSES,
     "criterion_status_map": "SELECT raw, scale, n, native, CASE native WHEN 'clear' THEN 'met' WHEN 'strong' THEN 'met' WHEN 'secure' THEN 'met' WHEN 'developing' THEN 'partial' WHEN 'partial' THEN 'partial' WHEN 'weak' THEN 'missed' WHEN 'missing_or_wrong' THEN 'missed' ELSE native END AS normalized FROM (SELECT *, CASE WHEN scale = 'likert_judgement' THEN CASE raw WHEN 'Met' THEN 'clear' WHEN 'missed' THEN 'weak' WHEN 'secure' THEN 'strong' WHEN 'mixed' THEN 'developing' ELSE lower(raw) END ELSE CASE raw WHEN 'Met' THEN 'secure' WHEN 'missed' THEN 'missing_or_wrong' WHEN 'strong' THEN 'secure' WHEN 'weak' THEN 'missing_or_wrong' WHEN 'mixed' THEN 'partial' ELSE lower(raw) END END AS native FROM (SELECT (['Met','partially met','missed','strong','weak','secure','mixed'])[l_partkey % 7 + 1] AS raw, CASE WHEN l_linenumber % 2 = 0 THEN 'likert_judgement' ELSE 'step_status' END AS scale, count(*) AS n FROM lineitem GROUP BY ALL))",
     "note_trim": rf"SELECT doc_id, substring(array_to_string((string_split(regexp_replace(trim(regexp_replace(text, '{_W}', ' ', 'g')), '[.;:,]+$', ''), ' '))[1:5], ' '), 1, 48) AS note FROM documents",
     "feedback_points": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY ord, point)::INT AS nth, point FROM (SELECT conv_id, min(turn) AS ord, arg_min(p, turn) AS point FROM (SELECT conv_id, turn, text AS p FROM conversations) GROUP BY conv_id, regexp_replace(lower(p), '[.]+$', '')) QUALIFY nth <= 6",

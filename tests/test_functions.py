@@ -58,11 +58,6 @@ def test_cap(spark):
     assert one(spark, cap, s=8.5, v="agree", a="lower_score", c=7.0) == 8.5
 
 
-def test_first_object():
-    assert responses.first_object('x {"a": "}\\"", "b": {"c": 1}} y }') == '{"a": "}\\"", "b": {"c": 1}}'
-    assert responses.first_object("none") is None
-
-
 def test_distributed_marks(spark):
     kids = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
     shared = lambda *marks: [x.max_mark for x in spark.createDataFrame([([("l", "l", m, "t") for m in marks],)], f"x {kids}").select(structure.with_shared_marks(F.col("x"), F.lit(10.0)).alias("x")).head().x]

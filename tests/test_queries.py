@@ -1,7 +1,5 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
-import json
-
 import duckdb
 import pytest
 
@@ -32,9 +30,3 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_gives_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
-
-
-def test_scanned_objects_hold_whole_texts(spark):
-    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text").collect()
-    found = {r.doc_id: json.loads(r.object) for r in registry.queries()["json_brace_scan"](spark, SF).collect()}
-    assert found == {r.doc_id: {"a": r.source, "b": r.text} for r in rows}
