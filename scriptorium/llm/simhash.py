@@ -46,19 +46,19 @@ def fingerprints(rows: DataFrame, keys: list[str], *texts: Column) -> DataFrame:
     half = lambda at: F.conv(F.substring("md5", at, 16), 16, -10).cast("long")
     voted = words.select(*keys, "kind", F.md5("word").alias("md5"), F.when(F.col("word") == "", 0).otherwise(F.length(F.bin(F.length("word")))).cast("long").alias("weight"))
     voted = voted.select(*keys, "kind", "weight", half(1).alias("hi"), half(17).alias("lo"))
-    bit = lambda name, j: F.shiftrightunsigned(name, j).bitwiseAND(1)
-    sums = [F.sum((bit("hi", j) + F.shiftleft(bit("lo", j), 32)) * F.col("weight")).alias(f"v{j}") for j in range(64)]
+    # two bits of a half, 32 apart, to a sum
+    sums = [F.expr(f"sum((shiftrightunsigned({half}, {j}) & 4294967297L) * weight)").alias(f"{half}{j}") for half in ("hi", "lo") for j in range(32)]
     summed = voted.groupBy(*keys, "kind").agg(F.sum("weight").alias("total"), *sums)
 
-    def signs(lane: int) -> Column:
-        votes = lambda j: F.shiftrightunsigned(f"v{j}", 32 * lane).bitwiseAND(0xFFFFFFFF)
-        return functools.reduce(operator.add, (F.when(2 * votes(j) > F.col("total"), _power(j)).otherwise(F.lit(0).cast("long")) for j in range(64)))
+    def signs(half: str) -> Column:
+        votes = {j: f"{half}{j} & 4294967295L" for j in range(32)} | {32 + j: f"shiftrightunsigned({half}{j}, 32)" for j in range(32)}
+        return F.expr(" + ".join(f"if(2 * ({v}) > total, {_power(j)}, 0L)" for j, v in votes.items())).alias(half)
 
-    return summed.select(*keys, "kind", signs(0).alias("hi"), signs(1).alias("lo"))
+    return summed.select(*keys, "kind", signs("hi"), signs("lo"))
 
 
-def _power(j: int) -> Column:
-    return F.lit(1 << j if j < 63 else -(1 << 63)).cast("long")
+def _power(j: int) -> str:
+    return f"{1 << j}L" if j < 63 else "shiftleft(1L, 63)"
 
 
 def _bucketed(rows: DataFrame, count: int) -> DataFrame:
@@ -140,22 +140,21 @@ def within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 < agree <= 64 // _WIDE:
         raise ValueError(f"a radius of {radius} needs keys of 1 to {64 // _WIDE} blocks of {BLOCKS}")
     hi, lo = F.col("hi"), F.col("lo")
-    tables = [(sum(1 << k for k in ks), functools.reduce(lambda a, k: F.shiftleft(a, _WIDE).bitwiseOR(_block(k, hi, lo)), ks, F.lit(0).cast("long"))) for ks in itertools.combinations(range(BLOCKS), agree)]
-    keyed = prints.select("hi", "lo", "n", "least", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), key.alias("key")) for t, key in tables))).alias("x")).select("x.t", "x.key", "hi", "lo", "n", "least")
+    cut = prints.select("hi", "lo", "n", "least", *(_block(k, hi, lo).alias(f"b{k}") for k in range(BLOCKS)))
+    joined = lambda ks: " | ".join(f"shiftleft(b{k}, {_WIDE * i})" for i, k in enumerate(ks))
+    tables = ", ".join(f"struct({sum(1 << k for k in ks)} AS t, {joined(ks)} AS key)" for ks in itertools.combinations(range(BLOCKS), agree))
+    keyed = cut.select("hi", "lo", "n", "least", F.explode(F.expr(f"array({tables})")).alias("x")).select("x.t", "x.key", "hi", "lo", "n", "least")
     shared = keyed.groupBy("t", "key").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("salts"), F.count("*").alias("held")).where("held > 1").drop("held")
     keyed = written(keyed.join(shared, ["t", "key"]), "shared")
-    mine = keyed.withColumn("salt", F.pmod(F.xxhash64("hi", "lo"), F.col("salts")).cast("int")).drop("salts")
+    mine = keyed.withColumn("salt", F.pmod(F.xxhash64("hi", "lo"), F.col("salts")).cast("int")).withColumn("upto", F.expr("shiftleft(1, length(bin(t))) - 1"))
     other = keyed.select("t", "key", *(F.col(c).alias(f"other_{c}") for c in ("hi", "lo", "n", "least")), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     xor = [hi.bitwiseXOR(F.col("other_hi")), lo.bitwiseXOR(F.col("other_lo"))]
     equal = functools.reduce(operator.add, (F.when(_block(k, *xor) == 0, 1 << k).otherwise(0) for k in range(BLOCKS)))
-    # the lowest set bits of equal, as many as a table has
-    rest, first = equal, F.lit(0)
-    for _ in range(agree):
-        lowest = rest.bitwiseAND(-rest)
-        rest, first = rest - lowest, first + lowest
+    # the first table that a pair agrees in: no other block up to the table's last one is equal
+    first = equal.bitwiseAND(F.col("upto")) == F.col("m.t")
     ordered = (hi < F.col("other_hi")) | ((hi == F.col("other_hi")) & (lo < F.col("other_lo")))
     near = distance(("hi", "lo"), ("other_hi", "other_lo")) <= radius
-    joined = mine.alias("m").join(other.alias("o"), (F.col("m.t") == F.col("o.t")) & (F.col("m.key") == F.col("o.key")) & (F.col("m.salt") == F.col("o.salt")) & ordered & near & (first == F.col("m.t")))
+    joined = mine.alias("m").join(other.alias("o"), (F.col("m.t") == F.col("o.t")) & (F.col("m.key") == F.col("o.key")) & (F.col("m.salt") == F.col("o.salt")) & ordered & near & first)
     return joined.select("hi", "lo", "n", "least", "other_hi", "other_lo", "other_n", "other_least")
 
 
@@ -178,7 +177,8 @@ def document_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = ("hi", "lo")
     with scratch():
         made = written(edited(docs), "fingerprints")
-        found = made.join(neighbours(made, radius), list(own))
+        # as a table, so that a fingerprint of many documents is a skewed join that Spark can split
+        found = made.join(written(neighbours(made, radius), "near"), list(own))
         return handed_on(
             found.select(
                 "doc_id",
