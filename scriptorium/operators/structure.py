@@ -13,7 +13,7 @@ from scriptorium.functions import text as t
 _CHILD = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
 
 
-def _with_groups(rows: DataFrame, lines: str, opens, name: str) -> DataFrame:
+def with_groups(rows: DataFrame, lines: str, opens, name: str) -> DataFrame:
     """rows with a column of lines grouped by the ones that open a group; those before the first are dropped. In steps, so that
     each line is judged once; no line is copied twice."""
     rows = rows.withColumn("_starts", F.filter(F.transform(lines, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull()))
@@ -52,7 +52,7 @@ def _with_subparts(rows: DataFrame, label: str, question: str, name: str) -> Dat
         own = F.concat(F.col(label), F.when(token.rlike(r"^\d+$"), F.lit(" Q")).otherwise(F.lit(" ")), token)
         return F.struct(own.alias("label"), t.label_key(own).alias("label_key"), t.mark_of(lines[0]).alias("max_mark"), F.array_join(lines, "\n").alias("text"))
 
-    rows = _with_groups(rows, question, lambda x: x.rlike(t.SUBPART), "_groups")
+    rows = with_groups(rows, question, lambda x: x.rlike(t.SUBPART), "_groups")
     return rows.withColumn(name, F.when(F.size("_groups") >= 2, F.transform("_groups", child)).otherwise(F.array()).cast(_CHILD)).drop("_groups")
 
 
@@ -69,7 +69,7 @@ def sections(docs: DataFrame, key: str = "assessment") -> DataFrame:
 
     docs: key, text. Returns a row for each section: key, ord, label, label_key, max_mark, weight_text, body (lines after the
     header), question, marking, children, anchors, evidence, dependencies. A document is folded inside its row: no shuffle."""
-    split = _with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
+    split = with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
     rows = split.select(key, F.posexplode("groups").alias("pos", "rows"))
     rows = rows.select(key, (F.col("pos") + 1).cast("long").alias("ord"), F.col("rows")[0].alias("head"), _rest(F.col("rows")).alias("rest"))
     rows = rows.withColumn("label", t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1))).withColumn("split", split_marking(F.col("rest")))
@@ -91,7 +91,7 @@ def assessment_map(docs: DataFrame, key: str = "assessment") -> DataFrame:
     """Key, label, label_key and max_mark of each unit. A section with two marked subparts or more gives these, another
     itself; a document without sections is one unit. No shuffle."""
     kind = "array<struct<label:string,label_key:string,max_mark:double>>"
-    split = _with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
+    split = with_groups(docs.select(key, t.lines_of(F.col("text")).alias("lines")), "lines", t.is_header, "groups")
     rows = split.select(key, F.explode_outer("groups").alias("rows")).select(key, F.get("rows", F.lit(0)).alias("head"), _rest(F.col("rows")).alias("rest"))
     rows = rows.select(key, t.canonical_label(F.regexp_extract("head", t.TOP_HEADER, 1)).alias("label"), t.mark_of(F.col("head")).alias("max_mark"), split_marking(F.col("rest"))["question"].alias("asked"))
     rows = _with_subparts(rows, "label", "asked", "kids")

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import jsons, responses, scorers, structure
+from scriptorium.operators import jsons, parsers, responses, scorers, structure
 from scriptorium.plans.marks import _t
 
 
@@ -127,6 +127,24 @@ def fast_path_detection(spark, sf):
     return rows.withColumn("path", path)
 
 
+def hybrid_structure(spark, sf):
+    """Marking documents parsed by their units, by their layout, and as models answered, for one in three in two answers of
+    which one knows a section more; merged."""
+    docs = _documents(spark, sf)
+    rows = _numbered(spark, sf).where("n <= 2").select(F.col("l_orderkey").alias("assessment"), "n", "q")
+    unit = lambda label, text, mark: F.struct(label.alias("label"), text.alias("instruction_text"), mark.alias("max_mark"), F.lit("").alias("weight_text"))
+    label = F.concat(F.lit("PART "), F.col("n").cast("string"))
+    kid = unit(F.concat(label, F.lit(" q3")), F.lit("said by a model"), F.lit(1.5))
+    part = F.struct(label.alias("label"), F.repeat(F.lit("long "), F.col("q")).alias("instruction_text"), F.col("q").cast("double").alias("max_mark"), F.lit("").alias("weight_text"), F.array(kid).alias("subparts"))
+    extra = F.struct(F.lit("Task 9").alias("label"), F.lit("more").alias("instruction_text"), F.lit(None).cast("double").alias("max_mark"), F.lit("").alias("weight_text"), F.array(*(unit(F.lit(f"Task 9 Q{i}"), F.lit("x"), F.lit(1.0)) for i in range(1, 20))).alias("subparts"))
+    lists = rows.groupBy("assessment").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]).alias("parts"))
+    few = lists.select("assessment", F.to_json(F.struct(F.col("parts").alias("sections"))).alias("content"))
+    many = lists.where(F.size("parts") == 2).select("assessment", F.to_json(F.struct(F.concat("parts", F.array(extra)).alias("sections"))).alias("content"))
+    out = parsers.hybrid(docs, few.union(many))
+    texts = F.aggregate("sections", F.lit(0), lambda a, x: a + F.length(x["instruction_text"]))
+    return out.select("assessment", "top_level_count", "total_unit_count", "marks_found_count", F.array_join("labels", "|").alias("labels"), texts.alias("text_chars"))
+
+
 def rubric_matrix_rows(spark, sf):
     """K4: a row for each band of each unit."""
     p = _t(spark, sf, "part").select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("unit"), F.col("p_size").alias("max_mark"))
@@ -191,6 +209,19 @@ _REPAIRED = """{n}_own AS (
     OR length(flat) < 120 OR (many AND length(flat) < 260)) THEN own ELSE coalesce(nullif(trim(substr(text, left_ + 1, right_ - left_), ' ' || chr(10)), ''), own) END AS {n}_text
   FROM (SELECT *, CASE WHEN low > 0 AND last > 0 THEN {a} - last + 1 ELSE low END AS left_, CASE WHEN high < length(text) AND after > 0 THEN {b} + after - 1 ELSE high END AS right_ FROM {n}_flat)
 )"""
+_HYBRID = f"""
+WITH parts AS (
+  SELECT l_orderkey AS assessment, n, q, q > 2 AS by_kids, count(*) OVER (PARTITION BY l_orderkey) BETWEEN 2 AND 8 AS modelled,
+    length('Part ' || n || ' (' || q || ' marks)' || chr(10) || '1. state item ' || l_partkey || ' [2 marks]' || chr(10) || '2. explain item ' || l_suppkey) AS whole FROM ({_N})
+)
+SELECT assessment, (count(*) + any_value(modelled)::INT)::INT AS top_level_count,
+  (sum(CASE WHEN NOT modelled THEN 3 ELSE 1 + 2 * by_kids::INT + (n <= 2)::INT END) + 20 * any_value(modelled)::INT)::INT AS total_unit_count,
+  (sum(CASE WHEN modelled AND n <= 2 THEN 2 + 2 * by_kids::INT WHEN modelled THEN 1 + by_kids::INT ELSE 2 + by_kids::INT END) + 19 * any_value(modelled)::INT)::INT AS marks_found_count,
+  string_agg('Part ' || n || CASE WHEN by_kids OR NOT modelled THEN '|Part ' || n || ' Q1|Part ' || n || ' Q2' ELSE '' END || CASE WHEN modelled AND n <= 2 THEN '|PART ' || n || ' q3' ELSE '' END, '|' ORDER BY n)
+    || CASE WHEN any_value(modelled) THEN '|Task 9|' || array_to_string(list_transform(range(1, 20), lambda i: 'Task 9 Q' || i), '|') ELSE '' END AS labels,
+  (sum(CASE WHEN NOT modelled OR NOT by_kids THEN whole WHEN n <= 2 THEN 5 * q - 1 ELSE 0 END) + 4 * any_value(modelled)::INT)::INT AS text_chars
+FROM parts GROUP BY assessment
+"""
 _KEYS = """
 WITH payloads AS (
   SELECT conv_id, turn, '{"section_id":"Part ' || turn || '","max_mark":' || CASE WHEN turn % 3 > 0 THEN (turn + 9.5)::DOUBLE ELSE 100.0::DOUBLE END
@@ -244,6 +275,7 @@ SQL = {
     "subpart_segment": _CHILDREN,
     "fast_path_detection": f"SELECT *, CASE WHEN expected = 1 OR anchored >= greatest(2, expected // 2) THEN 'accept' ELSE 'ask' END AS path FROM (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (q > 25) AS anchored FROM ({_N}) GROUP BY 1)",
     "rubric_matrix_rows": "SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES ('First', 70), ('2:1', 60), ('2:2', 50), ('Third', 40), ('Fail', 0)) AS x(band, least)",
+    "hybrid_structure": _HYBRID,
     "request_keys": _KEYS,
     "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum(CASE WHEN n % 11 <> 1 OR n % 11 IS NULL THEN turn % 5 + conv_id % 3 END)::DOUBLE) AS total_mark, count(*) FILTER (n % 11 = 1) AS n_errors, sum(CASE WHEN n % 4 = 0 AND n % 11 <> 1 THEN 2 ELSE 1 END)::BIGINT AS n_calls FROM (SELECT *, conv_id + turn AS n FROM conversations WHERE trim(text) <> '') GROUP BY 1",
     "json_brace_scan": "SELECT doc_id, CASE WHEN kind < 4 AND NOT bare THEN held END AS object, CASE WHEN kind = 4 OR bare THEN 'invalid_object' WHEN kind = 5 THEN 'no_object' END AS error_code FROM (SELECT doc_id, coalesce(length(text) % 6, 0) AS kind, coalesce(length(text) % 6 = 3 AND contains(text, '\"'), false) AS bare, '{\"a\":' || to_json(coalesce(source, '')) || ',\"b\":' || to_json(coalesce(text, '')) || '}' AS held FROM documents)",
