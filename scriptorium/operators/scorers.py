@@ -157,7 +157,7 @@ def retry_note(error: Column) -> Column:
     return F.concat(F.lit("Your last answer was refused: "), error, F.lit(". Answer again, with the required JSON object alone."))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df, worked out once and stored in the shared folder that the session names: what reads it later asks no scorer again."""
     spark = df.sparkSession
     context = spark.sparkContext
@@ -181,14 +181,14 @@ def answers(requests: DataFrame, scorer: Scorer, check: Callable[[DataFrame], Da
     pending, settled = requests, []
     for nth in range(1, attempts + 1):
         sent = keyed(pending).withColumn("attempt", F.lit(nth))
-        got = _kept(scorer(sent.select("profile", "request_key", "attempt", "payload").dropDuplicates(["request_key"])))
+        got = kept(scorer(sent.select("profile", "request_key", "attempt", "payload").dropDuplicates(["request_key"])))
         read = sent.join(got.select("request_key", F.struct("response", "error").alias("_got")), "request_key", "left")
         read = read.withColumn("_said", envelope(F.col("_got.response")))
         read = read.withColumn("_object", json_object(F.col("_said.content")))
         failed = F.coalesce(F.col("_got.error"), F.when(F.col("_got").isNull(), "not_answered"), F.col("_said.error_code"), F.col("_object.error_code"))
         read = read.withColumn("_failed", failed).withColumn("content", F.when(failed.isNull(), F.col("_object.object")))
         checked = check(read).withColumn("error_code", F.coalesce("_failed", "error_code")).withColumn("attempts", F.lit(nth))
-        checked = _kept(checked.drop("_got", "_said", "_object", "_failed", "payload", "attempt"))
+        checked = kept(checked.drop("_got", "_said", "_object", "_failed", "payload", "attempt"))
         again = F.coalesce(F.col("error_code").isin(*retryable), F.lit(False)) if nth < attempts else F.lit(False)
         settled.append(checked.where(~again).drop("body"))
         rest = checked.where(again)

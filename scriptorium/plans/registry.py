@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import cases, finals, marks, reports, structure, texts
+from scriptorium.plans import cases, criteria, finals, marks, reports, structure, texts
 
-GROUPS = (marks, reports, texts, structure, finals, cases)
+GROUPS = (marks, reports, texts, structure, finals, criteria, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import benchmark, responses, scoring
+from scriptorium.operators import benchmark, refinement, responses, scoring
 from scriptorium.plans.marks import _orders, _parts, _t
 from scriptorium.sources import documents
 
@@ -101,6 +101,26 @@ def rubric_refinement(spark, sf):
     return out.groupBy("part_idx", "score", "r.accepted", "r.audit").agg(F.count("*").alias("n"))
 
 
+def _verifier(requests):
+    """A verifier that is sure by 30 more for each '+' that it has added to a text, and vague at every other one; of size 7 it says
+    nothing of use."""
+    unit = F.from_json(F.regexp_extract(F.get(F.from_json("payload", "messages array<struct<content:string>>")["messages"], F.lit(1))["content"], r"(?s)\{.*", 0), "unit string, rubric_text string")
+    rows = requests.select("request_key", unit.alias("u")).select("request_key", F.col("u.unit").cast("int").alias("size"), F.concat("u.rubric_text", F.lit("+")).alias("text"))
+    nth = F.length("text") - F.length(F.replace("text", F.lit("+"), F.lit("")))
+    vague = (F.col("size") % 3 == 0) & (nth % 2 == 1)
+    said = F.to_json(F.struct(F.col("text").alias("rubric_text"), F.when(vague, F.array(F.lit("vague"))).otherwise(F.array().cast("array<string>")).alias("issues"), F.least(F.lit(100), F.col("size") + 30 * nth).alias("confidence_0_to_100")))
+    content = F.when(F.col("size") == 7, "no idea").otherwise(said)
+    return rows.select("request_key", F.to_json(F.struct(F.struct(content.alias("content")).alias("message"))).alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+def rubric_rounds(spark, sf):
+    """Four parts are an assessment, whose units a verifier improves in up to three rounds; settled assessments drop out."""
+    p = _t(spark, sf, "part").select(F.floor(F.col("p_partkey") / 4).alias("assessment"), "p_partkey", F.col("p_size").cast("string").alias("label"), F.col("p_name").alias("rubric_text"))
+    units = p.withColumns({"confidence": F.lit(None).cast("double"), "issues": F.array().cast("array<string>")})
+    out = refinement.refined_in_rounds(units, _verifier, "verifier-1")
+    return out.select("p_partkey", "rubric_text", "confidence", F.array_join("issues", "|").alias("issues"), "attempts", F.size("accepted").alias("n_accepted"), F.size("rejected").alias("n_rejected"))
+
+
 def wide_marksheet(spark, sf):
     """A row for each submission, the marks and statuses of every model side by side."""
     r = _results(spark, sf).groupBy("submission_id", "model").agg(F.max("mark").alias("mark"), F.max("status").alias("status"))
@@ -167,6 +187,20 @@ def calibration_maximum(spark, sf):
 
 
 _R = "SELECT l_orderkey, l_linenumber AS k, l_returnflag AS model, l_suppkey % 5 = 0 AS bad, l_quantity AS q FROM lineitem"
+_ROUNDS = """
+WITH units AS (
+  SELECT p_partkey, p_name, p_size AS s, min(CASE WHEN p_size = 7 THEN 0 ELSE p_size END) OVER (PARTITION BY p_partkey // 4) AS least FROM part
+), taken AS (
+  SELECT *, CASE WHEN least >= 45 THEN 1 WHEN least >= 15 THEN 2 ELSE 3 END AS attempts,
+    least(100, s + 90) - CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END > least(100, s + 60) AS third FROM units
+), plus AS (
+  SELECT *, CASE WHEN s = 7 THEN 0 WHEN attempts = 3 AND third THEN 3 ELSE least(attempts, 2) END AS n FROM taken
+)
+SELECT p_partkey, p_name || repeat('+', n) AS rubric_text, CASE WHEN s = 7 THEN 0 ELSE least(100, s + 30 * n) END::DOUBLE AS confidence,
+  CASE WHEN s = 7 THEN 'rubric_verifier_failed: no_object' WHEN s % 3 = 0 AND n % 2 = 1 THEN 'vague' ELSE '' END AS issues, attempts,
+  (CASE WHEN s = 7 THEN 0 ELSE n - 1 END)::INT AS n_accepted, (CASE WHEN s = 7 THEN 2 WHEN attempts = 3 AND NOT third THEN 1 ELSE 0 END)::INT AS n_rejected
+FROM plus
+"""
 SQL = {
     "consistency_report": f"SELECT model, count(*) FILTER (NOT bad) AS n_ok, count(*) FILTER (bad) AS n_error, median(k::DOUBLE) AS median_parts, median(q * 10) AS median_words, count(*) FILTER (q < 8) AS n_extraction_issues, count(*) FILTER (k = 3) AS n_calibrated, median(q / 4 + k) AS median_latency, max(q / 4 + k) AS max_latency, median(abs(q - k * 4)) FILTER (NOT bad) AS median_delta, max(abs(q - k * 4)) FILTER (NOT bad) AS max_delta, count(*) FILTER (NOT bad AND abs(q - k * 4) > 3) AS n_large_delta, count(*) FILTER (NOT bad) AS n_marks, round(avg(q) FILTER (NOT bad), 2) AS mean_mark, median(q) FILTER (NOT bad) AS median_mark, min(q) FILTER (NOT bad) AS min_mark, max(q) FILTER (NOT bad) AS max_mark, array_to_string(list_transform(list_sort(list(DISTINCT q) FILTER (NOT bad)), lambda x: x::INT::VARCHAR), ', ') AS distinct_marks, count(*) FILTER (NOT bad AND q = 50) AS n_top_marks FROM ({_R}) GROUP BY 1",
     "repeated_errors": f"SELECT model, value, n, row_number() OVER (PARTITION BY model ORDER BY n DESC, first, value)::INT AS nth FROM (SELECT model, value, count(*) AS n, min(ord) AS first FROM (SELECT model, l_orderkey * 10 + k AS ord, unnest(list_filter(['note ' || (k % 3), CASE WHEN q > 40 THEN 'high' END], lambda x: x IS NOT NULL)) AS value FROM ({_R})) GROUP BY 1, 2) QUALIFY nth <= 5",
@@ -178,6 +212,7 @@ SQL = {
     "moderation_groups": "SELECT submission_id, sum(q) AS before, sum(m) AS after, sum(m) - sum(q) AS delta, coalesce(string_agg('Part ' || k, '|' ORDER BY k) FILTER (m <> q), '') AS changed_labels FROM (SELECT l_orderkey AS submission_id, l_linenumber AS k, l_quantity AS q, CASE WHEN l_linenumber % 2 = 0 AND l_quantity < 30 THEN l_quantity + 2 ELSE l_quantity END AS m FROM lineitem) GROUP BY 1",
     "score_spread": "SELECT l_orderkey AS submission_id, max(l_quantity) - min(l_quantity) AS spread, max(abs(l_quantity - 25)) FILTER (l_linenumber % 2 = 0) AS max_delta FROM lineitem GROUP BY 1",
     "preparation_confidence": "SELECT l_orderkey AS submission_id, round(avg(l_quantity + 50) FILTER (l_linenumber % 4 <> 0), 2) AS confidence, count(*) FILTER (l_linenumber % 4 <> 0) = 0 OR (count(*) FILTER (l_linenumber = 7) = 0 AND min(l_quantity + 50) FILTER (l_linenumber % 4 <> 0) >= 75) AS acceptable FROM lineitem GROUP BY 1",
+    "rubric_rounds": _ROUNDS,
     "rubric_refinement": "SELECT k AS part_idx, q AS score, k * 7 - CASE WHEN k = 7 THEN 26 ELSE 0 END > q - 2 AS accepted, 'attempt_1: confidence ' || q::INT || '.00->' || (k * 7) || '.00, issues 2->' || CASE WHEN k = 7 THEN 1 ELSE 0 END || ', ' || CASE WHEN k = 1 THEN 'text_unchanged' ELSE 'text_changed' END AS audit, count(*) AS n FROM (SELECT l_linenumber AS k, l_quantity AS q FROM lineitem) GROUP BY ALL",
     "wide_marksheet": "SELECT l_orderkey AS submission_id, " + ", ".join(f"max(q) FILTER (model = '{m}' AND NOT bad) AS \"{m}_mark\", max(CASE WHEN bad THEN 'error' ELSE 'ok' END) FILTER (model = '{m}') AS \"{m}_status\"" for m in "ANR") + f" FROM ({_R}) GROUP BY 1",
     "marks_onto_csv": "SELECT c_custkey::VARCHAR AS id, c_name, floor(o_totalprice)::BIGINT AS mark FROM customer LEFT JOIN orders ON c_custkey = o_custkey",
