@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
+from scriptorium.functions.text import bound
 
 _CHILD = "array<struct<label:string,label_key:string,max_mark:double,text:string>>"
 
@@ -148,11 +149,6 @@ def _quoted(label: Column) -> Column:
     return F.regexp_replace(label, r"([^A-Za-z0-9_\s])", r"\\\\$1")
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value worked out once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def first_place(text: Column, pattern: Column) -> Column:
     """Start of the first match, counted from 0; null without one. What follows the match is not searched."""
     return bound(F.split(text, pattern, F.lit(2)), lambda cut: F.when(F.size(cut) > 1, F.length(cut[0])))
