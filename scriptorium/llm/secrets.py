@@ -78,12 +78,16 @@ def _placed(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, made).otherwise(F.array().cast("array<struct<start:int,end:int,wide:int>>"))
 
 
-def _cells(*spans: str) -> Column:
-    """Cell number to the first and last start of the spans in it. Starts are taken as a sorted array."""
-    starts = F.array_sort(F.transform(F.concat(*spans), lambda x: x["start"]))
+def _starts(*spans: str) -> Column:
+    return F.array_sort(F.transform(F.concat(*spans), lambda x: x["start"]))
+
+
+def _cells(starts: str) -> Column:
+    """Cell number to the first and last of sorted starts in it. starts is a column: a lambda would work an expression out anew for
+    each element."""
     cell = lambda x: F.floor(x / SCOPE).cast("int")
-    edge = lambda all_, by: F.filter(all_, lambda x, i: F.coalesce(cell(x) != cell(F.get(all_, i + by)), F.lit(True)))
-    ends = F.zip_with(edge(starts, -1), edge(starts, 1), lambda a, b: F.struct(cell(a).alias("key"), F.struct(a.alias("first"), b.alias("last")).alias("value")))
+    edge = lambda by: F.filter(starts, lambda x, i: F.coalesce(cell(x) != cell(F.get(starts, i + by)), F.lit(True)))
+    ends = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(cell(a).alias("key"), F.struct(a.alias("first"), b.alias("last")).alias("value")))
     return F.map_from_entries(ends)
 
 
@@ -116,7 +120,8 @@ def _found(docs: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("assign", F.filter("assign", lambda x: x["wide"] >= 8)).withColumn("access", F.filter("access", lambda x: x["wide"] >= 16))
     # long hex runs and words inside URLs are 40 characters too: only the exact length is a key
     df = df.withColumn("key40", F.filter("key40", lambda x: x["wide"] == 40))
-    df = df.withColumns({"_id": _cells("access", "login"), "_secret": _cells("assign", "hex", "key40"), "_end": _cells("endpoint")})
+    df = df.withColumns({"_id": _starts("access", "login"), "_secret": _starts("assign", "hex", "key40"), "_end": _starts("endpoint")})
+    df = df.withColumns({c: _cells(c) for c in ("_id", "_secret", "_end")})
 
     def linked(kind: str, *complements: str) -> Column:
         there = functools.reduce(operator.and_, (F.size(c) > 0 for c in complements), F.size(kind) > 0)
@@ -159,14 +164,26 @@ def without_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    """Spans may overlap: each keeps the text from the furthest end before it to its own start, and adds the mark."""
-    kind = "struct<at:int,parts:array<string>>"
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")).cast(kind),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.concat(a["parts"], F.when(x["start"] >= a["at"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit("[SECRET]"))).otherwise(F.array().cast("array<string>"))).alias("parts"),
-        ).cast(kind),
+    """Spans may overlap: each keeps the text from the furthest end before it to its own start, and adds the mark. A block of spans
+    works on its own piece of the text, so that thousands of them cost neither long searches nor quadratic copying."""
+    none = F.array().cast("array<string>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / _BLOCK).cast("int")), lambda b: F.slice(spans, b * _BLOCK + 1, F.lit(_BLOCK)))
+    far = lambda block, at: F.aggregate(block, at, lambda a, x: F.greatest(a, x["end"]))
+    # the furthest end before each block, and after the last
+    ends = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("all")),
+        lambda a, block: F.struct(far(block, a["at"]).alias("at"), F.concat(a["all"], F.array(far(block, a["at"]))).alias("all")),
+        lambda a: a["all"],
     )
-    return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    kind = "struct<at:int,parts:array<string>>"
+
+    def joined(block: Column, first: Column) -> Column:
+        def step(piece: Column):
+            keep = lambda a, x: F.array(F.substring(piece, a["at"] - first + 1, x["start"] - a["at"]), F.lit("[SECRET]"))
+            return lambda a, x: F.struct(F.greatest(a["at"], x["end"]), F.concat(a["parts"], F.when(x["start"] >= a["at"], keep(a, x)).otherwise(none))).cast(kind)
+
+        own = F.substring(text, first + 1, far(block, first) - first)
+        return F.get(F.transform(F.array(own), lambda piece: F.array_join(F.aggregate(block, F.struct(first, none).cast(kind), step(piece))["parts"], "")), F.lit(0))
+
+    return F.concat(F.array_join(F.zip_with(blocks, F.slice(ends, F.lit(1), F.size(ends) - 1), joined), ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
