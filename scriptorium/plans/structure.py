@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import jsons, parsers, responses, scorers, structure
+from scriptorium.operators import jsons, merging, parsers, responses, scorers, structure
 from scriptorium.plans.marks import _t
 
 
@@ -66,6 +66,43 @@ def structure_reconcile(spark, sf):
     return structure.reconciled(prompt, scheme)
 
 
+def whole_reconcile(spark, sf):
+    """A prompt with a part for each line of an order, and a scheme that knows each odd one twice, last ones first; texts, lists
+    and children merged."""
+    n, q, pk, sk = (F.col(c).cast("string") for c in ("n", "q", "l_partkey", "l_suppkey"))
+    rows = _numbered(spark, sf)
+    asked = F.concat(F.lit("Part "), n, F.lit(" ("), q, F.lit(" marks)\nDiscuss item "), pk, F.lit(".\n1. state item "), pk, F.lit(" [2 marks]\n2. explain item "), sk)
+    told = F.concat(F.lit("PART  "), n, F.lit("\nUse report "), sk, F.lit(".\n{}Answer: Students should mention item "), pk, F.lit("."))
+    more = F.concat(F.lit("Quote lecture "), pk, F.lit(" after Part 2.\nuse  report "), sk, F.lit(".\n"))
+    scheme = F.concat(F.replace(told, F.lit("{}"), F.lit("")), F.lit("\n"), F.replace(told, F.lit("{}"), more))
+    text = lambda rows, line, order: rows.groupBy(F.col("l_orderkey").alias("assessment")).agg(F.array_sort(F.collect_list(F.struct(order.alias("n"), line.alias("line")))).alias("x")).select("assessment", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
+    prompt = merging.merged_sections(structure.sections(text(rows, asked, F.col("n"))))
+    known = merging.merged_sections(structure.sections(text(rows.where("n % 2 = 1"), scheme, -F.col("n"))))
+    out = merging.reconciled_sections(prompt, known)
+    s = F.col("section")
+    nth = F.row_number().over(W.partitionBy("assessment").orderBy("place"))
+    return out.select("assessment", nth.alias("nth"), "side", s["label"].alias("label"), s["max_mark"].alias("max_mark"), s["question"].alias("question"), s["marking"].alias("marking"), *(F.array_join(s[x], "|").alias(x) for x in ("anchors", "evidence", "dependencies")), F.array_join(F.transform(s["children"], lambda x: F.concat_ws(":", x["label"], x["text"])), "|").alias("children"))
+
+
+def detected_and_expected(spark, sf):
+    """A detector's answer on each order, which knows odd parts, repeats itself, points elsewhere and names a part that is not
+    there; every third order expects nothing."""
+    n = F.col("n").cast("string")
+    said = F.struct(F.concat(F.lit("PART "), n).alias("label"), F.when(F.col("q") > 25, F.concat(F.lit(" on "), F.col("q").cast("string"))).otherwise("").alias("focus_hint"))
+    extra = F.array(*(F.struct(F.lit(x).alias("label"), F.lit("").alias("focus_hint")) for x in ("", " Section  above", "Part 9", "Part 9")))
+    answers = _numbered(spark, sf).where("n % 2 = 1").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))).alias("x"))
+    content = F.to_json(F.struct(F.concat(F.transform("x", lambda x: x["s"]), extra).alias("sections")))
+    seen = answers.select(F.col("l_orderkey").alias("submission"), F.explode(merging.detected_parts(content)).alias("p")).select("submission", "p.*", F.lit("").alias("section_text"))
+    wanted = _numbered(spark, sf).where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("submission"), F.concat(F.lit("Part "), n).alias("label"), F.lit("hint").alias("focus_hint"), F.concat(F.lit("Q"), n).alias("anchor_text"), F.col("q").cast("double").alias("max_mark"))
+    return merging.reconciled_parts(wanted, seen, "submission").drop("section_text")
+
+
+def detection_chunks(spark, sf):
+    """What a detector is shown of a conversation's transcript: the head and what surrounds its first cues."""
+    subs, _ = _transcripts(spark, sf)
+    return subs.select("submission_id", merging.chunk_text(merging.detection_chunks(F.col("text"))).alias("chunks"))
+
+
 def _transcripts(spark, sf):
     c = _t(spark, sf, "conversations").select(F.col("conv_id").alias("submission_id"), (F.col("turn") + 1).cast("int").alias("part_idx"), "text")
     c = c.withColumn("label", F.concat(F.lit("Part "), F.col("part_idx").cast("string")))
@@ -260,7 +297,51 @@ SELECT conv_id, role, CASE WHEN n > 1 THEN i::INT END AS part_idx, CASE WHEN n >
   CASE WHEN n < 2 THEN 'whole' WHEN marked AND i % 4 = 0 THEN 'cumulative' WHEN marked AND cut THEN 'anchored' ELSE 'inherited' END AS resolved
 FROM before
 """
+_RECONCILED = f"""
+WITH rows AS (
+  SELECT l_orderkey AS assessment, n, q, l_partkey::VARCHAR AS pk, l_suppkey::VARCHAR AS sk, n % 2 = 1 AS known FROM ({_N})
+)
+SELECT assessment, row_number() OVER (PARTITION BY assessment ORDER BY NOT known, CASE WHEN known THEN -n ELSE n END)::INT AS nth, CASE WHEN known THEN 'both' ELSE 'prompt' END AS side, 'Part ' || n AS label, q::DOUBLE AS max_mark,
+  CASE WHEN known THEN 'PART  ' || n || chr(10) || 'Use report ' || sk || '.' || chr(10) || 'Quote lecture ' || pk || ' after Part 2.' || chr(10) || 'use  report ' || sk || '.'
+    ELSE 'Part ' || n || ' (' || q || ' marks)' || chr(10) || 'Discuss item ' || pk || '.' || chr(10) || '1. state item ' || pk || ' [2 marks]' || chr(10) || '2. explain item ' || sk END AS question,
+  CASE WHEN known THEN 'Students should mention item ' || pk || '.' ELSE '' END AS marking,
+  'Discuss item ' || pk || '.|2. explain item ' || sk || CASE WHEN known THEN '|Use report ' || sk || '.' ELSE '' END AS anchors,
+  CASE WHEN known THEN 'Use report ' || sk || '.|Quote lecture ' || pk || ' after Part 2.' ELSE '' END AS evidence,
+  CASE WHEN known THEN 'part 2' ELSE '' END AS dependencies,
+  'Part ' || n || ' Q1:1. state item ' || pk || ' [2 marks]|Part ' || n || ' Q2:2. explain item ' || sk AS children
+FROM rows
+"""
+_DETECTED = f"""
+WITH rows AS (SELECT l_orderkey AS submission, n, q FROM ({_N}))
+SELECT submission, 'Part ' || n AS label, CASE WHEN n % 2 = 1 AND n <> 9 AND q > 25 THEN 'on ' || q ELSE 'hint' END AS focus_hint, 'Q' || n AS anchor_text, q::DOUBLE AS max_mark, n % 2 = 1 OR n = 9 AS detected FROM rows WHERE submission % 3 > 0
+UNION ALL SELECT submission, 'PART ' || n, CASE WHEN q > 25 THEN 'on ' || q ELSE '' END, '', NULL, true FROM rows WHERE submission % 3 = 0 AND n % 2 = 1
+UNION ALL SELECT DISTINCT submission, 'Part 9', '', '', NULL::DOUBLE, true FROM rows WHERE submission % 3 = 0
+"""
+_CHUNKS = """
+WITH lines AS (
+  SELECT conv_id, turn + 1 AS i, 'Part ' || (turn + 1) || chr(10) || text AS line, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations
+), heads AS (
+  SELECT DISTINCT conv_id, CASE WHEN n >= 3 THEN 'Part 1 ....... 1' || chr(10) || 'Part 2 ....... 2' || chr(10) || 'Part 3 ....... 3' || chr(10) ELSE '' END AS toc, CASE WHEN n >= 3 THEN 3 ELSE 0 END AS listed FROM lines
+), texts AS (
+  SELECT conv_id, toc || string_agg(line, chr(10) ORDER BY i) || repeat(' end', 200) AS text FROM lines JOIN heads USING (conv_id) GROUP BY conv_id, toc
+), cues AS (
+  SELECT l.conv_id, listed + i AS nth, (length(toc) + coalesce(sum(length(line) + 1) OVER (PARTITION BY l.conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS pos FROM lines l JOIN heads USING (conv_id)
+  UNION ALL SELECT conv_id, k, (k - 1) * 17 FROM heads, (VALUES (1), (2), (3)) v(k) WHERE listed = 3
+), spans AS (
+  SELECT conv_id, 0 AS a, least(length(text), 700) AS b FROM texts
+  UNION ALL SELECT conv_id, greatest(0, pos - 100), least(length(text), pos + 420) FROM cues JOIN texts USING (conv_id) WHERE nth <= 7
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY a, b) AS island FROM (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY conv_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM spans)
+), joined AS (
+  SELECT conv_id, island, min(a) AS a, max(b) AS b FROM islands GROUP BY 1, 2
+)
+SELECT conv_id AS submission_id, string_agg('[Chunk ' || (island + 1) || ' @ ' || a || ':' || b || ']' || chr(10) || trim(substr(text, a + 1, b - a), ' ' || chr(10)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY island) AS chunks
+FROM joined JOIN texts USING (conv_id) GROUP BY 1
+"""
 SQL = {
+    "whole_reconcile": _RECONCILED,
+    "detected_and_expected": _DETECTED,
+    "detection_chunks": _CHUNKS,
     "section_parse": f"SELECT l_orderkey AS assessment, n::BIGINT AS ord, 'part ' || n AS label_key, q::DOUBLE AS max_mark, q || ' marks' AS weight_text, (length('1. state item ' || l_partkey || ' [2 marks]') + 1 + length('2. explain item ' || l_suppkey))::INT AS body_chars FROM ({_N})",
     "child_parse_and_marks": f"SELECT l_orderkey AS assessment, (2 * count(*))::BIGINT AS n_units, sum(2.0::DOUBLE + coalesce({_SECOND}, 0)) AS marks, (count(*) + count({_SECOND}))::BIGINT AS n_marked FROM ({_N}) GROUP BY 1",
     "assessment_units": f"SELECT l_orderkey AS assessment, unnest(CASE WHEN q > 2 THEN ['part ' || n || ' q1', 'part ' || n || ' q2'] ELSE ['part ' || n] END) AS label_key, unnest(CASE WHEN q > 2 THEN [2.0::DOUBLE, (q - 2)::DOUBLE] ELSE [q::DOUBLE] END) AS max_mark FROM ({_N})",
