@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.medians import medians
+
 
 def zero_filled(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
     """Every label of either side, the missing side 0, and the absolute difference."""
@@ -36,18 +38,36 @@ def top_values(rows: DataFrame, value: str, most: int, *by: str) -> DataFrame:
     return counts.withColumn("nth", nth).where(F.col("nth") <= most)
 
 
+#: A6. Stages whose latencies a report names; columns latency_<stage> of results, where they are there.
+STAGES = ("assessment_prepare", "structure_detect", "part_refine", "part_analysis", "moderation", "finalize")
+
+
 def consistency(results: DataFrame, by: str, most: float) -> DataFrame:
-    """One row a model of results (status, mark, n_parts, n_words, extraction_issue, calibration_delta, latency, ai_math_delta).
+    """One row a model of results (status, mark, n_parts, n_words, extraction_issue, calibration_delta, latency, ai_math_delta, and
+    latency_<stage> of any of STAGES).
 
-    Medians are exact; what a task holds for them is the counts of a group's distinct values."""
+    Medians are exact, and no model's values come to one task for them. The distinct marks are as many as the scale has."""
     delta = F.abs("ai_math_delta")
-    return results.groupBy(by).agg(
-        F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.median("n_parts").alias("median_parts"), F.median("n_words").alias("median_words"),
-        F.count_if("extraction_issue").alias("n_extraction_issues"), F.count_if(F.coalesce("calibration_delta", F.lit(0.0)) != 0).alias("n_calibrated"), F.median("latency").alias("median_latency"), F.max("latency").alias("max_latency"),
-        F.median(delta).alias("median_delta"), F.max(delta).alias("max_delta"), F.count_if(delta > 3).alias("n_large_delta"),
-        F.count("mark").alias("n_marks"), F.round(F.avg("mark"), 2).alias("mean_mark"), F.median("mark").alias("median_mark"), F.min("mark").alias("min_mark"), F.max("mark").alias("max_mark"),
-        F.array_join(F.transform(F.array_sort(F.collect_set("mark")), _reported), ", ").alias("distinct_marks"), F.count_if(F.col("mark") == most).alias("n_top_marks"),
+    stages = [x for x in STAGES if f"latency_{x}" in results.columns]
+    sums = results.groupBy(by).agg(
+        F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "error").alias("n_error"), F.count_if("extraction_issue").alias("n_extraction_issues"), F.count_if(F.coalesce("calibration_delta", F.lit(0.0)) != 0).alias("n_calibrated"),
+        F.max("latency").alias("max_latency"), F.max(delta).alias("max_delta"), F.count_if(delta > 3).alias("n_large_delta"), F.count("mark").alias("n_marks"), F.round(F.avg("mark"), 2).alias("mean_mark"), F.min("mark").alias("min_mark"), F.max("mark").alias("max_mark"),
+        F.array_join(F.transform(F.array_sort(F.collect_set("mark")), _reported), ", ").alias("distinct_marks"), F.count_if(F.col("mark") == most).alias("n_top_marks"), F.round(F.count_if(F.col("mark") == most) / F.nullif(F.count("mark"), F.lit(0)), 3).alias("top_mark_rate"),
+        *(F.max(f"latency_{x}").alias(f"max_{x}") for x in stages),
     )
+    middle = medians(results, [by], median_parts=F.col("n_parts"), median_words=F.col("n_words"), median_latency=F.col("latency"), median_delta=delta, median_mark=F.col("mark"), **{f"median_{x}": F.col(f"latency_{x}") for x in stages})
+    return sums.join(middle.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
+
+
+def verifier_lists(verdicts: DataFrame, order: str, *by: str, most: int = 5) -> DataFrame:
+    """The recommendations, issues and errors that come most often in a verifier's verdicts (recommendation, issues, error_code): by,
+    kind, value, n, nth; ties by where they are first seen."""
+    issue = F.transform("issues", lambda x: F.regexp_replace(x, r"\|", "/"))
+    each = verdicts.select(*by, order, F.explode(F.concat(
+        F.array(F.struct(F.lit("recommendation").alias("kind"), F.col("recommendation").alias("value")), F.struct(F.lit("error").alias("kind"), F.col("error_code").alias("value"))),
+        F.transform(F.coalesce(issue, F.array().cast("array<string>")), lambda x: F.struct(F.lit("issue").alias("kind"), x.alias("value"))),
+    )).alias("x")).select(*by, order, "x.*")
+    return repeated(each, "value", order, most, *by, "kind")
 
 
 def _reported(x: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import bands
 from scriptorium.operators import benchmark, scoring
+from scriptorium.operators.medians import medians
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -108,7 +109,10 @@ def worst_runs(spark, sf):
 
 
 def stage_latency_breakdown(spark, sf):
-    return _t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.median("value").alias("median_s"), F.max("value").alias("max_s"), F.countDistinct("user_id").alias("scripts"))
+    e = _t(spark, sf, "events")
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("max_s"), F.countDistinct("user_id").alias("scripts"))
+    middle = medians(e, ["event_type"], median_s=F.col("value")).withColumnRenamed("event_type", "_type")
+    return sums.join(middle, F.col("event_type").eqNullSafe(F.col("_type"))).drop("_type")
 
 
 def error_rollup(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
 from scriptorium.operators import benchmark, refinement, responses, scoring
+from scriptorium.operators.medians import medians
 from scriptorium.plans.marks import _orders, _parts, _t
 from scriptorium.sources import documents
 
@@ -21,8 +22,9 @@ def _results(spark, sf):
 
 
 def consistency_report(spark, sf):
-    """A6."""
-    return benchmark.consistency(_results(spark, sf), "model", 50.0)
+    """A6, with the latencies of all stages."""
+    stages = {f"latency_{x}": F.col("latency") * i + F.col("part_idx") for i, x in enumerate(benchmark.STAGES)}
+    return benchmark.consistency(_results(spark, sf).withColumns(stages), "model", 50.0)
 
 
 def repeated_errors(spark, sf):
@@ -38,16 +40,28 @@ def disagreements(spark, sf):
     return benchmark.disagreements(sized, "submission_id")
 
 
-def verifier_report(spark, sf):
-    """Verdicts of a verifier, read from its responses, by kind of document."""
+def _verdicts(spark, sf):
+    """Verdicts of a verifier, read from its responses."""
     d = _t(spark, sf, "labels").where("doc_id IS NOT NULL")
     agreement = F.when(F.col("toxic") == 1, "major_concern").when(F.col("quality") == 0, "minor_concern").when(F.col("doc_id") % 10 == 0, "unsure").otherwise("agree")
     issues = F.when(F.col("doc_id") % 2 == 0, F.lit('["too short"]')).otherwise('["no source", "too short"]')
-    content = F.concat(F.lit('{"agreement": "'), agreement, F.lit('", "confidence_0_to_100": '), (F.col("doc_id") % 101).cast("string"), F.lit(', "issues": '), issues, F.lit(', "recommendation": "keep"}'))
-    v = d.select("quality", responses.verification(content).alias("v")).select("quality", "v.*")
+    content = F.concat(F.lit('{"agreement": "'), agreement, F.lit('", "confidence_0_to_100": '), (F.col("doc_id") % 101).cast("string"), F.lit(', "issues": '), issues, F.lit(', "recommendation": "'), F.when(F.col("doc_id") % 3 == 0, "keep").otherwise("look again"), F.lit('"}'))
+    return d.select("doc_id", "quality", responses.verification(content).alias("v")).select("doc_id", "quality", "v.*")
+
+
+def verifier_report(spark, sf):
+    """Verdicts by kind of document."""
+    v = _verdicts(spark, sf)
     verdicts = [F.count_if(F.col("agreement") == a).alias(f"n_{a}") for a in responses.AGREEMENTS]
     issues = F.sum(F.size(F.coalesce("issues", F.array().cast("array<string>")))).alias("n_issues")
-    return v.groupBy("quality").agg(F.count_if(F.col("error_code").isNull()).alias("n_ok"), F.count_if(F.col("error_code").isNotNull()).alias("n_failed"), *verdicts, F.median("confidence").alias("median_confidence"), issues)
+    sums = v.groupBy("quality").agg(F.count_if(F.col("error_code").isNull()).alias("n_ok"), F.count_if(F.col("error_code").isNotNull()).alias("n_failed"), *verdicts, issues)
+    middle = medians(v, ["quality"], median_confidence=F.col("confidence")).withColumnRenamed("quality", "_q")
+    return sums.join(middle, F.col("quality").eqNullSafe(F.col("_q"))).drop("_q")
+
+
+def verifier_lists(spark, sf):
+    """The recommendations, issues and errors that come most often, by kind of document."""
+    return benchmark.verifier_lists(_verdicts(spark, sf), "doc_id", "quality")
 
 
 def run_means(spark, sf):
@@ -187,6 +201,17 @@ def calibration_maximum(spark, sf):
 
 
 _R = "SELECT l_orderkey, l_linenumber AS k, l_returnflag AS model, l_suppkey % 5 = 0 AS bad, l_quantity AS q FROM lineitem"
+_LISTS = """
+WITH judged AS (
+  SELECT doc_id, quality, NOT coalesce(toxic = 1, false) AND NOT coalesce(quality = 0, false) AND doc_id % 10 = 0 AS unsure FROM labels WHERE doc_id IS NOT NULL
+), every AS (
+  SELECT quality, doc_id, 'recommendation' AS kind, CASE WHEN doc_id % 3 = 0 THEN 'keep' ELSE 'look again' END AS value FROM judged WHERE NOT unsure
+  UNION ALL SELECT quality, doc_id, 'issue', 'too short' FROM judged WHERE NOT unsure
+  UNION ALL SELECT quality, doc_id, 'issue', 'no source' FROM judged WHERE NOT unsure AND doc_id % 2 <> 0
+  UNION ALL SELECT quality, doc_id, 'error', 'invalid_agreement' FROM judged WHERE unsure
+)
+SELECT quality, kind, value, n, row_number() OVER (PARTITION BY quality, kind ORDER BY n DESC, first, value)::INT AS nth FROM (SELECT quality, kind, value, count(*) AS n, min(doc_id) AS first FROM every GROUP BY 1, 2, 3) QUALIFY nth <= 5
+"""
 _ROUNDS = """
 WITH units AS (
   SELECT p_partkey, p_name, p_size AS s, min(CASE WHEN p_size = 7 THEN 0 ELSE p_size END) OVER (PARTITION BY p_partkey // 4) AS least FROM part
@@ -202,9 +227,10 @@ SELECT p_partkey, p_name || repeat('+', n) AS rubric_text, CASE WHEN s = 7 THEN
 FROM plus
 """
 SQL = {
-    "consistency_report": f"SELECT model, count(*) FILTER (NOT bad) AS n_ok, count(*) FILTER (bad) AS n_error, median(k::DOUBLE) AS median_parts, median(q * 10) AS median_words, count(*) FILTER (q < 8) AS n_extraction_issues, count(*) FILTER (k = 3) AS n_calibrated, median(q / 4 + k) AS median_latency, max(q / 4 + k) AS max_latency, median(abs(q - k * 4)) FILTER (NOT bad) AS median_delta, max(abs(q - k * 4)) FILTER (NOT bad) AS max_delta, count(*) FILTER (NOT bad AND abs(q - k * 4) > 3) AS n_large_delta, count(*) FILTER (NOT bad) AS n_marks, round(avg(q) FILTER (NOT bad), 2) AS mean_mark, median(q) FILTER (NOT bad) AS median_mark, min(q) FILTER (NOT bad) AS min_mark, max(q) FILTER (NOT bad) AS max_mark, array_to_string(list_transform(list_sort(list(DISTINCT q) FILTER (NOT bad)), lambda x: x::INT::VARCHAR), ', ') AS distinct_marks, count(*) FILTER (NOT bad AND q = 50) AS n_top_marks FROM ({_R}) GROUP BY 1",
+    "consistency_report": f"SELECT model, count(*) FILTER (NOT bad) AS n_ok, count(*) FILTER (bad) AS n_error, median(k::DOUBLE) AS median_parts, median(q * 10) AS median_words, count(*) FILTER (q < 8) AS n_extraction_issues, count(*) FILTER (k = 3) AS n_calibrated, median(q / 4 + k) AS median_latency, max(q / 4 + k) AS max_latency, median(abs(q - k * 4)) FILTER (NOT bad) AS median_delta, max(abs(q - k * 4)) FILTER (NOT bad) AS max_delta, count(*) FILTER (NOT bad AND abs(q - k * 4) > 3) AS n_large_delta, count(*) FILTER (NOT bad) AS n_marks, round(avg(q) FILTER (NOT bad), 2) AS mean_mark, median(q) FILTER (NOT bad) AS median_mark, min(q) FILTER (NOT bad) AS min_mark, max(q) FILTER (NOT bad) AS max_mark, array_to_string(list_transform(list_sort(list(DISTINCT q) FILTER (NOT bad)), lambda x: x::INT::VARCHAR), ', ') AS distinct_marks, count(*) FILTER (NOT bad AND q = 50) AS n_top_marks, round((count(*) FILTER (NOT bad AND q = 50))::DOUBLE / (count(*) FILTER (NOT bad)), 3) AS top_mark_rate, median((q / 4 + k) * 0 + k) AS median_assessment_prepare, max((q / 4 + k) * 0 + k) AS max_assessment_prepare, median((q / 4 + k) * 1 + k) AS median_structure_detect, max((q / 4 + k) * 1 + k) AS max_structure_detect, median((q / 4 + k) * 2 + k) AS median_part_refine, max((q / 4 + k) * 2 + k) AS max_part_refine, median((q / 4 + k) * 3 + k) AS median_part_analysis, max((q / 4 + k) * 3 + k) AS max_part_analysis, median((q / 4 + k) * 4 + k) AS median_moderation, max((q / 4 + k) * 4 + k) AS max_moderation, median((q / 4 + k) * 5 + k) AS median_finalize, max((q / 4 + k) * 5 + k) AS max_finalize FROM ({_R}) GROUP BY 1",
     "repeated_errors": f"SELECT model, value, n, row_number() OVER (PARTITION BY model ORDER BY n DESC, first, value)::INT AS nth FROM (SELECT model, value, count(*) AS n, min(ord) AS first FROM (SELECT model, l_orderkey * 10 + k AS ord, unnest(list_filter(['note ' || (k % 3), CASE WHEN q > 40 THEN 'high' END], lambda x: x IS NOT NULL)) AS value FROM ({_R})) GROUP BY 1, 2) QUALIFY nth <= 5",
     "disagreements": "SELECT l_orderkey AS submission_id, sum(l_quantity) - count(*) * 20 AS ai_math_delta FROM lineitem GROUP BY 1 HAVING abs(ai_math_delta) > 0 ORDER BY 1 LIMIT 10",
+    "verifier_lists": _LISTS,
     "verifier_report": "SELECT quality, count(*) FILTER (v <> 'unsure') AS n_ok, count(*) FILTER (v = 'unsure') AS n_failed, count(*) FILTER (v = 'agree') AS n_agree, count(*) FILTER (v = 'minor_concern') AS n_minor_concern, count(*) FILTER (v = 'major_concern') AS n_major_concern, median((doc_id % 101)::DOUBLE) FILTER (v <> 'unsure') AS median_confidence, sum(CASE WHEN v = 'unsure' THEN 0 WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS n_issues FROM (SELECT *, CASE WHEN toxic = 1 THEN 'major_concern' WHEN quality = 0 THEN 'minor_concern' WHEN doc_id % 10 = 0 THEN 'unsure' ELSE 'agree' END AS v FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1",
     "run_means": "SELECT o_orderstatus, count(*) AS n, round(sum(floor(o_totalprice)::BIGINT)::DOUBLE / count(*), 2) AS mean_delta, count(DISTINCT o_custkey) AS repeat_count FROM orders GROUP BY GROUPING SETS ((), (o_orderstatus))",
     "error_signatures": "SELECT 'Part <section> failed: ' || regexp_extract(url, '://([^/]*)', 1) AS signature, count(*) AS n FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
