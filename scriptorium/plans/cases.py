@@ -132,7 +132,7 @@ TEXTS = {
     "docx_headings": ("text", None,
         f"""(SELECT (f <> '' AND length(f) <= 140 AND (regexp_matches(f, {_q(documents.HEADING)}) OR n % 11 = 0 OR (regexp_matches(f, {_q(documents.NUMBERED)}) AND w <= 12) OR (regexp_matches(f, {_q(documents.TITLE)}) AND (n % 2 = 1 OR (n % 3 > 0 AND n % 20 >= 13)))
         OR (upper(f) = f AND lower(f) <> f AND w <= 12) OR (n % 2 = 1 AND w <= 16) OR (n % 3 > 0 AND n % 20 >= 14 AND w <= 20)))::VARCHAR FROM (SELECT {_HEAD} AS f, len(string_split({_HEAD}, ' ')) AS w))"""),
-    "snapshot_names": ("text", None, f"lpad((n % 1000)::VARCHAR, 3, '0') || '_' || CASE WHEN {_L} = '' THEN 'file' ELSE regexp_replace({_L}, '[^A-Za-z0-9._-]+', '_', 'g') END"),
+    "snapshot_names": ("text", None, f"lpad((n % 1000)::VARCHAR, 3, '0') || '_' || CASE WHEN trim({_L}) = '' THEN 'file' ELSE regexp_replace(trim({_L}), '[^A-Za-z0-9._-]+', '_', 'g') END"),
     "criterion_anchors": (f"{_of(_CRITERIA)} || ' ' || text", "lower({said})", f"CASE {_WHEN(guidance.ANCHORS, 'low')} ELSE {_q('|'.join(guidance.ANY_ANCHOR))} END"),
     "scoring_rules": (f"{_of(_GUIDES)} || ' ' || text", "lower({said})", _RULED),
     "guidance_summary": ("text", None, f"(SELECT CASE WHEN f = '' THEN {_q(guidance.NO_GUIDANCE)} ELSE rtrim(coalesce(nullif(regexp_extract(f || ' ', '^(.*?[.!?])\\s', 1), ''), f)[1:220]) END FROM (SELECT {_flat('text')} AS f))"),

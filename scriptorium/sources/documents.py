@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.text import any_of, bound
+
 #: Tried in this order.
 ENCODINGS = ("utf-8-sig", "utf-8", "utf-16", "cp1252", "latin-1")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -107,8 +109,8 @@ def texts(files: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder."""
-    return texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+    """All files below a folder that readers know; others are not opened."""
+    return texts(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(supported(F.col("path"))))
 
 
 #: S13. The first role of whose words one is in the stem or the parent folder; _ is a space there.
@@ -122,14 +124,13 @@ ROLES = (
 
 
 def role(stem: Column, parent: Column) -> Column:
-    seen = F.lower(F.replace(F.concat_ws(" ", stem, parent), F.lit("_"), F.lit(" ")))
-    out = F.lit("submission")
-    for name, words in reversed(ROLES):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(seen, F.lit(w))
-        out = F.when(hit, name).otherwise(out)
-    return out
+    def named(seen: Column) -> Column:
+        out = F.lit("submission")
+        for name, words in reversed(ROLES):
+            out = F.when(any_of(seen, words), name).otherwise(out)
+        return out
+
+    return bound(F.lower(F.replace(F.concat_ws(" ", stem, parent), F.lit("_"), F.lit(" "))), named)
 
 
 def row_text(*columns: str) -> Column:
@@ -139,8 +140,8 @@ def row_text(*columns: str) -> Column:
 
 def safe_name(index: Column, name: Column) -> Column:
     """The name of a copy in a snapshot: a number of three digits, and what is safe in a file name."""
-    safe = F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_")
-    return F.concat(F.lpad(index.cast("string"), 3, "0"), F.lit("_"), F.when(safe == "", "file").otherwise(safe))
+    safe = F.regexp_replace(F.trim(name), "[^A-Za-z0-9._-]+", "_")
+    return F.concat(F.format_string("%03d", index.cast("int")), F.lit("_"), F.when(safe == "", "file").otherwise(safe))
 
 
 def supported(path: Column) -> Column:
