@@ -379,4 +379,6 @@ def representatives(docs: DataFrame, percent: int = 80) -> DataFrame:
         others = [c for c in docs.columns if c not in ("doc_id", "text")]
         one = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row")).select("doc_id", "row.*")
         docs = one.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
-    return docs.join(groups.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # as a table of its own its size is known: small, it is broadcast and no text is shuffled
+    gone = written(groups.where("NOT kept").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
