@@ -147,9 +147,10 @@ def clean_number(x: Column) -> Column:
 
 
 def canonical_label(label: Column) -> Column:
-    """T34: 'question iv' becomes 'Question IV'; a label of one word stays."""
+    """T34: 'question iv' becomes 'Question IV'; a label of one word stays, as does a second word that is not of letters alone (3a)."""
     words = F.split(collapse(label), " ")
-    return F.when(F.size(words) < 2, F.trim(label)).otherwise(F.concat(F.initcap(words[0]), F.lit(" "), F.upper(F.get(words, F.lit(1)))))
+    second = F.get(words, F.lit(1))
+    return F.when(F.size(words) < 2, F.trim(label)).otherwise(F.concat(F.initcap(words[0]), F.lit(" "), F.when(second.rlike(r"^\p{L}+$"), F.upper(second)).otherwise(second)))
 
 
 #: T34. Labels that point at another section and name none.

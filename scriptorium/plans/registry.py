@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import cases, criteria, finals, folders, marks, reports, structure, texts
+from scriptorium.plans import cases, criteria, finals, folders, marks, reports, structure, texts, verification
 
-GROUPS = (marks, reports, texts, structure, finals, criteria, folders, cases)
+GROUPS = (marks, reports, texts, structure, finals, criteria, folders, verification, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
