@@ -1,11 +1,11 @@
-"""What ends a script's marking: the checked final result, its latencies, and the regrade loop."""
+"""What ends a script's marking: the checked final result, its latencies, and the regrade loop, feedback that follows from the parts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import any_of, word_count
+from scriptorium.functions.text import any_of, clean_number, word_count
 
 # Words of a major weakness, and the stages whose seconds are kept.
 MAJOR = ("incorrect", "missing", "does not address", "fails to", "not properly specified", "superficial", "underdeveloped", "limited discussion")
@@ -106,3 +106,39 @@ def regraded(results: DataFrame, verifications: DataFrame, regrades: DataFrame,
         F.when(new, F.when(failed("_second").isNull(), F.col("_second")["agreement"])).when(ok & failed("_first").isNull(), F.col("_first")["agreement"]).alias("agreement"),
         F.when(new, failed("_second")).when(ok, failed("_first")).alias("verifier_error"),
     )
+
+
+# N22. The sentences of a feedback that follows from the parts; {} is filled in order.
+FEEDBACK_INTRO = "This script is classified from part-level evidence rather than a separate final-language pass. The deterministic overall mark is {} out of {}, computed as the sum of the part scores."
+FEEDBACK_PART = "{} scored {}/{} and was placed in the {} band at the {} end of that bracket. {} Stronger features here include {}, while the mark is held back by {}."
+FEEDBACK_OUTRO = (
+    "The feedback therefore follows the classified rubric language for each part, rather than trying to invent a fresh overall judgement. "
+    "Where a section sits inside its bracket depends on the evidence quality, completeness, precision, and support actually visible in that section."
+)
+NO_SCORE, NO_BAND, NO_POSITION, NO_STRENGTH, NO_WEAKNESS = "unscored", "classified", "mid", "clear relevant material", "remaining weaknesses in precision and support"
+
+
+def _filled(text: str, *values: Column) -> Column:
+    pieces = text.split("{}")
+    return F.concat(F.lit(pieces[0]), *(x for value, after in zip(values, pieces[1:], strict=True) for x in (value, F.lit(after))))
+
+
+def part_feedback(parts: DataFrame) -> Column:
+    """What is said of a part (label, max_mark, provisional_score, provisional_score_0_to_100, grade_band, within_band_position,
+    coverage_comment, strengths, weaknesses): its score, band and place, and up to two strengths and weaknesses."""
+    score = F.coalesce("provisional_score", F.round(F.col("provisional_score_0_to_100") * F.col("max_mark") / 100, 2))
+    said = lambda c, other: F.coalesce(F.trim(F.col(c)), F.lit(other))
+    two = lambda c, other: F.coalesce(F.nullif(F.array_join(F.filter(F.transform(F.slice(F.coalesce(c, F.array().cast("array<string>")), 1, 2), lambda x: F.trim(x)), lambda x: x != ""), ", "), F.lit("")), F.lit(other))
+    return _filled(
+        FEEDBACK_PART, F.col("label"), F.coalesce(clean_number(score), F.lit(NO_SCORE)), F.coalesce(clean_number(F.col("max_mark")), F.lit("100")), said("grade_band", NO_BAND), said("within_band_position", NO_POSITION), said("coverage_comment", ""),
+        two("strengths", NO_STRENGTH), two("weaknesses", NO_WEAKNESS),
+    )
+
+
+def rendered_feedback(parts: DataFrame, totals: DataFrame, most: float, key: str = "submission_id") -> DataFrame:
+    """Key and feedback: the total (totals: key, total_mark; the maximum where it is null), each part in order (part_idx), and what that
+    rests on."""
+    said = parts.select(key, "part_idx", part_feedback(parts).alias("said")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part_idx", "said"))).alias("x"))
+    top = clean_number(F.lit(float(most)))
+    intro = _filled(FEEDBACK_INTRO, F.coalesce(clean_number(F.col("total_mark")), top), top)
+    return said.join(totals.select(key, "total_mark"), key, "left").select(key, F.concat_ws(" ", intro, F.array_join(F.transform("x", lambda x: x["said"]), " "), F.lit(FEEDBACK_OUTRO)).alias("feedback"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions import guidance
@@ -74,9 +75,39 @@ def structure_metrics(spark, sf):
     return rows.withColumn("labels", F.array_join("labels", " | "))
 
 
-QUERIES = {f.__name__: f for f in (final_result_checks, latency_attach, regrade_loop, inference_profiles, retry_policy, detector_fallback, structure_metrics)}
+def part_feedback_text(spark, sf):
+    """The feedback of each order's lines as parts, some of them scored by percentage or not at all."""
+    li = _t(spark, sf, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+    rows = li.withColumn("n", F.row_number().over(w)).select(F.col("l_orderkey").alias("submission_id"), F.col("n").alias("part_idx"), F.col("l_quantity").cast("double").alias("q"), "l_partkey")
+    k = F.col("l_partkey") % 5
+    strings = lambda *x: F.array(*x)
+    parts = rows.withColumns({
+        "label": F.concat(F.lit("Part "), F.col("part_idx").cast("string")), "max_mark": F.when(k != 4, 50.0), "provisional_score": F.when(k < 2, F.col("q") / 4), "provisional_score_0_to_100": F.when(k >= 2, F.col("q")), "grade_band": F.when(k != 1, " Secure "),
+        "within_band_position": F.when(k != 2, "high"), "coverage_comment": F.when(k != 3, F.concat(F.lit(" item "), F.col("l_partkey").cast("string"))), "strengths": F.when(k == 0, strings(F.lit("a"), F.lit(" b "), F.lit("c"))).when(k == 1, strings(F.lit(" "), F.lit("d"))),
+        "weaknesses": F.when(k == 2, strings(F.lit(" "))).otherwise(strings(F.lit("w"))),
+    })
+    totals = rows.groupBy("submission_id").agg(F.sum("q").alias("s")).select("submission_id", F.when(F.col("submission_id") % 3 > 0, F.col("s") / 8).alias("total_mark"))
+    return finals.rendered_feedback(parts, totals, 100.0)
+
+
+QUERIES = {f.__name__: f for f in (final_result_checks, latency_attach, regrade_loop, inference_profiles, retry_policy, detector_fallback, structure_metrics, part_feedback_text)}
 
 SQL = {
+    "part_feedback_text": """
+WITH rows AS (
+  SELECT l_orderkey AS submission_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS n, l_quantity::DOUBLE AS q, l_partkey, l_partkey % 5 AS k FROM lineitem
+), said AS (
+  SELECT *, CASE WHEN k < 2 THEN q / 4 WHEN k < 4 THEN round(q * 50.0::DOUBLE / 100, 2) END AS score FROM rows
+), parts AS (
+  SELECT submission_id, n, 'Part ' || n || ' scored ' || coalesce(CASE WHEN score = floor(score) THEN (score)::BIGINT::VARCHAR ELSE (round(score, 2))::VARCHAR END, 'unscored') || '/' || CASE WHEN k <> 4 THEN '50' ELSE '100' END || ' and was placed in the ' || CASE WHEN k <> 1 THEN 'Secure' ELSE 'classified' END || ' band at the ' || CASE WHEN k <> 2 THEN 'high' ELSE 'mid' END
+    || ' end of that bracket. ' || CASE WHEN k <> 3 THEN 'item ' || l_partkey ELSE '' END || ' Stronger features here include ' || CASE k WHEN 0 THEN 'a, b' WHEN 1 THEN 'd' ELSE 'clear relevant material' END || ', while the mark is held back by ' || CASE WHEN k = 2 THEN 'remaining weaknesses in precision and support' ELSE 'w' END || '.' AS line FROM said
+), totals AS (
+  SELECT submission_id, sum(q) / 8 AS total FROM rows GROUP BY 1
+)
+SELECT submission_id, 'This script is classified from part-level evidence rather than a separate final-language pass. The deterministic overall mark is ' || CASE WHEN submission_id % 3 > 0 THEN CASE WHEN any_value(total) = floor(any_value(total)) THEN (any_value(total))::BIGINT::VARCHAR ELSE (round(any_value(total), 2))::VARCHAR END ELSE '100' END || ' out of 100, computed as the sum of the part scores. ' || string_agg(line, ' ' ORDER BY n) || ' The feedback therefore follows the classified rubric language for each part, rather than trying to invent a fresh overall judgement. Where a section sits inside its bracket depends on the evidence quality, completeness, precision, and support actually visible in that section.' AS feedback
+FROM parts JOIN totals USING (submission_id) GROUP BY submission_id
+""",
     "final_result_checks": """
 WITH a AS (
   SELECT o_orderkey AS k, CASE WHEN k % 7 <> 0 THEN CAST(k % 61 AS DOUBLE) END AS ai,
