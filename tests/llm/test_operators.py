@@ -2,6 +2,7 @@
 
 import hashlib
 import html as std_html
+import math
 import random
 import re
 from collections import Counter
@@ -293,6 +294,44 @@ def test_roles_and_articles_drop_no_other_text():
     assert told("<body><p>Before</p><article>Card</article><p>After</p><nav>Menu</nav></body>") == "Before\nCard\nAfter"
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p>Read <a href="/x?id=share">this link</a> now</p>', "Read this link now"),
+        ('<p data-id="ad">kept?</p><p title="class=ad">too</p>', "kept?\ntoo"),
+        ('<div class="side-effects">medicine</div><section id="comment-on-policy"><p>a</p></section>', "medicine\na"),
+        ('<div id="related-work"><h2>Related work</h2><p>b</p></div>', "Related work\nb"),
+        ("<p>x <math><mi>y</mi><mo>+</mo><annotation>y +</annotation></math> z</p>", "x y+ z"),
+        ("<p>a <svg><title>no</title><text>b</text></svg> c</p>", "a b c"),
+        ('<p>x</p><ol class="commentlist"><li>no</li></ol>', "x"),
+        ('<p>x</p><div class="ad">a</div><div id=top-banner-2>b</div><div class="share-buttons">c</div><p>y <span class=ad>no</span> z</p>', "x\ny z"),
+        ('<p>x</p><DIV CLASS="Sidebar Wide">a</DIV><div class>b</div>', "x\nb"),
+    ],
+)
+def test_attributes_and_compound_names(page, text):
+    assert "\n".join(x for _, x in html.blocks(f"<article>{page}</article>")[0]) == text
+
+
+def test_the_tree_judges_nodes_and_decides(spark):
+    """Importance by brute force; what the tree removes here no role removes."""
+    page = '<body><nav>Menu {0}</nav><div class="colophon">All rights kept</div><div class="intro">{1}</div><article><h1>Same</h1><div class="box">Often</div><p>Text {0}</p></article></body>'
+    rows = [(i, "http://h.example/", page.format(i, "same" if i % 4 else i), "x") for i in range(12)]
+    rows += [(100 + i, *rows[i][1:]) for i in range(5)]  # copies of pages count once
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    found = {r.path.rsplit("/", 1)[-1]: r for r in html.style_tree(pages).collect()}
+    spread = lambda *n: 1 - sum(x * math.log2(x) for x in n) / (12 * math.log2(12))
+    want = {"nav": 0.1, "div.colophon": 1 / 13, "div.intro": (1 + 12 * spread(9, 1, 1, 1)) / 13, "div.box": 1 / 13}
+    assert {k: (r.n_pages, pytest.approx(r.importance)) for k, r in found.items()} == {k: (12, v) for k, v in want.items()}
+    texts = {r.page_id: r.text for r in html.page_texts(pages).collect()}
+    assert texts == {i: "\n".join((str("same" if i % 100 % 4 else i % 100), "Same", f"Text {i % 100}")) for i in [*range(12), *range(100, 105)]}
+    assert "All rights kept" in "\n".join(x for _, x in html.blocks(rows[0][2])[0])  # the tree alone removes it
+
+
+def test_the_tree_judges_given_pages(spark):
+    nodes = html.style_tree(spark.read.parquet(f"{SF}/pages.parquet"))
+    assert nodes.where("stated").count() > 0 and nodes.where("stated AND importance >= 0.15").count() == 0
+
+
 def test_url_rules(spark):
     rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.B.Example.NET/en/x?y#z"), (4, "x://Net/en/"), (5, "http://example.net?en/"), (6, "http://u.org/fr/"), (7, "http://example.com/de/"), (8, "http://casino-win.example.com/en/7"), (9, "http://notnet/en")]
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
@@ -313,6 +352,42 @@ def test_paths_of_bare_hosts_are_scored(spark):
     assert found == {1: ("block", False), 2: ("allow", False), 3: ("allow", True), 4: ("allow", True)}
 
 
+def brute_log_likelihood(texts, text, order=urls.ORDER):
+    """Witten-Bell by definition, from the longest context seen down."""
+    padded = ["\x02" * order + t + "\x03" for t in texts]
+    after = Counter((p[i - n : i], p[i]) for p in padded for i in range(order, len(p)) for n in range(order + 1))
+    total, kinds = Counter(), Counter()
+    for (context, _), n in after.items():
+        total[context] += n
+        kinds[context] += 1
+
+    def p(context, c):
+        shorter = p(context[1:], c) if context else 1 / 256
+        return (after[context, c] + kinds[context] * shorter) / (total[context] + kinds[context]) if total[context] else shorter
+
+    whole = "\x02" * order + text + "\x03"
+    return sum(math.log(p(whole[i - order : i], whole[i])) for i in range(order, len(whole))) / (len(text) + 1)
+
+
+def test_url_models_equal_brute_force():
+    texts = ["news.garden/0", "shop.garden/0.html", "aa/0", "news/"]
+    model = urls.Markov(texts)
+    for text in ("news.garden/0", "garden", "zz", "", "aaa/0"):
+        assert model.log_likelihood(text) == pytest.approx(brute_log_likelihood(texts, text))
+
+
+def test_unlisted_hosts_are_blocked_by_spelling(spark):
+    """Hosts that no list names; a model of accepted hosts alone, or none, would let them pass."""
+    clean = [f"{a}{b}.example.org" for a in ("thth", "ther", "tion", "hean") for b in ("on", "er", "nd", "st", "ing", "ly", "re")]
+    bad = ["gigabets", "best-casinos", "wild-cams", "viagra-shop", "free-slots-now"]
+    assert not any(text.split("/")[0].endswith(b) for b in bad for text in urls.seeded())
+    rows = [(i, f"http://{h}/fr/{i}") for i, h in enumerate(clean)] + [(100 + i, f"http://www.{h}.example.com/en/{i}.html") for i, h in enumerate(bad)]
+    rows += [(200 + i, f"http://m.{h.split('.')[0]}.example.com/es/{i}") for i, h in enumerate(clean)]
+    found = {r.page_id: (r.rule, r.verdict) for r in urls.judged(spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, ratio string")).collect()}
+    assert {found[100 + i] for i in range(len(bad))} == {(None, "block")}
+    assert {found[200 + i] for i in range(len(clean))} == {(None, "allow")} and {found[i] for i in range(len(clean))} == {("org/fr/", "allow")}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=7).astype(np.float32).tolist()) for i in range(300)]
