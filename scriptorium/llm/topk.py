@@ -61,22 +61,15 @@ def _resolved(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int
     best = Best(k)
     for block, x_ids, x in read(batches):
         for q_ids, q, cuts in queries:
-            collected = []
-            for g in range(PARTS):
-                scores = products(_group(q, g, dim), _group(x, g, dim))
-                collected.append((enough := scores.astype(float) - cuts[:, 1 + g, None] >= cuts[:, :1] / PARTS, scores[enough]))
-            ends = [np.cumsum(enough.sum(axis=1)) for enough, _ in collected]
-            for i, query in enumerate(q_ids.tolist()):
-                at = np.flatnonzero(np.logical_or.reduce([enough[i] for enough, _ in collected]) & (x_ids != query))
+            local = [products(_group(q, g, dim), _group(x, g, dim)) for g in range(PARTS)]
+            collected = np.logical_or.reduce([s.astype(float, copy=False) - cuts[:, 1 + g, None] >= cuts[:, :1] / PARTS for g, s in enumerate(local)])
+            exact = all(s.dtype != object for s in local)  # sums of two exact doubles below 2 ** 52 are exact
+            for i in np.flatnonzero(collected.any(axis=1)):
+                query = int(q_ids[i])
+                at = np.flatnonzero(collected[i] & (x_ids != query))
                 if not len(at):
                     continue
-                total = np.zeros(len(at), object)
-                for g, (enough, scores) in enumerate(collected):
-                    mine, has = scores[ends[g][i] - enough[i].sum() : ends[g][i]], enough[i, at]
-                    total[has] += np.array([int(s) for s in mine[np.isin(np.flatnonzero(enough[i]), at)]], object)
-                    if not has.all():
-                        looked = products(_group(q[i : i + 1], g, dim), _group(x[at[~has]], g, dim))[0]
-                        total[~has] += np.array([int(s) for s in looked], object)
+                total = sum(s[i, at] for s in local) if exact else np.array([sum(int(s[i, j]) for s in local) for j in at], object)
                 best.add(query, total, x_ids[at], block * BLOCK + at)
     for query, (scores, ids, _) in best.held.items():
         yield table_of([(query, int(v), int(s)) for s, v in zip(scores, ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
