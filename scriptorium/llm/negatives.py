@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import handed_on, scratch, written
-from scriptorium.llm.vectors import BLOCK, Best, chunks, highest, packed, products, table_of, unpack, usable
+from scriptorium.llm.vectors import BLOCK, Best, chunks, highest, packed, products, table_of, unpack, usable, within_long
 
 #: Cauchy-Schwarz is taken with rounded norms: a bound counts as this much larger.
 _SLACK = 1 + 1e-9
@@ -44,10 +44,6 @@ def _padded(m: np.ndarray, dim: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, dim - m.shape[1]))) if m.shape[1] < dim else m
 
 
-def _within_long(scores) -> list[int]:
-    return [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
-
-
 def _kth(best: Best, key, k: int) -> float:
     """The score that a row must reach to count for a key whose k places are taken."""
     held = best.held.get(key)
@@ -67,7 +63,7 @@ def _positives(batches: Iterator[pa.RecordBatch], anchors: list, dim: int, k: in
                 at = at[highest(row[at], k, ids[at])]
                 best.add(anchor, row[at], ids[at], at)
     for anchor, (scores, ids, _) in best.held.items():
-        yield table_of([(anchor, 0, int(i), s) for i, s in zip(ids, _within_long(scores), strict=True)], _FIELDS)
+        yield table_of([(anchor, 0, int(i), s) for i, s in zip(ids, within_long(scores), strict=True)], _FIELDS)
 
 
 def _negatives(batches: Iterator[pa.RecordBatch], anchors: list, dim: int, k: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
@@ -85,7 +81,7 @@ def _negatives(batches: Iterator[pa.RecordBatch], anchors: list, dim: int, k: in
                     in_ = in_[highest(row[in_], k, ids[in_])]
                     best.add(key, row[in_], ids[in_], in_)
     for (anchor, nth), (scores, ids, _) in best.held.items():
-        yield table_of([(anchor, nth, int(i), s) for i, s in zip(ids, _within_long(scores), strict=True)], _FIELDS)
+        yield table_of([(anchor, nth, int(i), s) for i, s in zip(ids, within_long(scores), strict=True)], _FIELDS)
 
 
 def _windows(anchor: int, extra: np.ndarray, low: int, high: int) -> list[tuple[tuple[int, int], int, int]]:

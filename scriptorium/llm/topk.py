@@ -10,7 +10,7 @@ The score of a vector is the sum over PARTS groups of its components, and each g
 Rows are packed in blocks and stay where they are. The stated queries go to them in chunks of at most CHUNK bytes, one pass over
 the blocks each; a task keeps k rows a query, so what is shuffled is k rows for each query and task.
 
-Components become floor(256 * x). Null vectors, and such that hold null, NaN or infinite components, take no part, nor do
+Components become floor(256 * x), and beyond the range of long its limits, as do scores. Null vectors, and such that hold null, NaN or infinite components, take no part, nor do
 rows without vec_id. Missing components of shorter vectors count as 0. A repeated query row counts once (the least vector);
 rows with the query's own vec_id are no candidates; other repeated rows each count. Extra columns are ignored.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import handed_on, scratch, written
-from scriptorium.llm.vectors import BLOCK, Best, chunks, highest, packed, products, read, table_of, usable
+from scriptorium.llm.vectors import BLOCK, Best, chunks, highest, packed, products, read, table_of, usable, within_long
 
 PARTS = 2
 
@@ -72,7 +72,7 @@ def _resolved(batches: Iterator[pa.RecordBatch], queries: list, k: int, dim: int
                 total = sum(s[i, at] for s in local) if exact else np.array([sum(int(s[i, j]) for s in local) for j in at], object)
                 best.add(query, total, x_ids[at], block * BLOCK + at)
     for query, (scores, ids, _) in best.held.items():
-        yield table_of([(query, int(v), int(s)) for s, v in zip(scores, ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        yield table_of([(query, int(v), s) for s, v in zip(within_long(scores), ids, strict=True)], [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _pass(blocks: DataFrame, queries: DataFrame, work, schema: str, k: int, dim: int, *cuts: str) -> DataFrame | None:

@@ -60,6 +60,11 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
+def within_long(scores) -> list[int]:
+    """Exact scores as longs; those beyond their range at its limits."""
+    return [max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores]
+
+
 def highest(scores: np.ndarray, k: int, ids: np.ndarray) -> np.ndarray:
     """Places of the k highest, ties to the smaller id."""
     if k and len(scores) > k:

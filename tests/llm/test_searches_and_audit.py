@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import audit, negatives, simhash, vectors
+from scriptorium.llm import audit, negatives, simhash, topk, vectors
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, part string, mask int, n int, at long, cut int, hi long, ghost string"
@@ -138,6 +138,15 @@ def test_negatives_equal_brute_force(spark, case, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_negatives(rows)
 
 
+def test_scores_beyond_long_stand_at_its_limits(spark):
+    rows = [(i, [3e38 * (-1) ** (i // 50), 3e38], i % 2) for i in range(0, 400, 50)]
+    most = (1 << 63) - 1
+    found = topk.top_k(embeddings(spark, rows), F.col("vec_id") % 50 == 0, 3).collect()
+    assert len(found) == 24 and {r.score for r in found if r["rank"] == 1} == {most}
+    mined = negatives.hard_negatives(embeddings(spark, rows), F.col("vec_id") % 100 == 0).collect()
+    assert all(abs(r.positive_score) <= most + 1 and abs(r.negative_score) <= most + 1 for r in mined)
+
+
 def test_short_blocks_are_left_out():
     """Blocks too short for the lower limits, or for the k-th score held, are not scored."""
     r = np.random.default_rng(1)
