@@ -55,7 +55,7 @@ def extraction_issue(text: Column) -> Column:
 
 
 def damaged(text: Column) -> Column:
-    """An ellipsis of dots, two glued words, or a run of 16 small letters."""
+    """An ellipsis of dots, two glued words, or a run of 16 small letters. The patterns are fixed values."""
     glued = F.size(F.regexp_extract_all(text, F.lit(r"[a-z]{6,}[A-Z][a-z]+"), F.lit(0))) >= 2
     return F.contains(text, F.lit("...")) | glued | text.rlike(r"[a-z]{16,}")
 
@@ -162,7 +162,8 @@ def placeholder(label: Column) -> Column:
 
 
 def clean_question(text: Column) -> Column:
-    """Hyphenation undone, suggested word counts, a leading label with its marks and the closing stop removed."""
+    """Hyphenation undone, suggested word counts, a leading label with its marks and the closing stop removed. The patterns are
+    fixed values."""
     joined = collapse(F.regexp_replace(F.trim(text), r"(\w)-\s+(\w)", "$1$2"))
     without = F.trim(F.regexp_replace(joined, r"(?i)\[\s*suggested\s+word\s+count\s*:[^\]]*\]", ""))
     label = r"(?i)^(?:part|question|section)\s+[a-z0-9ivx]+(?:\s+q[a-z0-9ivx]+)?\s*(?:\(\d+(?:\.\d+)?\s*marks?\))?\s*"

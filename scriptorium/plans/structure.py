@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions import bands
 from scriptorium.functions import text as t
 from scriptorium.operators import jsons, merging, parsers, responses, scorers, structure
 from scriptorium.plans.marks import _t
@@ -185,8 +186,8 @@ def hybrid_structure(spark, sf):
 def rubric_matrix_rows(spark, sf):
     """K4: a row for each band of each unit."""
     p = _t(spark, sf, "part").select(F.col("p_brand").alias("section"), F.col("p_partkey").alias("unit"), F.col("p_size").alias("max_mark"))
-    bands = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(lo).alias("least")) for b, lo in (("First", 70), ("2:1", 60), ("2:2", 50), ("Third", 40), ("Fail", 0))))
-    return p.withColumn("b", F.explode(bands)).select("section", "unit", "b.band", (F.col("max_mark") * F.col("b.least") / 100).alias("least_mark"))
+    each = F.array(*(F.struct(F.lit(b).alias("band"), F.lit(lo).alias("least")) for b, lo, _ in bands.ANALYTICAL))
+    return p.withColumn("b", F.explode(each)).select("section", "unit", "b.band", (F.col("max_mark") * F.col("b.least") / 100).alias("least_mark"))
 
 
 def _answers(spark, sf):
@@ -355,7 +356,7 @@ SQL = {
     "chunk_interval_merge": "SELECT user_id, island::INT AS island, min(a) AS start, max(b) AS \"end\", count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY a) AS island FROM (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY user_id ORDER BY a) OR lag(b) OVER (PARTITION BY user_id ORDER BY a) IS NULL THEN 1 ELSE 0 END AS fresh FROM (SELECT user_id, event_id - 100 AS a, event_id + 420 AS b FROM events))) WHERE island <= 8 GROUP BY 1, 2",
     "subpart_segment": _CHILDREN,
     "fast_path_detection": f"SELECT *, CASE WHEN expected = 1 OR anchored >= greatest(2, expected // 2) THEN 'accept' ELSE 'ask' END AS path FROM (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (q > 25) AS anchored FROM ({_N}) GROUP BY 1)",
-    "rubric_matrix_rows": "SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES ('First', 70), ('2:1', 60), ('2:2', 50), ('Third', 40), ('Fail', 0)) AS x(band, least)",
+    "rubric_matrix_rows": f"SELECT p_brand AS section, p_partkey AS unit, band, p_size * least / 100.0::DOUBLE AS least_mark FROM part CROSS JOIN (VALUES {', '.join(f"('{b}', {lo}::DOUBLE)" for b, lo, _ in bands.ANALYTICAL)}) AS x(band, least)",
     "hybrid_structure": _HYBRID,
     "request_keys": _KEYS,
     "replay_pipeline": "SELECT conv_id, least(100.0::DOUBLE, sum(CASE WHEN n % 11 <> 1 OR n % 11 IS NULL THEN turn % 5 + conv_id % 3 END)::DOUBLE) AS total_mark, count(*) FILTER (n % 11 = 1) AS n_errors, sum(CASE WHEN n % 4 = 0 AND n % 11 <> 1 THEN 2 ELSE 1 END)::BIGINT AS n_calls FROM (SELECT *, conv_id + turn AS n FROM conversations WHERE trim(text) <> '') GROUP BY 1",
