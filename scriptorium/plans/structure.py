@@ -190,11 +190,11 @@ def rubric_matrix_rows(spark, sf):
     return p.withColumn("b", F.explode(each)).select("section", "unit", "b.band", (F.col("max_mark") * F.col("b.least") / 100).alias("least_mark"))
 
 
-def _answers(spark, sf):
-    """What each turn of a conversation asks of a scorer, with the turn as a whole text."""
+def _answers(spark, sf, label=None):
+    """What each turn of a conversation asks of a scorer, with the turn as a whole text; parts are labelled by their turn, or by `label`."""
     c = _t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("section_text"))
     parts = c.withColumns({
-        "label": F.concat(F.lit("Part "), F.col("turn").cast("string")), "max_mark": F.when(F.col("turn") % 3 > 0, F.col("turn") + 9.5), "question": F.lit("Say why, with evidence."),
+        "label": F.concat(F.lit("Part "), F.col("turn").cast("string")) if label is None else label, "max_mark": F.when(F.col("turn") % 3 > 0, F.col("turn") + 9.5), "question": F.lit("Say why, with evidence."),
         "task_type": F.when(F.col("turn") % 2 == 0, "evaluative_discussion").otherwise("comparison"), "marking_guidance": F.lit("Quote the page numbers."),
     })
     return scorers.part_requests(parts, "scorer-1")
@@ -207,8 +207,9 @@ def request_keys(spark, sf):
 
 def replay_pipeline(spark, sf):
     """Requests for parts that are not blank, answers looked up by the requests' digests, those without a comment
-    asked for again with a note, validated scores, totals. Some answers come in no envelope, some in prose."""
-    requests = _answers(spark, sf)
+    asked for again with a note, validated scores, totals. Some answers come in no envelope, some in prose. Answers depend on the
+    conversation, so its number is in the requests: those of equal texts in two conversations would be one request else."""
+    requests = _answers(spark, sf, F.concat_ws(" of ", F.concat(F.lit("Part "), F.col("turn").cast("string")), F.col("conv_id").cast("string")))
     n = F.col("conv_id") + F.col("turn")
     content = lambda comment: F.concat(F.lit('Here: {"provisional_score":'), (F.col("turn") % 5 + F.col("conv_id") % 3).cast("string"), F.lit(f',"coverage_comment":"{comment}","strengths":[],"weaknesses":[],"evidence":[]}} {{'))
     message = lambda said: F.to_json(F.struct(F.struct(F.lit("assistant").alias("role"), said.alias("content")).alias("message")))
