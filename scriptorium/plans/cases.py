@@ -20,6 +20,9 @@ _BACKS = ("Using your results, go on", "based on  the evidence", "as derived in
 _CRITERIA = ("uses a page as Evidence", "the method and why it is used", "all steps are told", "says it", "weighs a counterargument")
 _GUIDES = ("", "A First cites a page number", "Derive it in your own words", "2:1 for a method")
 
+_MATRIX = ("section", "unit", "max_mark", "mode", "classification_question", "ranking_rule", "criteria_sentences", "band", "descriptor", "within_band_placement")
+
+
 def _columns() -> dict[str, Column]:
     """The results by name, of rows text, source, lang and n, the length of the text."""
     x, n, source, lang = F.col("text"), F.col("n"), F.col("source"), F.col("lang")
@@ -55,10 +58,13 @@ def _columns() -> dict[str, Column]:
         return F.coalesce(found["error_code"], F.array_join(said, "|"))
 
     def _matrix():
-        band = lambda name: _said("| ", name, " | ", source, " of ", lang, " | high |\n")
-        md = _said("# T\n## Part ", _num(9), "\n### ", source, "\n- Max mark: ", _num(50), "\n- Mode: analytical\n#### Criteria Sentences\n- In ", lang, ".\n| Band | Descriptor | Within-band placement |\n| --- | --- | --- |\n", band("First"), band("Other"), band("Pass"))
-        names = ("section", "unit", "max_mark", "mode", "criteria_sentences", "band", "descriptor", "within_band_placement")
-        return F.array_join(F.transform(rubrics.matrix_rows(md), lambda r: F.concat_ws("/", *(r[c] for c in names))), ";")
+        flat = F.regexp_replace(x, r"[\r\n|]+", " ")
+        band = lambda name: _said("| ", name, " | ", source, " of ", lang, ": ", flat, " | high |\n")
+        table = "| Band | Descriptor | Within-band placement |\n"
+        criteria = F.array_join(F.transform(t.lines_of(x), lambda line: F.concat(F.lit("- In "), lang, F.lit(": "), line, F.lit("\n"))), "")
+        first = _said("### Unit ", source, "\n- Max mark: ", _num(50), "\n- Mode: analytical\n- Core criterion: none\n- Classification question: is it: ", lang, "?\n- Ranking rule: best first\n#### Criteria Sentences\n- In ", lang, ".\n", criteria, table, "| --- | --- | --- |\n", band("First"), band("Other"), "| Fail | little\n", band("Pass"))
+        md = _said("# T\n## Part ", _num(9), "\n", first, "### Rest\n- Max mark: 5\n", table, band("Third"), "## Part 10\n", band("Lost"))
+        return F.array_join(F.transform(rubrics.matrix_rows(md), lambda r: F.concat_ws("/", *(F.replace(r[c], F.lit("\n"), F.lit("+")) for c in _MATRIX))), ";")
 
     return {
         "task_type_ladder": _mode(),
@@ -136,7 +142,9 @@ TEXTS = {
     "criterion_anchors": (f"{_of(_CRITERIA)} || ' ' || text", "lower({said})", f"CASE {_WHEN(guidance.ANCHORS, 'low')} ELSE {_q('|'.join(guidance.ANY_ANCHOR))} END"),
     "scoring_rules": (f"{_of(_GUIDES)} || ' ' || text", "lower({said})", _RULED),
     "guidance_summary": ("text", None, f"(SELECT CASE WHEN f = '' THEN {_q(guidance.NO_GUIDANCE)} ELSE rtrim(coalesce(nullif(regexp_extract(f || ' ', '^(.*?[.!?])\\s', 1), ''), f)[1:220]) END FROM (SELECT {_flat('text')} AS f))"),
-    "rubric_matrix_parse": ("text", None, "array_to_string(list_transform(['First', 'Other', 'Pass'], lambda b: 'Part ' || n % 9 || '/' || source || '/' || n % 50 || '/analytical/In ' || lang || './' || b || '/' || source || ' of ' || lang || '/high'), ';')"),
+    "rubric_matrix_parse": ("text", None,
+        f"""(SELECT array_to_string(list_transform(['First', 'Other', 'Pass'], lambda b: 'Part ' || n % 9 || '/' || trim('Unit ' || source) || '/' || n % 50 || '/analytical/is it: ' || lang || '?/best first/In ' || lang || '.' || said || '/' || b || '/' || descriptor || '/high'), ';') || ';Part ' || n % 9 || '/Rest/5/////Third/' || descriptor || '/high'
+        FROM (SELECT trim(source || ' of ' || lang || ': ' || regexp_replace(text, '[\\r\\n|]+', ' ', 'g')) AS descriptor, array_to_string(list_transform({_lines('text')}, lambda l: '+In ' || lang || ': ' || l), '') AS said))"""),
 }
 
 

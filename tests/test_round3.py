@@ -18,3 +18,9 @@ def equals_sql(spark, folder, table, name):
 def test_replay_with_equal_texts_in_two_conversations(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT c AS conv_id, t AS turn, 'user' AS role, 'text of turn ' || t AS text FROM range(12) a(c), range(6) b(t)) TO '{tmp_path}/conversations.parquet'")
     assert len(equals_sql(spark, tmp_path, "conversations", "replay_pipeline")) == 12
+
+
+def test_rubric_matrix_reads_whole_texts(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES (1, 'one |' || chr(10) || chr(10) || '  two: a', 's', 'en'), (2, 'one |' || chr(10) || chr(10) || '  two: b', 's', 'en'), (3, NULL, NULL, NULL)) x(doc_id, text, source, lang)) TO '{tmp_path}/documents.parquet'")
+    got = dict(equals_sql(spark, tmp_path, "documents", "rubric_matrix_parse"))
+    assert got[1] != got[2] and "In en: one |+In en: two: a" in got[1] and "one    two: a" in got[1]
