@@ -60,17 +60,26 @@ def part_verdict(content: Column, most: Column) -> Column:
         listed = lambda name: F.when(bare(name).isNull(), none).otherwise(F.try_variant_get(v, f"$.{name}", "array<string>"))
         clean = lambda name: F.filter(F.transform(listed(name), lambda x: trimmed(F.coalesce(x, F.lit("None")))), lambda x: x != "")
         lists = ("criteria_adjustments", "overgenerous_criteria")
-        error = (
-            F.when(v.isNull(), "not_json").when(~said("agreement").isin(*AGREEMENTS), "invalid_agreement").when(confidence.isNull(), "invalid_confidence").when(~confidence.between(0, 100), "confidence_out_of_range")
-            .when(flag.isNull(), "invalid_score_too_generous").when(ceiling.isNull(), "invalid_max_reasonable_score").when(~ceiling.between(0, F.coalesce(most, F.lit(100.0))), "max_reasonable_score_out_of_range")
-            .when(~said("recommendation").isin(*ADVICE), "invalid_recommendation")
-        )
-        for name in lists:
-            error = error.when(clean(name).isNull(), f"invalid_{name}")
-        ok = lambda x: F.when(error.isNull(), x)
-        return F.struct(
-            ok(said("agreement")).alias("agreement"), ok(F.round(confidence, 2)).alias("confidence"), *(ok(clean(n)).alias(n) for n in lists), ok(flag).alias("too_generous"), ok(F.round(ceiling, 2)).alias("ceiling"), ok(said("recommendation")).alias("advice"), error.alias("error_code"),
-        )
+        # each field is read once, and the error worked out once
+        fields = F.struct(v.isNotNull().alias("there"), said("agreement").alias("agreement"), confidence.alias("confidence"), flag.alias("flag"), ceiling.alias("ceiling"), said("recommendation").alias("advice"), *(clean(n).alias(n) for n in lists))
+
+        def error_of(r: Column) -> Column:
+            error = (
+                F.when(~r["there"], "not_json").when(~r["agreement"].isin(*AGREEMENTS), "invalid_agreement").when(r["confidence"].isNull(), "invalid_confidence").when(~r["confidence"].between(0, 100), "confidence_out_of_range")
+                .when(r["flag"].isNull(), "invalid_score_too_generous").when(r["ceiling"].isNull(), "invalid_max_reasonable_score").when(~r["ceiling"].between(0, F.coalesce(most, F.lit(100.0))), "max_reasonable_score_out_of_range")
+                .when(~r["advice"].isin(*ADVICE), "invalid_recommendation")
+            )
+            for name in lists:
+                error = error.when(r[name].isNull(), f"invalid_{name}")
+            return error
+
+        def made(r: Column, error: Column) -> Column:
+            ok = lambda x: F.when(error.isNull(), x)
+            return F.struct(
+                ok(r["agreement"]).alias("agreement"), ok(F.round(r["confidence"], 2)).alias("confidence"), *(ok(r[n]).alias(n) for n in lists), ok(r["flag"]).alias("too_generous"), ok(F.round(r["ceiling"], 2)).alias("ceiling"), ok(r["advice"]).alias("advice"), error.alias("error_code"),
+            )
+
+        return bound(fields, lambda r: bound(error_of(r), lambda error: made(r, error)))
 
     return bound(F.try_parse_json(content), read)
 

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import structure
+from scriptorium.operators import merging, parsers, responses, structure, units, verification
 from scriptorium.plans import registry
 
 
@@ -44,3 +44,49 @@ def test_weights_of_one_search(spark):
     rows = spark.createDataFrame([("worth 5.5 points",), ("(10 Marks) or 3 marks",), ("20 %x",), ("none",), ("",), (None,)], "x string")
     got = rows.select(t.mark_of(F.col("x")).alias("m"), t.weight_of(F.col("x")).alias("w")).collect()
     assert [tuple(r) for r in got] == [(5.5, "5.5 points"), (10.0, "10 Marks"), (None, "20 %"), (None, ""), (None, ""), (None, "")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_units_and_criteria_are_made_once(spark):
+    """explode has Spark filter by what it reads, which it then makes twice; the outer form does not."""
+    docs = spark.createDataFrame([("a", "Part 1 (5 marks)\n1. one [2 marks]\n2. two\nPart 2 why"), ("b", "none"), ("c", None)], "assessment string, text string")
+    folder = "/root/testdata/sf0.001"
+    made = [structure.assessment_map(docs), units.assessment_units(structure.sections(docs)), *(registry.queries()[n](spark, folder) for n in ("generated_criteria", "detected_and_expected"))]
+    for df in made:
+        assert not any("Filter" in line and "lambda" in line for line in _plan(df).splitlines())
+    rows = {(r.assessment, r.label): (r.label_key, r.max_mark) for r in made[0].collect()}
+    assert rows == {("a", "Part 1 Q1"): ("part 1 q1", 2.0), ("a", "Part 1 Q2"): ("part 1 q2", 3.0), ("a", "Part 2"): ("part 2", None), ("b", "Whole Submission"): ("whole submission", None), ("c", "Whole Submission"): ("whole submission", None)}
+
+
+def test_responses_are_read_once(spark):
+    """A field that an error and the result need was read again for each of them."""
+    rows = spark.createDataFrame([('{"a": 1}',), (None,)], "x string")
+    x, none = F.col("x"), F.array().cast("array<string>")
+    assert _plan(rows.select(verification.part_verdict(x, F.lit(50.0)))).count("$.recommendation") <= 2
+    assert _plan(rows.select(responses.verified_rubric(x, F.lit("t"), none))).count("parse_json") == 1
+    assert _plan(rows.select(responses.criterion_notes(x, F.array(F.lit("a")), F.lit("s"), none))).count("from_json") <= 3
+
+
+def test_layout_labels_are_made_once(spark):
+    rows = spark.createDataFrame([("a", "Part i (5 marks)\na) one [2 marks]\n(2) two\n3] three")], "assessment string, text string")
+    made = parsers.by_layout(rows)
+    assert _plan(made).count("initcap") == 1
+    (section,) = made.collect()[0].sections
+    assert (section.label, [s.label for s in section.subparts]) == ("Part I", ["Part I A", "Part I Q2", "Part I Q3"])
+
+
+def test_texts_are_trimmed_once(spark):
+    rows = spark.createDataFrame([("a\nb", "c"), (" ", "d\te"), (None, None)], "a string, b string")
+    made = rows.select(merging.richer(F.col("a"), F.col("b")).alias("x"))
+    assert _plan(made).count("trim(") == 2
+    assert [r.x for r in made.collect()] == ["a\nb", "d\te", ""]
+
+
+def test_collapse_of_all_kinds_of_space(spark):
+    texts = ["", " ", "  ", "a b", "a  b", " a\tb ", " a   b\x1c", "a\n", "\t", "a \x1f", "\x85 b", "　x  y z"]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    old = F.trim(F.regexp_replace("x", t.SPACE, " "))
+    assert all(a == b for a, b in rows.select(t.collapse(F.col("x")), old).collect())
