@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import bands
-from scriptorium.functions.text import collapse
+from scriptorium.functions.text import bound, collapse
 from scriptorium.operators.jsons import is_string, missing, number
 
 #: N3. What fills lists that a response leaves short, and how many items they have at least.
@@ -85,7 +85,7 @@ def status(raw: Column, scale: Column) -> Column:
 def note(text: Column) -> Column:
     """Five words, at most 48 characters, no closing punctuation."""
     flat = F.regexp_replace(collapse(text), r"[.;:,]+$", "")
-    return F.substring(F.array_join(F.slice(F.split(flat, " "), 1, 5), " "), 1, 48)
+    return F.substring(F.array_join(F.slice(F.split(flat, " ", 6), 1, 5), " "), 1, 48)
 
 
 _NOTE = "struct<criterion_name:string,status:string,note:string>"
@@ -96,24 +96,34 @@ def criterion_notes(content: Column, names: Column, scale: Column, labels: Colum
 
     names: the expected criteria in order; labels: statuses that the scale allows (empty: any). Unknown or repeated names, other
     statuses and blank notes are errors; what was left out is 'omitted by model' at the lowest status."""
+    return bound(content, lambda said: _read_notes(said, names, scale, labels))
+
+
+def _read_notes(content: Column, names: Column, scale: Column, labels: Column) -> Column:
     listed = F.from_json(content, f"array<{_NOTE}>")
     keyed = F.from_json(content, "map<string,struct<status:string,note:string>>")
     from_map = F.transform(F.map_entries(keyed), lambda e: F.struct(e["key"].alias("criterion_name"), e["value"]["status"].alias("status"), e["value"]["note"].alias("note")))
     is_list = F.ltrim(content).startswith("[")
     given = F.transform(F.when(is_list, listed).otherwise(from_map), lambda x: F.struct(F.trim(x["criterion_name"]).alias("name"), status(x["status"], scale).alias("s"), note(F.coalesce(x["note"], F.lit(""))).alias("note")))
-    found = F.transform(given, lambda x: x["name"])
-    wrong = F.exists(found, lambda x: F.coalesce(~F.array_contains(names, x), F.lit(True))) | (F.size(F.array_distinct(found)) < F.size(found))
-    error = (
-        F.when(F.try_parse_json(content).isNull(), "not_json").when(given.isNull(), "not_a_list").when(wrong, "wrong_name")
-        .when((F.size(labels) > 0) & F.exists(given, lambda x: ~F.array_contains(labels, x["s"]["native"])), "wrong_status").when(F.exists(given, lambda x: x["note"] == ""), "blank_note")
-    )
+
+    def error_of(given: Column) -> Column:
+        wrong = lambda found: F.exists(found, lambda x: F.coalesce(~F.array_contains(names, x), F.lit(True))) | (F.size(F.array_distinct(found)) < F.size(found))
+        return (
+            F.when(F.try_parse_json(content).isNull(), "not_json").when(given.isNull(), "not_a_list").when(bound(F.transform(given, lambda x: x["name"]), wrong), "wrong_name")
+            .when((F.size(labels) > 0) & F.exists(given, lambda x: ~F.array_contains(labels, x["s"]["native"])), "wrong_status").when(F.exists(given, lambda x: x["note"] == ""), "blank_note")
+        )
+
     least = status(F.when(scale == "likert_judgement", "weak").otherwise("missing_or_wrong"), scale)
 
-    def one(name: Column) -> Column:
-        mine = F.get(F.filter(given, lambda x: x["name"] == name), F.lit(0))
+    def one(name: Column, mine: Column) -> Column:
         return F.struct(name.alias("criterion_name"), F.coalesce(mine["s"]["native"], least["native"]).alias("status"), F.coalesce(mine["s"]["normalized"], least["normalized"]).alias("normalized_status"), F.coalesce(mine["note"], F.lit("omitted by model")).alias("note"))
 
-    return F.struct(F.when(error.isNull(), F.transform(names, one)).alias("notes"), error.alias("error_code"))
+    def made(given: Column, error: Column) -> Column:
+        named = lambda name: bound(F.get(F.filter(given, lambda x: x["name"] == name), F.lit(0)), lambda mine: one(name, mine))
+        return F.struct(F.when(error.isNull(), F.transform(names, named)).alias("notes"), error.alias("error_code"))
+
+    # the response is read once, and its error worked out once
+    return bound(given, lambda rows: bound(error_of(rows), lambda error: made(rows, error)))
 
 
 #: N18. Fixed values.
@@ -141,16 +151,24 @@ VERIFIER_FAILED, FAILURE_COSTS, ACCEPTABLE = "rubric_verifier_failed:", 25.0, 75
 def verified_rubric(content: Column, text: Column, issues: Column) -> Column:
     """Struct (rubric_text, confidence, issues) after a rubric's verification. A response that is no valid one leaves the text,
     takes the confidence to 0 and adds an issue."""
-    v = F.try_parse_json(content)
-    new, confidence = F.trim(F.try_variant_get(v, "$.rubric_text", "string")), F.round(number(v, "$.confidence_0_to_100"), 2)
-    bare = F.variant_get(v, "$.issues", "variant")
-    said = F.when(bare.isNull() | F.is_variant_null(bare), F.array().cast("array<string>")).otherwise(F.try_variant_get(v, "$.issues", "array<string>"))
-    why = (
-        F.when(v.isNull(), "not_json").when(F.coalesce(new, F.lit("")) == "", "no_rubric_text").when(said.isNull() | F.exists(said, lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""), "invalid_issues")
-        .when(confidence.isNull(), "invalid_confidence").when(~confidence.between(0, 100), "confidence_out_of_range")
-    )
-    failed = F.concat(issues, F.array(F.concat(F.lit(VERIFIER_FAILED + " "), why)))
-    return F.struct(F.when(why.isNull(), new).otherwise(text).alias("rubric_text"), F.when(why.isNull(), confidence).otherwise(0.0).alias("confidence"), F.when(why.isNull(), F.transform(said, lambda x: F.trim(x))).otherwise(failed).alias("issues"))
+
+    def read(v: Column) -> Column:
+        new, confidence = F.trim(F.try_variant_get(v, "$.rubric_text", "string")), F.round(number(v, "$.confidence_0_to_100"), 2)
+        bare = F.variant_get(v, "$.issues", "variant")
+        said = F.when(bare.isNull() | F.is_variant_null(bare), F.array().cast("array<string>")).otherwise(F.try_variant_get(v, "$.issues", "array<string>"))
+        return F.struct(v.isNotNull().alias("there"), new.alias("text"), confidence.alias("confidence"), said.alias("issues"))
+
+    def why_of(r: Column) -> Column:
+        return (
+            F.when(~r["there"], "not_json").when(F.coalesce(r["text"], F.lit("")) == "", "no_rubric_text").when(r["issues"].isNull() | F.exists(r["issues"], lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""), "invalid_issues")
+            .when(r["confidence"].isNull(), "invalid_confidence").when(~r["confidence"].between(0, 100), "confidence_out_of_range")
+        )
+
+    def made(r: Column, why: Column) -> Column:
+        failed = F.concat(issues, F.array(F.concat(F.lit(VERIFIER_FAILED + " "), why)))
+        return F.struct(F.when(why.isNull(), r["text"]).otherwise(text).alias("rubric_text"), F.when(why.isNull(), r["confidence"]).otherwise(0.0).alias("confidence"), F.when(why.isNull(), F.transform(r["issues"], lambda x: F.trim(x))).otherwise(failed).alias("issues"))
+
+    return bound(bound(F.try_parse_json(content), read), lambda r: bound(why_of(r), lambda why: made(r, why)))
 
 
 def refinement_score(confidence: Column, issues: Column) -> Column:

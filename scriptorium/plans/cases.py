@@ -54,8 +54,8 @@ def _columns() -> dict[str, Column]:
     def _notes():
         content = F.to_json(F.create_map(F.lit("Depth"), F.struct(F.when(n % 2 == 0, "met").otherwise("weak").alias("status"), x.alias("note"))))
         found = responses.criterion_notes(content, F.array(F.lit("Accuracy"), F.lit("Depth")), F.lit("likert_judgement"), F.array(*map(F.lit, ("weak", "developing", "clear", "strong"))))
-        said = F.transform(found["notes"], lambda y: F.concat_ws(":", y["criterion_name"], y["status"], y["normalized_status"], y["note"]))
-        return F.coalesce(found["error_code"], F.array_join(said, "|"))
+        said = lambda notes: F.transform(notes, lambda y: F.concat_ws(":", y["criterion_name"], y["status"], y["normalized_status"], y["note"]))
+        return t.bound(found, lambda r: F.coalesce(r["error_code"], F.array_join(said(r["notes"]), "|")))
 
     def _matrix():
         flat = F.regexp_replace(x, r"[\r\n|]+", " ")
