@@ -93,7 +93,7 @@ def detected_and_expected(spark, sf):
     extra = F.array(*(F.struct(F.lit(x).alias("label"), F.lit("").alias("focus_hint")) for x in ("", " Section  above", "Part 9", "Part 9")))
     answers = _numbered(spark, sf).where("n % 2 = 1").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))).alias("x"))
     content = F.to_json(F.struct(F.concat(F.transform("x", lambda x: x["s"]), extra).alias("sections")))
-    seen = answers.select(F.col("l_orderkey").alias("submission"), F.explode(merging.detected_parts(content)).alias("p")).select("submission", "p.*", F.lit("").alias("section_text"))
+    seen = answers.select(F.col("l_orderkey").alias("submission"), F.explode_outer(merging.detected_parts(content)).alias("p")).select("submission", "p.*", F.lit("").alias("section_text"))
     wanted = _numbered(spark, sf).where("l_orderkey % 3 > 0").select(F.col("l_orderkey").alias("submission"), F.concat(F.lit("Part "), n).alias("label"), F.lit("hint").alias("focus_hint"), F.concat(F.lit("Q"), n).alias("anchor_text"), F.col("q").cast("double").alias("max_mark"))
     return merging.reconciled_parts(wanted, seen, "submission").drop("section_text")
 
