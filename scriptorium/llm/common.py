@@ -83,10 +83,10 @@ def forget(df: DataFrame | None) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def by_batch(df: DataFrame, schema: T.StructType, work: Callable[..., dict], *args, carry: tuple[str, ...] = (), done: Callable[[], None] | None = None) -> DataFrame:
+def by_batch(df: DataFrame, schema: T.StructType, work: Callable[..., dict], *args, carry: tuple[str, ...] = (), done: Callable[[], None] | None = None, most: int = 2 << 20) -> DataFrame:
     """mapInArrow in pieces of bounded size: work(columns as lists, *args) returns columns by name. Columns in carry stay Arrow.
 
-    Very long texts make a batch large, so a batch is cut where its strings pass a few MB. Workers serve many tasks: done(), at
+    Very long texts make a batch large, so a batch is cut where its strings pass `most` bytes, a few MB. Workers serve many tasks: done(), at
     the end of each partition, frees what work keeps from piece to piece."""
     arrow = _arrow_schema(schema)
     names = df.columns
@@ -94,7 +94,7 @@ def by_batch(df: DataFrame, schema: T.StructType, work: Callable[..., dict], *ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for piece in pieces(batch):
+                for piece in pieces(batch, most):
                     made = work({n: piece.column(i) if n in carry else piece.column(i).to_pylist() for i, n in enumerate(names)}, *args)
                     yield pa.RecordBatch.from_arrays([_array(made[f.name], f.type) for f in arrow], schema=arrow)
         finally:
