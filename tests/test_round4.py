@@ -1,9 +1,8 @@
 """Work on marking documents that is done once: what a plan holds, and what lines, answers and units it must still give."""
 
-from pyspark.sql import functions as F
 
 from scriptorium.functions import text as t
-from scriptorium.operators import structure
+from scriptorium.operators import structure, units
 from scriptorium.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +24,9 @@ def test_a_line_of_an_answer_is_judged_once(spark):
     doc = "Part 1\nask\nANSWER: note: a\n- b\nother\n- c\nanswer:\n- d\nAnswer: plain\nStudents should e : f\n• g\nPart 2\nanswer: high grade: h"
     got = structure.sections(spark.createDataFrame([("a", doc)], "assessment string, text string")).orderBy("ord").collect()
     assert [(r.label, r.label_key, r.marking) for r in got] == [("Part 1", "part 1", "note: a\n- b\nStudents should e : f\n• g"), ("Part 2", "part 2", "high grade: h")]
+
+
+def test_parts_need_not_hold_what_they_do_not_ask_for(spark):
+    parts = spark.createDataFrame([("x", " part  1", 1.0, "own")], "a string, label string, max_mark double, marking_guidance string")
+    known = spark.createDataFrame([("x", "Part 1", 2.0, "guide", "rubric")], "a string, label string, max_mark double, marking_guidance string, rubric_text string")
+    assert [tuple(r) for r in units.attached(parts, known, "a").collect()] == [("x", " part  1", 2.0, "rubric")]
