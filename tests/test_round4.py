@@ -1,8 +1,7 @@
 """Work on marking documents that is done once: what a plan holds, and what lines, answers and units it must still give."""
 
-
 from scriptorium.functions import text as t
-from scriptorium.operators import structure, units
+from scriptorium.operators import parsers, structure, units
 from scriptorium.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,3 +29,12 @@ def test_parts_need_not_hold_what_they_do_not_ask_for(spark):
     parts = spark.createDataFrame([("x", " part  1", 1.0, "own")], "a string, label string, max_mark double, marking_guidance string")
     known = spark.createDataFrame([("x", "Part 1", 2.0, "guide", "rubric")], "a string, label string, max_mark double, marking_guidance string, rubric_text string")
     assert [tuple(r) for r in units.attached(parts, known, "a").collect()] == [("x", " part  1", 2.0, "rubric")]
+
+
+def test_documents_are_made_once_for_two_parsers(spark):
+    assert plan(registry.queries()["hybrid_structure"](spark, SF)).count("Window [row_number()") == 3
+    texts = [("a", "Part 1 (4 marks)\n1. x [1 mark]\n2. y"), ("b", " no header "), ("c", None), (None, "Part 1")]
+    docs = spark.createDataFrame(texts, "assessment string, text string")
+    got = {r.assessment: r.sections for r in parsers.hybrid(docs, spark.createDataFrame([], "assessment string, content string")).collect()}
+    assert set(got) == {"a", "b", "c"} and [(s.label, s.instruction_text) for k in "bc" for s in got[k]] == [("Whole Submission", "no header"), ("Whole Submission", None)]
+    assert [(x.label, x.max_mark) for x in got["a"][0].subparts] == [("Part 1 Q1", 1.0), ("Part 1 Q2", 3.0)]
